@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
-from docquill.llm.common import table
+from pyspark.sql import functions as F
+
+from docquill.llm.common import table, text_of
 from docquill.llm.exact_dedup import exact_duplicates
+from docquill.llm.mixing import mix_sources, words_in
+from docquill.llm.secret_scan import scan_secrets, written
+from docquill.scratch import materialize
 
 
 def op6_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_source_mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words_in(text_of("text")).alias("words"))
+    mixed = mix_sources(materialize(docs, "words"), size_col="words")
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"), "mix.copies")
+
+
+def op9_secret_scan(spark, sf_dir):
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: ~s["weak"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
+    )
+
+
 def queries():
     return {
+        "op7_source_mix": op7_source_mix,
+        "op9_secret_scan": op9_secret_scan,
         "op6_exact_dedup": op6_exact_dedup,
     }
 
