@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docquill.llm.common import table, text_of
 from docquill.llm.exact_dedup import exact_duplicates
 from docquill.llm.mixing import mix_sources, words_in
+from docquill.llm.simhash import near_duplicates
 from docquill.llm.secret_scan import scan_secrets, written
 from docquill.scratch import materialize
 
@@ -15,6 +16,11 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_simhash_gray(spark, sf_dir):
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_source_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", words_in(text_of("text")).alias("words"))
     mixed = mix_sources(materialize(docs, "words"), size_col="words")
@@ -33,6 +39,7 @@ def op9_secret_scan(spark, sf_dir):
 
 def queries():
     return {
+        "op1_simhash_gray": op1_simhash_gray,
         "op7_source_mix": op7_source_mix,
         "op9_secret_scan": op9_secret_scan,
         "op6_exact_dedup": op6_exact_dedup,
