@@ -9,6 +9,7 @@ from docquill.llm.exact_dedup import exact_duplicates
 from docquill.llm.mixing import mix_sources, words_in
 from docquill.llm.simhash import near_duplicates
 from docquill.llm.secret_scan import scan_secrets, written
+from docquill.llm.substring_dedup import repeated_spans
 from docquill.scratch import materialize
 
 
@@ -37,11 +38,16 @@ def op9_secret_scan(spark, sf_dir):
     )
 
 
+def op10_line_dedup(spark, sf_dir):
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("row")
+
+
 def queries():
     return {
         "op1_simhash_gray": op1_simhash_gray,
         "op7_source_mix": op7_source_mix,
         "op9_secret_scan": op9_secret_scan,
+        "op10_line_dedup": op10_line_dedup,
         "op6_exact_dedup": op6_exact_dedup,
     }
 
