@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docquill.llm.common import table, text_of
+from docquill.llm.common import remainder, table, text_of
 from docquill.llm.exact_dedup import exact_duplicates
+from docquill.llm.lbl_scoring import score_texts
 from docquill.llm.mixing import mix_sources, words_in
 from docquill.llm.simhash import near_duplicates
 from docquill.llm.secret_scan import scan_secrets, written
@@ -22,6 +23,10 @@ def op1_simhash_gray(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_lbl_score(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents"), held_out=remainder(F.col("doc_id"), 7) == 2)
+
+
 def op7_source_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", words_in(text_of("text")).alias("words"))
     mixed = mix_sources(materialize(docs, "words"), size_col="words")
@@ -45,6 +50,7 @@ def op10_line_dedup(spark, sf_dir):
 def queries():
     return {
         "op1_simhash_gray": op1_simhash_gray,
+        "op4_lbl_score": op4_lbl_score,
         "op7_source_mix": op7_source_mix,
         "op9_secret_scan": op9_secret_scan,
         "op10_line_dedup": op10_line_dedup,
