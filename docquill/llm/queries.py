@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docquill.llm.bpe import decode_texts, default_tokenizer, encode_texts
 from docquill.llm.common import remainder, table, text_of
 from docquill.llm.exact_dedup import exact_duplicates
 from docquill.llm.lbl_scoring import score_texts
 from docquill.llm.mixing import mix_sources, words_in
 from docquill.llm.simhash import near_duplicates
+from docquill.llm.quality import THRESHOLD, learn_quality, quality_score
 from docquill.llm.secret_scan import scan_secrets, written
 from docquill.llm.substring_dedup import repeated_spans
 from docquill.scratch import materialize
@@ -27,12 +29,31 @@ def op4_lbl_score(spark, sf_dir):
     return score_texts(table(spark, sf_dir, "documents"), held_out=remainder(F.col("doc_id"), 7) == 2)
 
 
+def op5_quality_trees(spark, sf_dir):
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5) == 0
+    model = learn_quality(docs, table(spark, sf_dir, "labels"), learn_from=~held_out)
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality_score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
 def op7_source_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", words_in(text_of("text")).alias("words"))
     mixed = mix_sources(materialize(docs, "words"), size_col="words")
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"), "mix.copies")
 
 
+def op8_bpe_roundtrip(spark, sf_dir):
+    return bpe_digests(table(spark, sf_dir, "documents"), default_tokenizer())
+
+
+def bpe_digests(docs, tokenizer):
+    coded = decode_texts(encode_texts(docs, tokenizer), tokenizer)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
 def op9_secret_scan(spark, sf_dir):
     found = scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: ~s["weak"])
@@ -51,7 +72,9 @@ def queries():
     return {
         "op1_simhash_gray": op1_simhash_gray,
         "op4_lbl_score": op4_lbl_score,
+        "op5_quality_trees": op5_quality_trees,
         "op7_source_mix": op7_source_mix,
+        "op8_bpe_roundtrip": op8_bpe_roundtrip,
         "op9_secret_scan": op9_secret_scan,
         "op10_line_dedup": op10_line_dedup,
         "op6_exact_dedup": op6_exact_dedup,
