@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquill.llm.bpe import decode_texts, default_tokenizer, encode_texts
+from docquill.llm.chroma import align_recordings, melody
 from docquill.llm.common import remainder, table, text_of
 from docquill.llm.exact_dedup import exact_duplicates
 from docquill.llm.lbl_scoring import score_texts
@@ -13,6 +14,7 @@ from docquill.llm.simhash import near_duplicates
 from docquill.llm.quality import THRESHOLD, learn_quality, quality_score
 from docquill.llm.secret_scan import scan_secrets, written
 from docquill.llm.substring_dedup import repeated_spans
+from docquill.llm.url_filter import judge_urls
 from docquill.scratch import materialize
 
 
@@ -25,6 +27,15 @@ def op1_simhash_gray(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_url_ngrams(spark, sf_dir):
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op3_chroma_align(spark, sf_dir):
+    """No table has audio: every vector of ``embeddings`` is played as a melody, and the recordings are matched."""
+    return align_recordings(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", melody).withColumnRenamed("id", "vec_id")
+
+
 def op4_lbl_score(spark, sf_dir):
     return score_texts(table(spark, sf_dir, "documents"), held_out=remainder(F.col("doc_id"), 7) == 2)
 
@@ -71,6 +82,8 @@ def op10_line_dedup(spark, sf_dir):
 def queries():
     return {
         "op1_simhash_gray": op1_simhash_gray,
+        "op2_url_ngrams": op2_url_ngrams,
+        "op3_chroma_align": op3_chroma_align,
         "op4_lbl_score": op4_lbl_score,
         "op5_quality_trees": op5_quality_trees,
         "op7_source_mix": op7_source_mix,
