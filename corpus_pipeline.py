@@ -1,8 +1,62 @@
-"""placeholder until the stages exist"""
-STAGES = []
+"""A corpus pipeline: quality, exact copies, near copies, mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of ``documents``. A stage is written as Parquet and read again
+before the next one starts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docquill.llm.bpe import default_tokenizer
+from docquill.llm.common import table
+from docquill.llm.exact_dedup import drop_exact_duplicates
+from docquill.llm.mixing import mix_sources
+from docquill.llm.quality import keep_good
+from docquill.llm.queries import bpe_digests
+from docquill.llm.simhash import keep_one_each
+from docquill.scratch import materialize
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the smallest id stays."""
+    return drop_exact_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked fingerprints the smallest id stays."""
+    return keep_one_each(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix takes of a document."""
+    copies = F.explode(F.sequence(F.lit(1), F.col("mix.copies")))
+    return mix_sources(docs).where("mix.copies > 0").select("*", copies.alias("__copy")).drop("mix", "__copy")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text, a row for each copy."""
+    return bpe_digests(docs, default_tokenizer())
+
+
+STAGES = [("quality", quality), ("exact copies", exact), ("near copies", near), ("mixture", mixture), ("tokens", tokens)]
+
+#: No SQL has the classifier, the fingerprints' links, the mix or the tokens; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, applied to ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{i}")
     return docs
