@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docquill.functions.text import strip
 
@@ -95,7 +96,7 @@ def split_text(text: str, size: int = PIECE, overlap: int = OVERLAP, separators:
     return [p for p in pieces if p]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _split(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: split_text(t) if t else [])
 

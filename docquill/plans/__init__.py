@@ -6,7 +6,7 @@ from docquill import registry
 
 
 def _load() -> None:
-    from docquill.plans import access, aggregates, text  # noqa: F401
+    from docquill.plans import access, aggregates, order, text  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
