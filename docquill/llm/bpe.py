@@ -13,6 +13,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,13 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` one after the other, and their sizes."""
+    at = np.repeat(begin - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
+    return flat[at], size
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary: the ids of bytes, the pairs that merge, the bytes of ids, and the special tokens."""
 
@@ -47,11 +55,14 @@ class Vocabulary:
         self.of_byte = np.array([ids[c] for c in letters], np.int64)
         special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.special = special
-        self.bytes = [b""] * (1 + max([*ids.values(), *special.values()]))
+        table = [b""] * (1 + max([*ids.values(), *special.values()]))
         for token, i in ids.items():
-            self.bytes[i] = bytes(of_letter[c] for c in token)
+            table[i] = bytes(of_letter[c] for c in token)
         for token, i in special.items():
-            self.bytes[i] = token.encode()
+            table[i] = token.encode()
+        #: all ids' bytes one after the other, and where each begins and how long it is
+        self.blob, self.size = np.frombuffer(b"".join(table), np.uint8), np.array([len(t) for t in table])
+        self.begin = np.cumsum(self.size) - self.size
         merges = [tuple(m.split(" ")) if isinstance(m, str) else m for m in data["model"]["merges"]]
         keys = np.array([ids[a] << 32 | ids[b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
@@ -97,10 +108,11 @@ class Vocabulary:
         order = np.argsort(owner, kind="stable")
         return symbols[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of the ids; bytes that are not UTF-8 become the replacement character."""
-        table = self.bytes
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of the ids between the offsets; bytes that are not UTF-8 become the replacement character."""
+        data, sizes = _gather(self.blob, self.begin[ids], self.size[ids])
+        data, cuts = data.tobytes(), np.concatenate(([0], np.cumsum(sizes)))[offsets].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def unassigned() -> re.Pattern:
@@ -116,65 +128,82 @@ def unassigned() -> re.Pattern:
     return re.compile("[" + "".join(ranges) + "]")
 
 
+#: Letters, numbers and space of Latin-1, as Unicode has them: texts within it take a faster pattern that splits alike.
+_LETTER, _NUMBER, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\x09-\x0D\x20\x85\xa0"
+LATIN_SPLIT = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+
+
 class Encoder:
     """Encodes texts with a vocabulary; keeps up to ``kept_words`` words that it has met."""
 
     def __init__(self, vocabulary: Vocabulary, kept_words: int = KEPT_WORDS) -> None:
         self.vocabulary, self.kept_words = vocabulary, kept_words
-        self.split, self.free = regex.compile(SPLIT), unassigned()
+        self.split, self.latin_split, self.free = regex.compile(SPLIT), re.compile(LATIN_SPLIT), unassigned()
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.known: dict[str, np.ndarray] = {}
+        self.safe_cut = re.compile(r"(?<=[0-9A-Za-z])\x20(?=[0-9A-Za-z])")
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start with the special tokens only; no other word is spelt like one, as texts are cut at them."""
+        self.index = {t: i for i, t in enumerate(self.vocabulary.special)}
+        self.flat = np.array(list(self.vocabulary.special.values()), np.int32)
+        self.begin, self.size = np.arange(len(self.flat)), np.ones(len(self.flat), np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        ids, bounds = self.vocabulary.merge_words([w.encode("utf-8", "surrogatepass") for w in new])
+        self.index.update(zip(new, range(len(self.begin), len(self.begin) + len(new)), strict=True))
+        self.begin = np.concatenate([self.begin, bounds[:-1] + len(self.flat)])
+        self.size = np.concatenate([self.size, np.diff(bounds)])
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
 
     def _words(self, text: str) -> list[str]:
-        if text.isascii() or not self.free.search(text):
+        try:
+            text.encode("latin-1")
+            return self.latin_split.findall(text)
+        except UnicodeEncodeError:
+            pass
+        if not self.free.search(text):
             return self.split.findall(text)
-        stand_in = self.free.sub("�", text)
+        stand_in = self.free.sub("\ufffd", text)
         return [text[m.start() : m.end()] for m in self.split.finditer(stand_in)]
 
-    def _pieces(self, text: str) -> Iterator[tuple[str, bool]]:
-        """(piece, whether it is a special token); long stretches are cut before a single space inside a line, where a word begins in any case."""
-        parts = self.special.split(text) if self.special else [text]
-        for i, part in enumerate(parts):
+    def words(self, text: str) -> list[str]:
+        """The text's words and special tokens. Long stretches are cut before a single space inside a line, where a word begins in any case."""
+        found = []
+        for i, part in enumerate(self.special.split(text) if self.special else [text]):
             if i % 2:
-                yield part, True
+                found.append(part)
                 continue
-            while len(part) > PIECE_CHARS:
-                cut = re.compile(r"(?<=[0-9A-Za-z])\x20(?=[0-9A-Za-z])").search(part, PIECE_CHARS)
-                if not cut:
-                    break
-                yield part[: cut.start()], False
+            while len(part) > PIECE_CHARS and (cut := self.safe_cut.search(part, PIECE_CHARS)):
+                found += self._words(part[: cut.start()])
                 part = part[cut.start() :]
-            if part:
-                yield part, False
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        split = [[(self.vocabulary.special[p] if special else self._words(p)) for p, special in self._pieces(t)] for t in texts]
-        if len(self.known) > self.kept_words:
-            self.known = {}
-        known = self.known
-        new = list({w for parts in split for p in parts if not isinstance(p, int) for w in p if w not in known})
-        if new:
-            ids, begin = self.vocabulary.merge_words([w.encode("utf-8", "surrogatepass") for w in new])
-            ids = ids.astype(np.int32)
-            known.update((w, ids[a:b]) for w, a, b in zip(new, begin[:-1].tolist(), begin[1:].tolist(), strict=True))
-        out = []
-        for parts in split:
-            arrays = [x for p in parts for x in ([np.array([p], np.int32)] if isinstance(p, int) else map(known.__getitem__, p))]
-            out.append(np.concatenate(arrays) if arrays else np.zeros(0, np.int32))
-        return out
-
-
-def _groups(batches: Iterator[pa.RecordBatch], column: str, most: int):
+            found += self._words(part)
+        return found
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and the offsets between them."""
+        words, counts = [], [0]
+        for t in texts:
+            words += self.words(t)
+            counts.append(len(words))
+        if len(self.index) > self.kept_words:
+            self._forget()
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn(list({words[i] for i in missing}))
+            at[missing] = [self.index[words[i]] for i in missing]
+        ids, sizes = _gather(self.flat, self.begin[at], self.size[at])
+        return ids, np.concatenate(([0], np.cumsum(sizes)))[counts]
+
+
+def _slices(sizes: np.ndarray, most: int) -> Iterator[slice]:
     """Rows of about ``most`` characters or ids together."""
-    for batch in batches:
-        sizes = np.array([len(x.as_py() or "") if column == "text" else len(x) for x in batch.column(column)], np.int64)
+    if len(sizes):
         number = np.cumsum(sizes) // most
-        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b > a:
-                yield batch.slice(a, b - a)
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(sizes)]
+        yield from (slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
 
 
 def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,11 +218,12 @@ def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def run(batches):
         encoder = Encoder(Vocabulary(shared.value))
-        for part in _groups(batches, "text", BATCH_IDS):
-            ids = encoder.encode([t.as_py() for t in part.column("text")])
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for part in _slices(np.array([len(t) for t in texts]), BATCH_IDS):
+                ids, offsets = encoder.encode(texts[part])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], lists], ["doc_id", "ids"])
 
     return read.mapInArrow(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -206,9 +236,13 @@ def decode_texts(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         vocabulary = Vocabulary(shared.value)
-        for part in _groups(batches, "ids", BATCH_IDS):
-            texts = [vocabulary.decode(x.as_py() or []) for x in part.column("ids")]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(id_type), part.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+        for batch in batches:
+            lists = batch.column("ids").fill_null([])
+            for part in _slices(lists.value_lengths().to_numpy(zero_copy_only=False), BATCH_IDS):
+                some = lists[part]
+                offsets = some.offsets.to_numpy()
+                texts = vocabulary.decode(some.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part].cast(id_type), batch.column("ids")[part], pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind.simpleString()}, ids array<int>, text string")
 
