@@ -1,0 +1,386 @@
+"""The operators for training data against brute-force versions, and their edge cases."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from docquill.llm import bpe, chroma, exact_dedup, lbl_scoring, mixing, quality, queries, secret_scan, simhash, substring_dedup, url_filter
+from docquill.llm.components import connected_components
+from tests.conftest import SF
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, rows, extra=True):
+    """(doc_id, text, source) rows; with columns whose names operators use inside."""
+    df = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS)
+    return df.withColumns({c: F.lit(1) for c in ("row", "print", "kept", "size", "rule", "words", "id", "spans", "mix")}) if extra else df
+
+
+def lower(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+
+
+EDGES = [(1, None, "a"), (2, "", "a"), (3, "   \n", None), (4, "One two three four", "b"), (5, "One  two\tthree four", "b"), (5, "One  two\tthree four", "b"), (None, "One two three four", None), (6, "é" * 50_000 + " x " * 5000, "a")]
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+# exact copies
+
+
+def exact_rows(rows):
+    groups = collections.defaultdict(list)
+    for i, t, _ in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
+    out = []
+    for t, ids in groups.items():
+        first = sorted(ids, key=lambda i: (i is None, i or 0))[0]
+        kept = ids.index(first)
+        out += [(i, first, len(ids), k == kept, hashlib.sha256(t.encode()).hexdigest()) for k, i in enumerate(ids)]
+    return collections.Counter(out)
+
+
+@pytest.mark.parametrize("bits", [1 << 6, 1 << 28])
+def test_exact_duplicates(spark, bits):
+    rows = EDGES + [(100 + k, f"text {k % 7}", "c") for k in range(50)]
+    got = exact_dedup.exact_duplicates(docs_of(spark, rows), max_bits=bits)
+    assert collections.Counter(map(tuple, got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())) == exact_rows(rows)
+    kept = exact_dedup.drop_exact_duplicates(docs_of(spark, rows), max_bits=bits)
+    assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter(x[0] for x, n in exact_rows(rows).items() for _ in range(n) if x[3])
+    assert kept.columns == docs_of(spark, rows).columns
+
+
+def test_exact_empty(spark):
+    assert exact_dedup.exact_duplicates(docs_of(spark, [])).count() == 0
+    assert exact_dedup.drop_exact_duplicates(docs_of(spark, [])).count() == 0
+
+
+# near copies
+
+
+def brute_print(text):
+    w = WORD.findall(lower(text or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(ids, prints, distance=3):
+    label = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for i, p in zip(ids, prints):
+            for j, q in zip(ids, prints):
+                if (p ^ q).bit_count() <= distance and label[j] < label[i]:
+                    label[i], changed = label[j], True
+    return label
+
+
+def test_near_duplicates_edges(spark):
+    got = simhash.near_duplicates(docs_of(spark, EDGES)).collect()
+    assert len(got) == len(EDGES)
+    for r in got:
+        assert r.print & (1 << 64) - 1 in {brute_print(t) for i, t, _ in EDGES if i == r.doc_id}
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, None: 4, 6: 6}
+    assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
+
+
+def test_near_duplicates_tables(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    want = brute_components([i for i, _ in rows], [brute_print(t) for _, t in rows])
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(documents).collect()} == want
+
+
+@pytest.mark.parametrize("tile", [3, 20_000])
+def test_near_links_connect_all(spark, tile):
+    rng = random.Random(1)
+    prints = {rng.getrandbits(64) for _ in range(30)}
+    prints |= {p ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for p in list(prints) for _ in range(5)}
+    prints = sorted(prints)
+    reps = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "id long, print long")
+    links = simhash.near_links(reps, tile_rows=tile)
+    found = {r.node: r.component for r in connected_components(links).collect()}
+    assert {i: found.get(i, i) for i in range(len(prints))} == brute_components(range(len(prints)), prints)
+
+
+def test_components_of_a_path_and_a_star(spark):
+    path = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(201)) and all(got[1000 + i] == 1000 for i in range(50))
+
+
+def test_keep_one_each(spark):
+    kept = simhash.keep_one_each(docs_of(spark, EDGES))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 4), (False, 6), (True, 0)]
+
+
+# urls
+
+
+def test_urls(spark):
+    urls = [None, "no scheme", "HTTPS://News.Example.ORG/es/1?x#y", "http://example.org/en/12", "http://sub.example.org/en/2", "http://a.com/fr/x", "http://acom/fr/x", "http://b.com/de/", "http://x.org", "http://x.net?q=/a", "http://www.casino-win.example.net/en/1", "http://garden.example.net/en/1", ""]
+    pages = spark.createDataFrame([(i, u, "h", "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, path string, rule string")
+    got = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
+    assert [(got[i].host, got[i].path) for i in (0, 1, 2, 8, 9)] == [("", ""), ("", ""), ("news.example.org", "/es/1"), ("x.org", ""), ("x.net", "")]
+    assert [got[i].rule for i in range(len(urls))] == [None, None, "example.org/es/", "example.org/en/1", "org/", "com/fr/", None, "com/de/", None, None, None, None, None]
+    assert [got[i].verdict for i in (2, 3, 4, 5, 7, 10, 11)] == ["block", "block", "allow", "allow", "block", "block", "allow"]
+    assert url_filter.judge_urls(pages.limit(0)).count() == 0
+
+
+# recordings
+
+
+def test_chroma_aligns_noisy_and_shifted(spark):
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(0, 0.125, (12, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(100, vectors[0].tolist()), (101, (vectors[0] + rng.normal(0, 0.003, 64)).tolist()), (102, vectors[0][8:].tolist()), (103, None), (104, []), (None, vectors[3].tolist())]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, keys string")
+    got = {r.id: r for r in chroma.align_recordings(df, "vec_id", "embedding", chroma.melody).collect()}
+    assert len(got) == len(rows)
+    assert got[100].class_id == 0 and got[100].class_size == 2
+    assert got[101].match_id == 0 and got[101].shift == 0 and got[102].match_id == 0 and got[102].shift == -16
+    assert all(got[i].match_id is None for i in (1, 2, 3, 103, 104, None)) and got[103].class_id is None
+    assert chroma.align_recordings(df.limit(0), "vec_id", "embedding", chroma.melody).count() == 0
+
+
+def test_pcm_bytes():
+    samples = (np.sin(np.arange(8000) / 10) * 30000).astype("<i2")
+    assert len(chroma.packed(chroma.chroma(chroma.pcm16(samples.tobytes())))) > 0
+    assert len(chroma.pcm16(None)) == 0
+
+
+# language model
+
+
+def test_scores(spark, documents):
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    got = {r.doc_id: r for r in lbl_scoring.score_texts(documents, held, head_words=300, classes=100).collect()}
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    tokens = lambda t: [w for w in WORD.findall(lower(t or ""))] + [""]
+    c = collections.Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    for i, t in rows:
+        r, w = got[i], tokens(t)
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(c[x] > 0 for x in w), n, zlib.crc32(str(i).encode()) % 7 == 2)
+        assert math.isclose(r.base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+        assert r.score < 0
+    out = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out) * 1.02
+
+
+def test_scores_edges(spark):
+    got = lbl_scoring.score_texts(docs_of(spark, EDGES), F.col("doc_id") == 4).collect()
+    assert len(got) == len(EDGES) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
+    assert [r.n_tokens for r in got if r.doc_id in (1, 2, 3)] == [1, 1, 1]
+    assert lbl_scoring.score_texts(docs_of(spark, []), F.lit(False)).count() == 0
+    only = lbl_scoring.score_texts(docs_of(spark, EDGES[:5]), F.lit(True)).collect()
+    assert all(r.train_tokens == 0 and r.n_known == 0 for r in only)
+
+
+def test_model_is_normalised():
+    lex = lbl_scoring.Lexicon([(b"a", 50), (b"b", 30), (b"c", 5)], 100, 6, 10, classes=2)
+    m = lbl_scoring.Model.start(lex.shares)
+    rng = np.random.default_rng(0)
+    m.train(rng.integers(0, lex.classes, (500, 2)), rng.integers(0, lex.classes, 500), lex.shares, rng)
+    for context in ([0, 0], [1, 3]):
+        p = 10 ** m.log10_probabilities(np.array([context] * lex.classes), np.arange(lex.classes))
+        assert math.isclose(p.sum(), 1, rel_tol=1e-5)
+
+
+# quality
+
+
+def test_quality_on_held_out_labels(spark):
+    got = queries.op5_quality_trees(spark, "/root/testdata/sf0.01")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = got.where("held_out").join(labels, "doc_id").collect()
+    right = sum(r.predicted == r.quality for r in rows) / len(rows)
+    kept = [r.predicted for r in rows if r.quality == 1]
+    assert right >= 0.9 and sum(kept) / len(kept) >= 0.95
+
+
+def test_quality_edges(spark):
+    labels = spark.createDataFrame([(4, 1), (4, 0), (5, None), (None, 1)], "doc_id long, quality int")
+    model = quality.learn_quality(docs_of(spark, EDGES), labels, F.lit(True))
+    s = [r[0] for r in docs_of(spark, EDGES).select(quality.quality_score(model, F.col("text"))).collect()]
+    assert len(s) == len(EDGES) and all(0 <= x <= 1 for x in s)
+    assert docs_of(spark, []).select(quality.quality_score(model, F.col("text"))).count() == 0
+    assert quality.learn_quality(docs_of(spark, []), labels.limit(0), F.lit(True)).leaf.size == 0
+
+
+def test_trees_learn():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 5))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0)).astype(float)
+    assert ((quality.fit_trees(x, y).scores(x) > 0.5) == (y > 0.5)).mean() > 0.97
+
+
+# mixing
+
+
+def brute_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    left, open_, out = share * sum(sizes.values()), set(names), {}
+    while open_:
+        total = sum(weight[s] for s in open_)
+        full = {s for s in open_ if left * weight[s] / total > cap * sizes[s]}
+        if not full:
+            return out | {s: left * weight[s] / total for s in open_}
+        for s in full:
+            out[s] = cap * sizes[s]
+            left -= out[s]
+        open_ -= full
+    return out
+
+
+def test_mix(spark):
+    rng = random.Random(0)
+    rows = [(k, " ".join(["w"] * int(rng.lognormvariate(3, 1))), rng.choice(["a", "b", "c", "é", None, "hot", "hot", "hot"])) for k in range(600)] + EDGES[:3]
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(WORD.findall(t or ""))
+    want = brute_targets(sizes)
+    got = mixing.mix_sources(docs_of(spark, rows)).collect()
+    taken = collections.Counter()
+    for r in got:
+        assert r.mix.size == len(WORD.findall(r.text or "")) and r.mix.source_size == sizes[r.source] and 0 <= r.mix.copies <= 2
+        assert math.isclose(r.mix.target, want[r.source], rel_tol=1e-9)
+        taken[r.source] += r.mix.size * r.mix.copies
+    for s, t in want.items():
+        assert abs(taken[s] - t) <= 0.01 * t + 2, (s, taken[s], t)
+    again = mixing.mix_sources(docs_of(spark, rows).repartition(7)).collect()
+    assert {r.doc_id: r.mix.copies for r in again} == {r.doc_id: r.mix.copies for r in got}
+
+
+def test_mix_edges(spark):
+    assert mixing.mix_sources(docs_of(spark, [])).count() == 0
+    got = mixing.mix_sources(docs_of(spark, EDGES[:3])).collect()
+    assert all(r.mix.size == 0 and r.mix.target == 0 for r in got)
+
+
+# tokens
+
+
+def library():
+    tokenizers = pytest.importorskip("tokenizers")
+    return tokenizers.Tokenizer.from_file(bpe.default_tokenizer())
+
+
+def test_tokens_as_the_library():
+    lib, mine = library(), bpe.Encoder(bpe.Vocabulary.from_file(bpe.default_tokenizer()), 300)
+    rnd = random.Random(2)
+    latin = [chr(c) for c in [*range(32, 127), *range(128, 256), 9, 10, 13, 0, 28]]
+    pool = [*latin, *"日本՘ 　̀😀œŒ", "<|endoftext|>", "'s", " the", "aaaa", "   "]
+    texts = ["", "a" * 3000, " " * 999, "word " * 250_000, "x" * 1_100_000 + " y"] + ["".join(rnd.choice(rnd.choice((pool, latin))) for _ in range(rnd.randrange(50))) for _ in range(1500)]
+    ids, at = mine.encode(texts)
+    for a, b, e, back in zip(at[:-1], at[1:], lib.encode_batch(texts, add_special_tokens=False), mine.vocabulary.decode(ids, at)):
+        assert ids[a:b].tolist() == e.ids
+        assert back == lib.decode(e.ids, skip_special_tokens=False)
+
+
+def test_tokens_edges(spark):
+    got = queries.bpe_digests(docs_of(spark, EDGES), bpe.default_tokenizer()).collect()
+    assert len(got) == len(EDGES)
+    empty = hashlib.sha256(b"").hexdigest()
+    assert [(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got if r.doc_id == 1] == [(0, empty, empty)]
+    assert {r.decoded_sha256 for r in got if r.doc_id == 6} == {hashlib.sha256(EDGES[-1][1].encode()).hexdigest()}
+    assert queries.bpe_digests(docs_of(spark, []), bpe.default_tokenizer()).count() == 0
+
+
+# secrets
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_spans(t):
+    a = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
+    b = [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    c = [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(a + b + c))
+
+
+def test_secrets(spark, tmp_path):
+    key, opaque = "AKIA" + "A1B2C3D4E5F6G7H8", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEYab"
+    texts = [
+        None, "", f"é {key} then {opaque}", f"only {opaque}", "password = secret: abcdefgh1", 'PASSWORD="hunter2hunter2" token:abc', "x" * 10 + "0123456789abcdef" * 3, "AKIASHORT", f"{key} {'z ' * 300} {opaque}",
+        f"Ident ABCDEF123456GH and token=abcd at https://host.example.com:8080/x", "api-key: nothing", "secret=" * 50 + "deadbeef00", "ABCDEF123456GH alone https://host.example.com",
+    ]
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, spans string, row int")
+    d.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op9_secret_scan(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i].base_sha256 == hashlib.sha256(base_spans(t or "").encode()).hexdigest(), t
+    assert got[2].spans == "access:2:22,opaque:28:70" and got[3].spans == "" and "opaque" not in got[8].spans
+    assert got[9].spans == "ident:6:20,short:25:35,endpoint:39:68" and got[12].spans == ""
+    assert secret_scan.scan_secrets(d.limit(0)).count() == 0
+
+
+# repeated passages
+
+
+def test_repeats(spark):
+    passage = "Alpha beta gamma delta epsilon zeta. Eta theta iota kappa lambda mu nu xi. " * 1 + "Omicron pi rho sigma tau upsilon phi chi psi omega one two. Three four five six seven eight nine ten eleven twelve."
+    rows = [(1, f"first words here {passage} more words follow", "a"), (2, f"other\nlines and {passage} quite another end", "a"), (3, "Clean text of its own. It has a few short sentences only.", "a"), (4, None, "a"), (5, "", "a"), (6, "All rights reserved by the owner.\nnew", "a"), (7, "All rights reserved by the owner.\nold", "a")]
+    got = substring_dedup.repeated_spans(docs_of(spark, rows)).collect()
+    assert [(r.doc_id, r.first_doc_id) for r in got] == [(2, 1)]
+    text = rows[1][1]
+    assert text[got[0].start : got[0].end] == passage and got[0].n_words == len(passage.split())
+    clean = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs_of(spark, rows)).collect()}
+    assert clean[2] == text.replace(passage, "") and clean[1] == rows[0][1] and clean[4] == "" and len(clean) == 7
+    assert substring_dedup.repeated_spans(docs_of(spark, [])).count() == 0
+
+
+def test_repeats_of_copies(spark):
+    text = "Some words that make a sentence of ten words here. " * 5
+    got = substring_dedup.repeated_spans(docs_of(spark, [(9, text, "a"), (9, text, "a"), (None, text, "a")])).collect()
+    assert all(r.first_doc_id == 9 for r in got) and {r.doc_id for r in got} == {9, None}
+
+
+# the pipeline
+
+
+def test_pipeline(spark):
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality", "exact copies", "near copies", "mixture", "tokens"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialize(stage(spark, docs, SF), "test")
+        rows[name] = docs.collect()
+        if name != "tokens":
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    texts = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text) for r in rows["exact copies"]]
+    assert len(set(texts)) == len(texts) and set(texts) == {re.sub(r"[\x20\x09-\x0D]+", " ", r.text) for r in rows["quality"]}
+    want = brute_components([r.doc_id for r in rows["exact copies"]], [brute_print(r.text) for r in rows["exact copies"]])
+    assert {r.doc_id for r in rows["near copies"]} == {i for i, c in want.items() if i == c}
+    copies = collections.Counter(r.doc_id for r in rows["mixture"])
+    assert max(copies.values()) <= 2 and set(copies) <= {r.doc_id for r in rows["near copies"]}
+    lib = library()
+    ids = {r.doc_id: lib.encode(r.text, add_special_tokens=False).ids for r in rows["mixture"]}
+    assert collections.Counter(r.doc_id for r in rows["tokens"]) == copies
+    assert all(r.n_tokens == len(ids[r.doc_id]) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids[r.doc_id])).encode()).hexdigest() for r in rows["tokens"])
+
+
+def test_pipeline_edges(spark):
+    for name, stage in corpus_pipeline.STAGES:
+        d = docs_of(spark, EDGES[:7], extra=False)
+        assert stage(spark, d, SF).count() >= 0, name
+        assert stage(spark, d.limit(0), SF).count() == 0, name
