@@ -6,7 +6,7 @@ from docquill import registry
 
 
 def _load() -> None:
-    from docquill.plans import access, aggregates, order, scalars, text, vectors  # noqa: F401
+    from docquill.plans import access, aggregates, order, prompts, scalars, text, vectors  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
