@@ -6,6 +6,8 @@ scored where they are, and only the best of each task are shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ LEVELS = {"danish": (("excellent", 0.70), ("good", 0.55), ("acceptable", 0.35)),
 MINIMUM = {"danish": 0.20, "english": 0.25}
 
 
+def best_first() -> list[Column]:
+    """An ascending order by similarity from the highest, then by chunk."""
+    return [-F.col("similarity"), F.col("chunk_id")]
+
+
 def quality_category(similarity: Column, language: str = "english") -> Column:
     level = F.lit("poor")
     for name, least in reversed(LEVELS[language]):
@@ -33,10 +40,16 @@ def above_minimum(hits: DataFrame, language: str) -> DataFrame:
 
 
 def score(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each chunk with each query (query_id, query): similarity, rounded to six digits so that ties are ties everywhere."""
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    paired = chunks.crossJoin(F.broadcast(queries)) if few else chunks.join(queries)
-    return paired.withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("query")), 6)).drop("embedding", "query")
+    """Each chunk with each query (query_id, query): similarity, rounded to six digits so that ties are ties everywhere.
+
+    Up to ``BROADCAST_QUERIES`` queries go to all tasks at once; more go in blocks of about that size.
+    """
+    many = queries.count()
+    blocks = -(-many // BROADCAST_QUERIES) or 1
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    paired = [chunks.crossJoin(F.broadcast(queries.where(block == i) if blocks > 1 else queries)) for i in range(blocks)]
+    whole = reduce(DataFrame.unionByName, paired)
+    return whole.withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("query")), 6)).drop("embedding", "query")
 
 
 def nearest(chunks: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
@@ -54,9 +67,10 @@ def nearest_of_each(scored: DataFrame, k: int = PER_QUERY, least: float | None =
 
 
 def first_of_prefix(hits: DataFrame, length: int, order: list[Column], within: list[str] | None = None) -> DataFrame:
-    """Of hits whose content begins alike, the first in ``order``."""
-    window = Window.partitionBy(*(within or []), F.substring(F.coalesce("content", F.lit("")), 1, length)).orderBy(*order)
-    return hits.withColumn("__n", F.row_number().over(window)).where("__n = 1").drop("__n")
+    """Of hits whose content begins alike, the one with the smallest ``order``; an aggregate, so copies are reduced in each task."""
+    prefix = F.substring(F.coalesce("content", F.lit("")), 1, length).alias("__prefix")
+    first = F.min_by(F.struct(*hits.columns), F.struct(*order))
+    return hits.groupBy(*(within or []), prefix).agg(first.alias("__first")).select("__first.*")
 
 
 def best_of_chunk(hits: DataFrame) -> DataFrame:
@@ -75,8 +89,7 @@ def search(chunks: DataFrame, queries: DataFrame, allowed: DataFrame | None = No
         hits = hits.join(ids, "doc_id", "left_semi")
         if hits.isEmpty():
             hits = nearest(chunks.join(ids, "doc_id", "left_semi"), queries, k)
-    order = [F.desc("similarity"), F.asc("chunk_id")]
-    return first_of_prefix(hits, 100, order).orderBy(*order).limit(k)
+    return first_of_prefix(hits, 100, best_first()).orderBy(F.desc("similarity"), "chunk_id").limit(k)
 
 
 def ranked_similarity(similarity: Column, rank: Column) -> Column:

@@ -179,7 +179,9 @@ LATEST = "latest AS (SELECT user_id, run_id, created FROM (SELECT *, row_number(
 
 
 def latest_runs(r):
-    return r.where("status = 'completed'").withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created"), "run_id"))).where("rn = 1")
+    """The newest completed run of each user, by an aggregate that is partial before the shuffle."""
+    newest = F.max_by(F.struct(*r.columns), F.struct("created", -F.col("run_id")))
+    return r.where("status = 'completed'").groupBy("user_id").agg(newest.alias("r")).select("r.*")
 
 
 @query("latest_per_project", f"WITH {RUNS}, {LATEST} SELECT user_id, run_id FROM latest")

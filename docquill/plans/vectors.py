@@ -167,7 +167,7 @@ PAGE = "(SELECT *, row_number() OVER (PARTITION BY substr(coalesce(content, ''),
 @query("topk_per_page", f"WITH {CHUNKS}, {EIGHT}, {SCORED}, {TOP_EACH} SELECT chunk_id, similarity FROM {PAGE} WHERE n = 1 ORDER BY similarity DESC, chunk_id LIMIT 15")
 def topk_per_page(spark, sf_dir):
     """The queries of a wiki page: the earliest query's hit of a prefix stays, then the best 15."""
-    first = R.first_of_prefix(hits_of_each(spark, sf_dir), 100, [F.asc("query_id"), F.asc("rank")])
+    first = R.first_of_prefix(hits_of_each(spark, sf_dir), 100, [F.col("query_id"), F.col("rank")])
     return first.orderBy(F.desc("similarity"), "chunk_id").limit(15).select("chunk_id", "similarity")
 
 
@@ -189,7 +189,7 @@ OVERVIEW = f"""{CHUNKS}, {EIGHT}, {SCORED}, f AS (SELECT *, row_number() OVER (P
 def overview_hits(spark, sf_dir):
     """Per query: dedup by 200 characters first, then the threshold, then ten."""
     scored = R.score(chunks(spark, sf_dir), queries_of(spark, sf_dir, 8))
-    first = R.first_of_prefix(scored, 200, [F.desc("similarity"), F.asc("chunk_id")], ["query_id"])
+    first = R.first_of_prefix(scored, 200, R.best_first(), ["query_id"])
     return R.nearest_of_each(first)
 
 

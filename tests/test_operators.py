@@ -135,7 +135,7 @@ def test_split_text():
 
 def test_prefix_dedup_keeps_best(spark):
     h = spark.createDataFrame([(1, "x" * 100 + "a", 0.9), (2, "x" * 100 + "b", 0.8)], "chunk_id long, content string, similarity double")
-    assert [r.chunk_id for r in retrieval.first_of_prefix(h, 100, [F.desc("similarity")]).collect()] == [1]
+    assert [r.chunk_id for r in retrieval.first_of_prefix(h, 100, retrieval.best_first()).collect()] == [1]
 
 
 def test_empty_allowed_means_no_rows(spark):
