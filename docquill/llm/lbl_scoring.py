@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,10 @@ from docquill.scratch import materialize
 #: Classes but for end and other; length of the vectors; words of the context; words whose counts tasks hold.
 CLASSES, DIMENSIONS, CONTEXT, HEAD_WORDS = 1000, 16, 2, 50_000
 #: Training: positions in a step, noise tokens in a step, step size.
-STEP, NOISE, RATE = 4096, 64, 0.05
+STEP, NOISE, RATE = 8192, 64, 0.05
+
+#: Contexts whose sums a scoring task keeps.
+KEPT_CONTEXTS = 1 << 22
 
 #: The end of a text as a token; no word is empty.
 END = b""
@@ -48,6 +52,7 @@ class Model:
 
     def __init__(self, vectors: np.ndarray, bias: np.ndarray, place: np.ndarray) -> None:
         self.vectors, self.bias, self.place = (x.astype(np.float32) for x in (vectors, bias, place))
+        self.norms: np.ndarray | None = None
 
     @classmethod
     def start(cls, shares: np.ndarray, dimensions: int = DIMENSIONS, context: int = CONTEXT, seed: int = 7) -> Model:
@@ -62,53 +67,73 @@ class Model:
     def of_rows(cls, rows: np.ndarray, context: int = CONTEXT) -> Model:
         return cls(rows[:-context, :-1], rows[:-context, -1], rows[-context:, :-1])
 
-    def log10_probabilities(self, contexts: np.ndarray, tokens: np.ndarray, block: int = 2048) -> np.ndarray:
-        """log10 of the normalised probability of each token after its context (a row of classes)."""
+    def _log_norms(self, codes: np.ndarray, context: int, block: int = 1024) -> np.ndarray:
+        """Of the contexts' codes (numbers in base of the classes, the nearest token last), the logarithm of the sum that normalises."""
         base = len(self.bias)
-        code = contexts @ (base ** np.arange(contexts.shape[1]))
-        distinct, at = np.unique(code, return_inverse=True)
-        parts = np.stack([distinct // base**i % base for i in range(contexts.shape[1])], axis=1)
+        parts = np.stack([codes // base**i % base for i in range(context)], axis=1)
         wanted = (self.vectors[parts] * self.place).sum(axis=1)
-        norm = np.empty(len(distinct), np.float32)
-        for i in range(0, len(distinct), block):
-            scores = wanted[i : i + block] @ self.vectors.T + self.bias
-            most = scores.max(axis=1, keepdims=True)
-            norm[i : i + block] = np.log(np.exp(scores - most).sum(axis=1)) + most[:, 0]
-        score = np.einsum("ij,ij->i", wanted[at], self.vectors[tokens]) + self.bias[tokens]
-        return (score - norm[at]).astype(np.float64) / math.log(10)
+        bound = np.linalg.norm(wanted, axis=1).max(initial=0) * np.linalg.norm(self.vectors, axis=1).max() + np.abs(self.bias).max()
+        rows = np.ascontiguousarray(np.column_stack([self.vectors, self.bias]).T)
+        wanted = np.column_stack([wanted, np.ones(len(wanted), np.float32)])
+        norms = np.empty(len(codes), np.float32)
+        for i in range(0, len(codes), block):
+            scores = wanted[i : i + block] @ rows
+            most = 0.0 if bound < 60 else scores.max(axis=1, keepdims=True)  # float32 holds exp(60)
+            if bound >= 60:
+                scores -= most
+            norms[i : i + block] = np.log(np.exp(scores, out=scores).sum(axis=1)) + (most if bound < 60 else most[:, 0])
+        return norms
+
+    def log10_probabilities(self, contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """log10 of the normalised probability of each token after its context (a row of classes)."""
+        base, context = len(self.bias), contexts.shape[1]
+        code = contexts @ (base ** np.arange(context))
+        if base**context <= KEPT_CONTEXTS:  # each context's sum is worked out once
+            if self.norms is None:
+                self.norms = np.full(base**context, np.nan, np.float32)
+            new = np.unique(code[np.isnan(self.norms[code])])
+            self.norms[new] = self._log_norms(new, context)
+            norm = self.norms[code]
+        else:
+            distinct, at = np.unique(code, return_inverse=True)
+            norm = self._log_norms(distinct, context)[at]
+        wanted = self.vectors[contexts[:, 0]] * self.place[0]
+        for k in range(1, context):
+            wanted += self.vectors[contexts[:, k]] * self.place[k]
+        score = np.einsum("ij,ij->i", wanted, self.vectors[tokens]) + self.bias[tokens]
+        return (score - norm).astype(np.float64) / math.log(10)
 
     def train(self, contexts: np.ndarray, tokens: np.ndarray, shares: np.ndarray, rng: np.random.Generator, rate: float = RATE) -> None:
         """One pass of noise-contrastive estimation; noise is drawn from ``shares`` and used by a whole step."""
         log_noise = np.log(shares * NOISE).astype(np.float32)
         bounds = np.cumsum(shares)
+        kind = np.int16 if len(shares) < 1 << 15 else np.int64  # short numbers are sorted faster
         for i in range(0, len(tokens), STEP):
             c, w = contexts[i : i + STEP], tokens[i : i + STEP]
             noise = np.minimum(np.searchsorted(bounds, rng.random(NOISE)), len(shares) - 1)
-            seen = self.vectors[c]
-            wanted = (seen * self.place).sum(axis=1)
-            true = np.einsum("ij,ij->i", wanted, self.vectors[w]) + self.bias[w] - log_noise[w]
-            false = wanted @ self.vectors[noise].T + self.bias[noise] - log_noise[noise]
+            seen = [self.vectors[c[:, k]] for k in range(c.shape[1])]
+            wanted = sum(s * p for s, p in zip(seen, self.place, strict=True))
+            aims, others = self.vectors[w], self.vectors[noise]
+            true = np.einsum("ij,ij->i", wanted, aims) + self.bias[w] - log_noise[w]
+            false = wanted @ others.T + (self.bias[noise] - log_noise[noise])
             up = 1 / (1 + np.exp(np.clip(true, -30, 30)))  # of the data: to be raised
             down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))  # of the noise: to be lowered
-            d_wanted = up[:, None] * self.vectors[w] + down @ self.vectors[noise]
-            d_place = np.einsum("ij,ikj->kj", d_wanted, seen) / len(w)
+            d_wanted = up[:, None] * aims + down @ others
+            # the gradients of all vectors that occur, summed by class
+            where = np.concatenate([w, *c.T]).astype(kind)
+            what = np.concatenate([up[:, None] * wanted, *[d_wanted * p for p in self.place]])
+            order = np.argsort(where, kind="stable")
+            where = where[order]
+            cut = np.flatnonzero(np.diff(where, prepend=-1))
             sums = np.zeros_like(self.vectors)
-            counts = np.zeros(len(self.bias), np.float32)
-            order = np.argsort(w, kind="stable")
-            cut = np.flatnonzero(np.diff(w[order], prepend=-1))
-            sums[w[order[cut]]] += np.add.reduceat(up[order, None] * wanted[order], cut)
-            counts += np.bincount(w, minlength=len(counts))
-            d_bias = np.bincount(w, up, len(self.bias)) + np.bincount(noise, down.sum(axis=0), len(self.bias))
+            sums[where[cut]] = np.add.reduceat(what[order], cut)
             np.add.at(sums, noise, down.T @ wanted)
-            for k in range(c.shape[1]):
-                order = np.argsort(c[:, k], kind="stable")
-                cut = np.flatnonzero(np.diff(c[order, k], prepend=-1))
-                sums[c[order[cut], k]] += np.add.reduceat((d_wanted * self.place[k])[order], cut)
-                counts += np.bincount(c[:, k], minlength=len(counts))
-            scale = rate / np.sqrt(np.maximum(counts, NOISE / 4))  # frequent classes take shorter steps
+            counts = np.bincount(where, minlength=len(self.bias))
+            d_bias = np.bincount(w, up, len(self.bias)) + np.bincount(noise, down.sum(axis=0), len(self.bias))
+            scale = (rate / np.sqrt(np.maximum(counts, NOISE / 4))).astype(np.float32)  # frequent classes take shorter steps
             self.vectors += scale[:, None] * np.clip(sums, -50, 50)
-            self.bias += 0.1 * scale * d_bias
-            self.place += rate * d_place
+            self.bias += (0.1 * scale * d_bias).astype(np.float32)
+            self.place += rate / len(w) * np.stack([np.einsum("ij,ij->j", d_wanted, s) for s in seen])
 
 
 class Lexicon:
@@ -131,7 +156,7 @@ class Lexicon:
         """The text's tokens as places in ``counts``, the end last; and its words."""
         words = words_of(text)
         get, unknown = self.index.get, len(self.counts) - 1
-        return np.fromiter((get(w, unknown) for w in words), np.int64, len(words)), words
+        return np.fromiter(map(get, words, repeat(unknown)), np.int64, len(words)), words
 
     def contexts(self, codes: list[np.ndarray], context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
         """Contexts and classes of all tokens of some texts; before its first token a text has ends."""
