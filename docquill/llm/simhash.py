@@ -114,7 +114,6 @@ def _levels(prints: np.ndarray, first: np.ndarray, bounds: np.ndarray, fan: int
     """
     starts = np.concatenate([np.arange(a, b, fan) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]) if len(bounds) > 1 else np.zeros(0, np.int64)
     levels, lows, highs, begin = [], prints, prints, starts
-    span = np.append(starts, len(prints))
     owner = np.searchsorted(bounds, starts, "right") - 1
     while True:
         low, high = np.bitwise_and.reduceat(lows, begin), np.bitwise_or.reduceat(highs, begin)
@@ -125,7 +124,6 @@ def _levels(prints: np.ndarray, first: np.ndarray, bounds: np.ndarray, fan: int
             break
         begin = np.concatenate([np.arange(a, b, fan) for a, b in zip(edges[:-1], edges[1:], strict=True)])
         lows, highs, owner = low, high, owner[begin]
-    del span
     above = first[owner]
     for level in reversed(levels):  # what the parent shares is not tested again
         level[3] &= ~above
@@ -146,7 +144,6 @@ def link_prints(prints: np.ndarray, node: np.ndarray, masks: np.ndarray, distanc
     if len(bounds) - 1 == n:
         return forest.parent
     levels = _levels(prints, masks[bounds[:-1]], bounds)
-    top = levels[-1]
     sizes = np.diff(bounds)
     roots = np.repeat(np.arange(len(sizes)), sizes)  # the top level has one lower node for each upper node
     queries = np.flatnonzero(sizes[roots] > 1)
@@ -175,7 +172,6 @@ def link_prints(prints: np.ndarray, node: np.ndarray, masks: np.ndarray, distanc
             q, child = q[later], child[later]
             link = np.bitwise_count(prints[q] ^ prints[child]) <= distance
             forest.add(q[link], child[link])
-    del top
     return forest.roots(np.arange(n))
 
 
@@ -260,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, with all their columns.
 
-    Rows that share id and fingerprint are one document and give one row. Rows
+    Rows that share an id are one document and give one row. Rows
     with a null id are kept.
     """
     judged = near_duplicates(docs, id_col, text_col, distance)
