@@ -13,10 +13,12 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
@@ -26,8 +28,8 @@ from docquill.llm.common import id_and_text
 #: The split before merges that the published byte-level vocabularies were made with (a fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Words that a task keeps; characters that are split at a time; ids in an Arrow batch.
-KEPT_WORDS, PIECE_CHARS, BATCH_IDS = 200_000, 1 << 20, 2_000_000
+#: Words that a task keeps; characters that are split at a time; bytes of text, or ids, that are coded at a time.
+KEPT_WORDS, PIECE_CHARS, BATCH_IDS = 100_000, 1 << 20, 500_000
 
 
 def byte_letters() -> list[str]:
@@ -138,12 +140,17 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, kept_words: int = KEPT_WORDS) -> None:
         self.vocabulary, self.kept_words = vocabulary, kept_words
-        self.split, self.latin_split, self.free = regex.compile(SPLIT), re.compile(LATIN_SPLIT), unassigned()
+        self.split, self.latin_split = regex.compile(SPLIT), re.compile(LATIN_SPLIT)
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.safe_cut = re.compile(r"(?<=[0-9A-Za-z])\x20(?=[0-9A-Za-z])")
         self._forget()
 
+    @cached_property
+    def free(self) -> re.Pattern:
+        """Needed only for texts beyond Latin-1."""
+        return unassigned()
+
     def _forget(self) -> None:
         """Start with the special tokens only; no other word is spelt like one, as texts are cut at them."""
         self.index = {t: i for i, t in enumerate(self.vocabulary.special)}
@@ -206,52 +213,50 @@ def _slices(sizes: np.ndarray, most: int) -> Iterator[slice]:
         yield from (slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """One row per input row: doc_id and ``ids``, as the vocabulary file ``tokenizer`` encodes the text.
 
-    The file is read on the driver. Special tokens that stand in a text are one
-    id; none is added. Null text counts as empty and has no ids; rows that repeat
-    are encoded each; other columns are not looked at.
+    The file is read on the driver; tasks get its tables. Special tokens that
+    stand in a text are one id; none is added. With ``decode`` the ids are
+    decoded again where they were made, as ``text``. Null text counts as empty
+    and has no ids; rows that repeat are encoded each; other columns are not
+    looked at.
     """
     read = id_and_text(docs, id_col, text_col)
-    shared = read.sparkSession.sparkContext.broadcast(_content(tokenizer))  # a vocabulary file, some MB
+    shared = read.sparkSession.sparkContext.broadcast(Vocabulary.from_file(tokenizer))  # tables of some MB
 
     def run(batches):
-        encoder = Encoder(Vocabulary(shared.value))
+        encoder = Encoder(shared.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for part in _slices(np.array([len(t) for t in texts]), BATCH_IDS):
-                ids, offsets = encoder.encode(texts[part])
+            for part in _slices(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), BATCH_IDS):
+                ids, offsets = encoder.encode(batch.column("text")[part].to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], lists], ["doc_id", "ids"])
+                columns = [batch.column("doc_id")[part], lists]
+                if decode:
+                    columns.append(pa.array(shared.value.decode(ids, offsets), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][: len(columns)])
 
-    return read.mapInArrow(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return read.mapInArrow(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, ids array<int>{', text string' * decode}")
 
 
 def decode_texts(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """``encoded`` (doc_id, ids) with ``text``: the decoded ids, special tokens included. Null ids count as none."""
-    shared = encoded.sparkSession.sparkContext.broadcast(_content(tokenizer))
+    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.from_file(tokenizer))
     kind = encoded.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
 
     def run(batches):
-        vocabulary = Vocabulary(shared.value)
         for batch in batches:
             lists = batch.column("ids").fill_null([])
             for part in _slices(lists.value_lengths().to_numpy(zero_copy_only=False), BATCH_IDS):
                 some = lists[part]
                 offsets = some.offsets.to_numpy()
-                texts = vocabulary.decode(some.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0])
+                texts = shared.value.decode(some.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part].cast(id_type), batch.column("ids")[part], pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind.simpleString()}, ids array<int>, text string")
 
 
-def _content(path: str) -> str:
-    with open(path, encoding="utf-8") as f:
-        return f.read()
-
-
 def default_tokenizer() -> str:
     """The installed byte-level vocabulary of 50,257 ids."""
     import public_tokenizers

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docquill.llm.bpe import decode_texts, default_tokenizer, encode_texts
+from docquill.llm.bpe import default_tokenizer, encode_texts
 from docquill.llm.chroma import align_recordings, melody
 from docquill.llm.common import remainder, table, text_of
 from docquill.llm.exact_dedup import exact_duplicates
@@ -58,7 +58,7 @@ def op8_bpe_roundtrip(spark, sf_dir):
 
 
 def bpe_digests(docs, tokenizer):
-    coded = decode_texts(encode_texts(docs, tokenizer), tokenizer)
+    coded = encode_texts(docs, tokenizer, decode=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
