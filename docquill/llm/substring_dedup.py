@@ -1,16 +1,19 @@
-"""Substring deduplication by hashing lines and the sentences in them.
+"""Substring deduplication by hashing lines and the units in them.
 
 Whole lines find passages that stand on lines of their own, but not a passage
-inside a longer line. A unit is therefore a stretch of a line that begins after
-the end of a sentence or at a capitalised word after one that is not
-capitalised. These places depend on two words only, so a passage that is copied
-into another text is cut up alike in both.
-
-Units are normalised and hashed, digests are grouped globally, and of each group
-the occurrence with the smallest rank (id, row, place) stays. In every document
-the other occurrences that follow each other form runs; a run is removed if it
-has ``min_words`` words or more, so that a common phrase alone takes nothing out
-of a clean document. Offsets refer to the original text.
+inside a longer line. A line is therefore cut into units: at the end of a
+sentence, at a capitalised word after one that is not, and, so that text without
+sentences is cut too, between words whose letters meet a rule that holds at one
+place in sixteen. These places depend on two words only, so a passage that is
+copied into another text is cut up alike in both.
+
+From the beginning of each unit a stretch of whole units goes on until it has
+``unit_words`` words. Stretches are
+normalised and hashed, digests are grouped globally, and of each group the
+occurrence with the smallest rank (id, row, place) stays. In every document the
+other occurrences that follow each other form runs; a run is removed if it has
+``run_words`` words or more, so that a common phrase alone takes nothing out of a
+clean document. Offsets refer to the original text.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 from docquill.llm.common import id_and_text
 from docquill.scratch import materialize
 
-#: Words of a unit that is looked up, and of a run that is removed.
-UNIT_WORDS, RUN_WORDS = 5, 30
+#: Words of a stretch that is looked up, and of a run that is removed.
+UNIT_WORDS, RUN_WORDS = 5, 40
 
 #: Rows of an Arrow batch of units.
 BATCH_UNITS = 50_000
@@ -36,27 +39,40 @@ BATCH_UNITS = 50_000
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+|\n")
 
 
-def units(text: str) -> Iterator[tuple[int, int, int, int, str]]:
-    """(start, end, number of the first word, number of words, normalised text) of each unit, in order."""
+def _begins(before: str, word: str) -> bool:
+    """Whether a unit begins between two words of a line."""
+    if before[-1] in ".!?" and before[-2:-1].isalnum():
+        return True
+    if word[0].isupper() and not before[0].isupper():
+        return True
+    return (ord(word[0]) * 31 + ord(word[-1]) * 17 + len(word) * 7 + ord(before[-1]) * 13 + len(before) * 5) % 16 == 0
+
+
+def units(text: str, least: int = UNIT_WORDS) -> Iterator[tuple[int, int, int, int, str]]:
+    """(start, end, number of the first word, number of words, normalised text) of the stretch that begins with each unit, in order."""
     words: list[str] = []
-    start = end = first = number = 0
-    after_end, capital = True, False
+    starts: list[int] = []
+    begins: list[int] = []
+    new_line = True
     for m in _TOKEN.finditer(text):
         word = m[0]
         if word == "\n":
-            after_end = True
+            new_line = True
             continue
-        capitalised = word[0].isupper()
-        if words and (after_end or (capitalised and not capital)):
-            yield start, end, first, len(words), " ".join(words).lower()
-            words = []
-        if not words:
-            start, first = m.start(), number
+        if new_line or _begins(words[-1], word):
+            begins.append(len(words))
         words.append(word)
-        end, number = m.end(), number + 1
-        after_end, capital = word[-1] in ".!?", capitalised
-    if words:
-        yield start, end, first, len(words), " ".join(words).lower()
+        starts.append(m.start())
+        new_line = False
+    begins.append(len(words))
+    j = 0
+    for i, first in enumerate(begins[:-1]):
+        j = max(j, i + 1)
+        while begins[j] - first < least and j < len(begins) - 1:
+            j += 1
+        stop = begins[j]
+        if stop - first >= least:
+            yield starts[first], starts[stop - 1] + len(words[stop - 1]), first, stop - first, " ".join(words[first:stop]).lower()
 
 
 def _unit_batches(least: int):
@@ -73,12 +89,11 @@ def _unit_batches(least: int):
             id_type = batch.column("doc_id").type
             for doc, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), strict=True):
                 k = 0
-                for start, end, first, n, line in units(text.as_py()):
-                    if n >= least:
-                        digest = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
-                        ids.append(doc)
-                        rows.append((row, k, start, end, first, n, (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)))
-                        k += 1
+                for start, end, first, n, line in units(text.as_py(), least):
+                    digest = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
+                    ids.append(doc)
+                    rows.append((row, k, start, end, first, n, (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)))
+                    k += 1
                 if len(rows) >= BATCH_UNITS:
                     yield flush()
                     ids, rows = [], []

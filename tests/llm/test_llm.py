@@ -295,6 +295,13 @@ def test_tokens_as_the_library():
         assert back == lib.decode(e.ids, skip_special_tokens=False)
 
 
+def test_decode_alone(spark):
+    path = bpe.default_tokenizer()
+    ids = bpe.encode_texts(docs_of(spark, EDGES), path).unionByName(spark.createDataFrame([(99, None)], "doc_id long, ids array<int>"))
+    got = {r.doc_id: r.text for r in bpe.decode_texts(ids, path).collect()}
+    assert got == {i: t or "" for i, t, _ in EDGES} | {99: ""}
+
+
 def test_tokens_edges(spark):
     got = queries.bpe_digests(docs_of(spark, EDGES), bpe.default_tokenizer()).collect()
     assert len(got) == len(EDGES)
@@ -337,7 +344,7 @@ def test_secrets(spark, tmp_path):
 
 
 def test_repeats(spark):
-    passage = "Alpha beta gamma delta epsilon zeta. Eta theta iota kappa lambda mu nu xi. " * 1 + "Omicron pi rho sigma tau upsilon phi chi psi omega one two. Three four five six seven eight nine ten eleven twelve."
+    passage = "Alpha beta gamma delta epsilon zeta. Eta theta iota kappa lambda mu nu xi. " * 1 + "Omicron pi rho sigma tau upsilon phi chi psi omega one two. Three four five six seven eight nine ten eleven twelve. Thirteen fourteen fifteen sixteen, seventeen eighteen nineteen twenty and so on to fifty."
     rows = [(1, f"first words here {passage} more words follow", "a"), (2, f"other\nlines and {passage} quite another end", "a"), (3, "Clean text of its own. It has a few short sentences only.", "a"), (4, None, "a"), (5, "", "a"), (6, "All rights reserved by the owner.\nnew", "a"), (7, "All rights reserved by the owner.\nold", "a")]
     got = substring_dedup.repeated_spans(docs_of(spark, rows)).collect()
     assert [(r.doc_id, r.first_doc_id) for r in got] == [(2, 1)]
@@ -349,7 +356,7 @@ def test_repeats(spark):
 
 
 def test_repeats_of_copies(spark):
-    text = "Some words that make a sentence of ten words here. " * 5
+    text = "Some words that make a sentence of ten words here. " * 6
     got = substring_dedup.repeated_spans(docs_of(spark, [(9, text, "a"), (9, text, "a"), (None, text, "a")])).collect()
     assert all(r.first_doc_id == 9 for r in got) and {r.doc_id for r in got} == {9, None}
 
