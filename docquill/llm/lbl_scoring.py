@@ -217,10 +217,23 @@ def train_model(docs: DataFrame, lexicon: Lexicon, dimensions: int = DIMENSIONS,
 
 
 def learn_lexicon(counts: DataFrame, ends: int, head_words: int = HEAD_WORDS, classes: int = CLASSES) -> Lexicon:
-    """From (word, n) of the training documents and their number: counts of the ``head_words`` most frequent words, ties by the word."""
+    """From (word, n) of the training documents and their number: the counts of at most ``head_words`` frequent words.
+
+    A histogram of the counts' logarithms, of some thousand rows, gives the least
+    count that this many words reach; so no more than ``head_words`` rows come to
+    the driver, however many tasks there are. Words are ordered by count, ties by
+    the word.
+    """
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = counts.orderBy(F.desc("n"), "word").limit(head_words).collect()  # bounded by head_words
-    return Lexicon([(bytes(r["word"]), r["n"]) for r in head], total + ends, distinct + (ends > 0), ends, classes)
+    level = F.floor(F.log2("n") * 64)
+    held, least = 0, None
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        if held + row["count"] > head_words:
+            break
+        held, least = held + row["count"], row["level"]
+    head = counts.where(level >= least).collect() if held else []
+    words = sorted(((bytes(r["word"]), r["n"]) for r in head), key=lambda w: (-w[1], w[0]))
+    return Lexicon(words, total + ends, distinct + (ends > 0), ends, classes)
 
 
 _SCORED = "held_out boolean, row long, n_tokens long, head_known long, head_log double, class_log double, rare array<binary>, times array<long>"
