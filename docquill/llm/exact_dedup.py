@@ -80,7 +80,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))).alias("__first"),
         F.count("*").alias("group_size"),
     )
-    grouped = suspects.join(groups, "text_sha256").select("doc_id", F.col("__first.id").alias("keep_id"), "group_size", (F.col("__row") == F.col("__first.row")).alias("kept"), "text_sha256")
+    # written, so that both sides of the join are plain exchanges, and a hot hash can be split
+    grouped = suspects.join(materialize(groups, "groups"), "text_sha256").select("doc_id", F.col("__first.id").alias("keep_id"), "group_size", (F.col("__row") == F.col("__first.row")).alias("kept"), "text_sha256")
     return alone.unionByName(grouped)
 
 
