@@ -44,6 +44,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again, and let Spark drop the shuffle files of plans that are done."""
+    jvm = spark._jvm
+    for files in (df.inputFiles() for df in tables):
+        if files:
+            path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()  # Spark's cleaner follows the collector
+
+
 def clear(root: str) -> None:
     """Delete the tables below ``root``; runs by itself when Python ends."""
     spark = _ROOTS.pop(root, None)

@@ -361,6 +361,22 @@ def test_repeats_of_copies(spark):
     assert all(r.first_doc_id == 9 for r in got) and {r.doc_id for r in got} == {9, None}
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "अआइईउऊएऐकखगघचछजझटठडढतथ", "ابتثجحخدذرزسشصضطظعغفقكلم"])
+@pytest.mark.parametrize("joined", [" ", "\n"])
+def test_repeats_without_sentences(spark, letters, joined):
+    rng = random.Random(1)
+    new = lambda n: [f"{''.join(rng.choices(letters, k=7))}" for _ in range(n)]
+    passages = [new(n) for n in range(51, 61) for _ in range(5)]
+    firsts = [(i, " ".join(new(30) + p + new(30)), "a") for i, p in enumerate(passages)]
+    copies = [(1000 + i, " ".join(new(20 + i)) + " " + joined.join(p) + " " + " ".join(new(20)), "a") for i, p in enumerate(passages)]
+    got = {r.doc_id: r for r in substring_dedup.repeated_spans(docs_of(spark, firsts + copies)).collect()}
+    assert set(got) == {i for i, _, _ in copies}  # every passage, up to its true ends
+    for (i, text, _), (first, whole, _), p in zip(copies, firsts, passages, strict=True):
+        r = got[i]
+        assert text[r.start : r.end].split() == p and r.n_words == len(p) and r.first_doc_id == first
+        assert whole[r.first_start :].startswith(" ".join(p))
+
+
 # the pipeline
 
 
