@@ -1,169 +1,128 @@
-"""Substring deduplication by hashing stretches of words that the text's own hashes choose.
-
-Every ``unit_words`` words in a row are a stretch, normalised and hashed. Of each
-window of ``unit_words`` stretches that follow each other the one with the
-smallest hash is looked up. This choice depends on the words of the window only,
-not on sentences, lines, letters or scripts, so a passage that is copied into
-another text is cut up alike in both; chosen stretches meet or overlap, and at
-most ``unit_words - 1`` words at each end of a passage are in none of them.
-
-Digests are grouped globally, and of each group the occurrence with the smallest
-rank (id, row, place) stays. In every document the other occurrences that meet or
-overlap form runs. The ends of a run are then extended word by word, as far as
-the texts of the run and of its first and last stretch's first occurrence agree;
-a run is removed if it has ``run_words`` words or more, so that a common phrase
-alone takes nothing out of a clean document. Offsets refer to the original text.
+"""Substring deduplication by hashing lines, cut at the ends of their sentences.
+
+Whole lines find passages that stand on lines of their own, but not a passage
+inside a longer line. So a line is hashed in pieces that end where a sentence
+does; a piece without such a mark for ``LONG`` words is cut after the words whose
+own hashes say so. All cuts depend on the words next to them and not on what
+comes before, so a passage that is copied into another line is cut up alike.
+
+Pieces are normalised (lower case, one space between words) and hashed, digests
+are grouped globally, and of each group the occurrence with the smallest rank
+(id, row, place) stays. In every document the other occurrences that follow each
+other are a run. A repeated line is a run of all its pieces, a paragraph one of
+all its lines. Runs of ``least_words`` words or more go, with their offsets in the
+original text retained. The default spares a short formula that stands in many
+texts; with one, every repeated line and sentence goes.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docquill.llm.common import WORD, id_and_text
 from docquill.scratch import materialize, release
 
-#: Words of a stretch that is looked up, and of a run that is removed.
-UNIT_WORDS, RUN_WORDS = 5, 40
+#: Words of a run that is removed; words of a piece that is cut by its words' hashes, at one word in ``CUT``.
+LEAST_WORDS, LONG, CUT = 15, 40, 10
 
-#: Rows of an Arrow batch of units; words whose hashes a task keeps.
-BATCH_UNITS, CACHED_WORDS = 50_000, 500_000
+#: Pieces of an Arrow batch.
+BATCH_PIECES = 100_000
 
+#: A piece of a line: up to marks that end a sentence and are followed by white space, or to the end of the line.
+_PIECE = re.compile(r"(?:[^\n.!?…。।؟]|[.!?…。।؟]+(?![\s.!?…。।؟\"'”’)\]]|$)|[.!?…。।؟]+[\"'”’)\]]+(?!\s|$))+(?:[.!?…。।؟]+[\"'”’)\]]*)?|[.!?…。।؟]+[\"'”’)\]]*")
 _WORD = re.compile(WORD)
 
 
-class _Hashes(dict):
-    """The hash of each word in lower case."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
-        return found
-
-
-def units(text: str, least: int = UNIT_WORDS, hashes: _Hashes | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the first word, digest) of the stretches of ``least`` words that are looked up, in order."""
-    words = _WORD.findall(text)
-    m = len(words) - least + 1
-    if m <= 0:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    one = np.fromiter(map((_Hashes() if hashes is None else hashes).__getitem__, words), np.uint64, len(words))
-    h = np.zeros(m, np.uint64)
-    for k in range(least):
-        h = (h ^ one[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    wide = min(least, m)
-    window = np.lib.stride_tricks.sliding_window_view(h, wide)[:, ::-1]
-    first = np.unique(np.arange(len(window)) + wide - 1 - window.argmin(axis=1))
-    return first.astype(np.int32), h[first].view(np.int64)
-
-
-def _unit_batches(least: int):
-    names = ["doc_id", "row", "first", "h"]
+def _cut_long(text: str, start: int, end: int) -> Iterator[tuple[int, int, str, int]]:
+    words: list[str] = []
+    for m in _WORD.finditer(text, start, end):
+        if not words:
+            first = m.start()
+        words.append(m[0].lower())
+        if zlib.crc32(words[-1].encode("utf-8", "surrogatepass")) % CUT == 0 or m.end() == end:
+            yield first, m.end(), " ".join(words), len(words)
+            words = []
+    if words:
+        yield first, end, " ".join(words), len(words)
+
+
+def pieces(text: str) -> Iterator[tuple[int, int, str, int]]:
+    """(start, end, normalised text, number of words) of each piece with a word, in order."""
+    for m in _PIECE.finditer(text):
+        part = m[0]
+        words = part.lower().split()
+        if not words:
+            continue
+        start = m.start() + len(part) - len(part.lstrip())
+        end = m.start() + len(part.rstrip())
+        if len(words) > LONG:
+            yield from _cut_long(text, start, end)
+        else:
+            yield start, end, " ".join(words), len(words)
+
+
+def _piece_batches(id_type: pa.DataType):
+    names = ["doc_id", "row", "k", "start", "end", "words", "h"]
+    kinds = (id_type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+    digest = xxhash.xxh3_64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            n = [len(x[0]) for x in found]
-            at = np.repeat(np.arange(len(found)), n)
-            return pa.RecordBatch.from_arrays([pa.array(ids, id_type).take(pa.array(at)), pa.array(np.array(rows, np.int64)[at]), *[pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]], names)
-
-        ids, rows, found, size = [], [], [], 0
-        id_type, hashes = None, _Hashes()
+        out: list[list] = [[] for _ in names]
         for batch in batches:
-            id_type = batch.column("doc_id").type
-            for doc, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), strict=True):
-                ids.append(doc)
-                rows.append(row)
-                found.append(units(text.as_py(), least, hashes))
-                size += len(found[-1][0])
-                if size >= BATCH_UNITS:
-                    yield flush()
-                    ids, rows, found, size = [], [], [], 0
-        if size:
-            yield flush()
+            for doc, row, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "row")], batch.column("text"), strict=True):
+                found = list(pieces(text.as_py()))
+                out[0] += [doc] * len(found)
+                out[1] += [row] * len(found)
+                out[2] += range(len(found))
+                for column, values in zip(out[3:5], zip(*[(s, e) for s, e, _, _ in found], strict=True), strict=False):
+                    column += values
+                out[5] += [n for _, _, _, n in found]
+                out[6] += [digest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for _, _, t, _ in found]
+                if len(out[0]) >= BATCH_PIECES:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names)
+                    out = [[] for _ in names]
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names)
 
     return run
 
 
-def _around(words: list[str], places: list[tuple[int, int]], first: int, unit_words: int) -> tuple[list[str], list[int], list[str], list[int]]:
-    """Of the stretch at word ``first``: the words before it, the nearest first; its start and theirs; the words after it; its end and theirs."""
-    low, stop = max(0, first - unit_words + 1), first + unit_words
-    before, after = slice(low, first), slice(stop, stop + unit_words - 1)
-    return [w.lower() for w in words[before]][::-1], [p for p, _ in places[low : first + 1]][::-1], [w.lower() for w in words[after]], [p for _, p in places[stop - 1 : after.stop]]
-
-
-def _around_batches(unit_words: int):
-    texts, places = pa.list_(pa.string()), pa.list_(pa.int32())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, row, text, firsts in zip(*[batch.column(c) for c in ("doc_id", "row", "text", "firsts")], strict=True):
-                text, firsts = text.as_py(), firsts.as_py()
-                words, spans = _WORD.findall(text), [m.span() for m in _WORD.finditer(text)]
-                found = list(zip(*[_around(words, spans, f, unit_words) for f in firsts], strict=True))
-                same = [pa.array([x.as_py()] * len(firsts), x.type) for x in (doc, row)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(firsts, pa.int32()), *[pa.array(x, t) for x, t in zip(found, (texts, places, texts, places), strict=True)]], ["doc_id", "row", "first", "before", "starts", "after", "ends"])
-
-    return run
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """One row per removed span: doc_id, row, start, end, n_words, n_units, first_doc_id, first_start.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """One row per removed span: doc_id, row, start, end, n_words, n_pieces, first_doc_id, first_start.
 
     ``start`` and ``end`` are code points of the original text, the end
-    exclusive; the first occurrence is that of the span's first unit, moved to
-    the span's start. The smallest id keeps its text, null ids come last, and rows
-    that share an id are ordered by their place in the table; of rows that repeat
-    all but one lose their spans. Null and empty texts have no units. Other
-    columns are not looked at; an empty table gives an empty result. The table is
-    read twice and must give its rows in the same order.
+    exclusive; the first occurrence is that of the span's first piece. The
+    smallest id keeps its text, null ids come last, and rows that share an id are
+    ordered by their place in the table; of rows that repeat all but one lose
+    their spans, and of a line that repeats in one text all but the first go.
+    Null and empty texts have no pieces; texts of any length are read whole.
+    Other columns are not looked at; an empty table gives an empty result.
     """
     read = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    kind = read.schema["doc_id"].dataType.simpleString()
-    found = materialize(read.mapInArrow(_unit_batches(unit_words), f"doc_id {kind}, row long, first int, h long"), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row").alias("row"), F.col("first").alias("first"))
-    firsts = found.groupBy("h").agg(F.min(rank).alias("origin"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    firsts = materialize(firsts, "repeated")  # so that the join can split a unit that is everywhere
+    kind = read.schema["doc_id"].dataType
+    found = materialize(read.mapInArrow(_piece_batches(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, row long, k int, start int, end int, words int, h long"), "pieces")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row").alias("row"), F.col("k").alias("k"), F.col("start").alias("start"))
+    firsts = found.groupBy("h").agg(F.min(rank).alias("origin"), F.count("*").alias("copies")).where("copies > 1").select("h", "origin")
+    firsts = materialize(firsts, "repeated")  # so that the join can split a piece that is everywhere
     release(docs.sparkSession)
-    again = found.drop("doc_id").join(firsts, "h").where((F.col("row") != F.col("origin.row")) | (F.col("first") != F.col("origin.first")))
-    place = Window.partitionBy("row").orderBy("first")  # the units of one text
-    apart = F.coalesce(F.col("first") > F.lag("first").over(place) + unit_words, F.lit(True)).cast("int")
-    run = again.withColumn("apart", apart).withColumn("run", F.sum("apart").over(place))
-    at = F.struct("first", "origin")
-    runs = run.groupBy("row", "run").agg(
-        F.min_by(at, "first").alias("head"), F.max_by(at, "first").alias("tail"), (F.max("first") - F.min("first") + unit_words).alias("n_words"), F.count("*").alias("n_units"),
-    ).where(F.col("n_words") >= run_words - 2 * (unit_words - 1))
-    runs = materialize(runs, "runs")
-    release(docs.sparkSession, found, firsts)
-    side = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}.first").alias("first"), F.col(f"{s}.origin").alias("origin")) for s in ("head", "tail")])).alias("s")
-    sides = runs.select("row", "run", "n_words", "n_units", side).select("row", "run", "n_words", "n_units", "s.*")
-    wanted = sides.select("row", "first").union(sides.select("origin.row", "origin.first")).distinct()
-    near = read.join(wanted.groupBy("row").agg(F.collect_list("first").alias("firsts")), "row").select("doc_id", "row", "text", "firsts")
-    near = materialize(near.mapInArrow(_around_batches(unit_words), f"doc_id {kind}, row long, first int, before array<string>, starts array<int>, after array<string>, ends array<int>"), "around")
-    there = near.select(F.struct(F.col("row"), F.col("first")).alias("there"), F.col("before").alias("o_before"), F.col("starts").alias("o_starts"), F.col("after").alias("o_after"))
-    both = materialize(sides.join(near, ["row", "first"]), "sides").withColumn("there", F.struct("origin.row", "origin.first")).join(there, "there")
-
-    def agree(x: str, y: str):
-        """How many words from the first on are the same."""
-        same = F.zip_with(x, y, lambda a, b: F.coalesce(a == b, F.lit(False)))
-        return F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size(same)).cast("int")
-
-    head, back, on = F.col("side") == "head", agree("before", "o_before"), agree("after", "o_after")
-    ends = both.withColumn("back", F.when(head, back).otherwise(0)).withColumn("on", F.when(head, 0).otherwise(on))
-    spans = ends.groupBy("doc_id", "row", "run").agg(
-        F.max(F.when(head, F.element_at("starts", F.col("back") + 1))).alias("start"), F.max(F.when(~head, F.element_at("ends", F.col("on") + 1))).alias("end"),
-        (F.max("n_words") + F.sum("back") + F.sum("on")).cast("int").alias("n_words"), F.max("n_units").alias("n_units"),
-        F.max(F.when(head, F.struct(F.col("origin.id").alias("id"), F.element_at("o_starts", F.col("back") + 1).alias("start")))).alias("origin"),
+    again = found.join(firsts, "h").where((F.col("row") != F.col("origin.row")) | (F.col("k") != F.col("origin.k")))
+    run = F.col("k") - F.row_number().over(Window.partitionBy("row").orderBy("k"))  # the pieces of one text
+    spans = again.withColumn("run", run).groupBy("row", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("int").alias("n_words"), F.count("*").cast("int").alias("n_pieces"),
+        F.min_by("origin", "k").alias("origin"),
     )
-    return spans.where(F.col("n_words") >= run_words).select("doc_id", "row", "start", "end", "n_words", "n_units", F.col("origin.id").alias("first_doc_id"), F.col("origin.start").alias("first_start"))
+    spans = materialize(spans.where(F.col("n_words") >= least_words), "spans")
+    release(docs.sparkSession, found, firsts)
+    return spans.select("doc_id", "row", "start", "end", "n_words", "n_pieces", F.col("origin.id").alias("first_doc_id"), F.col("origin.start").alias("first_start"))
 
 
 def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,12 +138,12 @@ def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, the text without its removed spans, and ``removed``: the spans (start, end) in the original text.
 
     Ids must tell rows apart here; cases are treated as in :func:`repeated_spans`.
     """
-    spans = repeated_spans(docs, id_col, text_col, unit_words, run_words).where("doc_id IS NOT NULL")
+    spans = repeated_spans(docs, id_col, text_col, least_words).where("doc_id IS NOT NULL")
     by_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
     none = F.array().cast(by_doc.schema["removed"].dataType)
     read = id_and_text(docs, id_col, text_col).join(by_doc, "doc_id", "left").withColumn("removed", F.coalesce("removed", none))
