@@ -1,16 +1,16 @@
 """Exact deduplication by two-pass Bloom filtering, in DataFrame operations only.
 
 Pass one hashes every normalised text and counts how often each bit of a Bloom
-filter is hit. A bit that is hit twice stays set. Pass two tests each hash
+filter is hit; a bit that is hit twice stays set. Pass two tests each hash
 against the filter, which is broadcast: a hash that misses it is certainly
 unique and passes straight through; the others, and only those, shuffle to be
 grouped exactly. Copies are pre-aggregated in each task, so that one group with
 a third of all rows does not land in one task.
 
-The filter takes ``bits_per_row`` bits a row up to ``max_bits``; this bounds the
-broadcast (``max_bits / 64`` masks of 8 bytes). Beyond ``max_bits /
-bits_per_row`` rows the filter gets denser, more unique hashes are grouped for
-nothing, and the result is still exact.
+A filter is bounded by ``max_bits``. Where that leaves less than ``LEAST_BITS``
+bits a row, the hashes are divided by range into as many parts as it takes, each
+with a filter of its own that is tested on its part only; so the share of unique
+rows that pass straight through does not fall as the table grows.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquill.llm.bloom import BITS_PER_ROW, MAX_BITS, build_filter, filter_words, test_filter
 from docquill.llm.common import SPACE, id_and_text, text_of
-from docquill.scratch import materialize
+from docquill.scratch import materialize, release
 
-BITS_PER_ROW = 16
-MAX_BITS = 1 << 28
+#: Least bits of a filter for each row of its part: with two, nine unique rows of ten pass.
+LEAST_BITS = 2
 
 
 def text_sha256(text: Column) -> Column:
@@ -30,36 +31,30 @@ def text_sha256(text: Column) -> Column:
     return F.sha2(F.regexp_replace(text, SPACE, " ").cast("binary"), 256)
 
 
-def _filter_words(rows: int, bits_per_row: int, max_bits: int) -> int:
-    bits = 1 << 16
-    while bits < rows * bits_per_row and bits < max_bits:
-        bits *= 2
-    return bits // 64
+def _tested(digests: DataFrame, bits_per_row: int, max_bits: int) -> DataFrame:
+    """``digests`` (with ``h``) with ``maybe``: whether another row may have the same hash."""
+    rows = digests.count()
+    parts = -(-rows * LEAST_BITS // max_bits) or 1
+    words = filter_words(-(-rows // parts), bits_per_row, max_bits)
+    if parts == 1:
+        return test_filter(digests, "h", build_filter(digests, "h", words, least=2), words, "maybe")
+    dealt = materialize(digests.withColumn("part", F.pmod(F.shiftrightunsigned("h", 54), F.lit(parts)).cast("int")), "digest-parts", by="part")
+    tested = None
+    for p in range(parts):  # each part is read from its own folder and has its own filter
+        part = dealt.where(F.col("part") == p).drop("part")
+        one = test_filter(part, "h", materialize(build_filter(part, "h", words, least=2), "filter"), words, "maybe")
+        tested = one if tested is None else tested.unionByName(one)
+    return tested
 
 
-def _with_bits(df: DataFrame, sha: str, words: int) -> DataFrame:
-    """The word of the filter that a hash belongs to, and its two bits in it."""
-    h = F.xxhash64(F.col(sha))
-    first = F.shiftrightunsigned(h, 40).bitwiseAND(63)
-    second = (first + 1 + F.shiftrightunsigned(h, 48) % 63) % 64
-    return df.withColumns({"__word": h.bitwiseAND(F.lit(words - 1)), "__b1": first.cast("int"), "__b2": second.cast("int")})
+def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    read = id_and_text(docs, id_col, text_col).select("doc_id", text_sha256(F.col("text")).alias("text_sha256"), F.monotonically_increasing_id().alias("row"))
+    return materialize(read.withColumn("h", F.xxhash64("text_sha256")), "digests")
 
 
-def repeated_filter(digests: DataFrame, sha: str = "text_sha256", bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BITS) -> tuple[DataFrame, int]:
-    """(word, mask) of the bits that two or more rows hit, and the number of words of the filter."""
-    words = _filter_words(digests.count(), bits_per_row, max_bits)
-    hits = _with_bits(digests.select(sha), sha, words).select(F.explode(F.array(F.col("__word") * 64 + F.col("__b1"), F.col("__word") * 64 + F.col("__b2"))).alias("bit"))
-    twice = hits.groupBy("bit").count().where("count >= 2")
-    masks = twice.groupBy(F.shiftright("bit", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("__mask"))
-    return masks, words
-
-
-def possibly_repeated(df: DataFrame, sha: str, masks: DataFrame, words: int) -> DataFrame:
-    """``df`` with ``__maybe``: whether the filter has both bits of the row's hash."""
-    # bounded: at most max_bits / 64 rows of two longs
-    tested = _with_bits(df, sha, words).join(F.broadcast(masks), "__word", "left")
-    both = F.expr("getbit(__mask, __b1) = 1 AND getbit(__mask, __b2) = 1")
-    return tested.withColumn("__maybe", F.coalesce(both, F.lit(False))).drop("__word", "__mask", "__b1", "__b2")
+def _groups(suspects: DataFrame) -> DataFrame:
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("first")
+    return suspects.groupBy("text_sha256").agg(first, F.count("*").alias("group_size"))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BITS) -> DataFrame:
@@ -68,36 +63,33 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when they are identical after each run of ASCII white space
     became one space; null counts as empty. Of equal texts the row with the
     smallest id stays, ids that are null come last, and of rows that also share
-    the id exactly one stays. Other columns are not looked at; an empty table
-    gives an empty result.
+    the id exactly one stays. Texts of any length are hashed whole. Other columns
+    are not looked at; an empty table gives an empty result.
     """
-    digests = id_and_text(docs, id_col, text_col).select("doc_id", text_sha256(F.col("text")).alias("text_sha256"), F.monotonically_increasing_id().alias("__row"))
-    digests = materialize(digests, "digests")
-    tested = possibly_repeated(digests, "text_sha256", *repeated_filter(digests, "text_sha256", bits_per_row, max_bits))
-    alone = tested.where("NOT __maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    suspects = tested.where("__maybe").drop("__maybe")
-    groups = suspects.groupBy("text_sha256").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))).alias("__first"),
-        F.count("*").alias("group_size"),
-    )
+    tested = _tested(_digests(docs, id_col, text_col), bits_per_row, max_bits)
+    alone = tested.where("NOT maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    suspects = tested.where("maybe").drop("maybe", "h")
     # written, so that both sides of the join are plain exchanges, and a hot hash can be split
-    grouped = suspects.join(materialize(groups, "groups"), "text_sha256").select("doc_id", F.col("__first.id").alias("keep_id"), "group_size", (F.col("__row") == F.col("__first.row")).alias("kept"), "text_sha256")
+    grouped = suspects.join(materialize(_groups(suspects), "groups"), "text_sha256").select("doc_id", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
     return alone.unionByName(grouped)
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    Rows whose hash misses the filter pass straight through without a shuffle;
-    the others are reduced to the first row of each group, in each task before
-    the shuffle. Ties and nulls are treated as in :func:`exact_duplicates`; rows
-    that share id and text give one row.
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    The hashes that do repeat are found on narrow rows and make a second filter;
+    rows whose hash misses it pass straight through, and only the others move
+    with their texts, reduced to the first row of each group in each task before
+    the shuffle. Ties, nulls and long texts are treated as in
+    :func:`exact_duplicates`; rows that share id and text give one row; an empty
+    table gives an empty one.
     """
-    columns = docs.columns
-    hashed = docs.withColumn("__sha", text_sha256(text_of(text_col)))
-    digests = materialize(hashed.select("__sha"), "digests")
-    tested = possibly_repeated(hashed, "__sha", *repeated_filter(digests, "__sha", bits_per_row, max_bits))
-    whole = F.struct(*[F.col(f"`{c}`") for c in columns])
-    order = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`")))
-    first = tested.where("__maybe").groupBy("__sha").agg(F.min_by(whole, order).alias("__kept")).select("__kept.*")
-    return tested.where("NOT __maybe").select(*[F.col(f"`{c}`") for c in columns]).unionByName(first)
+    digests = _digests(docs, id_col, text_col)
+    suspects = _tested(digests, bits_per_row, max_bits).where("maybe").drop("maybe")
+    repeated = materialize(suspects.groupBy("text_sha256", "h").count().where("count > 1").select("h"), "repeated-hashes")
+    words = filter_words(repeated.count(), bits_per_row, max_bits)
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"), text_sha256(text_of(text_col)).alias("sha"), F.xxhash64(F.col(f"`{text_col}`")).alias("written"))
+    tested = test_filter(rows.withColumn("h", F.xxhash64("sha")), "h", materialize(build_filter(repeated, "h", words), "filter"), words, "maybe")
+    release(docs.sparkSession, digests, repeated)
+    first = tested.where("maybe").groupBy("sha").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "written")).alias("row"))
+    return tested.where("NOT maybe").select("row.*").unionByName(first.select("row.*"))

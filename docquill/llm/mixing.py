@@ -12,9 +12,12 @@ the bracket.
 Rates become copies by systematic rounding: within a source, sizes from the
 largest down, whole copies follow the running sum of the fractions, so the words
 taken stay within half the largest document of the target; a few largest-fit
-corrections close most of the rest. Which documents of a size get the additional
-copy is decided by rank, counted in sub-cells by a hash of the document, so that
-a size that a third of all rows share is never ranked in one task.
+corrections close most of the rest. Of the documents of one size those with the
+smallest hashes get the additional copy. The hash up to which they do is found on
+narrow rows: counts by the hash's leading bits name the sub-cell it lies in, and
+only that sub-cell is ranked, so that a size that a third of all rows share is
+never ranked in one task. Copies are then decided where the documents are read;
+no text moves.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from docquill.scratch import materialize
 #: Weights of the sources in order, repeating; share of all words; most copies of a document.
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 
-#: Rows in a sub-cell that is ranked by one sort, and most sub-cells of a cell.
-CELL_ROWS, MOST_CELLS = 512, 1 << 16
+#: Rows in a sub-cell that is ranked by one sort, most bits that name a sub-cell, and cells that are broadcast.
+CELL_ROWS, MOST_BITS, BROADCAST_CELLS = 512, 16, 500_000
 
 
 #: Sorts as the source by code point, null last, and joins without null-safe comparisons.
@@ -131,29 +134,39 @@ def mix_sources(
 
     Sizes are words, unless ``size_col`` has them already; null text has none. A
     null source is a source of its own, the last in order. Documents without
-    words have the rate one. Rows that repeat are documents of their own. A
-    column of ``docs`` that is named mix is replaced; other names do not clash.
-    Which copies are made depends on ids, sources and sizes only, and among rows
-    that share all three on nothing that tells them apart.
+    words have the rate one. A column of ``docs`` that is named mix is replaced;
+    other names do not clash. Copies depend on ids, texts (where sizes are
+    counted here), sources and sizes only, so reruns agree; rows that are equal in
+    all of these are treated alike. Texts of any length are counted whole; an
+    empty table gives an empty result.
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "mix"]
     size = F.coalesce(F.col(f"`{size_col}`").cast("long"), F.lit(0)) if size_col else words_in(text_of(text_col))
-    sized = docs.withColumn("__mix_source", source_key(F.col(f"`{source_col}`"))).withColumn("__mix_size", size)
-    sized = sized.withColumn("__mix_hash", F.xxhash64(F.col(f"`{id_col}`"), F.col("__mix_source"), F.col("__mix_size")))
-    narrow = materialize(sized.select("__mix_source", "__mix_size", "__mix_hash"), "sizes")
-    salts = max(1, min(MOST_CELLS, narrow.count() // CELL_ROWS))
-    salt = F.pmod("__mix_hash", F.lit(salts)).cast("int")
-    subs = narrow.groupBy(F.col("__mix_source").alias("source"), F.col("__mix_size").alias("size"), salt.alias("salt")).agg(F.count("*").alias("n"))
-    subs = materialize(subs, "cells")
-    cells = materialize(subs.groupBy("source", "size").agg(F.sum("n").alias("n")), "sizes-of-sources")
+    told = [F.col(f"`{c}`") for c in ([id_col] if size_col else [id_col, text_col])]
+    source = source_key(F.col(f"`{source_col}`"))
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"]).alias("row"), source.alias("source"), size.alias("size"), F.xxhash64(*told, source).alias("hash"))
+    narrow = materialize(sized.select("source", "size", "hash"), "sizes")
+    cells = materialize(narrow.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     targets = source_targets(cells.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, cap)
-    upto = F.sum("n").over(Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0))
-    offsets = subs.withColumn("offset", upto - F.col("n")).drop("n").join(plan_copies(cells, targets, cap).drop("n"), ["source", "size"])
-    offsets = offsets.select(F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), F.col("salt").alias("__mix_salt"), F.struct("offset", "source_size", "target", "rate", "whole", "more").alias("__mix_cell"))
-    keys = ["__mix_source", "__mix_size", "__mix_salt"]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__mix_hash"))
-    ranked = sized.withColumn("__mix_salt", salt).withColumn("__mix_rank", rank).join(offsets, keys)
-    cell = F.col("__mix_cell")
-    copies = cell["whole"] + (F.col("__mix_rank") + cell["offset"] <= cell["more"]).cast("int")
-    mix = F.struct(F.col("__mix_size").alias("size"), cell["source_size"].alias("source_size"), cell["target"].alias("target"), cell["rate"].alias("rate"), copies.alias("copies"))
-    return ranked.select(*kept, mix.alias("mix"))
+    plan = plan_copies(cells, targets, cap)
+    few = plan.count() <= BROADCAST_CELLS  # a row for each size that occurs in a source
+    small = F.broadcast if few else (lambda df: df)
+    # a cell in which some get a copy more than others: its n rows by the leading bits of the hash
+    bits = F.least(F.lit(MOST_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / CELL_ROWS)))).cast("int")
+    divided = plan.where("more > 0 AND more < n").select("source", "size", "more", bits.alias("bits"))
+    upper = F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(-(1 << 63))), 1)  # in the order of the hash, but never negative
+    sub = F.call_function("shiftright", upper, F.lit(63) - F.col("bits")).alias("sub")
+    dealt = narrow.join(small(divided), ["source", "size"]).select("source", "size", "more", "hash", sub)
+    counts = dealt.groupBy("source", "size", "more", "sub").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("source", "size").orderBy("sub"))
+    last = counts.withColumn("upto", upto).where("upto >= more AND upto - n < more").select("source", "size", F.col("sub").alias("at"), (F.col("more") - F.col("upto") + F.col("n")).alias("need"))
+    last = materialize(last, "sub-cells")
+    found = dealt.join(small(last), ["source", "size"]).where("sub = at")
+    rank = F.row_number().over(Window.partitionBy("source", "size").orderBy("hash"))
+    limits = materialize(found.withColumn("rank", rank).where("rank = need").select("source", "size", F.col("hash").alias("limit")), "limits")
+    every = F.when(F.col("more") > 0, F.lit((1 << 63) - 1))
+    plan = plan.join(limits, ["source", "size"], "left").select(F.col("source").alias("s"), F.col("size").alias("z"), F.struct("source_size", "target", "rate", "whole", F.coalesce("limit", every).alias("limit")).alias("cell"))
+    plan = materialize(plan, "plan")
+    met = sized.join(small(plan), (F.col("source") == F.col("s")) & (F.col("size") == F.col("z")))
+    cell = F.col("cell")
+    copies = cell["whole"] + F.coalesce((F.col("hash") <= cell["limit"]).cast("int"), F.lit(0))
+    return met.select("row.*", F.struct("size", cell["source_size"].alias("source_size"), cell["target"].alias("target"), cell["rate"].alias("rate"), copies.alias("copies")).alias("mix"))

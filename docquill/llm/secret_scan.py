@@ -87,19 +87,23 @@ def _placed(parts: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
 
 
 def linked_spans(spans: DataFrame, kinds: tuple[Kind, ...] = KINDS, scope: int = SCOPE) -> DataFrame:
-    """The weak spans of (row, kind, start, end) that have their complement within ``scope`` and overlap no base span."""
+    """The weak spans of (row, kind, start, end) that have their complement within ``scope`` and overlap no base span, however long."""
     by_role = lambda role: [n for n, k in enumerate(kinds) if k.role == role]
     weak = spans.where(F.col("kind").isin([n for n, k in enumerate(kinds) if k.weak]))
     near = F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("start") + scope) / scope))
     looking = weak.select("row", "kind", "start", "end", F.explode(near).alias("bucket"))
     there = spans.where(F.col("kind").isin(by_role("id") + by_role("secret"))).select(
-        F.col("row").alias("r"), F.floor(F.col("start") / scope).alias("b"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("kind").isin(by_role("id")).alias("is_id"), F.col("kind").isin(*[n for n, k in enumerate(kinds) if not k.weak]).alias("sure")
+        F.col("row").alias("r"), F.floor(F.col("start") / scope).alias("b"), F.col("start").alias("s"), F.col("kind").isin(by_role("id")).alias("is_id")
     )
     met = looking.join(there, (F.col("row") == F.col("r")) & (F.col("bucket") == F.col("b")) & (F.abs(F.col("s") - F.col("start")) <= scope))
-    seen = met.groupBy("row", "kind", "start", "end").agg(F.bool_or("is_id").alias("id"), F.bool_or(~F.col("is_id")).alias("secret"), F.bool_or(F.col("sure") & (F.col("s") < F.col("end")) & (F.col("e") > F.col("start"))).alias("known"))
+    seen = met.groupBy("row", "kind", "start", "end").agg(F.bool_or("is_id").alias("id"), F.bool_or(~F.col("is_id")).alias("secret"))
     role = lambda r: F.col("kind").isin(by_role(r))
-    complete = (role("secret") & F.col("id")) | (role("id") & F.col("secret")) | (role("endpoint") & F.col("id") & F.col("secret"))
-    return seen.where(complete & ~F.col("known")).select("row", "kind", "start", "end")
+    complete = seen.where((role("secret") & F.col("id")) | (role("id") & F.col("secret")) | (role("endpoint") & F.col("id") & F.col("secret"))).select("row", "kind", "start", "end")
+    # a span is in every bucket that it covers, so that an overlap meets in one of them
+    covered = F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("end") - 1) / scope)))
+    sure = spans.where(F.col("kind").isin([n for n, k in enumerate(kinds) if not k.weak])).select(F.col("row").alias("r"), covered.alias("b"), F.col("start").alias("s"), F.col("end").alias("e"))
+    known = complete.select("row", "kind", "start", "end", covered.alias("bucket")).join(sure, (F.col("row") == F.col("r")) & (F.col("bucket") == F.col("b")) & (F.col("s") < F.col("end")) & (F.col("e") > F.col("start")))
+    return complete.join(known.select("row", "kind", "start").distinct(), ["row", "kind", "start"], "left_anti")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, scope: int = SCOPE) -> DataFrame:
@@ -107,8 +111,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Offsets are code points, the end exclusive. Matches of a kind are leftmost
     and do not overlap; a match that is too short is dropped. Null text counts
-    as empty; a text without a match has an empty array; rows that repeat are
-    scanned each on its own. Other columns are not looked at.
+    as empty; a text without a match has an empty array; texts of any length are
+    scanned whole; rows that repeat are scanned each on its own. Other columns
+    are not looked at; an empty table gives an empty result.
     """
     parts = materialize(credential_parts(id_and_text(docs, id_col, text_col), kinds), "parts")
     spans = _placed(parts, kinds)

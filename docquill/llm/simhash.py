@@ -28,9 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquill.llm.common import id_and_text
+from docquill.llm.bloom import build_filter, filter_words, test_filter
+from docquill.llm.common import id_and_text, text_of
 from docquill.llm.components import connected_components
-from docquill.scratch import materialize
+from docquill.scratch import materialize, release
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Bits of the five blocks; the children of a node; fingerprints in a tile of an upper node.
@@ -65,7 +66,8 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+        kept = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(prints.view(np.int64))], [*kept, "print"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -236,30 +238,58 @@ def near_links(reps: DataFrame, distance: int = DISTANCE, tile_rows: int = TILE_
     return together.mapInPandas(_linker(masks, distance), f"a {kind}, b {kind}").distinct()
 
 
+def _components(prints: DataFrame, distance: int) -> DataFrame:
+    """(print, root) of all fingerprints of ``prints``: root is the least fingerprint that links reach."""
+    distinct = materialize(prints.select("print").distinct(), "distinct-prints")
+    found = connected_components(near_links(distinct.select(F.col("print").alias("id"), "print"), distance))
+    return materialize(distinct.join(found, F.col("print") == F.col("node"), "left").select("print", F.coalesce("component", "print").alias("root")), "classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row per input row: doc_id, print (long), component_id.
 
     Documents link where their fingerprints differ in ``distance`` bits or
     fewer; component_id is the smallest id that links reach, the document's own
-    included. Ids are whole numbers; a row whose id is null has a null component
-    unless another document reaches it. Null and empty texts have the
-    fingerprint zero and link like any other. Rows that repeat get equal rows.
-    Other columns are not looked at; an empty table gives an empty result.
+    included, and null only if no id is reached. Fingerprints are what links
+    join, so rows that share an id are documents of their own. Null and empty
+    texts have the fingerprint zero and link like any other; texts of any length
+    are read whole. Rows that repeat get equal rows. Other columns are not looked
+    at; an empty table gives an empty result.
     """
     prints = materialize(fingerprints(id_and_text(docs, id_col, text_col)), "prints")
-    reps = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("id")), "representatives")
-    found = connected_components(near_links(reps.where("id IS NOT NULL"), distance))
-    classes = reps.join(found, reps["id"] == found["node"], "left").select("print", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(materialize(classes, "classes"), "print").select("doc_id", "print", "component_id")
+    roots = _components(prints, distance)
+    least = prints.groupBy("print").agg(F.min("doc_id").alias("id"))
+    roots = materialize(roots.join(least, "print"), "least-ids")
+    named = materialize(roots.groupBy("root").agg(F.min("id").alias("component_id")), "components")
+    classes = materialize(roots.join(named, "root").select("print", "component_id"), "classes")
+    return prints.join(classes, "print").select("doc_id", "print", "component_id")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with all their columns.
+    """One row of ``docs`` of each component, with all its columns, whatever their names.
 
-    Rows that share an id are one document and give one row. Rows
-    with a null id are kept.
+    The row with the smallest id stays, null ids come last; among rows that share
+    the id the one with the least hash of its text, and of rows that are equal in
+    both exactly one. What goes is found on narrow rows (id and hash) and put into
+    a Bloom filter; rows that miss it pass straight through, and only the others
+    move with their texts. An empty table gives an empty one.
     """
-    judged = near_duplicates(docs, id_col, text_col, distance)
-    stay = judged.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    kept = docs.join(stay, F.col(f"`{id_col}`") == F.col("__stay")).drop("__stay").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("hash").alias("hash"))
+    narrow = id_and_text(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    prints = materialize(narrow.mapInArrow(_fingerprints, f"doc_id {kind}, hash long, print long"), "prints")
+    roots = _components(prints, distance)
+    keys = prints.groupBy("print", "doc_id", "hash").agg(F.count("*").alias("n"))
+    known = materialize(keys.join(roots, "print").select("root", key.alias("key"), "n"), "keys")
+    first = materialize(known.groupBy("root").agg(F.min("key").alias("first"), F.sum("n").alias("all")).where("all > 1"), "groups")
+    h = F.xxhash64("id", "hash")
+    judged = known.join(first, "root").select("key.id", "key.hash", (F.col("key") == F.col("first")).alias("stays"), "n").where("n > 1 OR NOT stays")
+    judged = materialize(judged.withColumn("h", h), "judged")
+    words = filter_words(judged.count())
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text_col)).alias("hash")).withColumn("h", h)
+    tested = test_filter(rows, "h", materialize(build_filter(judged, "h", words), "filter"), words, "maybe")
+    release(docs.sparkSession, prints, known)
+    known = judged.select(F.col("id").alias("j_id"), F.col("hash").alias("j_hash"), F.col("h").alias("j_h"), "stays")
+    met = tested.where("maybe").join(known, (F.col("h") == F.col("j_h")) & F.col("id").eqNullSafe(F.col("j_id")) & (F.col("hash") == F.col("j_hash")), "left").where("coalesce(stays, true)")
+    twice = met.where("stays").groupBy("id", "hash").agg(F.min_by("row", F.lit(0)).alias("row"))  # rows that are equal in both
+    return tested.where("NOT maybe").select("row.*").unionByName(met.where("stays IS NULL").select("row.*")).unionByName(twice.select("row.*"))
