@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``. A stage is written as Parquet and read again
-before the next one starts.
+before the next one starts, and the table before it is deleted then. Null texts
+count as empty, texts of any length are read whole, an empty table gives an empty
+one.
 """
 
 from __future__ import annotations
@@ -17,28 +19,29 @@ from docquill.llm.mixing import mix_sources
 from docquill.llm.quality import keep_good
 from docquill.llm.queries import bpe_digests
 from docquill.llm.simhash import keep_one_each
-from docquill.scratch import materialize
+from docquill.scratch import materialize, release
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; a null text is scored as an empty one."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays."""
+    """Of equal texts the smallest id stays, null ids last."""
     return drop_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints the smallest id stays."""
+    """Of linked fingerprints the smallest id stays, null ids last; rows that share an id are documents of their own."""
     return keep_one_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes of a document."""
-    copies = F.explode(F.sequence(F.lit(1), F.col("mix.copies")))
-    return mix_sources(docs).where("mix.copies > 0").select("*", copies.alias("__copy")).drop("mix", "__copy")
+    """A row for each copy that the mix takes of a document; the columns are those of ``docs``, one named mix included."""
+    whole = docs.select(F.struct("*").alias("row"), *[F.col(c).alias(c) for c in ("doc_id", "text", "source")])
+    taken = mix_sources(whole).where("mix.copies > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("mix.copies"))).alias("copy")).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +59,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{i}")
-    return docs
+        made = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return made
+        made = materialize(made, f"stage-{i}")
+        if i:
+            release(spark, docs)
+        docs = made

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, SparkSession] = {}
+#: Local applications may have equal ids.
+_RUN = uuid.uuid4().hex[:8]
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,34 +30,36 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and return it read back.
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and return it read back; with ``by`` a folder for each value of that column.
 
     Unlike a cached frame, the written table survives the loss of executors;
-    unlike ``localCheckpoint``, no part of it lives on one machine only.
+    unlike ``localCheckpoint``, no part of it lives on one machine only. Every
+    application writes below a folder of its own, so that the end of one leaves
+    the tables of others alone.
     """
     spark = df.sparkSession
-    root = f"{shared_root(spark)}/docquill-tables"
+    root = f"{shared_root(spark)}/docquill-tables/{spark.sparkContext.applicationId}-{_RUN}"
     if root not in _ROOTS:
         _ROOTS[root] = spark
         atexit.register(clear, root)
     path = f"{root}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete written tables that nothing will read again, and let Spark drop the shuffle files of plans that are done."""
     jvm = spark._jvm
-    for files in (df.inputFiles() for df in tables):
-        if files:
-            path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     jvm.System.gc()  # Spark's cleaner follows the collector
 
 
 def clear(root: str) -> None:
-    """Delete the tables below ``root``; runs by itself when Python ends."""
+    """Delete the tables below ``root``, a folder of this application alone; runs by itself when Python ends."""
     spark = _ROOTS.pop(root, None)
     try:
         jvm = spark._jvm
