@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquill.llm.url_table import labelled_urls
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -33,23 +35,6 @@ class Rule:
 #: Fixed values of the contract.
 RULES = (Rule("org", "/", True), Rule("example.org", "/es/", False), Rule("example.org", "/en/1", False), Rule("com", "/fr/", True), Rule("com", "/de/", False))
 
-#: Words of hosts by which the default labelled table is made. Both labels get the same prefixes, domains and paths, so that only the words tell them apart.
-UNWANTED = "casino poker bets betting jackpot slots spam adult xxx porn escort pills viagra lottery payday warez ads track".split()
-UNWANTED_FORMS = ("{}-win", "free-{}", "cheap-{}", "{}-farm", "{}-x", "{}")
-WANTED = (
-    "library museum university school garden recipes weather history science journal travel music health city council theatre "
-    "north river stone another together thing that nation heaven order interest entire answer father station rather what"
-).split()
-WANTED_FORMS = ("{}", "{}s", "the{}", "{}-online", "th{}", "{}tion")
-AROUND = ("http://{}.example.com/en/7", "https://www.{}.example.net/de/45?ref=x", "http://m.{}.example.org/fr/123.html", "https://blog.{}.example.com/es/89/", "https://{}.example.net/en/640#top")
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """The default labelled table: (url, 1 for unwanted)."""
-    forms = [(f.format(w), 1) for w in UNWANTED for f in UNWANTED_FORMS] + [(f.format(w), 0) for w in WANTED for f in WANTED_FORMS]
-    return [(AROUND[(i + k) % len(AROUND)].format(name), y) for i, (name, y) in enumerate(forms) for k in range(2)]
-
-
 SIZES, BUCKETS, THRESHOLD = (3, 4, 5), 1 << 16, 0.5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,13 +91,16 @@ class UrlModel:
         margin = np.bincount(row, self.weights[bucket], len(hosts)) / scale + self.bias
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
-    def fit(self, hosts: list[str], paths: list[str], labels: np.ndarray, rounds: int = 300, rate: float = 1.0, penalty: float = 1e-3) -> UrlModel:
-        """Gradient descent on the logistic loss with a quadratic penalty; the same table gives the same model."""
+    def fit(self, hosts: list[str], paths: list[str], labels: np.ndarray, rounds: int = 150, rate: float = 0.5, penalty: float = 0.01) -> UrlModel:
+        """Gradient steps on the logistic loss with a quadratic penalty, scaled by each weight's past gradients; the same table gives the same model."""
         bucket, row, scale = self._features(hosts, paths)
+        past, past_bias = np.full(len(self.weights), 1e-8), 1e-8
         for _ in range(rounds):
-            error = (self.probabilities(hosts, paths) - labels) / max(1, len(labels))
-            self.weights -= rate * (np.bincount(bucket, (error / scale)[row], len(self.weights)) * 4 + penalty * self.weights)
-            self.bias -= rate * error.sum()
+            error = self.probabilities(hosts, paths) - labels
+            slope = np.bincount(bucket, (error / scale)[row], len(self.weights)) + penalty * self.weights
+            past, past_bias = past + slope**2, past_bias + error.sum() ** 2
+            self.weights -= rate * slope / np.sqrt(past)
+            self.bias -= rate * error.sum() / np.sqrt(past_bias)
         return self
 
 
@@ -135,8 +123,9 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     The longest rule that fits decides; without one the model does: block if the
     probability of being unwanted is ``threshold`` or more. A null url, or one
     without ``://``, has an empty host and path, fits no rule and is judged by
-    the model as it stands. Rows that repeat are judged each; other columns are
-    not looked at; an empty table gives an empty result.
+    the model as it stands. Urls of any length are judged whole and rows that
+    repeat each; other columns are not looked at; an empty table gives an empty
+    result.
     """
     model = train_url_model() if model is None else model
 

@@ -139,7 +139,7 @@ def test_keep_one_each(spark):
 
 
 def test_urls(spark):
-    urls = [None, "no scheme", "HTTPS://News.Example.ORG/es/1?x#y", "http://example.org/en/12", "http://sub.example.org/en/2", "http://a.com/fr/x", "http://acom/fr/x", "http://b.com/de/", "http://x.org", "http://x.net?q=/a", "http://www.casino-win.example.net/en/1", "http://garden.example.net/en/1", ""]
+    urls = [None, "no scheme", "HTTPS://News.Example.ORG/es/1?x#y", "http://example.org/en/12", "http://sub.example.org/en/2", "http://a.com/fr/x", "http://acom/fr/x", "http://b.com/de/", "http://x.org", "http://x.net?q=/a", "http://www.bestgambling247.net/en/1", "http://garden.example.net/en/1", ""]
     pages = spark.createDataFrame([(i, u, "h", "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, path string, rule string")
     got = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
     assert [(got[i].host, got[i].path) for i in (0, 1, 2, 8, 9)] == [("", ""), ("", ""), ("news.example.org", "/es/1"), ("x.org", ""), ("x.net", "")]
@@ -148,6 +148,49 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def plain_score(model, host, path):
+    """The model's probability by plain Python: one n-gram at a time."""
+    mask, total, n = (1 << 64) - 1, 0.0, 0
+    for i, part in enumerate((host, path)):
+        data = b"\x02" + part.encode("utf-8", "replace") + b"\x03"
+        for size in model.sizes:
+            for k in range(len(data) - size + 1):
+                h = 0
+                for byte in data[k : k + size]:
+                    h = (h ^ (byte + 1)) * 0x9E3779B97F4A7C15 & mask
+                    h ^= h >> 29
+                total, n = total + model.weights[(h + size & mask) % model.buckets + i * model.buckets], n + 1
+    return 1 / (1 + math.exp(-(total / math.sqrt(max(1, n)) + model.bias)))
+
+
+def test_urls_of_all_pages(spark):
+    model, rules = url_filter.train_url_model(), {r.name: r for r in url_filter.RULES}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", F.lit("x").alias("score"), F.lit(1).alias("allow"))
+    long = spark.createDataFrame([(-1, "http://a.example/" + "x/é" * 30_000, "x", 1), (-2, "http://" + "porn." * 500 + "com", "x", 1), (-2, "http://" + "porn." * 500 + "com", "x", 1)], pages.schema)
+    got = url_filter.judge_urls(pages.union(long), model=model).collect()
+    urls = collections.Counter({(r.page_id, r.url): 1 for r in pages.collect()})
+    assert len(got) == len(urls) + 3 and sum(r.page_id == -2 for r in got) == 2
+    for (i, url), r in zip(sorted(urls), sorted((r for r in got if r.page_id >= 0), key=lambda r: r.page_id)):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (lower(m[1]), m[2]) if m else ("", "")
+        fits = [n for n, x in rules.items() if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
+        rule = max(fits, key=len) if fits else None
+        score = plain_score(model, host, path)
+        assert (r.host, r.path, r.rule) == (host, path, rule) and math.isclose(r.score, score, rel_tol=1e-9)
+        assert r.verdict == ("allow" if (rules[rule].allow if rule else score < url_filter.THRESHOLD) else "block")
+    assert {r.verdict for r in got if r.page_id == -2} == {"block"}
+
+
+def test_urls_of_no_shared_form():
+    """Known terms in hosts of a form that the table has not; hosts that merely contain an unwanted term."""
+    from docquill.llm.url_table import UNWANTED, WANTED
+
+    model = url_filter.train_url_model()
+    score = lambda hosts: model.probabilities(hosts, ["/section/5"] * len(hosts))
+    assert (score([f"{t}-3portal.org" for t in UNWANTED]) >= 0.5).mean() >= 0.8 and (score([f"{t}-3portal.org" for t in WANTED]) >= 0.5).mean() <= 0.02
+    assert (score(["bestgambling247.com", "xvideos.com", "sportsbook.com"]) >= 0.5).all() and (score(["trackandfield.org", "essexcouncil.uk", "specialists.net", "nytimes.com"]) < 0.5).all()
+
+
 # recordings
 
 
