@@ -56,18 +56,20 @@ def is_major_section(c: Column, category: Column) -> Column:
 
 
 def has_numbers(c: Column) -> Column:
-    """Measurements, decimals, codes, or two whole numbers of two digits or more."""
-    return (
-        c.rlike(MEASUREMENT) | c.rlike(r"\d+[.,]\d+") | c.rlike(r"(?<![\p{L}\p{N}_])[A-Z]{2,}" + BLANK + r"*\d+(?![\p{L}\p{N}_])") | c.rlike(r"[A-Z]-?\d+")
-        | (F.regexp_count(c, F.lit(r"(?<![\p{L}\p{N}_])\d{2,}(?![\p{L}\p{N}_])")) >= 2)
+    """Measurements, decimals, codes, or two whole numbers of two digits or more; a text without a digit has none."""
+    return c.rlike("[0-9]") & (
+        c.rlike(r"\d+[.,]\d+") | c.rlike(r"[A-Z]-?\d+") | c.rlike(r"(?<![\p{L}\p{N}_])[A-Z]{2,}" + BLANK + r"*\d+(?![\p{L}\p{N}_])")
+        | (F.regexp_count(c, F.lit(r"(?<![\p{L}\p{N}_])\d{2,}(?![\p{L}\p{N}_])")) >= 2) | c.rlike(MEASUREMENT)
     )
 
 
 def text_complexity(c: Column) -> Column:
-    w = words(c)
-    n = F.size(w)
-    letters = F.aggregate(w, F.lit(0), lambda s, x: s + F.length(F.regexp_replace(x, r"^[.,!?;:]+|[.,!?;:]+$", "")))
-    sentences = F.size(F.filter(F.split(c, r"\.", -1), lambda s: strip(s) != ""))
+    """Long words, long sentences, numbers: two of them make a text complex, one medium. Counted on the text as it is, without splitting it."""
+    inner = BLANK[1:-1]
+    n = F.regexp_count(c, F.lit(f"[^{inner}]+"))
+    # what is left without white space and without the marks at the ends of words
+    letters = F.length(F.regexp_replace(c, f"(?:^|{BLANK}+)[.,!?;:]*|[.,!?;:]+(?={BLANK}|$)", ""))
+    sentences = F.regexp_count(c, F.lit(f"[^.{inner}][^.]*"))
     score = (letters / n > 6).cast("int") + (n / F.greatest(sentences, F.lit(1)) > 20).cast("int") + has_numbers(c).cast("int")
     return F.when(n == 0, "simple").when(score >= 2, "complex").when(score == 1, "medium").otherwise("simple")
 

@@ -36,7 +36,3 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def parse_vector(c: Column) -> Column:
     """The doubles of a JSON array; null where it is malformed."""
     return F.from_json(c, "array<double>")
-
-
-#: Least similarities of a category and of a result, by language (fixed values).
-QUALITY_LEVELS = {"danish": (0.75, 0.6, 0.4), "other": (0.75, 0.6, 0.4)}

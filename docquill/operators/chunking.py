@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docquill.functions.text import strip
+from docquill.operators.elements import inherit_sections
 
 #: Effective sizes (fixed values): items in a list group, least composed size, most before a split, size and overlap of pieces, least text of an uncategorised element.
 LIST_ITEMS, SMALL, LARGE, PIECE, OVERLAP, LEAST_TEXT = 10, 100, 1500, 1000, 200, 20
@@ -43,18 +44,39 @@ def group_lists(elements: DataFrame, most: int = LIST_ITEMS) -> DataFrame:
     e = e.withColumn("place", F.row_number().over(in_run)).withColumn("led", F.first("anchor").over(in_run))
     member = F.col("led") & (F.col("place") <= most + 1)
     e = e.withColumn("group", F.when(member, F.col("run")))
-    whole = e.where("group IS NOT NULL").groupBy("doc_id", "group").agg(F.sort_array(F.collect_list(F.struct("seq", "page", "text"))).alias("m"))
-    texts = F.transform(F.slice(F.col("m"), 2, most), lambda m: m["text"])
-    lists = whole.select("doc_id", F.col("m")[0]["seq"].alias("seq"), F.col("m")[0]["page"].alias("page"), F.lit("List").alias("category"), F.concat(F.col("m")[0]["text"], F.lit("\n\n"), F.array_join(texts, "\n")).alias("text"))
-    return e.where("group IS NULL").select("doc_id", "seq", "page", "category", "text").unionByName(lists)
+    # an element that is in no group is a group of its own, so that one pass makes both
+    at = F.when(member, F.first("seq").over(in_run)).otherwise(F.col("seq"))
+    e = e.withColumn("at", at).withColumn("member", member)
+    m = e.groupBy("doc_id", F.col("at").alias("seq")).agg(F.sort_array(F.collect_list(F.struct("seq", "page", "category", "text"))).alias("m"), F.bool_or("member").alias("list"))
+    first, items = F.col("m")[0], F.array_join(F.transform(F.slice("m", 2, most), lambda x: x["text"]), "\n")
+    return m.select(
+        "doc_id", "seq", first["page"].alias("page"), F.when(F.col("list"), "List").otherwise(first["category"]).alias("category"),
+        F.when(F.col("list"), F.concat(first["text"], F.lit("\n\n"), items)).otherwise(first["text"]).alias("text"),
+    )
+
+
+def in_section(content: Column, section: Column | None, word: str = "Section") -> Column:
+    """The content below its section's title, where titles are wanted."""
+    return content if section is None else F.concat(F.lit(f"{word}: "), F.coalesce(section, F.lit("Unknown Section")), F.lit("\n\n"), content)
 
 
-def composed(category: Column, text: Column) -> Column:
-    """The content of a chunk by category."""
+def composed(category: Column, text: Column, element_type: Column | None = None, section: Column | None = None, context: bool = True) -> Column:
+    """The content of a chunk by category and type of element.
+
+    With ``section`` the inherited title stands first: as ``Context:`` of tables,
+    images and references, as ``Section:`` of lists, narrative and uncategorised
+    text and of what was merged; other categories stay as they are. Without
+    ``context`` tables and images are their text alone.
+    """
+    kind = F.lit("text") if element_type is None else element_type
     mentions = F.lower(text).rlike("tabel|table|figur|figure")
+    typed = lambda name, label: in_section(F.concat(F.lit(f"Type: {name}\n\n{label}: "), text), section, "Context")
     return (
-        F.when(category == "Table", F.concat(F.lit("Type: Table\n\nSummary: "), text)).when(category == "Image", F.concat(F.lit("Type: Image\n\nSummary: "), text))
-        .when((category == "UncategorizedText") & mentions, F.concat(F.lit("Type: Reference\n\nContent: "), text)).otherwise(text)
+        F.when(category.isin("List", "NarrativeText", "MergedContent"), in_section(F.when(text == "", "[Empty list]").otherwise(text) if section is not None else text, section))
+        .when((kind == "table") | (category == "Table"), typed("Table", "Summary") if context else text)
+        .when((kind == "full_page_image") | (category == "Image"), typed("Image", "Summary") if context else text)
+        .when(category == "ListItem", in_section(text, section))
+        .when(category == "UncategorizedText", F.when(mentions, typed("Reference", "Content")).otherwise(in_section(text, section))).otherwise(text)
     )
 
 
@@ -63,57 +85,87 @@ def merge_small(elements: DataFrame, least: int = SMALL) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("seq")
     e = elements.withColumn("small", F.length(composed(F.col("category"), F.col("text"))) < least)
     e = e.withColumn("island", F.sum((~F.col("small")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    e = e.withColumn("many", F.sum(F.col("small").cast("int")).over(Window.partitionBy("doc_id", "island", "small")))
-    alone = e.where(~F.col("small") | (F.col("many") < 2)).select("doc_id", "seq", "page", "category", "text", F.lit(1).cast("long").alias("merged"))
-    m = e.where(F.col("small") & (F.col("many") >= 2)).groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(F.struct("seq", "page", strip(F.col("text")).alias("text")))).alias("m"))
-    texts = F.filter(F.transform("m", lambda x: x["text"]), lambda t: t != "")
-    merged = m.select("doc_id", F.col("m")[0]["seq"].alias("seq"), F.col("m")[0]["page"].alias("page"), F.lit("MergedContent").alias("category"), F.array_join(texts, "\n\n").alias("text"), F.size("m").cast("long").alias("merged"))
-    return alone.unionByName(merged)
-
-
-def split_text(text: str, size: int = PIECE, overlap: int = OVERLAP, separators: tuple[str, ...] = ("\n\n", "\n", " ")) -> list[str]:
-    """Pieces of up to ``size`` characters, cut at the first separator that makes parts small enough; neighbours share up to ``overlap``.
-
-    A part that no separator cuts is cut at ``size`` characters.
-    """
-    parts = [text]
-    for s in separators:
-        parts = [q for p in parts for q in ([p] if len(p) <= size else [x for i, y in enumerate(p.split(s)) for x in ((s + y) if i else y,) if x])]
-    step = max(1, size - overlap)
-    parts = [q for p in parts for q in ([p] if len(p) <= size else [p[i : i + step] for i in range(0, len(p), step)])]
-    pieces: list[str] = []
+    many = F.sum(F.col("small").cast("int")).over(Window.partitionBy("doc_id", "island"))
+    joined = F.col("small") & (many >= 2)
+    least_seq = F.min(F.when(F.col("small"), F.col("seq"))).over(Window.partitionBy("doc_id", "island"))
+    # an element that is not merged is a group of its own, so that one pass makes both
+    e = e.withColumn("joined", joined).withColumn("at", F.when(joined, least_seq).otherwise(F.col("seq")))
+    kept = [c for c in elements.columns if c not in ("doc_id", "seq")]
+    m = e.groupBy("doc_id", F.col("at").alias("seq")).agg(F.sort_array(F.collect_list(F.struct("seq", *kept))).alias("m"), F.bool_or("joined").alias("j"))
+    texts = F.filter(F.transform("m", lambda x: strip(x["text"])), lambda t: t != "")
+    first = F.col("m")[0]
+    new = {"category": F.when(F.col("j"), "MergedContent").otherwise(first["category"]), "text": F.when(F.col("j"), F.array_join(texts, "\n\n")).otherwise(first["text"])}
+    return m.select("doc_id", "seq", *[new.get(c, first[c]).alias(c) for c in kept], F.size("m").cast("long").alias("merged"))
+
+
+def _merged(parts: list[str], size: int, overlap: int) -> Iterator[str]:
+    """Parts put together up to ``size`` characters; the last ones that fit into ``overlap`` begin the next piece."""
     held: list[str] = []
     length = 0
     for p in parts:
         if held and length + len(p) > size:
-            pieces.append("".join(held).strip())
-            while held and (length > overlap or length + len(p) > size):
+            yield "".join(held).strip()
+            while length > overlap or (length + len(p) > size and length > 0):
                 length -= len(held.pop(0))
         held.append(p)
         length += len(p)
     if held:
-        pieces.append("".join(held).strip())
-    return [p for p in pieces if p]
+        yield "".join(held).strip()
+
+
+def split_text(text: str, size: int = PIECE, overlap: int = OVERLAP, separators: tuple[str, ...] = ("\n\n", "\n", " ")) -> list[str]:
+    """Pieces of up to ``size`` characters: cut at the first separator that occurs, and what is still too long by the separators after it.
+
+    Parts keep the separator before them. Those that are small enough are put
+    together with an overlap, on their own level only; a part that no separator
+    cuts is cut at ``size`` characters.
+    """
+    level = next((i for i, s in enumerate(separators) if s in text), None)
+    if level is None:
+        windows = range(0, max(1, len(text) - overlap), max(1, size - overlap))
+        return [p for p in (text[i : i + size].strip() for i in windows) if p]
+    mark, rest = separators[level], separators[level + 1 :]
+    parts = [mark * (i > 0) + p for i, p in enumerate(text.split(mark))]
+    pieces: list[str] = []
+    small: list[str] = []
+    for p in filter(None, parts):
+        if len(p) < size:
+            small.append(p)
+            continue
+        pieces += [*_merged(small, size, overlap), *split_text(p, size, overlap, rest)]
+        small = []
+    return [p for p in [*pieces, *_merged(small, size, overlap)] if p]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _split(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: split_text(t) if t else [])
+    return pd.Series([None if t is None else split_text(t) for t in texts])
 
 
 def split_large(chunks: DataFrame, large: int = LARGE) -> DataFrame:
-    """Chunks above ``large`` characters in pieces: piece (from 0) and total; the others have one piece. Only large ones go through Python."""
-    small = chunks.where(F.length("text") <= large).select("*", F.lit(0).alias("piece"), F.lit(1).alias("total"))
-    cut = chunks.where(F.length("text") > large).withColumn("pieces", _split("text"))
-    cut = cut.select(*[c for c in chunks.columns if c != "text"], F.size("pieces").alias("total"), F.posexplode("pieces").alias("piece", "text"))
-    return small.unionByName(cut)
+    """Chunks above ``large`` characters in pieces: piece (from 0) and total; the others have one piece, and only large texts go to Python."""
+    cut = F.coalesce(_split(F.when(F.length("text") > large, F.col("text"))), F.array("text"))
+    whole = chunks.withColumn("pieces", F.when(F.size(cut) > 1, cut).otherwise(F.array("text")))
+    return whole.select(*[c for c in chunks.columns if c != "text"], F.size("pieces").alias("total"), F.posexplode("pieces").alias("piece", "text"))
 
 
-def chunk_elements(elements: DataFrame) -> DataFrame:
-    """The whole chain: doc_id, seq, piece, total, page, category, content and a chunk_id that depends on place only."""
-    merged = merge_small(group_lists(filter_noise(elements)))
-    content = merged.withColumn("text", composed(F.col("category"), F.col("text"))).where(strip(F.col("text")) != "")
+def chunk_elements(elements: DataFrame, section_titles: bool = False) -> DataFrame:
+    """The whole chain: doc_id, seq, piece, total, page, category, content and a chunk_id that depends on place only.
+
+    With ``section_titles`` elements need a phase (see :func:`inherit_sections`),
+    and the inherited title, here ``section``, stands before each content.
+    """
+    kept = filter_noise(elements)
+    if section_titles:
+        sections = inherit_sections(elements).select("doc_id", "seq", "section")
+    merged = merge_small(group_lists(kept))
+    if section_titles:
+        merged = merged.join(sections, ["doc_id", "seq"], "left")
+    title = F.col("section") if section_titles else None
+    content = merged.where(strip(F.col("text")) != "").withColumn("text", composed(F.col("category"), F.col("text"), None, title))
     c = split_large(content.drop("merged")).withColumnRenamed("text", "content")
+    if section_titles:  # a piece of a split content has the title too
+        c = c.withColumn("content", F.when((F.col("total") > 1) & (F.col("piece") > 0), in_section(F.col("content"), F.col("section"))).otherwise(F.col("content")))
     return c.withColumn("chunk_id", F.sha2(F.concat_ws("|", "doc_id", "seq", "piece").cast("binary"), 256))
 
 

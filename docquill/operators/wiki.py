@@ -1,6 +1,6 @@
 """Quality of generated wikis, by wiki: coherence, coverage, structure, citations, language, and their weighted sum.
 
-Pages: wiki_id, page_id, page_name, content. Every measure is an aggregate of per-page columns.
+Pages: wiki_id, page_id, page_name, content. Every family is an aggregate of the pages' measures (:func:`page_measures`).
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquill.functions.text import language_vote
+from docquill.scratch import materialize
 
 #: Weights of the families and numbers of the ratings (fixed values).
 WEIGHTS = {"coherence": 0.25, "coverage": 0.30, "structure": 0.20, "citations": 0.15, "language": 0.10}
@@ -29,56 +30,67 @@ def rating_number(label: Column) -> Column:
     return out
 
 
-def occurrences(c: Column, part: str) -> Column:
-    return (F.length(c) - F.length(F.replace(c, F.lit(part), F.lit("")))) / len(part)
+LONG_WORD = r"(?<![\p{L}\p{N}_])([a-zA-ZæøåÆØÅ]{8,})(?![\p{L}\p{N}_])"
 
 
-def coherence(pages: DataFrame) -> DataFrame:
-    """The mean share of a page's sections that have a word of its title; links to pages that exist and that do not."""
+def long_words(c: Column) -> Column:
+    return F.transform(F.regexp_extract_all(c, F.lit(LONG_WORD), F.lit(1)), F.lower)
+
+
+def page_measures(pages: DataFrame) -> DataFrame:
+    """What the families of measures need of each page (wiki_id, page_name, content), without its content; columns that are not used are not worked out."""
+    c, n = F.col("content"), F.length("content")
     sections = F.split("content", "\n## ", -1)
     title = F.filter(F.split(F.lower("page_name"), r"[_\s]+"), lambda w: w != "")
     body = F.slice(sections, 2, F.greatest(F.size(sections) - 1, F.lit(0)))
     relevant = F.size(F.filter(body, lambda s: F.exists(title, lambda w: F.contains(F.lower(s), w))))
-    share = F.when(F.size(sections) > 1, relevant / (F.size(sections) - 1))
-    scored = pages.groupBy("wiki_id").agg(F.coalesce(F.avg(share), F.lit(0.0)).alias("average"), F.avg(F.size(sections)).alias("sections"), F.count("*").alias("pages"))
-    links = pages.select("wiki_id", F.explode(F.regexp_extract_all("content", F.lit(r"\[[^\]]+\]\(#([^\)]+)\)"), F.lit(1))).alias("page_name"))
-    names = pages.select("wiki_id", "page_name").distinct().withColumn("known", F.lit(True))
+    found = lambda p: F.regexp_count("content", F.lit(p))
+    return pages.select(
+        "wiki_id", "page_name", F.size(sections).alias("sections"), F.when(F.size(sections) > 1, relevant / (F.size(sections) - 1)).alias("share"),
+        F.regexp_extract_all("content", F.lit(r"\[[^\]]+\]\(#([^\)]+)\)"), F.lit(1)).alias("links"), F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"([\w-]+\.pdf)"), F.lit(1))).alias("files"),
+        F.array_distinct(long_words(c)).alias("terms"),
+        (F.when(c.contains("\n## "), 1.0).otherwise(0.0) + F.when(c.contains("\n### "), 0.5).otherwise(0.0)).alias("depth"), n.alias("length"),
+        found(r"\[[\d,\s]+\]").alias("bracket"), found(r"\[\^[\d]+\]").alias("footnote"), found(r"\([^)]*\d{4}[^)]*\)").alias("inline"), language_vote(c).alias("vote"),
+        (c.contains("## ") | c.contains("### ")).alias("headers"), (c.contains("\n- ") | c.contains("\n* ") | c.contains("\n1. ")).alias("lists"), c.contains("```").alias("code"), c.contains("\n|").alias("tables"),
+    )
+
+
+def coherence(measures: DataFrame) -> DataFrame:
+    """The mean share of a page's sections that have a word of its title; links to pages that exist and that do not."""
+    scored = measures.groupBy("wiki_id").agg(F.coalesce(F.avg("share"), F.lit(0.0)).alias("average"), F.avg("sections").alias("sections"), F.count("*").alias("pages"))
+    links = measures.select("wiki_id", F.explode("links").alias("page_name"))
+    names = measures.select("wiki_id", "page_name").distinct().withColumn("known", F.lit(True))
     found = links.join(names, ["wiki_id", "page_name"], "left").groupBy("wiki_id").agg(F.count("known").alias("references"), F.count_if(F.col("known").isNull()).alias("broken"))
     both = scored.join(found, "wiki_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("references", "broken")})
     return both.withColumn("rating", rating(F.col("average")))
 
 
-def coverage(pages: DataFrame, documents: DataFrame, chunks: DataFrame, per_chunk: int = 5) -> DataFrame:
+def coverage(measures: DataFrame, documents: DataFrame, chunks: DataFrame, per_chunk: int = 5) -> DataFrame:
     """Shares of documents (wiki_id, filename) that pages name, and of long words of chunks (wiki_id, content) that pages use. Names and words are matched as tokens."""
-    named = pages.select("wiki_id", F.explode(F.regexp_extract_all(F.lower("content"), F.lit(r"([\w-]+\.pdf)"), F.lit(1))).alias("filename")).distinct().withColumn("seen", F.lit(True))
+    named = measures.select("wiki_id", F.explode("files").alias("filename")).distinct().withColumn("seen", F.lit(True))
     docs = documents.select("wiki_id", F.lower("filename").alias("filename")).distinct()
     d = docs.join(named, ["wiki_id", "filename"], "left").groupBy("wiki_id").agg(F.count("*").alias("documents"), F.count("seen").alias("referenced"))
-    long_word = F.lit(r"(?<![\p{L}\p{N}_])([a-zA-ZæøåÆØÅ]{8,})(?![\p{L}\p{N}_])")
-    terms_of = lambda c: F.transform(F.regexp_extract_all(c, long_word, F.lit(1)), F.lower)
-    terms = chunks.select("wiki_id", F.explode(F.slice(terms_of(F.col("content")), 1, per_chunk)).alias("term")).distinct()
-    used = pages.select("wiki_id", F.explode(F.array_distinct(terms_of(F.col("content")))).alias("term")).distinct().withColumn("used", F.lit(True))
+    terms = chunks.select("wiki_id", F.explode(F.slice(long_words(F.col("content")), 1, per_chunk)).alias("term")).distinct()
+    used = measures.select("wiki_id", F.explode("terms").alias("term")).distinct().withColumn("used", F.lit(True))
     t = terms.join(used, ["wiki_id", "term"], "left").groupBy("wiki_id").agg(F.count("*").alias("terms"), F.count("used").alias("covered"))
     both = d.join(t, "wiki_id", "left").withColumns({"terms": F.coalesce("terms", F.lit(0)), "covered": F.coalesce("covered", F.lit(0))})
     both = both.withColumns({"document_share": F.col("referenced") / F.col("documents"), "term_share": F.coalesce(F.try_divide("covered", "terms"), F.lit(1.0))})
     return both.withColumn("rating", rating((F.col("document_share") + F.col("term_share")) / 2))
 
 
-def structure(pages: DataFrame) -> DataFrame:
+def structure(measures: DataFrame) -> DataFrame:
     """Mean depth of headings, a contents page, and how even the pages' lengths are."""
-    depth = F.when(occurrences(F.col("content"), "\n## ") > 0, 1.0).otherwise(0.0) + F.when(occurrences(F.col("content"), "\n### ") > 0, 0.5).otherwise(0.0)
-    low = F.lower("page_name")
-    n = F.length("content")
-    g = pages.groupBy("wiki_id").agg(
-        F.avg(depth).alias("depth"), F.bool_or(low.contains("overview") | low.contains("index") | low.contains("indhold")).alias("contents"), F.count("*").alias("pages"),
+    low, n = F.lower("page_name"), F.col("length")
+    g = measures.groupBy("wiki_id").agg(
+        F.avg("depth").alias("depth"), F.bool_or(low.contains("overview") | low.contains("index") | low.contains("indhold")).alias("contents"), F.count("*").alias("pages"),
         (1 - F.when((F.count("*") > 1) & (F.avg(n) > 0), F.stddev_samp(n) / F.avg(n)).otherwise(1.0)).alias("balance"), F.min(n).alias("shortest"), F.max(n).alias("longest"),
     )
     return g.withColumn("rating", rating(F.col("depth") / 1.5 * 0.5 + F.when(F.col("contents"), 0.3).otherwise(0.0) + F.col("balance") * 0.2))
 
 
-def citations(pages: DataFrame, covered: DataFrame) -> DataFrame:
+def citations(measures: DataFrame, covered: DataFrame) -> DataFrame:
     """Citations by form, per page, and the share of documents (of :func:`coverage`) that are named."""
-    count = lambda p: F.sum(F.regexp_count("content", F.lit(p)))
-    g = pages.groupBy("wiki_id").agg(count(r"\[[\d,\s]+\]").alias("bracket"), count(r"\[\^[\d]+\]").alias("footnote"), count(r"\([^)]*\d{4}[^)]*\)").alias("inline"), F.count("*").alias("pages"))
+    g = measures.groupBy("wiki_id").agg(*[F.sum(c).alias(c) for c in ("bracket", "footnote", "inline")], F.count("*").alias("pages"))
     g = g.join(covered.select("wiki_id", "document_share"), "wiki_id", "left").withColumn("total", F.col("bracket") + F.col("footnote") + F.col("inline"))
     most = F.greatest("bracket", "footnote", "inline")
     style = F.when(F.col("total") == 0, "none").when(F.col("bracket") == most, "bracket").when(F.col("footnote") == most, "footnote").otherwise("inline")
@@ -86,12 +98,9 @@ def citations(pages: DataFrame, covered: DataFrame) -> DataFrame:
     return g.withColumn("style", style).withColumn("rating", rating(F.least(F.lit(1.0), F.col("total") / F.col("pages") / 5) * 0.7 + share * 0.3))
 
 
-def language(pages: DataFrame) -> DataFrame:
+def language(measures: DataFrame) -> DataFrame:
     """The language of most pages, its share, and the mean share of pages with each kind of formatting."""
-    c = F.col("content")
-    has = {"headers": c.contains("## ") | c.contains("### "), "lists": c.contains("\n- ") | c.contains("\n* ") | c.contains("\n1. "), "code": c.contains("```"), "tables": c.contains("\n|")}
-    v = pages.withColumn("vote", language_vote(c))
-    g = v.groupBy("wiki_id").agg(*[F.count_if(F.col("vote") == x).alias(x) for x in ("danish", "english", "mixed")], *[F.count_if(x).alias(k) for k, x in has.items()], F.count("*").alias("pages"))
+    g = measures.groupBy("wiki_id").agg(*[F.count_if(F.col("vote") == x).alias(x) for x in ("danish", "english", "mixed")], *[F.count_if(F.col(k)).alias(k) for k in ("headers", "lists", "code", "tables")], F.count("*").alias("pages"))
     most = F.greatest("danish", "english", "mixed")
     primary = F.when(F.col("danish") == most, "danish").when(F.col("english") == most, "english").otherwise("mixed")
     g = g.withColumns({"primary": primary, "share": most / F.col("pages"), "formatting": (F.col("headers") + F.col("lists") + F.col("code") + F.col("tables")) / (4 * F.col("pages"))})
@@ -99,9 +108,10 @@ def language(pages: DataFrame) -> DataFrame:
 
 
 def overall(pages: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The weighted sum of the families' ratings, each as its number."""
-    covered = coverage(pages, documents, chunks)
-    families = {"coherence": coherence(pages), "coverage": covered, "structure": structure(pages), "citations": citations(pages, covered), "language": language(pages)}
+    """The weighted sum of the families' ratings, each as its number. Pages are read once; their measures are written and shared by the families."""
+    measures = materialize(page_measures(pages), "page-measures")
+    covered = materialize(coverage(measures, documents, chunks), "coverage")
+    families = {"coherence": coherence(measures), "coverage": covered, "structure": structure(measures), "citations": citations(measures, covered), "language": language(measures)}
     joined = None
     for name, df in families.items():
         one = df.select("wiki_id", F.col("rating").alias(name))

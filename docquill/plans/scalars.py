@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquill.functions import repair
+from docquill.functions.text import DANISH_WORDS, ENGLISH_WORDS
 from docquill.operators import wiki as W
 from docquill.plans.model import OWNED, owned_documents, table
+from docquill.plans.text import WORDS
 from docquill.registry import query
 
 
@@ -184,7 +186,7 @@ COHERENCE = f"""coh AS (SELECT wiki_id, coalesce(avg(CASE WHEN len(s) > 1 THEN l
 
 @query("wiki_coherence", f"WITH {WIKI}, {COHERENCE} SELECT wiki_id, round(average, 6)::DOUBLE AS average, round(sections, 6) AS sections, pages, {RATE.format(s='average')} AS rating FROM coh")
 def wiki_coherence(spark, sf_dir):
-    return W.coherence(wiki_pages(spark, sf_dir)).select("wiki_id", F.round("average", 6).alias("average"), F.round("sections", 6).alias("sections"), "pages", "rating")
+    return W.coherence(W.page_measures(wiki_pages(spark, sf_dir))).select("wiki_id", F.round("average", 6).alias("average"), F.round("sections", 6).alias("sections"), "pages", "rating")
 
 
 LONG = "list_transform(list_filter(string_split_regex({c}, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[a-zA-ZæøåÆØÅ]{{8,}}$')), lambda w: lower(w))"
@@ -196,7 +198,7 @@ COVERAGE = f"""named AS (SELECT DISTINCT wiki_id, unnest(regexp_extract_all(lowe
 
 @query("wiki_coverage", f"WITH {WIKI}, {COVERAGE} SELECT wiki_id, documents, referenced, coalesce(terms, 0) AS terms, coalesce(covered, 0) AS covered, {RATE.format(s='(ds + ts) / 2')} AS rating FROM cov")
 def wiki_coverage(spark, sf_dir):
-    return W.coverage(wiki_pages(spark, sf_dir), *wiki_sources(spark, sf_dir)).select("wiki_id", "documents", "referenced", "terms", "covered", "rating")
+    return W.coverage(W.page_measures(wiki_pages(spark, sf_dir)), *wiki_sources(spark, sf_dir)).select("wiki_id", "documents", "referenced", "terms", "covered", "rating")
 
 
 STRUCTURE = """st AS (SELECT wiki_id, avg(CASE WHEN contains(content, chr(10) || '## ') THEN 1.0 ELSE 0 END + CASE WHEN contains(content, chr(10) || '### ') THEN 0.5 ELSE 0 END) AS depth, bool_or(regexp_matches(page_name, 'overview|index|indhold')) AS contents, count(*) AS pages,
@@ -206,7 +208,7 @@ STRUCTURE_RATE = RATE.format(s="(depth / 1.5 * 0.5 + CASE WHEN contents THEN 0.3
 
 @query("wiki_structure", f"WITH {WIKI}, {STRUCTURE} SELECT wiki_id, round(depth, 6)::DOUBLE AS depth, contents, pages, round(balance, 6) AS balance, {STRUCTURE_RATE} AS rating FROM st")
 def wiki_structure(spark, sf_dir):
-    return W.structure(wiki_pages(spark, sf_dir)).select("wiki_id", F.round("depth", 6).alias("depth"), "contents", "pages", F.round("balance", 6).alias("balance"), "rating")
+    return W.structure(W.page_measures(wiki_pages(spark, sf_dir))).select("wiki_id", F.round("depth", 6).alias("depth"), "contents", "pages", F.round("balance", 6).alias("balance"), "rating")
 
 
 CITATION = r"""ci AS (SELECT wiki_id, CAST(sum(len(regexp_extract_all(content, '\[[\d,\s]+\]'))) AS BIGINT) AS bracket, CAST(sum(len(regexp_extract_all(content, '\[\^[\d]+\]'))) AS BIGINT) AS footnote, CAST(sum(len(regexp_extract_all(content, '\([^)]*\d{4}[^)]*\)'))) AS BIGINT) AS inline_, count(*) AS pages FROM pages_ GROUP BY 1)"""
@@ -215,18 +217,32 @@ CITATION_RATE = RATE.format(s="(least(1, (bracket + footnote + inline_) / pages
 
 @query("wiki_citation", f"WITH {WIKI}, {COVERAGE}, {CITATION} SELECT wiki_id, bracket, footnote, inline_ AS inline_citations, {CITATION_RATE} AS rating FROM ci JOIN cov USING (wiki_id)")
 def wiki_citation(spark, sf_dir):
-    pages = wiki_pages(spark, sf_dir)
+    pages = W.page_measures(wiki_pages(spark, sf_dir))
     c = W.citations(pages, W.coverage(pages, *wiki_sources(spark, sf_dir)))
     return c.select("wiki_id", *[F.col(x).cast("long").alias(x) for x in ("bracket", "footnote")], F.col("inline").cast("long").alias("inline_citations"), "rating")
 
 
-@query("wiki_language")
+LISTED = lambda names: ", ".join(repr(n) for n in names)
+LANGUAGE = rf"""votes AS (SELECT wiki_id, content, len(list_filter(w, lambda x: x IN ({LISTED(DANISH_WORDS)}))) AS da, len(list_filter(w, lambda x: x IN ({LISTED(ENGLISH_WORDS)}))) AS en FROM (SELECT wiki_id, content, ({WORDS.replace('text', 'lower(content)')})[1:200] AS w FROM pages_)),
+    voted AS (SELECT wiki_id, CASE WHEN da > en * 2 THEN 'danish' WHEN en > da * 2 THEN 'english' ELSE 'mixed' END AS vote, CASE WHEN contains(content, '## ') OR contains(content, '### ') THEN 1 ELSE 0 END + CASE WHEN contains(content, chr(10) || '- ') OR contains(content, chr(10) || '* ') OR contains(content, chr(10) || '1. ') THEN 1 ELSE 0 END
+        + CASE WHEN contains(content, '```') THEN 1 ELSE 0 END + CASE WHEN contains(content, chr(10) || '|') THEN 1 ELSE 0 END AS formats FROM votes),
+    tally AS (SELECT wiki_id, count(CASE WHEN vote = 'danish' THEN 1 END) AS da, count(CASE WHEN vote = 'english' THEN 1 END) AS en, count(CASE WHEN vote = 'mixed' THEN 1 END) AS mi, sum(formats) AS formats, count(*) AS pages FROM voted GROUP BY 1),
+    la AS (SELECT wiki_id, CASE WHEN da >= en AND da >= mi THEN 'danish' WHEN en >= mi THEN 'english' ELSE 'mixed' END AS prim, greatest(da, en, mi) / pages AS share, formats / (4 * pages) AS formatting FROM tally)"""
+LANGUAGE_RATE = RATE.format(s="(share * 0.7 + formatting * 0.3)")
+
+
+@query("wiki_language", f"WITH {WIKI}, {LANGUAGE} SELECT wiki_id, prim AS \"primary\", round(share, 6) AS share, round(formatting, 6)::DOUBLE AS formatting, {LANGUAGE_RATE} AS rating FROM la")
 def wiki_language(spark, sf_dir):
-    """The vote itself is held against SQL by language_vote."""
-    return W.language(wiki_pages(spark, sf_dir)).select("wiki_id", "primary", F.round("share", 6).alias("share"), F.round("formatting", 6).alias("formatting"), "rating")
+    return W.language(W.page_measures(wiki_pages(spark, sf_dir))).select("wiki_id", "primary", F.round("share", 6).alias("share"), F.round("formatting", 6).alias("formatting"), "rating")
+
+
+NUMBER = lambda c: f"CASE {c} WHEN 'Excellent' THEN 1.0 WHEN 'Good' THEN 0.75 WHEN 'Fair' THEN 0.5 ELSE 0.25 END"
+FAMILIES = (("coherence", 0.25), ("coverage", 0.30), ("structure", 0.20), ("citations", 0.15), ("language", 0.10))
+OVERALL = f"""rated AS (SELECT wiki_id, {RATE.format(s='average')} AS coherence, {RATE.format(s='(ds + ts) / 2')} AS coverage, {STRUCTURE_RATE} AS structure, {CITATION_RATE.replace('pages', 'ci.pages')} AS citations, {LANGUAGE_RATE} AS language
+    FROM coh JOIN cov USING (wiki_id) JOIN st USING (wiki_id) JOIN ci USING (wiki_id) JOIN la USING (wiki_id)), summed AS (SELECT *, round({' + '.join(f'{NUMBER(c)} * {w}' for c, w in FAMILIES)}, 6)::DOUBLE AS score FROM rated)"""
 
 
-@query("wiki_overall")
+@query("wiki_overall", f"WITH {WIKI}, {COHERENCE}, {COVERAGE}, {STRUCTURE}, {CITATION}, {LANGUAGE}, {OVERALL} SELECT wiki_id, coherence, coverage, structure, citations, language, score, {RATE.format(s='score')} AS overall FROM summed")
 def wiki_overall(spark, sf_dir):
     return W.overall(wiki_pages(spark, sf_dir), *wiki_sources(spark, sf_dir)).select("wiki_id", "coherence", "coverage", "structure", "citations", "language", "score", "overall")
 

@@ -129,8 +129,16 @@ def test_split_text():
     assert all(len(p) <= 1000 for p in pieces) and len(pieces) > 3
     assert "".join(pieces).replace("\n", "").replace(" ", "").startswith("word")
     cut = chunking.split_text("x" * 2500)
-    assert "".join(cut) == "x" * 2500 and all(len(p) <= 1000 for p in cut)
+    assert [len(p) for p in cut] == [1000, 1000, 900]
     assert chunking.split_text("short") == ["short"]
+    # levels are not mixed: what a later separator cut shares nothing with its neighbours
+    mixed = chunking.split_text("a " * 300 + "\n\n" + "b " * 900 + "\n\n" + "c " * 100)
+    assert [sorted(set(p) - {" ", "\n"}) for p in mixed] == [["a"], ["b"], ["b"], ["c"]] or [p[0] for p in mixed] == ["a", "b", "b", "b", "c"]
+    # small parts of one level: the last ones that fit into the overlap come again
+    parts = [f"{k}" * 300 for k in range(1, 6)]
+    assert chunking.split_text("\n\n".join(parts)) == ["\n\n".join(parts[:3]), "\n\n".join(parts[3:])]
+    parts = [f"{k}" * 150 for k in range(1, 9)]
+    assert chunking.split_text("\n\n".join(parts)) == ["\n\n".join(parts[:6]), "\n\n".join(parts[5:])]
 
 
 def test_prefix_dedup_keeps_best(spark):
