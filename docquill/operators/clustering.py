@@ -4,29 +4,40 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquill.scratch import materialize
+
 
 def cluster_count(n: Column, least: int = 4, most: int = 10) -> Column:
     return F.least(F.lit(most), F.greatest(F.lit(least), F.floor(n / 20))).cast("int")
 
 
-def clusters(chunks: DataFrame, least: int = 4, most: int = 10, tries: int = 3, seed: int = 42) -> DataFrame:
-    """``chunks`` with ``cluster``: the best of ``tries`` starts by cost. With fewer chunks than clusters each is on its own."""
+def clusters(chunks: DataFrame, least: int = 4, most: int = 10, tries: int = 10, seed: int = 42) -> DataFrame:
+    """``chunks`` with ``cluster``: the best of ``tries`` starts by cost. With fewer chunks than clusters, each is on its own.
+
+    The points are written once and read by every iteration.
+    """
     n = chunks.count()
     k = min(most, max(least, n // 20))
     if n < k:
-        return chunks.withColumn("cluster", F.lit(0))
-    points = chunks.withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
-    models = [KMeans(k=k, seed=seed + i, maxIter=20).fit(points) for i in range(tries)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(points).drop("features").withColumnRenamed("prediction", "cluster")
+        return chunks.withColumn("cluster", F.row_number().over(Window.orderBy("chunk_id")) - 1)  # at most ``least`` rows
+    points = materialize(chunks.select("chunk_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")), "points").select("chunk_id", array_to_vector("v").alias("features"))
+    best = None
+    for i in range(tries):
+        model = KMeans(k=k, seed=seed + i, maxIter=20).fit(points)
+        if best is None or model.summary.trainingCost < best.summary.trainingCost:
+            best = model
+    return chunks.join(best.transform(points).select("chunk_id", F.col("prediction").alias("cluster")), "chunk_id")
 
 
 def cluster_summaries(labelled: DataFrame, shown: int = 3, chars: int = 150) -> DataFrame:
-    """(cluster, n, samples): size and the first contents, cut and joined by a bar. The first ones are taken in each part of a cluster before they meet."""
-    c = labelled.select("cluster", F.struct("chunk_id", F.substring(F.coalesce("content", F.lit("")), 1, chars).alias("text")).alias("s"), F.pmod(F.xxhash64("chunk_id"), F.lit(64)).alias("part"))
-    local = c.groupBy("cluster", "part").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("s")), 1, shown).alias("s"))
-    whole = local.groupBy("cluster").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.flatten(F.collect_list("s"))), 1, shown).alias("s"))
-    return whole.select("cluster", "n", F.array_join(F.transform("s", lambda x: x["text"]), " | ").alias("samples"))
+    """(cluster, n, samples): size and the first contents, cut and joined by a bar. Only the first ``shown`` of each part of a cluster are held."""
+    size = labelled.groupBy("cluster").agg(F.count("*").alias("n"))
+    text = F.substring(F.coalesce("content", F.lit("")), 1, chars).alias("text")
+    part = Window.partitionBy("cluster", "part").orderBy("chunk_id")
+    few = labelled.select("cluster", "chunk_id", text, F.pmod(F.xxhash64("chunk_id"), F.lit(64)).alias("part")).withColumn("rn", F.row_number().over(part)).where(F.col("rn") <= shown)
+    first = few.withColumn("rn", F.row_number().over(Window.partitionBy("cluster").orderBy("chunk_id"))).where(F.col("rn") <= shown)
+    samples = first.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "text"))).alias("s"))
+    return size.join(samples, "cluster").select("cluster", "n", F.array_join(F.transform("s", lambda x: x["text"]), " | ").alias("samples"))

@@ -59,13 +59,13 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     return score(chunks, queries).orderBy(F.desc("similarity"), "chunk_id").limit(min(k, MOST))
 
 
-def nearest_of_each(scored: DataFrame, k: int = PER_QUERY, least: float | None = LEAST) -> DataFrame:
-    """The ``k`` best hits of each query with their ``rank``, at or above ``least``; first within parts of a query, then among the parts' best."""
+def nearest_of_each(scored: DataFrame, k: int = PER_QUERY, least: float | None = LEAST, group: list[str] | None = None) -> DataFrame:
+    """The ``k`` best hits of each query (or ``group``) with their ``rank``, at or above ``least``; first within parts, then among the parts' best."""
     kept = scored if least is None else scored.where(F.col("similarity") >= least)
-    by = [F.desc("similarity"), F.asc("chunk_id")]
-    part = Window.partitionBy("query_id", "__part").orderBy(*by)
+    by, group = [F.desc("similarity"), F.asc("chunk_id")], group or ["query_id"]
+    part = Window.partitionBy(*group, "__part").orderBy(*by)
     local = kept.withColumn("__part", F.pmod(F.xxhash64("chunk_id"), F.lit(64))).withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k)
-    return local.drop("__part").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).where(F.col("rank") <= k)
+    return local.drop("__part").withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*by))).where(F.col("rank") <= k)
 
 
 def first_of_prefix(hits: DataFrame, length: int, order: list[Column], within: list[str] | None = None) -> DataFrame:
@@ -83,15 +83,23 @@ def best_of_chunk(hits: DataFrame) -> DataFrame:
 def search(chunks: DataFrame, queries: DataFrame, allowed: DataFrame | None = None, k: int = TOP) -> DataFrame:
     """The pipeline of one query: nearest ``k``, then the document filter, similarity not below zero; if nothing is left, filter first. Then dedup by 100 characters.
 
-    ``allowed`` (doc_id): null means no filter, an empty table no rows.
+    ``allowed`` (doc_id): null means no filter, an empty table no rows. Both
+    rankings come from one pass: the best ``k`` of the allowed and of the other
+    documents hold the best ``k`` of all.
     """
-    hits = nearest(chunks, queries, k).withColumn("similarity", F.greatest("similarity", F.lit(0.0)))
-    if allowed is not None:
-        ids = allowed.select("doc_id").distinct()
-        hits = hits.join(ids, "doc_id", "left_semi")
-        if hits.isEmpty():
-            hits = nearest(chunks.join(ids, "doc_id", "left_semi"), queries, k)
-    return first_of_prefix(hits, 100, best_first()).orderBy(F.desc("similarity"), "chunk_id").limit(k)
+    if allowed is None:
+        hits = nearest(chunks, queries, k).withColumn("similarity", F.greatest("similarity", F.lit(0.0)))
+        return first_of_prefix(hits, 100, best_first()).orderBy(F.desc("similarity"), "chunk_id").limit(k)
+    ids = allowed.select(F.col("doc_id").alias("allowed_id")).distinct()
+    marked = chunks.select("chunk_id", "doc_id", "embedding").join(ids, F.col("doc_id") == F.col("allowed_id"), "left").withColumn("allowed", F.col("allowed_id").isNotNull()).drop("allowed_id")
+    best = nearest_of_each(score(marked, queries), min(k, MOST), None, ["query_id", "allowed"])
+    of_query = Window.partitionBy("query_id")  # at most two times ``k`` rows
+    best = best.withColumn("all_rank", F.row_number().over(of_query.orderBy(F.desc("similarity"), "chunk_id"))).where("allowed")
+    left = F.count_if(F.col("all_rank") <= k).over(of_query)
+    hits = best.withColumn("left", left).where((F.col("left") == 0) | (F.col("all_rank") <= k))
+    hits = hits.withColumn("similarity", F.when(F.col("left") > 0, F.greatest("similarity", F.lit(0.0))).otherwise(F.col("similarity")))
+    whole = hits.select("query_id", "chunk_id", "similarity").join(chunks.drop("embedding"), "chunk_id")
+    return first_of_prefix(whole, 100, best_first()).orderBy(F.desc("similarity"), "chunk_id").limit(k)
 
 
 def ranked_similarity(similarity: Column, rank: Column) -> Column:
@@ -106,13 +114,29 @@ def numbered_citations(hits: DataFrame, top: int = 20) -> DataFrame:
     return first.withColumn("citation", F.dense_rank().over(Window.partitionBy("page_id").orderBy("first"))).drop("first")
 
 
-def context(hits: DataFrame, most: int, chars: int, group: str = "query_id") -> DataFrame:
-    """(group, context): the first ``most`` hits as ``[document, chunk]`` and the first ``chars`` of their content, in rank order."""
-    line = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit(", "), F.col("chunk_id").cast("string"), F.lit("] "), F.substring(F.coalesce("content", F.lit("")), 1, chars))
+def context(hits: DataFrame, most: int, chars: int | None, group: str = "query_id") -> DataFrame:
+    """(group, context): the first ``most`` hits as ``[document, chunk]`` and their content, or its first ``chars``, in rank order."""
+    content = F.coalesce("content", F.lit(""))
+    line = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit(", "), F.col("chunk_id").cast("string"), F.lit("] "), content if chars is None else F.substring(content, 1, chars))
     few = hits.where(F.col("rank") <= most).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
     return few.select(group, F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("context"))
 
 
+def page_excerpts(hits: DataFrame, top: int = 20, shown: int = 12, chars: int = 600) -> DataFrame:
+    """(page_id, excerpts, footnotes) of hits (page_id, rank, doc_id, filename, page, similarity, content): the first ``shown`` as excerpts, the documents of the first ``top`` as numbered footnotes."""
+    few = numbered_citations(hits, top)
+    excerpt = F.concat(
+        F.lit("Excerpt "), F.col("rank").cast("string"), F.lit(":\nSource: ["), F.col("filename"), F.lit(", page "), F.coalesce(F.col("page").cast("string"), F.lit("N/A")), F.lit("]\nRelevance: "),
+        F.format_string("%.3f", "similarity"), F.lit("\nContent: "), F.substring(F.coalesce("content", F.lit("")), 1, chars), F.lit("..."),
+    )
+    joined = lambda c: F.array_join(F.transform(F.sort_array(c), lambda x: x["text"]), "\n")
+    note = F.concat(F.lit("["), F.col("citation").cast("string"), F.lit("] "), F.col("filename"))
+    return few.groupBy("page_id").agg(
+        joined(F.collect_list(F.when(F.col("rank") <= shown, F.struct("rank", excerpt.alias("text"))))).alias("excerpts"),
+        joined(F.collect_set(F.struct("citation", note.alias("text")))).alias("footnotes"),
+    )
+
+
 def answer_quality(similarities: Column) -> Column:
     """Struct of relevance, completeness, score and level from an array of similarities, best first."""
     n = F.size(similarities)
