@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquill.operators import access as A
 from docquill.plans.model import CHUNKS, OWNED, PROJECTS, QUERY_RUNS, RUNS, chunks, owned_documents, projects, query_runs, runs, table
+from docquill.functions import records as RC
 from docquill.registry import query
 
 UID = 3
@@ -236,9 +237,18 @@ def backfill_sync(spark, sf_dir):
 # pages of results
 
 
-@query("paginate", f"WITH {RUNS} SELECT run_id, created FROM runs ORDER BY created DESC, run_id LIMIT 50 OFFSET 100")
+def page_of(rows, order, limit: int, offset: int, most: int = 100):
+    """A page of ordered rows; limit and offset stay within their bounds."""
+    limit, offset = RC.page_limit(limit, offset, most)
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+@query("paginate", f"WITH {RUNS} (SELECT 'queries' AS list, run_id, created FROM runs ORDER BY created DESC, run_id LIMIT 100) UNION ALL (SELECT 'runs', run_id, created FROM runs ORDER BY created DESC, run_id LIMIT 50 OFFSET 100)")
 def paginate(spark, sf_dir):
-    return runs(spark, sf_dir).orderBy(F.desc("created"), "run_id").offset(100).limit(50).select("run_id", "created")
+    """A list of queries asked for 500 from -3 on, and one of runs asked for 80 from 100 on: the bounds are 100 and 50, and the start."""
+    r, order = runs(spark, sf_dir).select("run_id", "created"), [F.desc("created"), F.asc("run_id")]
+    first, second = page_of(r, order, 500, -3), page_of(r, order, 80, 100, 50)
+    return first.select(F.lit("queries").alias("list"), "*").unionByName(second.select(F.lit("runs").alias("list"), "*"))
 
 
 @query("exact_count", f"WITH {RUNS} SELECT run_id, (SELECT count(*) FROM runs WHERE status = 'completed') AS total, 0 + 20 < (SELECT count(*) FROM runs WHERE status = 'completed') AS has_more FROM runs WHERE status = 'completed' ORDER BY created DESC, run_id LIMIT 20")
@@ -255,10 +265,14 @@ def sort_null_default(spark, sf_dir):
     return projects(spark, sf_dir).join(last, F.col("u") == F.col("project_id"), "left").select("project_id", F.coalesce("l", F.lit(0)).alias("k")).orderBy(F.desc("k"), "project_id").limit(30)
 
 
-@query("status_priority_sort", f"""WITH {RUNS} SELECT run_id, status, CASE status WHEN 'failed' THEN 0 WHEN 'running' THEN 1 ELSE 2 END AS priority FROM runs ORDER BY priority, run_id LIMIT 40""")
+@query("status_priority_sort", """SELECT doc_id, status, CASE status WHEN 'pending_clarification' THEN 1 WHEN 'conditions' THEN 2 WHEN 'risk' THEN 3 WHEN 'missing' THEN 4 ELSE 5 END AS priority
+    FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'pending_clarification' WHEN quality = 1 AND toxic = 0 THEN 'found' WHEN quality = 1 THEN 'risk' WHEN toxic = 1 THEN 'conditions' ELSE 'missing' END AS status FROM labels) ORDER BY 3, 1""")
 def status_priority_sort(spark, sf_dir):
-    priority = F.create_map(*[F.lit(x) for kv in (("failed", 0), ("running", 1), ("completed", 2)) for x in kv])
-    return runs(spark, sf_dir).select("run_id", "status", F.element_at(priority, F.col("status")).alias("priority")).orderBy("priority", "run_id").limit(40)
+    """Results of a checklist in the order in which they are shown."""
+    good, toxic = F.col("quality") == 1, F.col("toxic") == 1
+    status = F.when(F.col("doc_id") % 9 == 0, "pending_clarification").when(good & ~toxic, "found").when(good, "risk").when(toxic, "conditions").otherwise("missing")
+    r = table(spark, sf_dir, "labels").select("doc_id", status.alias("status"))
+    return r.withColumn("priority", RC.checklist_priority(F.col("status"))).orderBy("priority", "doc_id")
 
 
 @query("wiki_initial", f"""WITH {RUNS}, first AS (SELECT project_id, max_by(run_id, struct_pack(a := created, b := run_id)) AS run_id FROM runs WHERE status = 'completed' GROUP BY 1)
@@ -277,6 +291,6 @@ def preview_first_n(spark, sf_dir):
 
 
 @query("expiry", f"WITH {RUNS} SELECT upload_type, count(*) AS n FROM runs WHERE created + INTERVAL 30 DAY < TIMESTAMP '1998-01-01' AND status <> 'running' GROUP BY 1")
-def expiry(spark, sf_dir):
-    gone = (F.col("created") + F.expr("INTERVAL 30 DAYS") < F.lit("1998-01-01").cast("timestamp_ntz")) & (F.col("status") != "running")
+def expiry(spark, sf_dir, moment: str = "1998-01-01", days: int = 30):
+    gone = (F.col("created") + F.make_dt_interval(F.lit(days)) < F.lit(moment).cast("timestamp_ntz")) & (F.col("status") != "running")
     return runs(spark, sf_dir).where(gone).groupBy("upload_type").agg(F.count("*").alias("n"))

@@ -5,30 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docquill.functions import records as RC
+from docquill.functions.text import caption_word_count, has_numbers, text_complexity
 from docquill.functions.vectors import norm
 from docquill.operators import validation as V
 from docquill.operators.chunking import composed
 from docquill.plans.model import CHUNKS, ELEMENTS, OWNED, QUERY_RUNS, RUNS, chunks, elements, owned_documents, query_runs, runs, table
+from docquill.plans.text import COMPLEXITY, HAS_NUMBERS, WORDS
 from docquill.registry import query
 
 NUM = "TRY_CAST(json_extract_string(meta, '$.k') AS DOUBLE)"
+#: JSON paths of the measures of a query run: confidence, relevance and three step timings.
+MEASURES = {"confidence": "$.performance.confidence", "relevance": "$.quality.relevance_score", "query_processing": "$.timings.query_processing", "retrieval": "$.timings.retrieval", "generation": "$.timings.generation"}
 
 
-def log_metrics():
-    """The measures of a group of query runs."""
-    k = F.get_json_object("meta", "$.k").try_cast("double")
+def log_metrics(measures: dict[str, str] = MEASURES, column: str = "metrics"):
+    """The measures of a group of query runs; those in JSON by their paths, what is no number left out."""
+    value = lambda path: F.get_json_object(column, path).try_cast("double")
     return [
         F.count("*").alias("total"), F.count(F.when(F.col("status") == "completed", 1)).alias("successful"), F.count(F.when(F.col("status") == "failed", 1)).alias("failed"),
-        F.round(F.avg("response_ms"), 6).alias("avg_response"), F.round(F.avg(k), 6).alias("avg_k"),
+        F.round(F.avg("response_ms"), 6).alias("avg_response"), *[F.round(F.avg(value(path)), 6).alias(f"avg_{name}") for name, path in measures.items()],
     ]
 
 
-LOG = f"count(*) AS total, count(CASE WHEN status = 'completed' THEN 1 END) AS successful, count(CASE WHEN status = 'failed' THEN 1 END) AS failed, round(avg(response_ms), 6) AS avg_response, round(avg({NUM}), 6) AS avg_k"
+def logged(spark, sf_dir):
+    """Query runs with their metrics as JSON; every seventh run has no timings, every eleventh one that is no number."""
+    r, k = query_runs(spark, sf_dir), F.get_json_object("meta", "$.k").try_cast("double")
+    timings = F.when(F.col("id") % 7 > 0, F.struct((k / 8).alias("query_processing"), (k / 4).alias("retrieval"), F.when(F.col("id") % 11 == 0, "slow").otherwise((k / 2).cast("string")).alias("generation")))
+    return r.withColumn("metrics", F.to_json(F.struct(F.struct((k / 128).alias("confidence")).alias("performance"), F.struct((k / 64).alias("relevance_score")).alias("quality"), timings.alias("timings"))))
+
+
+LOG = f"""count(*) AS total, count(CASE WHEN status = 'completed' THEN 1 END) AS successful, count(CASE WHEN status = 'failed' THEN 1 END) AS failed, round(avg(response_ms), 6) AS avg_response, round(avg({NUM} / 128), 6) AS avg_confidence, round(avg({NUM} / 64), 6) AS avg_relevance,
+    round(avg(CASE WHEN id % 7 > 0 THEN {NUM} / 8 END), 6) AS avg_query_processing, round(avg(CASE WHEN id % 7 > 0 THEN {NUM} / 4 END), 6) AS avg_retrieval, round(avg(CASE WHEN id % 7 > 0 AND id % 11 > 0 THEN {NUM} / 2 END), 6) AS avg_generation"""
 
 
 @query("query_analytics", f"WITH {QUERY_RUNS} SELECT CAST(date_trunc('day', ts) AS DATE) AS day, {LOG} FROM query_runs GROUP BY 1")
 def query_analytics(spark, sf_dir):
-    return query_runs(spark, sf_dir).groupBy(F.col("ts").cast("date").alias("day")).agg(*log_metrics())
+    return logged(spark, sf_dir).groupBy(F.col("ts").cast("date").alias("day")).agg(*log_metrics())
 
 
 @query("day_bucket", f"WITH {QUERY_RUNS} SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM query_runs GROUP BY ALL")
@@ -39,17 +52,21 @@ def day_bucket(spark, sf_dir):
 RECENT = "ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 72 HOUR"
 
 
+def since(runs, moment: str, hours: int):
+    """Runs of the last hours before a moment."""
+    return runs.where(F.col("ts") >= F.lit(moment).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(hours)))
+
+
 @query("recent_query_performance", f"WITH {QUERY_RUNS} SELECT {LOG}, CASE WHEN count(*) > 0 THEN round(count(CASE WHEN status = 'completed' THEN 1 END) * 100.0 / count(*), 6) ELSE 0 END AS success_rate FROM query_runs WHERE {RECENT}")
-def recent_query_performance(spark, sf_dir):
+def recent_query_performance(spark, sf_dir, moment: str = "2024-01-20 00:00:00", hours: int = 72):
     """Over the last hours before a given moment."""
-    recent = query_runs(spark, sf_dir).where(F.col("ts") >= F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00' - INTERVAL 72 HOURS"))
     rate = F.coalesce(F.try_divide(F.col("successful") * 100.0, F.col("total")), F.lit(0.0))
-    return recent.agg(*log_metrics()).withColumn("success_rate", F.round(rate, 6))
+    return since(logged(spark, sf_dir), moment, hours).agg(*log_metrics()).withColumn("success_rate", F.round(rate, 6))
 
 
 @query("hours_back", f"WITH {QUERY_RUNS} SELECT id, ts FROM query_runs WHERE {RECENT}")
-def hours_back(spark, sf_dir):
-    return query_runs(spark, sf_dir).where(F.col("ts") >= F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00' - INTERVAL 72 HOURS")).select("id", "ts")
+def hours_back(spark, sf_dir, moment: str = "2024-01-20 00:00:00", hours: int = 72):
+    return since(query_runs(spark, sf_dir), moment, hours).select("id", "ts")
 
 
 @query("json_path_float", f"WITH {QUERY_RUNS} SELECT id, {NUM} AS k FROM query_runs")
@@ -57,12 +74,16 @@ def json_path_float(spark, sf_dir):
     return query_runs(spark, sf_dir).select("id", F.get_json_object("meta", "$.k").try_cast("double").alias("k"))
 
 
-@query("pipeline_metrics", f"""WITH {QUERY_RUNS}, newest AS (SELECT * FROM query_runs ORDER BY ts DESC, id LIMIT 100)
-    SELECT count(*) AS total, CAST(floor(avg(response_ms)) AS BIGINT) AS avg_response, round(count(CASE WHEN status = 'completed' THEN 1 END) / count(*), 6) AS success_rate FROM newest""")
+@query("pipeline_metrics", f"""WITH {QUERY_RUNS}, newest AS (SELECT *, row_number() OVER (ORDER BY ts DESC, id) AS place FROM query_runs ORDER BY ts DESC, id LIMIT 100)
+    SELECT count(*) AS total, CAST(floor(avg(response_ms)) AS BIGINT) AS avg_response, round(count(CASE WHEN status = 'completed' THEN 1 END) / count(*), 6) AS success_rate, string_agg(CASE WHEN place <= 10 THEN substr(event_type || ' by ' || user_id || ': ' || meta, 1, 50) END, ' | ' ORDER BY place) AS previews FROM newest""")
 def pipeline_metrics(spark, sf_dir):
+    """Of the newest hundred runs, with previews of the first ten."""
     newest = query_runs(spark, sf_dir).orderBy(F.desc("ts"), "id").limit(100)
+    place = F.row_number().over(Window.orderBy(F.desc("ts"), "id"))  # a hundred rows
+    newest = newest.withColumn("place", place).withColumn("shown", F.substring(F.concat("event_type", F.lit(" by "), F.col("user_id").cast("string"), F.lit(": "), "meta"), 1, 50))
     done = F.count(F.when(F.col("status") == "completed", 1))
-    return newest.agg(F.count("*").alias("total"), F.floor(F.avg("response_ms")).alias("avg_response"), F.round(done / F.count("*"), 6).alias("success_rate"))
+    previews = F.transform(F.sort_array(F.collect_list(F.when(F.col("place") <= 10, F.struct("place", "shown")))), lambda x: x["shown"])
+    return newest.agg(F.count("*").alias("total"), F.floor(F.avg("response_ms")).alias("avg_response"), F.round(done / F.count("*"), 6).alias("success_rate"), F.array_join(previews, " | ").alias("previews"))
 
 
 @query("storage_usage_stats", f"WITH {OWNED} SELECT upload_type, count(*) AS files, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS bytes, round(coalesce(avg(n_chars), 0), 6) AS avg_bytes FROM owned GROUP BY 1")
@@ -141,10 +162,12 @@ def section_header_distribution(spark, sf_dir):
     return elements(spark, sf_dir).where("category = 'Title'").groupBy(F.col("text").alias("section")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "section").limit(10)
 
 
-@query("metadata_summary", f"""WITH {ELEMENTS} SELECT page % 3 AS kind, count(*) AS n, CAST(count(CASE WHEN regexp_matches(text, '\\d+[.,]\\d+') THEN 1 END) AS BIGINT) AS with_decimals, CAST(count(CASE WHEN category = 'Title' THEN 1 END) AS BIGINT) AS with_sections FROM elements GROUP BY 1""")
+@query("metadata_summary", f"""WITH {ELEMENTS} SELECT page % 3 AS kind, count(*) AS n, CAST(count(CASE WHEN {HAS_NUMBERS} THEN 1 END) AS BIGINT) AS with_numbers, CAST(count(CASE WHEN category = 'Title' THEN 1 END) AS BIGINT) AS with_sections,
+    CAST(count(CASE WHEN c = 'simple' THEN 1 END) AS BIGINT) AS simple, CAST(count(CASE WHEN c = 'medium' THEN 1 END) AS BIGINT) AS medium, CAST(count(CASE WHEN c = 'complex' THEN 1 END) AS BIGINT) AS complex FROM (SELECT *, {COMPLEXITY} AS c FROM elements) GROUP BY 1""")
 def metadata_summary(spark, sf_dir):
-    e = elements(spark, sf_dir)
-    return e.groupBy((F.col("page") % 3).alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(r"\d+[.,]\d+")).alias("with_decimals"), F.count_if(F.col("category") == "Title").alias("with_sections"))
+    """With numbers, with section titles, and how many of each complexity."""
+    e = elements(spark, sf_dir).withColumn("c", text_complexity(F.col("text")))
+    return e.groupBy((F.col("page") % 3).alias("kind")).agg(F.count("*").alias("n"), F.count_if(has_numbers(F.col("text"))).alias("with_numbers"), F.count_if(F.col("category") == "Title").alias("with_sections"), *[F.count_if(F.col("c") == x).alias(x) for x in ("simple", "medium", "complex")])
 
 
 @query("embedding_quality", """WITH x AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings), n AS (SELECT vec_id, label, sqrt(sum(v * v)) AS norm FROM x GROUP BY ALL),
@@ -178,11 +201,10 @@ def index_verification(spark, sf_dir):
     return e.withColumn("status", F.when(F.col("n") > 0, "verified").otherwise("failed"))
 
 
-@query("enrichment_summary", f"WITH {ELEMENTS} SELECT doc_id, CAST(count(CASE WHEN category = 'UncategorizedText' THEN 1 END) AS BIGINT) AS tables, CAST(sum(CASE WHEN category = 'UncategorizedText' THEN length(text) - length(replace(text, ' ', '')) + 1 ELSE 0 END) AS BIGINT) AS words FROM elements GROUP BY 1")
+@query("enrichment_summary", f"WITH {ELEMENTS} SELECT doc_id, CAST(count(CASE WHEN category = 'UncategorizedText' THEN 1 END) AS BIGINT) AS tables, CAST(sum(CASE WHEN category = 'UncategorizedText' THEN len({WORDS}) ELSE 0 END) AS BIGINT) AS words FROM elements GROUP BY 1")
 def enrichment_summary(spark, sf_dir):
     t = F.col("category") == "UncategorizedText"
-    spaces = (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).cast("long")
-    return elements(spark, sf_dir).groupBy("doc_id").agg(F.count_if(t).alias("tables"), F.sum(F.when(t, spaces).otherwise(0)).alias("words"))
+    return elements(spark, sf_dir).groupBy("doc_id").agg(F.count_if(t).alias("tables"), F.sum(F.when(t, caption_word_count(F.col("text"))).otherwise(0)).alias("words"))
 
 
 @query("wiki_metadata_summary", f"WITH {CHUNKS}, {OWNED} SELECT o.project_id, count(DISTINCT c.doc_id) AS documents, count(*) AS chunks, CAST(sum(coalesce(o.n_chars, 0)) AS BIGINT) AS chars FROM chunks c JOIN owned o USING (doc_id) GROUP BY 1")
@@ -191,18 +213,26 @@ def wiki_metadata_summary(spark, sf_dir):
     return met.groupBy("project_id").agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks"), F.sum(F.coalesce("n_chars", F.lit(0))).alias("chars"))
 
 
-@query("validation_batch", f"""WITH {OWNED} SELECT project_id, bool_and(n_chars < 10000) AS is_valid, CAST(sum(n_chars // 500) AS BIGINT) AS pages, round(sum(n_chars // 500) * 6.0 / 60, 6) AS minutes,
-    coalesce(string_agg(CASE WHEN n_chars >= 10000 THEN filename || ': too long' END, '; ' ORDER BY doc_id), '') AS errors FROM owned GROUP BY 1""")
+@query("validation_batch", f"""WITH {OWNED} SELECT project_id, bool_and(n_chars < 10000) AS is_valid, CAST(sum(n_chars // 500) AS BIGINT) AS pages, round(sum(n_chars // 500) * 6.0 / 60, 6) AS minutes, CAST(count(CASE WHEN n_chars >= 10000 THEN 1 END) AS BIGINT) AS errors FROM owned GROUP BY 1""")
 def validation_batch(spark, sf_dir):
+    """A batch as a whole; its errors are counted here and listed by validation_errors, a row each."""
     pages = F.floor(F.col("n_chars") / 500)
-    errors = F.transform(F.sort_array(F.collect_list(F.when(F.col("n_chars") >= 10000, F.struct("doc_id", F.concat("filename", F.lit(": too long")).alias("e"))))), lambda x: x["e"])
-    return owned_documents(spark, sf_dir).groupBy("project_id").agg(F.bool_and(F.col("n_chars") < 10000).alias("is_valid"), F.sum(pages).alias("pages"), F.round(F.sum(pages) * 6.0 / 60, 6).alias("minutes"), F.array_join(errors, "; ").alias("errors"))
+    return owned_documents(spark, sf_dir).groupBy("project_id").agg(F.bool_and(F.col("n_chars") < 10000).alias("is_valid"), F.sum(pages).alias("pages"), F.round(F.sum(pages) * 6.0 / 60, 6).alias("minutes"), F.count_if(F.col("n_chars") >= 10000).alias("errors"))
 
 
-@query("run_timings", "SELECT l_orderkey AS run_id, round(sum(l_extendedprice), 4) AS total_time, round(max(l_extendedprice), 4) AS slowest FROM lineitem GROUP BY 1")
+@query("validation_errors", f"WITH {OWNED} SELECT project_id, doc_id, filename || ': too long' AS error FROM owned WHERE n_chars >= 10000")
+def validation_errors(spark, sf_dir):
+    return owned_documents(spark, sf_dir).where("n_chars >= 10000").select("project_id", "doc_id", F.concat("filename", F.lit(": too long")).alias("error"))
+
+
+@query("run_timings", """WITH t AS (SELECT user_id AS run_id, event_type AS step, sum(value) / 1000 AS seconds FROM events GROUP BY ALL)
+    SELECT run_id, string_agg(step || '=' || printf('%.3f', seconds), ',' ORDER BY step) AS steps, round(sum(seconds), 6) AS total_time, round(max(seconds), 6) AS slowest FROM t GROUP BY 1""")
 def run_timings(spark, sf_dir):
-    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id"))
-    return g.agg(F.round(F.sum("l_extendedprice"), 4).alias("total_time"), F.round(F.max("l_extendedprice"), 4).alias("slowest"))
+    """Seconds by step of each run as a map, their sum and the slowest; the log is summed by step before it meets by run."""
+    t = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_id"), F.col("event_type").alias("step")).agg((F.sum("value") / 1000).alias("seconds"))
+    g = t.groupBy("run_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("step", "seconds")))).alias("steps"), F.round(F.sum("seconds"), 6).alias("total_time"), F.round(F.max("seconds"), 6).alias("slowest"))
+    shown = F.transform(F.map_entries("steps"), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.3f", e["value"])))
+    return g.select("run_id", F.array_join(shown, ",").alias("steps"), "total_time", "slowest")
 
 
 STATUS = "CASE WHEN quality = 1 AND toxic = 0 THEN 'found' WHEN quality = 1 THEN 'risk' WHEN toxic = 1 THEN 'conditions' ELSE 'missing' END"
@@ -369,19 +399,27 @@ def error_category(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", V.error_category(F.col("event_id") % 600, message).alias("category"))
 
 
-@query("compose_content", f"""WITH {ELEMENTS}, t AS (SELECT doc_id, seq, CASE WHEN seq % 5 = 0 THEN 'Table' WHEN seq % 5 = 1 THEN 'Image' ELSE category END AS c, CASE WHEN seq % 2 = 0 THEN 'see Table ' || text ELSE text END AS t FROM elements)
-    SELECT doc_id, seq, CASE WHEN c = 'Table' THEN concat('Type: Table', chr(10), chr(10), 'Summary: ', t) WHEN c = 'Image' THEN concat('Type: Image', chr(10), chr(10), 'Summary: ', t)
-        WHEN c = 'UncategorizedText' AND regexp_matches(lower(t), 'tabel|table|figur|figure') THEN concat('Type: Reference', chr(10), chr(10), 'Content: ', t) ELSE t END AS content FROM t""")
+SECTIONED = f"t AS (SELECT doc_id, seq, CASE WHEN seq % 5 = 0 THEN 'Table' WHEN seq % 5 = 1 THEN 'Image' ELSE category END AS c, CASE WHEN seq % 2 = 0 THEN 'see Table ' || text ELSE text END AS t, CASE WHEN seq % 3 > 0 THEN 'Part ' || page ELSE 'Unknown Section' END AS s FROM elements)"
+
+
+@query("compose_content", f"""WITH {ELEMENTS}, {SECTIONED}, b AS (SELECT *, CASE WHEN c = 'Table' THEN concat('Type: Table', chr(10), chr(10), 'Summary: ', t) WHEN c = 'Image' THEN concat('Type: Image', chr(10), chr(10), 'Summary: ', t)
+        WHEN c = 'UncategorizedText' AND regexp_matches(lower(t), 'tabel|table|figur|figure') THEN concat('Type: Reference', chr(10), chr(10), 'Content: ', t) ELSE t END AS content FROM t)
+    SELECT doc_id, seq, content, CASE WHEN c IN ('Table', 'Image') OR content <> t THEN concat('Context: ', s, chr(10), chr(10), content) WHEN c IN ('NarrativeText', 'ListItem', 'UncategorizedText') THEN concat('Section: ', s, chr(10), chr(10), CASE WHEN c = 'NarrativeText' AND t = '' THEN '[Empty list]' ELSE content END) ELSE content END AS titled FROM b""")
 def compose_content(spark, sf_dir):
+    """Contents by category, without and with the section's title."""
     e = elements(spark, sf_dir)
     c = F.when(F.col("seq") % 5 == 0, "Table").when(F.col("seq") % 5 == 1, "Image").otherwise(F.col("category"))
     t = F.when(F.col("seq") % 2 == 0, F.concat(F.lit("see Table "), F.col("text"))).otherwise(F.col("text"))
-    return e.select("doc_id", "seq", composed(c, t).alias("content"))
+    section = F.when(F.col("seq") % 3 > 0, F.concat(F.lit("Part "), F.col("page").cast("string")))
+    return e.select("doc_id", "seq", composed(c, t).alias("content"), composed(c, t, None, section).alias("titled"))
 
 
-@query("extract_text_chain", f"WITH {ELEMENTS} SELECT doc_id, seq, CASE WHEN seq % 4 = 0 THEN 'caption ' || seq WHEN seq % 4 = 1 THEN text WHEN seq % 4 = 2 THEN 'html' ELSE '[IMAGE PAGE]' END AS value FROM elements")
+@query("extract_text_chain", f"""WITH {ELEMENTS} SELECT doc_id, seq, CASE seq % 7 WHEN 0 THEN CASE WHEN text <> '' THEN text ELSE '' END WHEN 1 THEN text WHEN 2 THEN 'original ' || text WHEN 3 THEN CASE WHEN text <> '' THEN text || chr(10) || chr(10) ELSE '' END || category || chr(10) || page WHEN 4 THEN '<p>' || text || '</p>' WHEN 5 THEN '[IMAGE PAGE]' ELSE '' END AS value FROM elements""")
 def extract_text_chain(spark, sf_dir):
-    """Caption, then text, then the original, then the placeholder."""
-    k = F.col("seq") % 4
-    chain = F.coalesce(F.when(k == 0, F.concat(F.lit("caption "), F.col("seq"))), F.when(k == 1, F.col("text")), F.when(k == 2, F.lit("html")), F.lit("[IMAGE PAGE]"))
+    """Caption, text, the original's text, narrative with list items, markup, the placeholder, nothing: a different part of the elements is there in turn."""
+    at = lambda k, c: F.when(F.col("seq") % 7 == k, c)
+    text = F.col("text")
+    chain = RC.extracted_text(
+        at(0, text), at(1, text), at(2, F.concat(F.lit("original "), text)), at(3, text), at(3, F.array("category", F.col("page").cast("string"))), at(4, F.concat(F.lit("<p>"), text, F.lit("</p>"))), at(5, F.lit("full_page_with_images"))
+    )
     return elements(spark, sf_dir).select("doc_id", "seq", chain.alias("value"))

@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. A file of one row group is read by one task; the setting ``docquill.spread`` deals the rows of texts to so many.
+
+    That moves the texts once, so it is off by default and should stay off where
+    a table has more row groups than the cluster has cores.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    spread = spark.conf.get("docquill.spread", None)
+    return df.repartition(int(spread)) if spread and name in ("documents", "pages") else df
 
 
 def elements(spark, sf_dir: str) -> DataFrame:

@@ -58,14 +58,15 @@ def chunk_documents(spark, sf_dir):
     return c.select("doc_id", "seq", "piece", "total", "page", "category", "chunk_id", F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
 
 
-@query("token_batches", f"""WITH RECURSIVE {OWNED}, t AS (SELECT project_id, doc_id, CAST(floor(length(text) * 1.8) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY project_id ORDER BY doc_id) AS n FROM owned),
-    f AS (SELECT project_id, doc_id, n, tokens, tokens AS held, 1 AS count_, 0 AS batch FROM t WHERE n = 1 UNION ALL
-        SELECT t.project_id, t.doc_id, t.n, t.tokens, CASE WHEN f.held + t.tokens > 100000 OR f.count_ >= 100 THEN t.tokens ELSE f.held + t.tokens END, CASE WHEN f.held + t.tokens > 100000 OR f.count_ >= 100 THEN 1 ELSE f.count_ + 1 END,
-            f.batch + CASE WHEN f.held + t.tokens > 100000 OR f.count_ >= 100 THEN 1 ELSE 0 END FROM f JOIN t ON t.project_id = f.project_id AND t.n = f.n + 1)
-    SELECT project_id, doc_id AS seq, tokens, batch FROM f""")
+@query("token_batches", f"""WITH RECURSIVE {ELEMENTS}, t AS (SELECT doc_id, seq, CAST(floor(length(text) * 1.8) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM elements),
+    f AS (SELECT doc_id, seq, n, tokens, tokens AS held, 1 AS count_, 0 AS batch FROM t WHERE n = 1 UNION ALL
+        SELECT t.doc_id, t.seq, t.n, t.tokens, CASE WHEN f.held + t.tokens > 2000 OR f.count_ >= 10 THEN t.tokens ELSE f.held + t.tokens END, CASE WHEN f.held + t.tokens > 2000 OR f.count_ >= 10 THEN 1 ELSE f.count_ + 1 END,
+            f.batch + CASE WHEN f.held + t.tokens > 2000 OR f.count_ >= 10 THEN 1 ELSE 0 END FROM f JOIN t ON t.doc_id = f.doc_id AND t.n = f.n + 1)
+    SELECT doc_id, seq, tokens, batch FROM f""")
 def token_batches(spark, sf_dir):
-    d = owned_documents(spark, sf_dir).select("project_id", F.col("doc_id").alias("seq"), token_estimate(F.col("text")).alias("tokens"))
-    return C.token_batches(d, "project_id")
+    """The texts of each document in batches, so that no group is larger than a document; small bounds, so that both bind."""
+    e = elements(spark, sf_dir).select("doc_id", "seq", token_estimate(F.col("text")).alias("tokens"))
+    return C.token_batches(e, "doc_id", 2000, 10)
 
 
 PREFIX = "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY substr(text, 1, {n}) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1"

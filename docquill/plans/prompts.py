@@ -65,10 +65,11 @@ def cosine_strict(spark, sf_dir):
 
 @query("sink_failed_embeddings", f"WITH {CHUNKS} SELECT chunk_id, CASE WHEN chunk_id % 3 = 1 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN chunk_id % 3 = 1 THEN 'time-out' END AS error FROM chunks")
 def sink_failed_embeddings(spark, sf_dir):
-    from docquill.sources.tables import with_failures
+    from docquill.sources.tables import fresh_name, read_named, replace_named, with_failures
 
-    c = chunks(spark, sf_dir).select("chunk_id", F.lit("pending").alias("status"))
-    return with_failures(c, c.where("chunk_id % 3 = 1").select("chunk_id"), "time-out").select("chunk_id", "status", "error")
+    c, name = chunks(spark, sf_dir).select("chunk_id", F.lit("pending").alias("status")), fresh_name("failed_embeddings")
+    replace_named(with_failures(c, c.where("chunk_id % 3 = 1").select("chunk_id"), "time-out"), name)
+    return read_named(spark, name).select("chunk_id", "status", "error")
 
 
 @query("bbox_area", f"SELECT l_orderkey AS doc_id, l_linenumber * 1000000 + l_partkey AS seq, round(({BOX}[3] - {BOX}[1]) * ({BOX}[4] - {BOX}[2]), 6) AS area FROM lineitem")

@@ -4,53 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docquill.functions import records as RC
 from docquill.functions import repair
 from docquill.functions.text import DANISH_WORDS, ENGLISH_WORDS
 from docquill.operators import wiki as W
-from docquill.plans.model import OWNED, owned_documents, table
+from docquill.plans.model import CHUNKS, OWNED, chunks, owned_documents, table
 from docquill.plans.text import WORDS
 from docquill.registry import query
 
 
-@query("jsonb_merge", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k, CASE WHEN event_type = 'error' THEN 'failed' END AS status, CASE WHEN value > 50 THEN 'slow' END AS note FROM events")
+@query("jsonb_merge", """SELECT event_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE coalesce(json_extract_string(props, '$.k'), '') END AS k, CASE WHEN value > 50 THEN 'slow' END AS note, coalesce(json_array_length(json_keys(props)), 0)::INT
+    + CASE WHEN value > 50 THEN 1 ELSE 0 END + CASE WHEN event_type = 'error' AND json_extract_string(props, '$.k') IS NULL THEN 1 ELSE 0 END AS n FROM events""")
 def jsonb_merge(spark, sf_dir):
-    """The map of an event's properties, with entries that are added under a condition."""
-    m = F.from_json("props", "map<string,string>")
-    entry = lambda ok, k, v: F.when(ok, F.create_map(F.lit(k), F.lit(v))).otherwise(F.create_map().cast("map<string,string>"))
-    merged = F.map_concat(F.coalesce(m, F.create_map().cast("map<string,string>")), entry(F.col("event_type") == "error", "status", "failed"), entry(F.col("value") > 50, "note", "slow"))
-    return table(spark, sf_dir, "events").withColumn("m", merged).select("event_id", F.coalesce(F.col("m")["k"], F.lit("")).alias("k"), F.col("m")["status"].alias("status"), F.col("m")["note"].alias("note"))
+    """An event's properties with entries that are added under a condition; a key that is in both is replaced."""
+    none = F.create_map().cast("map<string,string>")
+    entry = lambda ok, k, v: F.when(ok, F.create_map(F.lit(k), F.lit(v))).otherwise(none)
+    added = F.map_concat(entry(F.col("event_type") == "error", "k", "failed"), entry(F.col("value") > 50, "note", "slow"))
+    m = table(spark, sf_dir, "events").withColumn("m", RC.merged_map(RC.string_map(F.col("props")), added))
+    return m.select("event_id", F.coalesce(F.try_element_at("m", F.lit("k")), F.lit("")).alias("k"), F.try_element_at("m", F.lit("note")).alias("note"), F.size("m").alias("n"))
 
 
-@query("jsonb_array_len", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 4 END AS n FROM events")
+@query("jsonb_array_len", "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n, CAST(0 AS BIGINT) AS of_object FROM documents")
 def jsonb_array_len(spark, sf_dir):
-    """0 for null and for an object."""
-    k = F.col("event_id") % 4
-    written = F.when(F.col("event_id") % 3 == 0, F.when(F.col("event_id") % 2 == 0, "{}")).otherwise(F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit("1"), k.cast("int")), ","), F.lit("]")))
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.json_array_length(written), F.lit(0)).cast("long").alias("n"))
+    """The lines of a document as a JSON array; an object has none."""
+    d = table(spark, sf_dir, "documents").withColumn("lines", F.to_json(F.split("text", "\n", -1))).withColumn("object", F.to_json(F.struct("lang", "source")))
+    return d.select("doc_id", RC.array_length(F.col("lines")).alias("n"), RC.array_length(F.col("object")).alias("of_object"))
 
 
-@query("url_extract", "SELECT page_id, CASE page_id % 4 WHEN 3 THEN NULL ELSE url END AS found FROM pages")
+@query("url_extract", "SELECT page_id, CASE page_id % 4 WHEN 3 THEN CASE WHEN page_id % 8 = 7 THEN NULL ELSE url END ELSE url END AS found FROM pages")
 def url_extract(spark, sf_dir):
     """A plain string, or one of the keys of an object."""
-    key = F.element_at(F.array(F.lit("signedURL"), F.lit("signedUrl"), F.lit("url"), F.lit("other")), (F.col("page_id") % 4 + 1).cast("int"))
-    shaped = F.when(F.col("page_id") % 8 == 0, F.col("url")).otherwise(F.concat(F.lit('{"'), key, F.lit('":"'), F.col("url"), F.lit('"}')))
-    found = F.coalesce(*[F.get_json_object("shaped", f"$.{k}") for k in ("signedURL", "signedUrl", "url")], F.when(~F.col("shaped").startswith("{"), F.col("shaped")))
-    return table(spark, sf_dir, "pages").withColumn("shaped", shaped).select("page_id", found.alias("found"))
+    keyed = F.to_json(F.struct(*[F.when(F.col("page_id") % 4 == i, F.col("url")).alias(k) for i, k in enumerate((*RC.URL_KEYS, "other"))]))
+    shaped = F.when(F.col("page_id") % 8 == 3, F.col("url")).otherwise(keyed)
+    return table(spark, sf_dir, "pages").select("page_id", RC.found_url(shaped).alias("found"))
 
 
 def _answers(spark, sf_dir):
-    """Answers of many shapes around a document's number."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    obj = F.to_json(F.struct("doc_id", "lang"))
+    """Answers of many shapes around a document's number and text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    obj = F.to_json(F.struct("doc_id", "lang", "text"))
     k = F.col("doc_id") % 6
     return d.withColumn("answer", F.when(k == 0, obj).when(k == 1, F.concat(F.lit("Here it is:\n```json\n"), obj, F.lit("\n```\nDone."))).when(k == 2, F.concat(F.lit("The result "), obj, F.lit(" as asked")))
-        .when(k == 3, F.concat(F.lit("["), obj, F.lit(", "), obj, F.lit(', {"doc_id": 1, "la'))).when(k == 4, F.lit("no json here {")).otherwise(F.lit(None).cast("string")))
+        .when(k == 3, F.concat(F.lit("["), obj, F.lit(", "), obj, F.lit(', {"doc_id": 1, "la'))).when(k == 4, F.lit("no json here {")).otherwise(F.lit(None).cast("string"))).drop("text")
 
 
-@query("parse_llm_json", "SELECT doc_id, CASE WHEN doc_id % 6 < 4 THEN doc_id END AS found FROM documents")
+@query("parse_llm_json", "SELECT doc_id, CASE WHEN doc_id % 6 < 4 THEN doc_id END AS found, CASE WHEN doc_id % 6 < 4 THEN sha256(text) END AS sha FROM documents")
 def parse_llm_json(spark, sf_dir):
-    found = _answers(spark, sf_dir).withColumn("o", repair.object_in("answer"))
-    return found.select("doc_id", F.get_json_object("o", "$.doc_id").cast("long").alias("found"))
+    """The whole text comes back out of the answer."""
+    o = F.from_json("o", "doc_id long, text string")
+    found = _answers(spark, sf_dir).withColumn("o", repair.object_in("answer")).withColumn("o", o)
+    return found.select("doc_id", F.col("o.doc_id").alias("found"), F.sha2(F.col("o.text").cast("binary"), 256).alias("sha"))
 
 
 @query("parse_llm_array", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 END AS n FROM documents")
@@ -85,30 +88,35 @@ def structure_validate(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(p.alias("p")).select("conv_id", F.size(W.validated_structure(F.col("p"))).alias("pages"))
 
 
-@query("compact_step_result", "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INT) AS n, CASE WHEN length(text) > 1000 THEN 113 ELSE length(text) END AS kept FROM documents")
+@query("compact_step_result", """SELECT doc_id, CAST(len(l) AS INT) AS n, CASE WHEN len(l) > 5 THEN l[1] || '|' || l[2] || '|' || l[-1] ELSE array_to_string(l, '|') END AS samples, CASE WHEN len(l) > 5 THEN len(l) || ' items (showing 2 first + 1 last)' END AS summary,
+    CASE WHEN length(text) > 1000 THEN substr(text, 1, 100) || '... [truncated ' || length(text) || ' chars]' ELSE text END AS kept, len(l) || ' chunks processed, avg size: ' || (length(text) - len(l) + 1) // len(l) || ' chars' AS chunks FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents)""")
 def compact_step_result(spark, sf_dir):
-    """Long lists become a count with samples, long texts their beginning with a note."""
+    """Long lists become a count with samples, chunks their statistics, long texts their beginning with a note."""
     lines = F.split("text", "\n", -1)
-    samples = F.concat(F.slice(lines, 1, 2), F.slice(lines, -1, 1))
-    short = F.when(F.length("text") > 1000, F.concat(F.substring("text", 1, 100), F.lit("...[truncated"))).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").withColumn("samples", samples).select("doc_id", F.size(lines).alias("n"), F.length(short).cast("long").alias("kept"))
+    c = table(spark, sf_dir, "documents").select("doc_id", RC.compact_list(lines).alias("l"), RC.compact_chunks(lines).alias("c"), RC.compact_text(F.col("text")).alias("kept"))
+    samples = F.array_join(F.concat(F.col("l.first_items"), F.when(F.col("l.last_item").isNotNull(), F.array("l.last_item")).otherwise(F.array().cast("array<string>"))), "|")
+    return c.select("doc_id", F.col("l.count").alias("n"), samples.alias("samples"), F.col("l.summary").alias("summary"), "kept", F.col("c.summary").alias("chunks"))
 
 
-@query("clean_metadata", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'bbox,page' ELSE 'page' END AS keys FROM events")
+@query("clean_metadata", f"WITH {OWNED} SELECT doc_id, 'filename,page_number' || CASE WHEN lang = 'en' THEN ',text_as_html' ELSE '' END AS keys, filename AS name FROM owned")
 def clean_metadata(spark, sf_dir):
-    """Of a map only the listed keys with a value."""
-    listed = ("page", "bbox", "font_size")
-    m = F.create_map(F.lit("page"), F.lit("1"), F.lit("raw"), F.lit("x"), F.lit("bbox"), F.when(F.col("event_id") % 2 == 0, "b"))
-    kept = F.map_filter(m, lambda k, v: k.isin(*listed) & v.isNotNull())
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("keys"))
+    """Of a document's own fields only those that elements keep."""
+    m = F.create_map(F.lit("filename"), F.col("filename"), F.lit("source"), F.col("source"), F.lit("page_number"), F.col("n_chars").cast("string"), F.lit("raw_text"), F.col("text"), F.lit("lang"), F.col("lang"))
+    m = F.when(F.col("lang") == "en", F.map_concat(m, F.create_map(F.lit("text_as_html"), F.col("text")))).otherwise(m)
+    d = owned_documents(spark, sf_dir).withColumn("m", RC.kept_keys(m))
+    return d.select("doc_id", F.array_join(F.array_sort(F.map_keys("m")), ",").alias("keys"), F.element_at("m", "filename").alias("name"))
 
 
-@query("clean_page_analysis", "SELECT o_orderkey AS page_id, CAST(o_orderkey % 20 AS INT) AS images, CASE WHEN o_custkey % 2 = 0 THEN 'complex' ELSE 'simple' END AS complexity FROM orders")
+COUNT = lambda tag: f"CAST(len(regexp_extract_all(html, '(?i)<{tag}[ >]')) AS INT)"
+
+
+@query("clean_page_analysis", f"SELECT page_id, {COUNT('img')} AS image_count, {COUNT('table')} AS table_count, CASE WHEN {COUNT('img')} > 1 THEN 'complex' ELSE 'simple' END AS complexity, CAST(NULL AS VARCHAR) AS is_fragmented FROM pages")
 def clean_page_analysis(spark, sf_dir):
-    listed = ("images", "complexity")
-    m = F.create_map(F.lit("images"), (F.col("o_orderkey") % 20).cast("string"), F.lit("raw"), F.lit("x"), F.lit("complexity"), F.when(F.col("o_custkey") % 2 == 0, "complex").otherwise("simple"))
-    kept = F.map_filter(m, lambda k, v: k.isin(*listed))
-    return table(spark, sf_dir, "orders").withColumn("m", kept).select(F.col("o_orderkey").alias("page_id"), F.col("m")["images"].cast("int").alias("images"), F.col("m")["complexity"].alias("complexity"))
+    """Counts of a page with all the listed keys; what was not found out is null, what is not listed goes."""
+    count = lambda tag: F.regexp_count("html", F.lit(f"(?i)<{tag}[ >]"))
+    m = F.create_map(F.lit("image_count"), count("img").cast("string"), F.lit("table_count"), count("table").cast("string"), F.lit("markup"), F.col("html"), F.lit("complexity"), F.when(count("img") > 1, "complex").otherwise("simple"))
+    p = table(spark, sf_dir, "pages").select("page_id", RC.page_analysis(m).alias("p"))
+    return p.select("page_id", F.col("p.image_count").cast("int").alias("image_count"), F.col("p.table_count").cast("int").alias("table_count"), "p.complexity", "p.is_fragmented")
 
 
 @query("essential_metadata", f"WITH {OWNED} SELECT doc_id, filename, CASE WHEN doc_id % 4 > 0 THEN doc_id % 9 END AS page_number FROM owned WHERE NOT (doc_id % 4 = 0 AND filename IS NULL)")
@@ -130,17 +138,24 @@ def progress_pct(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.round(done * 100.0 / 7, 6).alias("percentage"), ((7 - done) * 60).alias("seconds_left"))
 
 
-@query("estimate_durations", f"WITH {OWNED} SELECT project_id, CAST(sum(n_chars // 1000 + 1) AS BIGINT) AS chunks, CAST(greatest(5, sum(n_chars // 1000 + 1) // 10) AS BIGINT) AS seconds FROM owned GROUP BY 1")
+@query("estimate_durations", f"""WITH {OWNED}, c AS (SELECT project_id, CAST(sum(n_chars // 1000 + 1) AS BIGINT) AS n FROM owned GROUP BY 1)
+    SELECT project_id, n AS chunks, greatest(10, n // 10) AS metadata, greatest(n * 12, 30) AS enrichment, greatest(5, n // 10) AS chunking, greatest(1, n // 10 + 2) AS embedding, greatest(60, n // 100 * 5 + 30) AS clustering, 60 + n * 5 AS markdown, n * 30 AS retrieval, CAST(floor(3 + n / 2) AS BIGINT) AS generation FROM c""")
 def estimate_durations(spark, sf_dir):
-    n = F.sum(F.floor(F.col("n_chars") / 1000) + 1)
-    return owned_documents(spark, sf_dir).groupBy("project_id").agg(n.alias("chunks"), F.greatest(F.lit(5), F.floor(n / 10)).alias("seconds"))
+    n = owned_documents(spark, sf_dir).groupBy("project_id").agg(F.sum(F.floor(F.col("n_chars") / 1000) + 1).alias("chunks"))
+    return n.select("project_id", "chunks", *[RC.estimated_seconds(s, F.col("chunks")).alias(s) for s in ("metadata", "enrichment", "chunking", "embedding", "clustering", "markdown", "retrieval", "generation")])
 
 
-@query("sink_query_run", "SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'public' ELSE 'private' END AS access_level FROM events")
+@query("sink_query_run", "SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'public' ELSE 'private' END AS access_level, value AS response_ms, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status FROM events")
 def sink_query_run(spark, sf_dir):
-    """Runs without a user are public."""
+    """Runs are written to a table and read back by its name; those without a user are public."""
+    from docquill.sources.tables import append_named, fresh_name, read_named
+
     user = F.when(F.col("event_id") % 5 > 0, F.col("user_id"))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(user.isNull(), "public").otherwise("private").alias("access_level"))
+    runs = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), user.alias("user_id"), F.when(user.isNull(), "public").otherwise("private").alias("access_level"), F.col("value").alias("response_ms"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"))
+    name = fresh_name("query_runs")
+    append_named(runs.where("status = 'completed'"), name)
+    append_named(runs.where("status <> 'completed'"), name)
+    return read_named(spark, name).select("id", "access_level", "response_ms", "status")
 
 
 @query("sink_step_result", "SELECT user_id AS run_id, event_type AS step, max_by(value, struct_pack(a := ts, b := event_id)) AS result FROM events GROUP BY ALL")
@@ -247,11 +262,19 @@ def wiki_overall(spark, sf_dir):
     return W.overall(wiki_pages(spark, sf_dir), *wiki_sources(spark, sf_dir)).select("wiki_id", "coherence", "coverage", "structure", "citations", "language", "score", "overall")
 
 
-@query("structure_prompt", f"WITH {OWNED} SELECT project_id, count(*) AS documents, string_agg(filename, ', ' ORDER BY doc_id) AS listed FROM owned GROUP BY 1")
+@query("structure_prompt", f"""WITH {CHUNKS}, {OWNED}, s AS (SELECT project_id, 0 AS section, doc_id // 500 AS part, doc_id AS place, '- ' || filename || ' (' || n_chars // 3000 + 1 || ' pages, ' || n_chars || ' bytes)' AS line FROM owned
+    UNION ALL SELECT o.project_id, 1, 0, c.run_id, '- Cluster ' || c.run_id || ' (' || count(*) || ' chunks)' FROM chunks c JOIN owned o USING (doc_id) GROUP BY o.project_id, c.run_id)
+    SELECT project_id, section, part, count(*) AS n, string_agg(line, chr(10) ORDER BY place) AS lines FROM s GROUP BY 1, 2, 3""")
 def structure_prompt(spark, sf_dir):
-    """The documents of a project, as a prompt lists them."""
-    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "filename"))), lambda x: x["filename"]), ", ")
-    return owned_documents(spark, sf_dir).groupBy("project_id").agg(F.count("*").alias("documents"), names.alias("listed"))
+    """The documents of a project and its clusters, as a prompt lists them: in numbered parts of a bounded size, so that no list is one row however long."""
+    d = owned_documents(spark, sf_dir)
+    pages = (F.floor(F.col("n_chars") / 3000) + 1).cast("string")
+    line = F.concat(F.lit("- "), F.col("filename"), F.lit(" ("), pages, F.lit(" pages, "), F.col("n_chars").cast("string"), F.lit(" bytes)"))
+    documents = d.select("project_id", F.lit(0).alias("section"), F.floor(F.col("doc_id") / 500).alias("part"), F.col("doc_id").alias("place"), line.alias("line"))
+    c = chunks(spark, sf_dir).select("doc_id", "run_id").join(d.select("doc_id", "project_id"), "doc_id").groupBy("project_id", "run_id").agg(F.count("*").alias("n"))
+    clusters = c.select("project_id", F.lit(1).alias("section"), F.lit(0).cast("long").alias("part"), F.col("run_id").cast("long").alias("place"), F.concat(F.lit("- Cluster "), F.col("run_id").cast("string"), F.lit(" ("), F.col("n").cast("string"), F.lit(" chunks)")).alias("line"))
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")
+    return documents.unionByName(clusters).groupBy("project_id", "section", "part").agg(F.count("*").alias("n"), lines.alias("lines"))
 
 
 @query("query_variations", "SELECT item_id AS query_id, 'original' AS kind, text FROM benchmark UNION ALL SELECT item_id, 'expanded', text FROM benchmark")

@@ -35,6 +35,12 @@ def _element_scalar(name, column, sql):
         return elements(spark, sf_dir).select("doc_id", "seq", column().alias("value"))
 
 
+COMPLEXITY = rf"""CASE WHEN len({WORDS}) = 0 THEN 'simple' ELSE ['simple', 'medium', 'complex', 'complex'][1
+        + CAST(list_sum(list_transform({WORDS}, lambda w: length(regexp_replace(w, '^[.,!?;:]+|[.,!?;:]+$', '', 'g')))) / len({WORDS}) > 6 AS INT)
+        + CAST(len({WORDS}) / greatest(len(list_filter(string_split(text, '.'), lambda s: regexp_replace(s, '^{B}+|{B}+$', '', 'g') <> '')), 1) > 20 AS INT)
+        + CAST({HAS_NUMBERS} AS INT)] END"""
+
+
 _element_scalar("has_numbers", lambda: T.has_numbers(F.col("text")), HAS_NUMBERS)
 _element_scalar("starts_with_number", lambda: T.starts_with_number(F.col("text")), STARTS)
 _element_scalar("numbered_title", lambda: T.numbered_title(F.col("text"), F.col("category")), TITLE_SQL)
@@ -47,10 +53,7 @@ _element_scalar("truncate_preview", lambda: T.preview(F.col("text"), 50), "CASE
 _element_scalar("file_hash", lambda: F.sha2(F.col("text").cast("binary"), 256), "sha256(text)")
 _element_scalar(
     "text_complexity", lambda: T.text_complexity(F.col("text")),
-    rf"""CASE WHEN len({WORDS}) = 0 THEN 'simple' ELSE ['simple', 'medium', 'complex', 'complex'][1
-        + CAST(list_sum(list_transform({WORDS}, lambda w: length(regexp_replace(w, '^[.,!?;:]+|[.,!?;:]+$', '', 'g')))) / len({WORDS}) > 6 AS INT)
-        + CAST(len({WORDS}) / greatest(len(list_filter(string_split(text, '.'), lambda s: regexp_replace(s, '^{B}+|{B}+$', '', 'g') <> '')), 1) > 20 AS INT)
-        + CAST({HAS_NUMBERS} AS INT)] END""",
+    COMPLEXITY,
 )
 _element_scalar(
     "text_category", lambda: T.text_category(F.col("text"), (F.col("seq") % 3 + 11).cast("double")),

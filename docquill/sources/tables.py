@@ -29,6 +29,29 @@ def read_back(stored: Stored) -> DataFrame:
     return stored.spark.read.schema(stored.schema).parquet(stored.path)
 
 
+def fresh_name(name: str) -> str:
+    """A table name that no other run has."""
+    return f"{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _named_path(spark, name: str, root: str | None) -> str:
+    return f"{(root or shared_root(spark)).rstrip('/')}/docquill-sinks/{name}"
+
+
+def append_named(df: DataFrame, name: str, root: str | None = None) -> None:
+    """Append rows to the table of that name below ``root`` (by default the shared folder), where any later job finds them."""
+    df.write.mode("append").parquet(_named_path(df.sparkSession, name, root))
+
+
+def replace_named(df: DataFrame, name: str, root: str | None = None) -> None:
+    """Write the table of that name anew; ``df`` must not read it."""
+    df.write.mode("overwrite").parquet(_named_path(df.sparkSession, name, root))
+
+
+def read_named(spark, name: str, root: str | None = None) -> DataFrame:
+    return spark.read.parquet(_named_path(spark, name, root))
+
+
 def with_embeddings(chunks: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
     """``chunks`` (chunk_id, embedding, status) with the vectors (chunk_id, vector) that were made; the others stay as they are."""
     new = vectors.select("chunk_id", "vector")
