@@ -75,6 +75,6 @@ def drop_repeated_boxes(boxes: DataFrame, share: float = 0.8, tolerance: float =
         close()
         yield pd.DataFrame(done, columns=columns)
 
-    ordered = boxes.select("doc_id", "page", "seq", "box").repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "seq")
+    ordered = boxes.select("doc_id", "page", "seq", "box").repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "seq", "box")
     kinds = {f.name: f.dataType.simpleString() for f in ordered.schema}
     return ordered.mapInPandas(fold, f"doc_id {kinds['doc_id']}, page {kinds['page']}, place int, seq {kinds['seq']}, box array<double>")
