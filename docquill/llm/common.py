@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquill.plans.model import table  # noqa: F401  the queries' tables
+
 #: ASCII white space; a word is a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,7 +25,3 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def remainder(column: Column, n: int) -> Column:
     """crc32 of the value written as text, modulo n (null: -1)."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % n, F.lit(-1))
-
-
-def table(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
