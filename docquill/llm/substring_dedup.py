@@ -6,8 +6,9 @@ does; a piece without such a mark for ``LONG`` words is cut after the words whos
 own hashes say so. All cuts depend on the words next to them and not on what
 comes before, so a passage that is copied into another line is cut up alike.
 
-Pieces are normalised (lower case, one space between words) and hashed, digests
-are grouped globally, and of each group the occurrence with the smallest rank
+Pieces are normalised (lower case, one space between words) and hashed. Digests
+are counted globally; those that repeat make a Bloom filter, and only the pieces
+that it lets through are grouped, and of each group the occurrence with the smallest rank
 (id, row, place) stays. In every document the other occurrences that follow each
 other are a run. A repeated line is a run of all its pieces, a paragraph one of
 all its lines. Runs of ``least_words`` words or more go, with their offsets in the
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from docquill.llm.bloom import build_filter, filter_words, test_filter
 from docquill.llm.common import WORD, id_and_text
 from docquill.scratch import materialize, release
 
@@ -110,18 +112,23 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     read = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     kind = read.schema["doc_id"].dataType
     found = materialize(read.mapInArrow(_piece_batches(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, row long, k int, start int, end int, words int, h long"), "pieces")
+    # pass one moves bare digests; only pieces whose digest may be repeated move with their places
+    repeated = materialize(found.groupBy("h").count().where("count > 1").select("h"), "repeated-digests")
+    words = filter_words(repeated.count())
+    suspects = test_filter(found, "h", materialize(build_filter(repeated, "h", words), "filter"), words, "maybe").where("maybe").drop("maybe")
+    suspects = materialize(suspects, "suspects")
+    release(docs.sparkSession, found, repeated)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row").alias("row"), F.col("k").alias("k"), F.col("start").alias("start"))
-    firsts = found.groupBy("h").agg(F.min(rank).alias("origin"), F.count("*").alias("copies")).where("copies > 1").select("h", "origin")
+    firsts = suspects.groupBy("h").agg(F.min(rank).alias("origin"), F.count("*").alias("copies")).where("copies > 1").select("h", "origin")
     firsts = materialize(firsts, "repeated")  # so that the join can split a piece that is everywhere
-    release(docs.sparkSession)
-    again = found.join(firsts, "h").where((F.col("row") != F.col("origin.row")) | (F.col("k") != F.col("origin.k")))
+    again = suspects.join(firsts, "h").where((F.col("row") != F.col("origin.row")) | (F.col("k") != F.col("origin.k")))
     run = F.col("k") - F.row_number().over(Window.partitionBy("row").orderBy("k"))  # the pieces of one text
     spans = again.withColumn("run", run).groupBy("row", "run").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("int").alias("n_words"), F.count("*").cast("int").alias("n_pieces"),
         F.min_by("origin", "k").alias("origin"),
     )
     spans = materialize(spans.where(F.col("n_words") >= least_words), "spans")
-    release(docs.sparkSession, found, firsts)
+    release(docs.sparkSession, suspects, firsts)
     return spans.select("doc_id", "row", "start", "end", "n_words", "n_pieces", F.col("origin.id").alias("first_doc_id"), F.col("origin.start").alias("first_start"))
 
 
