@@ -22,8 +22,8 @@ from docquill.llm.bloom import BITS_PER_ROW, MAX_BITS, build_filter, filter_word
 from docquill.llm.common import SPACE, id_and_text, text_of
 from docquill.scratch import materialize, release
 
-#: Least bits of a filter for each row of its part: with two, nine unique rows of ten pass.
-LEAST_BITS = 2
+#: Least bits of a filter for each row of its part: with eight, 95 unique rows of a hundred pass.
+LEAST_BITS = 8
 
 
 def text_sha256(text: Column) -> Column:

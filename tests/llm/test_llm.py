@@ -69,6 +69,15 @@ def test_exact_empty(spark):
     assert exact_dedup.drop_exact_duplicates(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 20])
+def test_unique_rows_pass_straight_through(spark, times):
+    """However many rows there are for a filter's size: they are divided into parts."""
+    rows = 2048 * times
+    digests = spark.range(rows).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("text_sha256"), F.col("id").alias("row")).withColumn("h", F.xxhash64("text_sha256"))
+    maybe = exact_dedup._tested(digests, 16, 1 << 15).agg(F.count_if("maybe"), F.count("*")).first()
+    assert maybe[1] == rows and maybe[0] <= 0.1 * rows
+
+
 # near copies
 
 
@@ -348,6 +357,58 @@ def test_quality_edges(spark):
     assert quality.learn_quality(docs_of(spark, []), labels.limit(0), F.lit(True)).leaf.size == 0
 
 
+def plain_statistics(text):
+    """The features by plain Python, one at a time."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    words, size = data.split(), len(data)
+    if not words:
+        return [math.log1p(size)] + [0.0] * (len(quality.FEATURES) - 1)
+    n, space = len(words), b" \t\n\x0b\x0c\r"
+    is_mark = lambda b: 33 <= b < 127 and not bytes([b]).isalnum()
+    kinds = [bytes(range(97, 123)), bytes(range(65, 91)), bytes(range(48, 58)), space]
+    shares = [sum(b in k for b in data) / size for k in kinds] + [sum(map(is_mark, data)) / size, sum(b > 127 for b in data) / size, sum(b < 33 and b not in space or b == 127 for b in data) / size]
+    c = collections.Counter(data)
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / n
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    pairs = list(zip(words, words[1:]))
+    return [
+        math.log1p(size), math.log1p(n), *shares, max([v for b, v in c.items() if is_mark(b)], default=0) / size, (c[46] + c[33] + c[63]) / n, c[124] / n, -sum(v / size * math.log2(v / size) for v in c.values()),
+        mean, math.sqrt(sum((x - mean) ** 2 for x in lengths) / n), math.log1p(max(lengths)), len(set(words)) / n, max(collections.Counter(words).values()) / n,
+        sum(a == b for a, b in pairs) / n, 1 - len(set(pairs)) / max(1, n - 1), math.log1p(len(lines)), len(set(lines)) / len(lines), math.log1p(n / len(lines)),
+        sum(is_mark(w[-1]) for w in words) / n, sum(len(w) > 1 and is_mark(w[-1]) and is_mark(w[-2]) for w in words) / n, sum(65 <= w[0] < 91 for w in words) / n, sum(x > 15 for x in lengths) / n,
+    ]
+
+
+def test_statistics_of_all_documents(documents):
+    for text in [r.text for r in documents.collect()] + [t for _, t, _ in EDGES[:6]] + ["...", "a\n\n| b |", "\x00\x7f x"]:
+        assert np.allclose(quality.statistics(text), plain_statistics(text), rtol=1e-9, atol=1e-12)
+
+
+def test_flat_trees_against_plain_walks():
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(400, 6)), 1)  # many ties
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0.2).astype(float)
+    model = quality.fit_trees(x, y, trees=12)
+    for row, margin in zip(x, model.margins(x)):
+        total = model.base
+        for feature, cut, leaf in zip(model.feature, model.cut, model.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + int(row[feature[node]] > cut[node])
+            total += leaf[node - len(feature)]
+        assert math.isclose(total, margin, rel_tol=1e-9, abs_tol=1e-12)
+    # the first split is the best of all by brute force
+    p = y.mean() * 0 + (y.sum() + 1) / (len(y) + 2)
+    g, h = y - p, np.full(len(y), p * (1 - p))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    best = max(
+        (gain(x[:, j] <= c) + gain(x[:, j] > c), j, c) for j in range(6) for c in np.unique(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1])) if quality.LEAF <= (x[:, j] <= c).sum() <= len(y) - quality.LEAF
+    )
+    found = gain(x[:, model.feature[0][0]] <= model.cut[0][0]) + gain(x[:, model.feature[0][0]] > model.cut[0][0])
+    assert math.isclose(found, best[0], rel_tol=1e-9)
+
+
 def test_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 5))
