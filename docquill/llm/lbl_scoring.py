@@ -42,11 +42,11 @@ from docquill.llm.word_counts import word_counts, words_of
 from docquill.scratch import materialize
 
 #: Most classes of single words, and from which count on a word is one; classes of rarer words by hash; members of a group.
-CLASSES, OWN_COUNT, RARE, GROUP = 8000, 150, 500, 64
+CLASSES, OWN_COUNT, RARE, GROUP = 8000, 150, 500, 96
 #: Length of the vectors; words of the context; words whose counts tasks hold.
-DIMENSIONS, CONTEXT, HEAD_WORDS = 24, 3, 50_000
+DIMENSIONS, CONTEXT, HEAD_WORDS = 16, 3, 50_000
 #: Training: positions in a step, noise tokens in a step, step size; tokens of a part.
-STEP, NOISE, RATE, PART_TOKENS = 8192, 64, 0.05, 2_000_000
+STEP, NOISE, RATE, PART_TOKENS = 8192, 32, 0.05, 2_000_000
 
 #: The end of a text as a token; no word is empty.
 END = b""
@@ -90,12 +90,15 @@ class Model:
         """log10 of the normalised probability of each token after its context (a row of classes), by one matrix product for the groups and one for each group's members."""
         group = tokens // self.group
         order = np.argsort(group, kind="stable")
-        wanted = np.column_stack([self.wanted(contexts[order]), np.ones(len(order), np.float32)])
+        wanted = self.wanted(contexts[order])
+        longest = np.sqrt(max((self.vectors**2).sum(axis=1).max(), (self.above**2).sum(axis=1).max()) * (wanted**2).sum(axis=1).max(initial=0))
+        safe = longest + max(np.abs(self.bias).max(), np.abs(self.above_bias).max()) < 60  # float32 holds exp(60)
+        wanted = np.column_stack([wanted, np.ones(len(order), np.float32)])
         group, tokens = group[order], tokens[order]
         logs = np.empty(len(order), np.float32)
         upper = np.column_stack([self.above, self.above_bias]).T.copy()
         for i in range(0, len(order), block):
-            logs[i : i + block] = _shares(wanted[i : i + block] @ upper, group[i : i + block])
+            logs[i : i + block] = _shares(wanted[i : i + block] @ upper, group[i : i + block], safe)
         lower = np.column_stack([self.vectors, self.bias])
         cuts = np.flatnonzero(np.diff(group, prepend=-1))
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
@@ -103,7 +106,7 @@ class Model:
             members = lower[first : first + self.group].T.copy()
             for i in range(a, b, block):
                 j = min(b, i + block)
-                logs[i:j] += _shares(wanted[i:j] @ members, tokens[i:j] - first)
+                logs[i:j] += _shares(wanted[i:j] @ members, tokens[i:j] - first, safe)
         out = np.empty(len(order))
         out[order] = logs
         return out / math.log(10)
@@ -145,9 +148,10 @@ class Model:
             self.place += rate / len(w) * np.stack([np.einsum("ij,ij->j", d_wanted, s) for s in seen])
 
 
-def _shares(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """The logarithm of the chosen entry's share in each row's exponentials; ``scores`` is overwritten."""
-    scores -= scores.max(axis=1, keepdims=True)
+def _shares(scores: np.ndarray, chosen: np.ndarray, safe: bool) -> np.ndarray:
+    """The logarithm of the chosen entry's share in each row's exponentials; ``scores`` is overwritten, and shifted first unless that is not needed."""
+    if not safe:
+        scores -= scores.max(axis=1, keepdims=True)
     picked = scores[np.arange(len(scores)), chosen]
     return picked - np.log(np.exp(scores, out=scores).sum(axis=1))
 
