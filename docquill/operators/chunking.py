@@ -153,7 +153,8 @@ def chunk_elements(elements: DataFrame, section_titles: bool = False) -> DataFra
     """The whole chain: doc_id, seq, piece, total, page, category, content and a chunk_id that depends on place only.
 
     With ``section_titles`` elements need a phase (see :func:`inherit_sections`),
-    and the inherited title, here ``section``, stands before each content.
+    and the inherited title, here ``section``, stands before each content; a
+    content that is split has it once, at its beginning.
     """
     kept = filter_noise(elements)
     if section_titles:
@@ -164,8 +165,6 @@ def chunk_elements(elements: DataFrame, section_titles: bool = False) -> DataFra
     title = F.col("section") if section_titles else None
     content = merged.where(strip(F.col("text")) != "").withColumn("text", composed(F.col("category"), F.col("text"), None, title))
     c = split_large(content.drop("merged")).withColumnRenamed("text", "content")
-    if section_titles:  # a piece of a split content has the title too
-        c = c.withColumn("content", F.when((F.col("total") > 1) & (F.col("piece") > 0), in_section(F.col("content"), F.col("section"))).otherwise(F.col("content")))
     return c.withColumn("chunk_id", F.sha2(F.concat_ws("|", "doc_id", "seq", "piece").cast("binary"), 256))
 
 

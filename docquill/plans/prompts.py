@@ -13,6 +13,7 @@ from docquill.operators import retrieval as R
 from docquill.plans.model import CHUNKS, ELEMENTS, chunks, elements, table
 from docquill.plans.order import BOX, line_boxes
 from docquill.plans.vectors import ONE, SCORED, first_query
+from docquill.plans.text import REPETITION
 from docquill.registry import query
 from docquill.sources import providers as P
 
@@ -40,15 +41,19 @@ def cluster_name_prompt(spark, sf_dir):
     return s.select("cluster", F.concat(F.lit("Cluster "), F.col("cluster").cast("string"), F.lit(": "), F.substring("samples", 1, 800)).alias("line"))
 
 
-@query("structured_output", "SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN 'pending_clarification' ELSE role END AS status FROM conversations")
+ANSWER = "status string, confidence double, sources array<string>"
+
+
+@query("structured_output", "SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN 'pending_clarification' ELSE role END AS status, CASE WHEN turn % 3 < 2 THEN turn / 8 END AS confidence, CASE WHEN turn % 3 < 2 THEN 2 ELSE 0 END AS n_sources, CASE WHEN turn % 3 < 2 THEN sha256(text) END AS sha FROM conversations")
 def structured_output(spark, sf_dir):
-    """By the schema, else by the repaired answer, else a row to be clarified."""
-    obj = F.concat(F.lit('{"status": "'), F.col("role"), F.lit('"}'))
+    """By a typed schema, else by the repaired answer, else a row to be clarified."""
+    obj = F.to_json(F.struct(F.col("role").alias("status"), (F.col("turn") / 8).alias("confidence"), F.array(F.col("text"), F.lit("x")).alias("sources")))
     answer = F.when(F.col("turn") % 3 == 0, obj).when(F.col("turn") % 3 == 1, F.concat(F.lit("It is\n```json\n"), obj, F.lit("\n```"))).otherwise(F.lit("cannot say"))
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", answer.alias("answer")).withColumn("repaired", repair.object_in("answer"))
-    status = lambda x: F.get_json_object(x, "$.status")
-    direct = F.when(F.col("answer").startswith("{"), status("answer"))
-    return c.select("conv_id", "turn", F.coalesce(direct, status("repaired"), F.lit("pending_clarification")).alias("status"))
+    direct = F.from_json(F.when(F.col("answer").startswith("{"), F.col("answer")), ANSWER)
+    c = c.withColumn("a", F.coalesce(direct, F.from_json("repaired", ANSWER)))
+    sources = F.col("a.sources")
+    return c.select("conv_id", "turn", F.coalesce("a.status", F.lit("pending_clarification")).alias("status"), F.col("a.confidence").alias("confidence"), F.greatest(F.coalesce(F.size(sources), F.lit(0)), F.lit(0)).alias("n_sources"), F.sha2(F.get(sources, F.lit(0)).cast("binary"), 256).alias("sha"))
 
 
 @query("topk_fixed15", f"WITH {CHUNKS}, {ONE}, {SCORED} SELECT chunk_id FROM scored ORDER BY similarity DESC, chunk_id LIMIT 15")
@@ -77,11 +82,20 @@ def bbox_area(spark, sf_dir):
     return line_boxes(spark, sf_dir).select("doc_id", "seq", F.round(B.area(F.col("box")), 6).alias("area"))
 
 
-@query("scan_tables", r"SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<tr[ >]')) AS BIGINT) AS n_rows, CAST(len(regexp_extract_all(html, '(?i)<t[dh][ >]')) AS BIGINT) AS cells FROM pages")
+TABLES = r"""src AS (SELECT doc_id, list_transform(string_split(replace(text, '<', '('), chr(10)), lambda l: list_transform(string_split(l, ', '), lambda c: trim(regexp_replace(c, '[ \t\r\n]+', ' ', 'g')))) AS rows FROM documents),
+    md AS (SELECT doc_id, len(rows) AS n_rows, list_max(list_transform(rows, lambda r: len(r))) AS n_columns, array_to_string(list_concat(['| ' || array_to_string(rows[1], ' | ') || ' |', '| ' || array_to_string(list_transform(rows[1], lambda c: '---'), ' | ') || ' |'], list_transform(rows[2:], lambda r: '| ' || array_to_string(r, ' | ') || ' |')), chr(10)) AS text FROM src)"""
+
+
+@query("scan_tables", f"""WITH {TABLES}, {REPETITION.replace('FROM documents', 'FROM md')}
+    SELECT md.doc_id, 'table_1' AS table_id, md.text, CAST(n_rows AS INT) AS n_rows, CAST(n_columns AS INT) AS n_columns FROM md JOIN scores USING (doc_id) WHERE length(md.text) <= 5000 AND n_columns <= 20 AND value <= 0.7""")
 def scan_tables(spark, sf_dir):
-    """Rows and cells of the tables of a page."""
-    n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", n(r"(?i)<tr[ >]").alias("n_rows"), n(r"(?i)<t[dh][ >]").alias("cells"))
+    """The lines of documents as the rows of a table in markup, read back as Markdown; what is too large, too wide or too repetitive goes."""
+    from docquill.operators.tables import table_elements
+
+    row = lambda line: F.concat(F.lit("<TR class=x><td>"), F.replace(line, F.lit(", "), F.lit("</td>\n<td align='left'>")), F.lit("</td></TR>"))
+    rows = F.array_join(F.transform(F.split(F.replace("text", F.lit("<"), F.lit("(")), "\n", -1), row), "\n")
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<p>text</p><table border=1>"), rows, F.lit("</table>")).alias("html"))
+    return table_elements(pages, "doc_id", "html")
 
 
 @query("scan_page_meta", r"SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?i)<html[^>]*lang=.([a-z]+)', 1) AS lang, CAST(len(regexp_extract_all(html, '(?i)<img[ >]')) AS BIGINT) AS images FROM pages")

@@ -277,12 +277,13 @@ def structure_prompt(spark, sf_dir):
     return documents.unionByName(clusters).groupBy("project_id", "section", "part").agg(F.count("*").alias("n"), lines.alias("lines"))
 
 
-@query("query_variations", "SELECT item_id AS query_id, 'original' AS kind, text FROM benchmark UNION ALL SELECT item_id, 'expanded', text FROM benchmark")
+@query("query_variations", "SELECT item_id AS query_id, kind, text FROM benchmark, (SELECT unnest(['original', 'semantic', 'hyde', 'formal']) AS kind)")
 def query_variations(spark, sf_dir):
-    from docquill.sources.providers import query_variants
+    """The original and a row for each of the three rewrites, which are the original's text where no provider answers."""
+    from docquill.sources import providers as P
 
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return query_variants(q, ("expanded",)).select("query_id", "kind", "text")
+    return P.rewritten(P.query_variants(q, P.REWRITES), [P.EchoTextDouble()]).select("query_id", "kind", "text")
 
 
 @query("answer_prompt", "SELECT item_id, 'Answer in English, from the excerpts only, and name the document and page of each statement.' || chr(10) || 'Question: ' || substr(text, 1, 50) || chr(10) || 'Excerpts:' || chr(10) || text AS prompt FROM benchmark")

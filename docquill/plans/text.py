@@ -153,11 +153,14 @@ def scan_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length("html").cast("long").alias("html_chars"), visible_text(F.col("html")).alias("text"))
 
 
-@query("repetition_score", rf"""WITH w AS (SELECT doc_id, length(text) AS chars, {WORDS} AS w FROM documents),
+REPETITION = rf"""w AS (SELECT doc_id, length(text) AS chars, {WORDS} AS w FROM documents),
     g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, len(w) - 4 AS last, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS gram FROM w),
-    r AS (SELECT doc_id, sum(n) AS many FROM (SELECT doc_id, gram, count(CASE WHEN i < last THEN 1 END) AS n FROM g GROUP BY ALL HAVING count(*) > 2) GROUP BY doc_id)
-    SELECT doc_id, CASE WHEN chars < 100 OR len(w) = 0 THEN 0.0 ELSE round((1 - len(list_distinct(w)) / len(w)) * 0.7 + least(1.0, coalesce(many, 0) / 10) * 0.3, 6) END AS value
-    FROM w LEFT JOIN r USING (doc_id)""")
+    r AS (SELECT doc_id, sum(n) AS many FROM (SELECT doc_id, gram, count(CASE WHEN i < last THEN 1 END) AS n FROM g GROUP BY ALL HAVING count(*) > 2) GROUP BY doc_id),
+    scores AS (SELECT w.doc_id, CASE WHEN chars < 100 OR len(w) = 0 THEN 0.0 ELSE round((1 - len(list_distinct(w)) / len(w)) * 0.7 + least(1.0, coalesce(many, 0) / 10) * 0.3, 6) END AS value
+    FROM w LEFT JOIN r ON r.doc_id = w.doc_id)"""
+
+
+@query("repetition_score", f"WITH {REPETITION} SELECT doc_id, value FROM scores")
 def repetition_score(spark, sf_dir):
     from docquill.operators.validation import repetition_scores
 

@@ -97,3 +97,28 @@ def caption_prompt(kind: Column, context: Column, most: int = 1500) -> Column:
 def query_variants(queries: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, kind, text): the original and each rewrite that is switched on, to be filled by a provider; none is by default."""
     return queries.select("query_id", "text", F.explode(F.array(*[F.lit(k) for k in ("original", *kinds)])).alias("kind"))
+
+
+#: The rewrites of a query, each of which may be switched on.
+REWRITES = ("semantic", "hyde", "formal")
+
+
+def rewritten(variants: DataFrame, providers: list[TextProvider], batch: int = 5) -> DataFrame:
+    """``variants`` (query_id, kind, text) with the rewrites' texts from the first provider that answers; without an answer the original's text stays."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = frame["text"].tolist()
+            wanted = [i for i, kind in enumerate(frame["kind"]) if kind != "original"]
+            for at in range(0, len(wanted), batch):
+                open_ = wanted[at : at + batch]
+                for p in providers:
+                    answers = p.complete([f"Rewrite the question ({frame['kind'].iloc[i]}).\n{frame['text'].iloc[i]}" for i in open_])
+                    for i, a in zip(open_, answers, strict=True):
+                        texts[i] = a or texts[i]
+                    open_ = [i for i, a in zip(open_, answers, strict=True) if not a]
+                    if not open_:
+                        break
+            yield frame.assign(text=texts)
+
+    return variants.select("query_id", "kind", "text").mapInPandas(run, variants.select("query_id", "kind", "text").schema)

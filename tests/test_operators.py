@@ -205,3 +205,136 @@ def test_pdf_blocks_by_a_provider(spark, tmp_path):
     assert [r.text for r in read_pdf_blocks(spark, str(tmp_path), parser).orderBy("block").collect()] == ["one", "two"]
 
 
+
+
+# records, texts and sinks
+
+
+def test_repetition_of_the_last_words():
+    from docquill.operators.validation import repetition_score
+
+    def described(text):
+        words = text.split()
+        if len(text) < 100 or not words:
+            return 0.0
+        windows = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)]
+        many = sum(windows.count(w) > 2 for w in windows[:-1])
+        return (1 - len(set(words)) / len(words)) * 0.7 + min(1.0, many / 10) * 0.3
+
+    five = "one two three four five "
+    text = five + "alpha beta gamma delta epsilon " + five + "zeta eta theta iota kappa " + five.strip()
+    assert math.isclose(repetition_score(text), described(text))
+    assert repetition_score(text) < repetition_score(text + " end")  # the last five words are no place of their own
+    assert repetition_score(None) == repetition_score("") == repetition_score("a b " * 20) == 0.0
+    for t in ("a " * 200, "a b c d e f " * 40, "x" * 300, " ".join(map(str, range(300)))):
+        assert math.isclose(repetition_score(t), described(t))
+
+
+def test_extracted_text(spark):
+    from docquill.functions import records as R
+
+    rows = [("cap", "t", "o", None, None, None, None), (None, "", "o", "n", ["i"], "h", None), (None, None, "o", "n", ["i"], "h", None), (None, None, None, "n", ["i", "j"], "h", None), (None, None, None, None, ["i", "j"], "h", None),
+            (None, None, None, "n", [], "h", None), (None, None, None, None, None, "h", None), ("", None, None, "", [], "", "full_page_with_images"), (None, None, None, None, None, None, "other")]
+    df = spark.createDataFrame(rows, "c string, t string, o string, n string, i array<string>, h string, k string")
+    assert [r[0] for r in df.select(R.extracted_text(*[F.col(x) for x in "ctonihk"])).collect()] == ["cap", "", "o", "n\n\ni\nj", "i\nj", "n", "h", "[IMAGE PAGE]", ""]
+
+
+def test_records(spark):
+    from docquill.functions import records as R
+
+    one_row = spark.range(1)
+    value = lambda c: one_row.select(c).collect()[0][0]
+    assert value(R.found_url(F.lit('{"x": 1, "url": "u", "signedUrl": "s"}'))) == "s" and value(R.found_url(F.lit("http://a"))) == "http://a" and value(R.found_url(F.lit("{}"))) is None
+    m = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))
+    assert value(R.merged_map(m, F.create_map(F.lit("b"), F.lit("3")))) == {"a": "1", "b": "3"}
+    assert value(R.array_length(F.lit("[1, 2]"))) == 2 and value(R.array_length(F.lit("{}"))) == 0 and value(R.array_length(F.lit(None).cast("string"))) == 0
+    kept = value(R.kept_keys(F.create_map(F.lit("bbox"), F.lit("b"), F.lit("raw"), F.lit("r"), F.lit("font_name"), F.lit(None).cast("string"))))
+    assert kept == {"bbox": "b", "font_name": None}
+    analysis = value(R.page_analysis(F.create_map(F.lit("complexity"), F.lit("simple"), F.lit("other"), F.lit("x"))))
+    assert list(analysis.asDict()) == list(R.PAGE_KEYS) and analysis.complexity == "simple" and analysis.image_count is None
+    long = value(R.compact_list(F.sequence(F.lit(1), F.lit(9))))
+    assert (long["count"], long.first_items, long.last_item, long.summary) == (9, [1, 2], 9, "9 items (showing 2 first + 1 last)")
+    short = value(R.compact_list(F.sequence(F.lit(1), F.lit(5))))
+    assert (short["count"], short.first_items, short.last_item, short.summary) == (5, [1, 2, 3, 4, 5], None, None)
+    assert value(R.sample_list(F.array(*map(F.lit, "abcd")))) == ["a", "b", "... and 2 more items"] and value(R.compact_text(F.lit("x" * 1001))) == "x" * 100 + "... [truncated 1001 chars]"
+    chunks = value(R.compact_chunks(F.array(F.lit("abc"), F.lit("d"), F.lit(None).cast("string"))))
+    assert (chunks["count"], chunks.total_size_chars, chunks.avg_size_chars) == (3, 4, 1)
+    assert value(R.current_step(("a", "b"), {"a": F.lit(True), "b": F.lit(None).cast("boolean")})) == "b" and value(R.current_step(("a",), {"a": F.lit(True)})) == "completed"
+    assert R.page_limit(500, -3) == (100, 0) and R.page_limit(80, 7, 50) == (50, 7)
+    assert [value(R.estimated_seconds(s, F.lit(250))) for s in ("metadata", "enrichment", "chunking", "embedding", "clustering", "markdown", "retrieval", "generation")] == [25, 3000, 25, 27, 60, 1310, 7500, 128]
+
+
+def test_contents_with_section_titles(spark):
+    c = lambda category, text, kind="text": F.struct(F.lit(category).alias("c"), F.lit(text).alias("t"), F.lit(kind).alias("k"))
+    rows = spark.range(1).select(F.explode(F.array(c("Table", "x"), c("Other", "x", "full_page_image"), c("NarrativeText", "x"), c("UncategorizedText", "see Tabel 1"), c("UncategorizedText", "x"), c("Formula", "x"), c("List", ""))).alias("r")).select("r.*")
+    got = [r[0] for r in rows.select(chunking.composed(F.col("c"), F.col("t"), F.col("k"), F.lit("1.2 Works"))).collect()]
+    assert got == ["Context: 1.2 Works\n\nType: Table\n\nSummary: x", "Context: 1.2 Works\n\nType: Image\n\nSummary: x", "Section: 1.2 Works\n\nx", "Context: 1.2 Works\n\nType: Reference\n\nContent: see Tabel 1", "Section: 1.2 Works\n\nx", "x", "Section: 1.2 Works\n\n[Empty list]"]
+    assert [r[0] for r in rows.select(chunking.composed(F.col("c"), F.col("t"), F.col("k"))).collect()][2:4] == ["x", "Type: Reference\n\nContent: see Tabel 1"]
+    assert one(rows.where("c = 'Table'").select(chunking.composed(F.col("c"), F.col("t"), F.col("k"), None, False))) == "x"
+
+
+def test_chunks_with_section_titles(spark):
+    rows = [(0, "Title", "1.2 Alpha section title"), (1, "NarrativeText", "word " * 60), (2, "NarrativeText", "long " * 400)]
+    e = spark.createDataFrame([(1, s, 1, c, t, 0) for s, c, t in rows], "doc_id long, seq long, page long, category string, text string, phase int")
+    got = chunking.chunk_elements(e, section_titles=True).orderBy("seq", "piece").collect()
+    title = "Section: 1.2 Alpha section title"
+    assert got[0].content == title + "\n\n" + ("word " * 60) and got[1].content == title and got[1].total == len(got) - 1 > 2 and got[2].content.startswith("long long")
+
+
+def test_search_falls_back(spark):
+    v = [(i, i % 3, f"text {i}", [float(i), 1.0]) for i in range(1, 40)]
+    chunks = spark.createDataFrame(v, "chunk_id long, doc_id long, content string, embedding array<double>")
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, query array<double>")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "doc_id long")
+    assert [r.chunk_id for r in retrieval.search(chunks, q, ids(0), 3).collect()] == [39]  # of the three nearest one is allowed
+    assert [r.chunk_id for r in retrieval.search(chunks.where("doc_id <> 0 OR chunk_id < 30"), q, ids(0), 3).collect()] == [27, 24, 21]  # none: filter first
+    assert retrieval.search(chunks, q, ids(), 3).count() == 0 and [r.chunk_id for r in retrieval.search(chunks, q, None, 3).collect()] == [39, 38, 37]
+
+
+def test_whole_contents_and_excerpts(spark):
+    h = spark.createDataFrame([(1, k, k % 2, f"f{k % 2}", 4, 0.9 - k / 100, "x" * 30_000) for k in range(1, 26)], "page_id long, rank int, doc_id long, filename string, page int, similarity double, content string").withColumn("chunk_id", F.col("rank"))
+    assert len(retrieval.context(h, 2, None, "page_id").collect()[0].context) == 2 * 30_000 + len("[1, 1] \n[0, 2] ")
+    r = retrieval.page_excerpts(h).collect()[0]
+    assert r.excerpts.count("Excerpt ") == 12 and r.excerpts.startswith("Excerpt 1:\nSource: [f1, page 4]\nRelevance: 0.890\nContent: " + "x" * 600 + "...\n") and r.footnotes == "[1] f1\n[2] f0"
+
+
+def test_tables_as_markdown(spark):
+    from docquill.operators.tables import table_elements
+
+    html = "<table><tr><th>A</th><th> b <b>c</b></th></tr><tr></tr>\n<tr><td>1</td><td>2</td></tr></table><table></table><TABLE class='x'><tr><td>" + "</td><td>".join("abcdefghijklmnopqrstu") + "</td></tr></TABLE><table><tr><td>z</td></tr></table>"
+    got = table_elements(spark.createDataFrame([(1, html, 0), (2, None, 0), (3, "", 0)], "page_id long, html string, rows int"), "page_id", "html").orderBy("table_id").collect()
+    assert [(r.page_id, r.table_id, r.text, r.n_rows, r.n_columns) for r in got] == [(1, "table_1", "| A | b c |\n| --- | --- |\n| 1 | 2 |", 2, 2), (1, "table_4", "| z |\n| --- |", 1, 1)]
+
+
+def test_rewrites_fall_back(spark):
+    from docquill.sources import providers as P
+
+    class Silent(P.TextProvider):
+        name = "silent"
+
+        def complete(self, prompts):
+            return [None if "hyde" in p else "new" for p in prompts]
+
+    q = spark.createDataFrame([(1, "q")], "query_id long, text string")
+    got = {r.kind: r.text for r in P.rewritten(P.query_variants(q, P.REWRITES), [Silent()]).collect()}
+    assert got == {"original": "q", "semantic": "new", "hyde": "q", "formal": "new"}
+
+
+def test_named_tables_and_scratch(spark, tmp_path):
+    from docquill import scratch
+    from docquill.sources import tables
+
+    df = spark.range(3)
+    tables.append_named(df, "t", str(tmp_path))
+    tables.append_named(df, "t", str(tmp_path))
+    assert tables.read_named(spark, "t", str(tmp_path)).count() == 6
+    tables.replace_named(df, "t", str(tmp_path))
+    assert tables.read_named(spark, "t", str(tmp_path)).count() == 3
+    kept = scratch.materialize(df, "kept")
+    path = kept.inputFiles()[0]
+    assert spark.sparkContext.applicationId in path and scratch._RUN in path  # a folder of its own: the end of another job leaves it alone
+    parts = scratch.materialize(df.withColumn("part", F.col("id") % 2), "parts", by="part")
+    assert sorted(tuple(r) for r in parts.where("part = 0").collect()) == [(0, 0), (2, 0)]
+    scratch.release(spark, kept, parts)
+    with pytest.raises(Exception):
+        kept.count()
