@@ -219,8 +219,9 @@ def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     The file is read on the driver; tasks get its tables. Special tokens that
     stand in a text are one id; none is added. With ``decode`` the ids are
     decoded again where they were made, as ``text``. Null text counts as empty
-    and has no ids; rows that repeat are encoded each; other columns are not
-    looked at.
+    and has no ids; texts of any length are encoded whole; rows that repeat are
+    encoded each; other columns are not looked at; an empty table gives an empty
+    result.
     """
     read = id_and_text(docs, id_col, text_col)
     shared = read.sparkSession.sparkContext.broadcast(Vocabulary.from_file(tokenizer))  # tables of some MB

@@ -171,6 +171,12 @@ def quality_score(model: Trees, text: Column) -> Column:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with all their columns; learns from all labelled rows."""
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns; learns from all labelled rows.
+
+    A null text is scored as an empty one; texts of any length are read whole;
+    ids decide nothing but what is learnt from, and rows with a null id are kept
+    or not like any other; rows that repeat have one fate. Without labels every
+    row scores the same; an empty table gives an empty one.
+    """
     model = learn_quality(docs, labels, F.lit(True), id_col, text_col)
     return docs.where(quality_score(model, F.col(f"`{text_col}`")) >= threshold)
