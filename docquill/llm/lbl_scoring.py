@@ -44,7 +44,7 @@ from docquill.scratch import materialize
 #: Most classes of single words, and from which count on a word is one; classes of rarer words by hash; members of a group.
 CLASSES, OWN_COUNT, RARE, GROUP = 8000, 150, 500, 96
 #: Length of the vectors; words of the context; words whose counts tasks hold.
-DIMENSIONS, CONTEXT, HEAD_WORDS = 16, 3, 50_000
+DIMENSIONS, CONTEXT, HEAD_WORDS = 12, 3, 50_000
 #: Training: positions in a step, noise tokens in a step, step size; tokens of a part.
 STEP, NOISE, RATE, PART_TOKENS = 8192, 32, 0.05, 2_000_000
 
@@ -86,10 +86,10 @@ class Model:
             out += self.vectors[contexts[:, k]] * self.place[k]
         return out
 
-    def log10_probabilities(self, contexts: np.ndarray, tokens: np.ndarray, block: int = 8192) -> np.ndarray:
+    def log10_probabilities(self, contexts: np.ndarray, tokens: np.ndarray, block: int = 2048) -> np.ndarray:
         """log10 of the normalised probability of each token after its context (a row of classes), by one matrix product for the groups and one for each group's members."""
         group = tokens // self.group
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group.astype(np.uint16) if len(self.above) < 1 << 16 else group, kind="stable")  # short numbers are sorted by their digits
         wanted = self.wanted(contexts[order])
         longest = np.sqrt(max((self.vectors**2).sum(axis=1).max(), (self.above**2).sum(axis=1).max()) * (wanted**2).sum(axis=1).max(initial=0))
         safe = longest + max(np.abs(self.bias).max(), np.abs(self.above_bias).max()) < 60  # float32 holds exp(60)
@@ -118,7 +118,9 @@ class Model:
         for i in range(0, len(tokens), STEP):
             c, w = contexts[i : i + STEP], tokens[i : i + STEP]
             seen = [self.vectors[c[:, k]] for k in range(c.shape[1])]
-            wanted = sum(s * p for s, p in zip(seen, self.place, strict=True))
+            wanted = seen[0] * self.place[0]
+            for s, p in zip(seen[1:], self.place[1:], strict=True):
+                wanted += s * p
             d_wanted, steps = np.zeros_like(wanted), []
             for (vectors, bias, log_noise, bounds), aim in zip(levels, (w, w // self.group), strict=True):
                 noise = np.minimum(np.searchsorted(bounds, rng.random(NOISE) * bounds[-1]), len(bounds) - 1)
@@ -131,19 +133,16 @@ class Model:
                 steps.append((aim, up, noise, down))
             inner = [(x, d_wanted * p) for x, p in zip(c.T, self.place, strict=True)]
             for (vectors, bias, _, _), (aim, up, noise, down), more in zip(levels, steps, (inner, []), strict=True):
-                # the gradients of all vectors that occur, summed by class
-                where = np.concatenate([aim, *[x for x, _ in more]]).astype(np.uint16 if len(bias) < 1 << 16 else np.int64)
+                # the gradients of all vectors that occur, summed by class and dimension
+                where = np.concatenate([aim, *[x for x, _ in more]])
                 what = np.concatenate([up[:, None] * wanted, *[d for _, d in more]])
-                order = np.argsort(where, kind="stable")  # short numbers are sorted by their digits
-                where = where[order]
-                cut = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-                sums = np.zeros_like(vectors)
-                sums[where[cut].astype(np.int64)] = np.add.reduceat(what[order], cut)
+                cell = where[:, None] * vectors.shape[1] + np.arange(vectors.shape[1])
+                sums = np.bincount(cell.ravel(), what.ravel(), vectors.size).reshape(vectors.shape)
                 np.add.at(sums, noise, down.T @ wanted)
                 slope = np.bincount(aim, up, len(bias)) + np.bincount(noise, down.sum(axis=0), len(bias))
                 # frequent classes take shorter steps
                 scale = (rate / np.sqrt(np.maximum(np.bincount(where, minlength=len(bias)), NOISE / 4))).astype(np.float32)
-                vectors += scale[:, None] * np.clip(sums, -50, 50)
+                vectors += scale[:, None] * np.clip(sums, -50, 50).astype(np.float32)
                 bias += (0.1 * scale * slope).astype(np.float32)
             self.place += rate / len(w) * np.stack([np.einsum("ij,ij->j", d_wanted, s) for s in seen])
 
