@@ -225,14 +225,16 @@ def validation_errors(spark, sf_dir):
     return owned_documents(spark, sf_dir).where("n_chars >= 10000").select("project_id", "doc_id", F.concat("filename", F.lit(": too long")).alias("error"))
 
 
-@query("run_timings", """WITH t AS (SELECT user_id AS run_id, event_type AS step, sum(value) / 1000 AS seconds FROM events GROUP BY ALL)
-    SELECT run_id, string_agg(step || '=' || printf('%.3f', seconds), ',' ORDER BY step) AS steps, round(sum(seconds), 6) AS total_time, round(max(seconds), 6) AS slowest FROM t GROUP BY 1""")
+@query("run_timings", """WITH t AS (SELECT user_id AS run_id, event_type AS step, CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS micros FROM events GROUP BY ALL)
+    SELECT run_id, string_agg(step || '=' || micros, ',' ORDER BY step) AS steps, CAST(sum(micros) AS BIGINT) AS total_micros, max(micros) AS slowest_micros, round(sum(micros) / 1e6, 6) AS total_time FROM t GROUP BY 1""")
 def run_timings(spark, sf_dir):
-    """Seconds by step of each run as a map, their sum and the slowest; the log is summed by step before it meets by run."""
-    t = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_id"), F.col("event_type").alias("step")).agg((F.sum("value") / 1000).alias("seconds"))
-    g = t.groupBy("run_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("step", "seconds")))).alias("steps"), F.round(F.sum("seconds"), 6).alias("total_time"), F.round(F.max("seconds"), 6).alias("slowest"))
-    shown = F.transform(F.map_entries("steps"), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.3f", e["value"])))
-    return g.select("run_id", F.array_join(shown, ",").alias("steps"), "total_time", "slowest")
+    """Microseconds by step of each run as a map, their sum and the slowest; the log is summed by step, as whole numbers in any order, before it meets by run."""
+    micros = F.sum(F.round(F.col("value") * 1000).cast("long")).alias("micros")
+    t = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_id"), F.col("event_type").alias("step")).agg(micros)
+    total = F.sum("micros")
+    g = t.groupBy("run_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("step", "micros")))).alias("steps"), total.alias("total_micros"), F.max("micros").alias("slowest_micros"), F.round(total / 1e6, 6).alias("total_time"))
+    shown = F.transform(F.map_entries("steps"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return g.withColumn("steps", F.array_join(shown, ","))
 
 
 STATUS = "CASE WHEN quality = 1 AND toxic = 0 THEN 'found' WHEN quality = 1 THEN 'risk' WHEN toxic = 1 THEN 'conditions' ELSE 'missing' END"
