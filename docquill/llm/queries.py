@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquill.llm.bpe import default_tokenizer, encode_texts
+from docquill.llm.byte_bpe import decode_by_ranks, default_ranks, encode_by_ranks
 from docquill.llm.chroma import align_recordings, melody
 from docquill.llm.common import remainder, table, text_of
 from docquill.llm.exact_dedup import exact_duplicates
@@ -79,6 +80,12 @@ def op10_line_dedup(spark, sf_dir):
     return repeated_spans(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op11_chunked_bytes(spark, sf_dir):
+    coded = decode_by_ranks(encode_by_ranks(table(spark, sf_dir, "documents"), default_ranks()), default_ranks())
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def queries():
     return {
         "op1_simhash_gray": op1_simhash_gray,
@@ -91,6 +98,7 @@ def queries():
         "op9_secret_scan": op9_secret_scan,
         "op10_line_dedup": op10_line_dedup,
         "op6_exact_dedup": op6_exact_dedup,
+        "op11_chunked_bytes": op11_chunked_bytes,
     }
 
 
