@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docquill.llm.bpe import default_tokenizer, encode_texts
 from docquill.llm.byte_bpe import decode_by_ranks, default_ranks, encode_by_ranks
+from docquill.llm.centroids import centroid_clusters, centroid_sql
 from docquill.llm.chroma import align_recordings, melody
 from docquill.llm.common import remainder, table, text_of
 from docquill.llm.exact_dedup import exact_duplicates
@@ -86,6 +87,10 @@ def op11_chunked_bytes(spark, sf_dir):
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op13_hilbert_centroids(spark, sf_dir):
+    return centroid_clusters(table(spark, sf_dir, "embeddings")).drop("compared")
+
+
 def queries():
     return {
         "op1_simhash_gray": op1_simhash_gray,
@@ -99,6 +104,7 @@ def queries():
         "op10_line_dedup": op10_line_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op11_chunked_bytes": op11_chunked_bytes,
+        "op13_hilbert_centroids": op13_hilbert_centroids,
     }
 
 
@@ -108,4 +114,5 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op13_hilbert_centroids": centroid_sql(),
 }
