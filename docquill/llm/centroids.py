@@ -26,13 +26,13 @@ BLOCK, CURVE, BITS = 256, 16, 4
 DOUBLES, MOST = 1 << 21, 1 << 27
 
 
-def quantised(vectors: DataFrame, id_col: str, vector_col: str, dims: int, scale: int) -> DataFrame:
-    """(vec_id, v): the vectors of ``dims`` components, none null or not finite, each component as floor(scale * x)."""
+def quantised(vectors: DataFrame, id_col: str, vector_col: str, dims: int, scale: int, *more: Column) -> DataFrame:
+    """(vec_id, v, more columns): the vectors of ``dims`` components, none null or not finite, each component as floor(scale * x)."""
     x = F.col(f"`{vector_col}`")
     fine = (F.size(x) == dims) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     times = lambda c: F.floor(c.cast("double") * scale)
     whole = F.transform(x, lambda c: F.when(F.abs(c.cast("double")) * scale <= MOST, times(c)).otherwise(F.raise_error(F.lit(f"a component is beyond {MOST} / {scale}"))).cast("int"))
-    return vectors.select(F.col(f"`{id_col}`").alias("vec_id"), F.when(fine, whole).alias("v")).where("v IS NOT NULL")
+    return vectors.select(F.col(f"`{id_col}`").alias("vec_id"), F.when(fine, whole).alias("v"), *more).where("v IS NOT NULL")
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:

@@ -10,6 +10,7 @@ from docquill.llm.centroids import centroid_clusters, centroid_sql
 from docquill.llm.chroma import align_recordings, melody
 from docquill.llm.common import remainder, table, text_of
 from docquill.llm.exact_dedup import exact_duplicates
+from docquill.llm.hard_negatives import hard_negatives
 from docquill.llm.lbl_scoring import score_texts
 from docquill.llm.mixing import mix_sources, words_in
 from docquill.llm.simhash import near_duplicates
@@ -87,6 +88,11 @@ def op11_chunked_bytes(spark, sf_dir):
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op12_gnat_negatives(spark, sf_dir):
+    label = F.when(F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False)), (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label_col=label)
+
+
 def op13_hilbert_centroids(spark, sf_dir):
     return centroid_clusters(table(spark, sf_dir, "embeddings")).drop("compared")
 
@@ -104,6 +110,7 @@ def queries():
         "op10_line_dedup": op10_line_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op11_chunked_bytes": op11_chunked_bytes,
+        "op12_gnat_negatives": op12_gnat_negatives,
         "op13_hilbert_centroids": op13_hilbert_centroids,
     }
 
@@ -114,5 +121,14 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op12_gnat_negatives": """
+        WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+        s AS (SELECT a.vec_id AS anchor_id, a.label AS anchor_label, r.vec_id, r.label, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score FROM r a JOIN r ON a.vec_id % 50 = 0 AND r.vec_id <> a.vec_id),
+        p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE label = anchor_label) WHERE n <= 5),
+        x AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.anchor_label AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+        SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM x WHERE rank <= 3
+    """,
     "op13_hilbert_centroids": centroid_sql(),
 }
