@@ -1,23 +1,28 @@
 """Vector retrieval: exact nearest neighbours of one or many queries, with the filters and dedups of each pipeline.
 
-Queries are few and of a checked number, so they are broadcast; chunks are
-scored where they are, and only the best of each task are shuffled.
+Queries are few and of a checked number, so they go to all tasks in blocks;
+chunks are scored where they are, a batch at a time by one matrix product, and
+only the best of each task are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docquill.functions.vectors import cosine
 
 #: Results of a search, most of the SQL function, results of a checklist query, its least similarity (fixed values).
 TOP, MOST, PER_QUERY, LEAST = 15, 200, 10, 0.15
-#: Most queries that are broadcast; more are joined in blocks by their own partitions.
+#: Most queries that are broadcast; more go in blocks.
 BROADCAST_QUERIES = 4096
 
 #: Least similarity of each level by language (fixed values).
@@ -41,22 +46,157 @@ def above_minimum(hits: DataFrame, language: str) -> DataFrame:
     return hits.where(F.col("similarity") >= MINIMUM[language])
 
 
+def _query_blocks(queries: DataFrame) -> list[list]:
+    """The queries (query_id, query) in lists of at most about ``BROADCAST_QUERIES``; one list, read by one job, where they fit."""
+    q = queries.select("query_id", "query")
+    few = q.limit(BROADCAST_QUERIES + 1).collect()
+    if len(few) <= BROADCAST_QUERIES:
+        return [few]
+    blocks = -(-queries.count() // BROADCAST_QUERIES)
+    return [q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect() for i in range(blocks)]
+
+
+def _unit(vectors: list, size: int) -> np.ndarray:
+    """A row of length one for each vector; zeros for one that is null, zero, incomplete, not finite or of another size."""
+    rows = np.array([v if v is not None and len(v) == size else np.zeros(size) for v in vectors], float).reshape(len(vectors), size)
+    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    fine = np.isfinite(length) & (length > 0)
+    return np.where(fine, rows, 0.0) / np.where(fine, length, 1.0)
+
+
+def _unit_column(column: pa.Array, size: int) -> np.ndarray:
+    """:func:`_unit` of an array column, without a step for each vector where all are whole."""
+    values = column.flatten()
+    if column.null_count or values.null_count or len(values) != size * len(column) or not (pc.list_value_length(column).to_numpy(zero_copy_only=False) == size).all():
+        return _unit(column.to_pylist(), size)
+    rows = values.to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    fine = np.isfinite(length) & (length > 0)
+    return np.where(fine, rows, 0.0) / np.where(fine, length, 1.0)
+
+
+def six_digits(x: np.ndarray) -> np.ndarray:
+    """Rounded to six digits, halves away from zero, so that ties are ties everywhere."""
+    return np.copysign(np.floor(np.abs(x) * 1e6 + 0.5) / 1e6, x) + 0.0
+
+
+class _Queries:
+    """Queries by the size of their vectors; a chunk of another size scores zero, as a null one does."""
+
+    def __init__(self, rows: list) -> None:
+        self.ids = [r.query_id for r in rows]
+        sizes = [0 if r.query is None else len(r.query) for r in rows]
+        self.by_size = {n: (np.array([i for i, m in enumerate(sizes) if m == n]), _unit([r.query for r, m in zip(rows, sizes, strict=True) if m == n], n)) for n in set(sizes) - {0}}
+
+    def similarities(self, column: pa.Array) -> np.ndarray:
+        """(chunks, queries)"""
+        out = np.zeros((len(column), len(self.ids)))
+        for size, (at, q) in self.by_size.items():
+            out[:, at] = _unit_column(column, size) @ q.T
+        return six_digits(out)
+
+
+def _fields(df: DataFrame, *more: str) -> str:
+    return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], *more])
+
+
+#: Pairs that a task holds at a time.
+PAIRS = 1 << 20
+
+
 def score(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each chunk with each query (query_id, query): similarity, rounded to six digits so that ties are ties everywhere.
+    """Each chunk, without its ``embedding``, with each query (query_id, query): similarity, the cosine rounded to six digits.
 
-    Up to ``BROADCAST_QUERIES`` queries go to all tasks at once; more go in blocks of about that size.
+    Zero where a vector is null, zero, not finite, has a null or another length. Up
+    to ``BROADCAST_QUERIES`` queries go to all tasks at once; more go in blocks of
+    about that size, a pass each.
+    """
+    rest = chunks.drop("embedding")
+    kind, kept = queries.schema["query_id"].dataType, rest.columns
+    id_type = to_arrow_type(kind)
+
+    def scored(some: list) -> DataFrame:
+        shared = chunks.sparkSession.sparkContext.broadcast(_Queries(some))
+
+        def run(batches):
+            q = shared.value
+            ids = pa.array(q.ids, id_type)
+            step = max(1, PAIRS // max(1, len(q.ids)))
+            for batch in batches:
+                for start in range(0, batch.num_rows, step):
+                    part = batch.slice(start, step)
+                    similarity = q.similarities(part.column("embedding"))
+                    of_chunk, of_query = np.divmod(np.arange(similarity.size), max(1, len(q.ids)))
+                    columns = [part.column(c).take(pa.array(of_chunk)) for c in kept]
+                    yield pa.RecordBatch.from_arrays([*columns, ids.take(pa.array(of_query)), pa.array(similarity.ravel())], [*kept, "query_id", "similarity"])
+
+        return chunks.select(*kept, "embedding").mapInArrow(run, _fields(rest, f"query_id {kind.simpleString()}", "similarity double"))
+
+    return reduce(DataFrame.unionByName, [scored(some) for some in _query_blocks(queries)])
+
+
+class BestRows:
+    """The best ``k`` rows of each query in a task, by similarity and then by chunk; only the first of those that are equal in ``unlike``."""
+
+    def __init__(self, queries: int, k: int, least: float, unlike: str | None = None) -> None:
+        self.k, self.unlike, self.bound, self.held = k, unlike, np.full(queries, least), None
+
+    def add(self, part: pa.RecordBatch, similarity: np.ndarray) -> None:
+        """``similarity`` is (rows, queries)."""
+        at, of = np.nonzero(similarity >= self.bound)
+        if not len(at):
+            return
+        new = part.take(pa.array(at)).to_pandas(types_mapper=pd.ArrowDtype).assign(query=of, similarity=similarity[at, of])
+        whole = new if self.held is None else pd.concat([self.held, new], ignore_index=True)
+        whole = whole.sort_values(["query", "similarity", "chunk_id"], ascending=[True, False, True], kind="stable")
+        whole = whole.drop_duplicates(["query", self.unlike]) if self.unlike else whole
+        place = whole.groupby("query").cumcount()
+        self.held = whole[place < self.k]
+        last = self.held[place[self.held.index] == self.k - 1]
+        self.bound[last["query"].to_numpy()] = last["similarity"].to_numpy()
+
+    def batches(self, columns: list[str], ids: list, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        if self.held is not None:
+            known = pd.Series(pd.array([ids[i] for i in self.held["query"]], dtype=pd.ArrowDtype(id_type)), index=self.held.index)
+            yield from pa.Table.from_pandas(self.held.assign(query_id=known)[[*columns, "query_id", "similarity"]], preserve_index=False).to_batches()
+
+
+def best_of_each(chunks: DataFrame, queries: DataFrame, k: int = PER_QUERY, least: float | None = LEAST, unlike: str | None = None) -> DataFrame:
+    """The ``k`` best chunks of each query with their ``rank``, at or above ``least``: a bounded list of each query in each task, then among the tasks' lists.
+
+    Rows are those of :func:`score`; ties go to the smaller chunk_id. With
+    ``unlike`` only the best of the chunks that are equal in that column counts.
     """
-    many = queries.count()
-    blocks = -(-many // BROADCAST_QUERIES) or 1
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    paired = [chunks.crossJoin(F.broadcast(queries.where(block == i) if blocks > 1 else queries)) for i in range(blocks)]
-    whole = reduce(DataFrame.unionByName, paired)
-    return whole.withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("query")), 6)).drop("embedding", "query")
+    rest = chunks.drop("embedding")
+    kind, kept = queries.schema["query_id"].dataType, rest.columns
+    id_type = to_arrow_type(kind)
+
+    def listed(some: list) -> DataFrame:
+        shared = chunks.sparkSession.sparkContext.broadcast(_Queries(some))
+
+        def run(batches):
+            q = shared.value
+            best = BestRows(len(q.ids), k, -np.inf if least is None else least, unlike)
+            step = max(1, PAIRS // max(1, len(q.ids)))
+            for batch in batches:
+                for start in range(0, batch.num_rows, step):
+                    part = batch.slice(start, step)
+                    best.add(part.select(kept), q.similarities(part.column("embedding")))
+            yield from best.batches(kept, q.ids, id_type)
+
+        return chunks.select(*kept, "embedding").mapInArrow(run, _fields(rest, f"query_id {kind.simpleString()}", "similarity double"))
+
+    found = reduce(DataFrame.unionByName, [listed(some) for some in _query_blocks(queries)])
+    best = [F.desc("similarity"), F.asc("chunk_id")]
+    if unlike:
+        first = F.row_number().over(Window.partitionBy("query_id", unlike).orderBy(*best))  # at most one row a task
+        found = found.withColumn("rank", first).where("rank = 1")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k)
 
 
 def nearest(chunks: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
-    """The ``k`` nearest chunks of one query, ties by chunk_id; a bounded heap in each task."""
-    return score(chunks, queries).orderBy(F.desc("similarity"), "chunk_id").limit(min(k, MOST))
+    """The ``k`` nearest chunks of one query, ties by chunk_id; a bounded list in each task."""
+    return best_of_each(chunks, queries, min(k, MOST), None).drop("rank").orderBy(F.desc("similarity"), "chunk_id").limit(min(k, MOST))
 
 
 def nearest_of_each(scored: DataFrame, k: int = PER_QUERY, least: float | None = LEAST, group: list[str] | None = None) -> DataFrame:
@@ -125,9 +265,10 @@ def context(hits: DataFrame, most: int, chars: int | None, group: str = "query_i
 def page_excerpts(hits: DataFrame, top: int = 20, shown: int = 12, chars: int = 600) -> DataFrame:
     """(page_id, excerpts, footnotes) of hits (page_id, rank, doc_id, filename, page, similarity, content): the first ``shown`` as excerpts, the documents of the first ``top`` as numbered footnotes."""
     few = numbered_citations(hits, top)
+    thousandths = F.floor((F.round(F.greatest("similarity", F.lit(0.0)) * 1_000_000).cast("long") + 500) / 1000)  # in whole numbers, so that halves go up everywhere
     excerpt = F.concat(
         F.lit("Excerpt "), F.col("rank").cast("string"), F.lit(":\nSource: ["), F.col("filename"), F.lit(", page "), F.coalesce(F.col("page").cast("string"), F.lit("N/A")), F.lit("]\nRelevance: "),
-        F.format_string("%.3f", "similarity"), F.lit("\nContent: "), F.substring(F.coalesce("content", F.lit("")), 1, chars), F.lit("..."),
+        F.format_string("%d.%03d", F.floor(thousandths / 1000), thousandths % 1000), F.lit("\nContent: "), F.substring(F.coalesce("content", F.lit("")), 1, chars), F.lit("..."),
     )
     joined = lambda c: F.array_join(F.transform(F.sort_array(c), lambda x: x["text"]), "\n")
     note = F.concat(F.lit("["), F.col("citation").cast("string"), F.lit("] "), F.col("filename"))
@@ -150,39 +291,3 @@ def answer_confidence(similarities: Column) -> Column:
     """The mean of the best three, at most one."""
     top = F.slice(similarities, 1, 3)
     return F.when(F.size(top) > 0, F.least(F.lit(1.0), F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / F.size(top))).otherwise(0.0)
-
-
-class ProjectionIndex:
-    """Approximate neighbours by random projections: vectors with the same signs in one of ``tables`` share a bucket.
-
-    Every row is indexed; ``probe`` also looks into the buckets that differ in
-    one sign. Candidates are scored exactly. The number of tables is chosen by the
-    recall measured on the embeddings tables (README).
-    """
-
-    def __init__(self, dimensions: int, tables: int = 32, bits: int = 8, seed: int = 5) -> None:
-        self.planes = np.random.default_rng(seed).normal(size=(tables, bits, dimensions)).round(6)
-        self.bits = bits
-
-    def buckets(self, vector: Column) -> Column:
-        """One number per table; a vector that is null, incomplete or of another size has zeros."""
-        planes, bits = self.planes, self.bits
-
-        @F.pandas_udf("array<int>")
-        def of(vectors: pd.Series) -> pd.Series:
-            size = planes.shape[2]
-            rows = [np.zeros(size) if v is None or len(v) != size else np.asarray(v, float) for v in vectors]
-            sides = np.einsum("tbd,nd->ntb", planes, np.array(rows).reshape(-1, size)) > 0
-            return pd.Series(list((sides << np.arange(bits)).sum(axis=2).astype(np.int32)))
-
-        return of(vector)
-
-    def search(self, chunks: DataFrame, queries: DataFrame, k: int = PER_QUERY) -> DataFrame:
-        """The best ``k`` candidates of each query (query_id, query)."""
-        index = chunks.select("chunk_id", F.posexplode(self.buckets(F.col("embedding"))).alias("table", "bucket"))
-        q = queries.select("query_id", F.posexplode(self.buckets(F.col("query"))).alias("table", "b"))
-        near = F.array(F.col("b"), *[F.col("b").bitwiseXOR(F.lit(1 << i)) for i in range(self.bits)])
-        probes = q.select("query_id", "table", F.explode(near).alias("bucket"))
-        pairs = index.join(probes, ["table", "bucket"]).select("query_id", "chunk_id").distinct()
-        found = chunks.join(pairs, "chunk_id").join(queries.select("query_id", "query"), "query_id")
-        return nearest_of_each(found.withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("query")), 6)).drop("embedding", "query"), k, None)

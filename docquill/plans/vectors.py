@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docquill.functions import vectors as V
+from docquill.operators import ann as A
 from docquill.operators import clustering as K
 from docquill.operators import retrieval as R
 from docquill.plans.model import CHUNKS, chunks, table
@@ -31,7 +32,7 @@ def many_queries(spark, sf_dir):
 def hits_of_each(spark, sf_dir, k=R.PER_QUERY):
     """The best ``k`` of each query; contents are fetched for the hits only."""
     c = chunks(spark, sf_dir)
-    return R.nearest_of_each(R.score(c.select("chunk_id", "embedding"), many_queries(spark, sf_dir)), k).join(c.drop("embedding"), "chunk_id")
+    return R.best_of_each(c.select("chunk_id", "embedding"), many_queries(spark, sf_dir), k).join(c.drop("embedding"), "chunk_id")
 
 
 @query("match_chunks", f"WITH {CHUNKS}, {ONE}, {SCORED} SELECT chunk_id, doc_id, similarity FROM scored ORDER BY similarity DESC, chunk_id LIMIT 15")
@@ -198,8 +199,7 @@ def overview_hits(spark, sf_dir):
     """Per query: dedup by 200 characters first, then the threshold, then ten. The prefix is cut before the pairing, contents are fetched after it."""
     c = chunks(spark, sf_dir)
     prefix = F.substring(F.coalesce("content", F.lit("")), 1, 200).alias("content")
-    scored = R.score(c.select("chunk_id", prefix, "embedding"), many_queries(spark, sf_dir))
-    best = R.nearest_of_each(R.first_of_prefix(scored, 200, R.best_first(), ["query_id"]))
+    best = R.best_of_each(c.select("chunk_id", prefix, "embedding"), many_queries(spark, sf_dir), unlike="content")
     return best.drop("content").join(c.select("chunk_id", "content"), "chunk_id")
 
 
@@ -234,7 +234,7 @@ _context("checklist_prompt", 60, 50, 800)
 
 @query("markdown_prompt", f"""WITH {CHUNKS}, {MANY}, {SCORED}, {TOP.format(k=30)}, t AS (SELECT *, 'doc_' || doc_id || '.pdf' AS filename, min(rank) OVER (PARTITION BY query_id, doc_id) AS first FROM each WHERE rank <= 20),
     f AS (SELECT query_id, string_agg('[' || n || '] ' || filename, chr(10) ORDER BY n) AS footnotes FROM (SELECT query_id, filename, row_number() OVER (PARTITION BY query_id ORDER BY min(first)) AS n FROM t GROUP BY query_id, doc_id, filename) GROUP BY 1)
-    SELECT query_id, string_agg('Excerpt ' || rank || ':' || chr(10) || 'Source: [' || filename || ', page ' || run_id || ']' || chr(10) || 'Relevance: ' || printf('%.3f', similarity) || chr(10) || 'Content: ' || substr(coalesce(content, ''), 1, 600) || '...', chr(10) ORDER BY rank) AS excerpts, any_value(footnotes) AS footnotes
+    SELECT query_id, string_agg('Excerpt ' || rank || ':' || chr(10) || 'Source: [' || filename || ', page ' || run_id || ']' || chr(10) || 'Relevance: ' || printf('%d.%03d', (CAST(round(greatest(similarity, 0) * 1000000) AS BIGINT) + 500) // 1000000, (CAST(round(greatest(similarity, 0) * 1000000) AS BIGINT) + 500) // 1000 % 1000) || chr(10) || 'Content: ' || substr(coalesce(content, ''), 1, 600) || '...', chr(10) ORDER BY rank) AS excerpts, any_value(footnotes) AS footnotes
     FROM t JOIN f USING (query_id) WHERE rank <= 12 GROUP BY 1""")
 def markdown_prompt(spark, sf_dir):
     """Of thirty hits the best 20 give the footnotes and the first 12 the excerpts."""
@@ -266,10 +266,12 @@ def empty_answer(spark, sf_dir):
 
 @query("ann_index")
 def ann_index(spark, sf_dir):
-    """Approximate neighbours of every fiftieth vector against all rows; tests hold the recall."""
-    e = chunks(spark, sf_dir)
-    q = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return R.ProjectionIndex(64).search(e, q).select("query_id", "chunk_id", "rank", "similarity")
+    """Approximate neighbours of every fiftieth vector against all rows, by an index that is written once for the table's files; tests hold the recall."""
+    e = table(spark, sf_dir, "embeddings")
+    name = A.index_name(e, "embeddings")
+    if not A.exists(spark, name):
+        A.write_index(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), name)
+    return A.search(A.open_index(spark, name), many_queries(spark, sf_dir)).select("query_id", "chunk_id", "rank", "similarity")
 
 
 @query("kmeans")

@@ -34,22 +34,23 @@ def fresh_name(name: str) -> str:
     return f"{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _named_path(spark, name: str, root: str | None) -> str:
+def named_path(spark, name: str, root: str | None) -> str:
     return f"{(root or shared_root(spark)).rstrip('/')}/docquill-sinks/{name}"
 
 
 def append_named(df: DataFrame, name: str, root: str | None = None) -> None:
     """Append rows to the table of that name below ``root`` (by default the shared folder), where any later job finds them."""
-    df.write.mode("append").parquet(_named_path(df.sparkSession, name, root))
+    df.write.mode("append").parquet(named_path(df.sparkSession, name, root))
 
 
-def replace_named(df: DataFrame, name: str, root: str | None = None) -> None:
-    """Write the table of that name anew; ``df`` must not read it."""
-    df.write.mode("overwrite").parquet(_named_path(df.sparkSession, name, root))
+def replace_named(df: DataFrame, name: str, root: str | None = None, by: str | None = None) -> None:
+    """Write the table of that name anew, with ``by`` a folder for each value of that column; ``df`` must not read it."""
+    (df.write.partitionBy(by) if by else df.write).mode("overwrite").parquet(named_path(df.sparkSession, name, root))
 
 
-def read_named(spark, name: str, root: str | None = None) -> DataFrame:
-    return spark.read.parquet(_named_path(spark, name, root))
+def read_named(spark, name: str, root: str | None = None, schema=None) -> DataFrame:
+    """The table of that name; with ``schema`` also one without any row in folders."""
+    return (spark.read.schema(schema) if schema else spark.read).parquet(named_path(spark, name, root))
 
 
 def with_embeddings(chunks: DataFrame, vectors: DataFrame, model: str) -> DataFrame:

@@ -153,34 +153,6 @@ def test_empty_allowed_means_no_rows(spark):
     assert retrieval.search(c, q).count() == 1
 
 
-def test_index_recall(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(0)
-    centres = rng.normal(size=(20, 16))
-    rows = [(i, (centres[i % 20] + rng.normal(size=16) * 0.1).tolist()) for i in range(400)]
-    c = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").repartition(4)
-    q = c.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
-    exact = {(r.query_id, r.chunk_id) for r in retrieval.nearest_of_each(retrieval.score(c, q), 10, None).collect()}
-    found = {(r.query_id, r.chunk_id) for r in retrieval.ProjectionIndex(16).search(c, q, 10).collect()}
-    assert len(exact & found) / len(exact) >= 0.9
-
-
-@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
-def test_index_recall_on_the_tables(spark, sf):
-    import numpy as np
-
-    from docquill.plans.vectors import ann_index
-
-    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
-    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    exact = {(q, c) for i, q in enumerate(ids) if q % 50 == 0 for c in ids[np.lexsort((ids, -np.round(x @ x[i], 6)))[:10]]}
-    found = {(r.query_id, r.chunk_id) for r in ann_index(spark, f"/root/testdata/{sf}").collect()}
-    print(sf, len(exact & found) / len(exact))
-    assert len(exact & found) / len(exact) >= 0.9
-
-
 def test_streaming_windows_match_batch(spark, tmp_path):
     from docquill.streaming.windows import by_window
 
