@@ -6,26 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquill.functions.text import is_major_section, numbered_title
+from docquill.operators.segments import running
 
 
-def inherit_sections(elements: DataFrame) -> DataFrame:
+def inherit_sections(elements: DataFrame, big: DataFrame | None = None) -> DataFrame:
     """``elements`` (doc_id, seq, page, category, text, phase) with ``section``.
 
     Phase 0 is text, in page order; phase 1 tables, in list order; phase 2 page
     images, which read only. A major numbered heading becomes the section of its
     page and of the document. An element inherits its page's section as of then,
-    else the document's, else none.
+    else the document's, else none. ``big`` has the documents that are too large
+    for a task (:mod:`segments`).
     """
     text, category = F.col("text"), F.col("category")
     title = numbered_title(text, category)
     major = F.when((F.col("phase") < 2) & is_major_section(text, category), title)
     place = F.when(F.col("phase") == 1, F.lit(0)).otherwise(F.col("page"))
-    upto = (Window.unboundedPreceding, 0)
-    in_page = Window.partitionBy("doc_id", "page").orderBy("phase", "seq").rowsBetween(*upto)
-    in_doc = Window.partitionBy("doc_id").orderBy("phase", "__place", "seq").rowsBetween(*upto)
     e = elements.withColumn("__major", major).withColumn("__place", place)
-    found = F.coalesce(F.last("__major", ignorenulls=True).over(in_page), F.last("__major", ignorenulls=True).over(in_doc))
-    return e.withColumn("section", found).drop("__major", "__place")
+    e = running(e, ["doc_id", "page"], ["phase", "seq"], big, last={"__of_page": F.col("__major")})
+    e = running(e, ["doc_id"], ["phase", "__place", "seq"], big, last={"__of_document": F.col("__major")})
+    return e.withColumn("section", F.coalesce("__of_page", "__of_document")).drop("__major", "__place", "__of_page", "__of_document")
 
 
 def scaled_box(box: Column, width: Column, height: Column, page_width: Column, page_height: Column, dpi: float = 200.0) -> Column:

@@ -9,17 +9,23 @@ from docquill.operators import boxes as B
 from docquill.operators import chunking as C
 from docquill.operators import elements as E
 from docquill.operators.limiter import admit, demand
+from docquill.operators.segments import GIANT, known_giants
 from docquill.plans.model import ELEMENTS, OWNED, elements, owned_documents, table
 from docquill.plans.text import MAJOR, TITLE_SQL
 from docquill.registry import query
 
 
+def large_documents(spark, sf_dir):
+    """The documents with so many characters that they may have more elements than a task should hold, or None."""
+    return known_giants(table(spark, sf_dir, "documents").where(F.col("n_chars") > GIANT).select("doc_id"))
+
+
 @query("section_inheritance", f"""WITH {ELEMENTS}, p AS (SELECT *, CASE WHEN category = 'UncategorizedText' THEN 1 ELSE 0 END AS phase FROM elements), m AS (SELECT *, CASE WHEN {MAJOR} THEN {TITLE_SQL} END AS major, CASE WHEN phase = 1 THEN 0 ELSE page END AS place FROM p)
     SELECT doc_id, seq, coalesce(last_value(major IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY phase, seq ROWS UNBOUNDED PRECEDING),
         last_value(major IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY phase, place, seq ROWS UNBOUNDED PRECEDING)) AS section FROM m""")
 def section_inheritance(spark, sf_dir):
     e = elements(spark, sf_dir).withColumn("phase", F.when(F.col("category") == "UncategorizedText", 1).otherwise(0))
-    return E.inherit_sections(e).select("doc_id", "seq", "section")
+    return E.inherit_sections(e, large_documents(spark, sf_dir)).select("doc_id", "seq", "section")
 
 
 KEPT = "kept AS (SELECT * FROM elements WHERE category NOT IN ('Header', 'Footer', 'PageBreak', 'Title') AND NOT (category = 'UncategorizedText' AND length(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) < 20))"
@@ -36,12 +42,13 @@ MERGED = f"""{GROUPED}, s AS (SELECT *, length(CASE WHEN category = 'Uncategoriz
 
 @query("list_grouping", f"WITH {GROUPED} SELECT * FROM grouped")
 def list_grouping(spark, sf_dir):
-    return C.group_lists(C.filter_noise(elements(spark, sf_dir)))
+    return C.group_lists(C.filter_noise(elements(spark, sf_dir)), big=large_documents(spark, sf_dir))
 
 
 @query("merge_small", f"WITH {MERGED} SELECT * FROM merged")
 def merge_small(spark, sf_dir):
-    return C.merge_small(C.group_lists(C.filter_noise(elements(spark, sf_dir))))
+    big = large_documents(spark, sf_dir)
+    return C.merge_small(C.group_lists(C.filter_noise(elements(spark, sf_dir)), big=big), big=big)
 
 
 @query("recursive_split")
@@ -54,7 +61,7 @@ def recursive_split(spark, sf_dir):
 @query("chunk_documents")
 def chunk_documents(spark, sf_dir):
     """The whole chain from elements to chunks."""
-    c = C.chunk_elements(elements(spark, sf_dir))
+    c = C.chunk_elements(elements(spark, sf_dir), big=large_documents(spark, sf_dir))
     return c.select("doc_id", "seq", "piece", "total", "page", "category", "chunk_id", F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
 
 
@@ -66,7 +73,7 @@ def chunk_documents(spark, sf_dir):
 def token_batches(spark, sf_dir):
     """The texts of each document in batches, so that no group is larger than a document; small bounds, so that both bind."""
     e = elements(spark, sf_dir).select("doc_id", "seq", token_estimate(F.col("text")).alias("tokens"))
-    return C.token_batches(e, "doc_id", 2000, 10)
+    return C.token_batches(e, "doc_id", 2000, 10, large_documents(spark, sf_dir))
 
 
 PREFIX = "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY substr(text, 1, {n}) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1"
@@ -178,7 +185,8 @@ def sink_chunks(spark, sf_dir):
     """Chunks are written as a table and read back."""
     from docquill.sources.tables import append, read_back
 
-    c = C.merge_small(C.group_lists(C.filter_noise(elements(spark, sf_dir))))
+    big = large_documents(spark, sf_dir)
+    c = C.merge_small(C.group_lists(C.filter_noise(elements(spark, sf_dir)), big=big), big=big)
     back = read_back(append(c, "chunks"))
     return back.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars"))
 
