@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,15 +26,64 @@ def identical(a: Column, b: Column, tolerance: float = 1.0) -> Column:
     return F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y)), lambda d: d <= tolerance)
 
 
+def overlapping(boxes: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """(doc_id, page, a, b, overlap, same): the pairs of boxes (doc_id, page, seq, box) of one page that share an area or are identical within ``tolerance``, once each, a before b.
+
+    Boxes meet in the cells of a grid, and in the first cell that both touch only.
+    Cells have the page's mean box size, and there are at most as many in a page as
+    it has boxes, or a few rows and columns more. Boxes without an area have no pairs.
+    """
+    x0, y0, x1, y1 = (F.col("box")[i] for i in range(4))
+    b = boxes.select("doc_id", "page", "seq", "box").where((F.size("box") == 4) & (x1 > x0) & (y1 > y0))
+    root = F.ceil(F.sqrt(F.count("*")))
+    side = lambda low, high: F.greatest(F.avg(high - low), (F.max(high) - F.min(low)) / root) + tolerance
+    grid = b.groupBy(F.col("doc_id").alias("d"), F.col("page").alias("p")).agg(side(x0, x1).alias("w"), side(y0, y1).alias("h"))
+    b = b.join(grid, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("page").eqNullSafe(F.col("p"))).drop("d", "p")
+    cell = lambda value, size: F.floor(value / F.col(size)).cast("long")
+    half = tolerance / 2
+    b = b.withColumns({"left": cell(x0 - half, "w"), "right": cell(x1 + half, "w"), "low": cell(y0 - half, "h"), "high": cell(y1 + half, "h")})
+    b = b.withColumn("column", F.explode(F.sequence("left", "right"))).withColumn("row", F.explode(F.sequence("low", "high")))
+    u, v = (b.select(*[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "page", "seq", "box", "left", "low", "column", "row")]) for side in "uv")
+    meet = [F.col(f"u_{c}").eqNullSafe(F.col(f"v_{c}")) for c in ("doc_id", "page", "column", "row")]
+    pairs = u.join(v, meet[0] & meet[1] & meet[2] & meet[3] & (F.col("u_seq") < F.col("v_seq")))
+    pairs = pairs.where((F.col("u_column") == F.greatest("u_left", "v_left")) & (F.col("u_row") == F.greatest("u_low", "v_low")))
+    share, same = overlap(F.col("u_box"), F.col("v_box")), identical(F.col("u_box"), F.col("v_box"), tolerance)
+    found = pairs.select(F.col("u_doc_id").alias("doc_id"), F.col("u_page").alias("page"), F.col("u_seq").alias("a"), F.col("v_seq").alias("b"), share.alias("overlap"), same.alias("same"))
+    return found.where("overlap > 0 OR same")
+
+
 class _Kept:
-    """Accepted boxes of one page, in order."""
+    """Accepted boxes of one page, in order, and grids of squares in which they are found again: a grid for each size of boxes, by powers of two."""
 
     def __init__(self, share: float, tolerance: float) -> None:
         self.share, self.tolerance, self.boxes = share, tolerance, []
+        self.grids: dict[int, dict[tuple[int, int], list[int]]] = {}
+
+    def _put(self, i: int, b: list[float]) -> None:
+        level = math.frexp(max(b[2] - b[0], b[3] - b[1]))[1]  # a square is as wide as the box at least
+        grid, size = self.grids.setdefault(level, {}), 2.0**level
+        for column in range(math.floor(b[0] / size), math.floor(b[2] / size) + 1):
+            for row in range(math.floor(b[1] / size), math.floor(b[3] / size) + 1):
+                grid.setdefault((column, row), []).append(i)
+
+    def _near(self, b: list[float]) -> list[int]:
+        """The places of kept boxes that may touch ``b`` within the tolerance, ascending. A box that was replaced is still found where it was."""
+        found: set[int] = set()
+        for level, grid in self.grids.items():
+            size = 2.0**level
+            left, low, right, high = (math.floor((v + m) / size) for v, m in zip(b, (-self.tolerance, -self.tolerance, self.tolerance, self.tolerance), strict=True))
+            if (right - left + 1) * (high - low + 1) > len(grid):
+                cells = [places for (c, r), places in grid.items() if left <= c <= right and low <= r <= high]
+            else:
+                cells = [grid[c, r] for c in range(left, right + 1) for r in range(low, high + 1) if (c, r) in grid]
+            for places in cells:
+                found.update(places)
+        return sorted(found)
 
     def offer(self, seq: int, b: list[float]) -> None:
         size = (b[2] - b[0]) * (b[3] - b[1])
-        for i, (_, k) in enumerate(self.boxes):
+        for i in self._near(b):
+            k = self.boxes[i][1]
             if all(abs(x - y) <= self.tolerance for x, y in zip(b, k, strict=True)):
                 return
             w, h = min(b[2], k[2]) - max(b[0], k[0]), min(b[3], k[3]) - max(b[1], k[1])
@@ -41,8 +91,10 @@ class _Kept:
             if w > 0 and h > 0 and w * h / min(size, old) >= self.share:
                 if size > old:
                     self.boxes[i] = (seq, b)
+                    self._put(i, b)
                 return
         self.boxes.append((seq, b))
+        self._put(len(self.boxes) - 1, b)
 
 
 def drop_repeated_boxes(boxes: DataFrame, share: float = 0.8, tolerance: float = 1.0) -> DataFrame:
@@ -50,7 +102,8 @@ def drop_repeated_boxes(boxes: DataFrame, share: float = 0.8, tolerance: float =
 
     A box identical to a kept one goes; one that overlaps a kept one by ``share``
     of the smaller goes too, but takes its place if it is larger. Boxes without
-    an area go. The order matters, so a page is a fold, read as a stream.
+    an area or with an infinite corner go. The order matters, so a page is a fold,
+    read as a stream, in which a box meets its neighbours only.
     """
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,7 +121,7 @@ def drop_repeated_boxes(boxes: DataFrame, share: float = 0.8, tolerance: float =
                 if (d, p) != key:
                     close()
                     key, kept = (d, p), _Kept(share, tolerance)
-                if b is not None and len(b) == 4 and b[2] > b[0] and b[3] > b[1]:
+                if b is not None and len(b) == 4 and all(v is not None and math.isfinite(v) for v in b) and b[2] > b[0] and b[3] > b[1]:
                     kept.offer(s, list(b))
             yield pd.DataFrame(done, columns=columns)
             done = []

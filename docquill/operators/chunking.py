@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from docquill.functions.text import strip
 from docquill.operators.elements import inherit_sections
-from docquill.operators.segments import SEGMENT_BITS, parted, running
+from docquill.operators.segments import SEGMENT_BITS, by_segment, parted, running
 from docquill.scratch import materialize
 
 #: Effective sizes (fixed values): items in a list group, least composed size, most before a split, size and overlap of pieces, least text of an uncategorised element.
@@ -243,7 +243,7 @@ def _batches_of_giants(texts: DataFrame, group: str, ceiling: int, most: int, bi
                 at = (g, leave[entry], number + between[entry]) if entry < len(leave) else (g, entry - len(leave), number)
             yield pd.DataFrame({group: frame[group], "segment": frame["segment"], "entry": entries, "number": numbers})
 
-    maps = rows.groupBy(group, "segment").applyInPandas(mapped, f"`{group}` {kind}, segment long, leave array<long>, between array<long>")
+    maps = by_segment(rows, group, "segment").applyInPandas(mapped, f"`{group}` {kind}, segment long, leave array<long>, between array<long>")
     entries = materialize(maps.repartition(F.col(group)).sortWithinPartitions(group, "segment").mapInPandas(walk, f"`{group}` {kind}, segment long, entry long, number long"), "batch-entries")
 
     def numbered_rows(frame: pd.DataFrame) -> pd.DataFrame:
@@ -255,5 +255,5 @@ def _batches_of_giants(texts: DataFrame, group: str, ceiling: int, most: int, bi
             i = int(after[i])
         return pd.DataFrame({group: frame[group].iloc[:own], "__n": frame["__n"].iloc[:own], "batch": frame["number"].iloc[0] - 1 + np.cumsum(starts)})
 
-    found = rows.join(entries, [group, "segment"]).groupBy(group, "segment").applyInPandas(numbered_rows, f"`{group}` {kind}, __n long, batch int")
+    found = by_segment(rows.join(entries, [group, "segment"]), group, "segment").applyInPandas(numbered_rows, f"`{group}` {kind}, __n long, batch int")
     return placed.join(found, [group, "__n"]).select(*texts.columns, "batch")

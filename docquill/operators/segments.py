@@ -51,10 +51,19 @@ def running(rows: DataFrame, group: list[str], order: list[str], big: DataFrame
     return out if apart is None else out.unionByName(_segmented(apart, group, order, count, last or {}, bits))
 
 
+def tasks(rows: DataFrame) -> int:
+    """The number of tasks to deal rows to, given, so that few bytes with much work are not put back into one task."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_segment(rows: DataFrame, *keys: str):
+    """``rows`` grouped by the keys of segments, dealt to as many tasks as there may be."""
+    return rows.repartition(tasks(rows), *keys).groupBy(*keys)
+
+
 def numbered(rows: DataFrame, group: list[str], order: list[str], bits: int = SEGMENT_BITS) -> DataFrame:
     """``rows`` sorted by range, written, with ``__at``, their place in that order, and ``__segment``, which holds at most 2**bits rows."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that few rows are not put back into one task
-    ordered = rows.repartitionByRange(parts, *group, *order).sortWithinPartitions(*group, *order)
+    ordered = rows.repartitionByRange(tasks(rows), *group, *order).sortWithinPartitions(*group, *order)
     at = F.monotonically_increasing_id()
     return materialize(ordered.withColumn("__at", at).withColumn("__segment", F.shiftright("__at", bits)), "segments")
 

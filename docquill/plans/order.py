@@ -9,7 +9,7 @@ from docquill.operators import boxes as B
 from docquill.operators import chunking as C
 from docquill.operators import elements as E
 from docquill.operators.limiter import admit, demand
-from docquill.operators.segments import GIANT, known_giants
+from docquill.operators.segments import GIANT, giants, known_giants
 from docquill.plans.model import ELEMENTS, OWNED, elements, owned_documents, table
 from docquill.plans.text import MAJOR, TITLE_SQL
 from docquill.registry import query
@@ -120,13 +120,10 @@ def bbox_dedup(spark, sf_dir):
 @query("bbox_overlap", f"""WITH b AS (SELECT l_orderkey AS doc_id, l_partkey % 2 AS page, l_linenumber * 1000000 + l_partkey AS seq, {BOX} AS box FROM lineitem),
     p AS (SELECT x.doc_id, x.seq AS a, y.seq AS b, x.box AS u, y.box AS v FROM b x JOIN b y ON x.doc_id = y.doc_id AND x.page = y.page AND x.seq < y.seq),
     q AS (SELECT *, greatest(0, least(u[3], v[3]) - greatest(u[1], v[1])) * greatest(0, least(u[4], v[4]) - greatest(u[2], v[2])) AS shared, least((u[3] - u[1]) * (u[4] - u[2]), (v[3] - v[1]) * (v[4] - v[2])) AS small FROM p)
-    SELECT doc_id, a, b, round(shared / small, 6) AS overlap, abs(u[1] - v[1]) <= 1 AND abs(u[2] - v[2]) <= 1 AND abs(u[3] - v[3]) <= 1 AND abs(u[4] - v[4]) <= 1 AS same FROM q""")
+    SELECT doc_id, a, b, round(shared / small, 6) AS overlap, abs(u[1] - v[1]) <= 1 AND abs(u[2] - v[2]) <= 1 AND abs(u[3] - v[3]) <= 1 AND abs(u[4] - v[4]) <= 1 AS same FROM q WHERE shared > 0 OR same""")
 def bbox_overlap(spark, sf_dir):
-    """Pairs of boxes of one page, of which there are few."""
-    b = line_boxes(spark, sf_dir)
-    other = b.select("doc_id", "page", F.col("seq").alias("b"), F.col("box").alias("v"))
-    pairs = b.join(other, ["doc_id", "page"]).where("seq < b")
-    return pairs.select("doc_id", F.col("seq").alias("a"), "b", F.round(B.overlap(F.col("box"), F.col("v")), 6).alias("overlap"), B.identical(F.col("box"), F.col("v")).alias("same"))
+    """Pairs of boxes of one page that share an area or are the same within one point."""
+    return B.overlapping(line_boxes(spark, sf_dir)).select("doc_id", "a", "b", F.round("overlap", 6).alias("overlap"), "same")
 
 
 @query("bbox_scale", f"SELECT l_orderkey AS doc_id, l_linenumber * 1000000 + l_partkey AS seq, round({BOX}[1] * 72 / 200, 6) AS x0, round({BOX}[4] * 72 / 200, 6) AS y1, round({BOX}[3] * 595.0 / 1654, 6) AS x1 FROM lineitem")
@@ -151,7 +148,8 @@ def requests(spark, sf_dir):
 
 @query("rate_limit")
 def rate_limit(spark, sf_dir):
-    return admit(requests(spark, sf_dir))
+    r = requests(spark, sf_dir)
+    return admit(r, big=giants(r, ["caller"]))
 
 
 @query("rate_limit_demand", "SELECT user_id AS caller, event_id AS id, CAST(sum(event_id % 20 + 1) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS BIGINT) AS asked FROM events")
