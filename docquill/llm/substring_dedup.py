@@ -18,6 +18,7 @@ texts; with one, every repeated line and sentence goes.
 
 from __future__ import annotations
 
+import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,34 +40,38 @@ LEAST_WORDS, LONG, CUT = 15, 40, 10
 #: Pieces of an Arrow batch.
 BATCH_PIECES = 100_000
 
-#: A piece of a line: up to marks that end a sentence and are followed by white space, or to the end of the line.
-_PIECE = re.compile(r"(?:[^\n.!?…。।؟]|[.!?…。।؟]+(?![\s.!?…。।؟\"'”’)\]]|$)|[.!?…。।؟]+[\"'”’)\]]+(?!\s|$))+(?:[.!?…。।؟]+[\"'”’)\]]*)?|[.!?…。।؟]+[\"'”’)\]]*")
+#: A piece of a line: up to marks that end a sentence and are followed by white space, or to the end of the line. Possessive, so that no place is kept to come back to.
+_PIECE = re.compile(r"(?:[^\n.!?…。।؟]++|[.!?…。।؟]+(?![\s.!?…。।؟\"'”’)\]]|$)|[.!?…。।؟]+[\"'”’)\]]+(?!\s|$))++(?:[.!?…。।؟]+[\"'”’)\]]*)?|[.!?…。।؟]+[\"'”’)\]]*")
+#: Characters that are split into words at a time to see whether a piece is long.
+_STRETCH = 1 << 16
 _WORD = re.compile(WORD)
 
 
 def _cut_long(text: str, start: int, end: int) -> Iterator[tuple[int, int, str, int]]:
-    words: list[str] = []
+    held, n, first = io.StringIO(), 0, start  # one string, as a piece may have any number of words
     for m in _WORD.finditer(text, start, end):
-        if not words:
-            first = m.start()
-        words.append(m[0].lower())
-        if zlib.crc32(words[-1].encode("utf-8", "surrogatepass")) % CUT == 0 or m.end() == end:
-            yield first, m.end(), " ".join(words), len(words)
-            words = []
-    if words:
-        yield first, end, " ".join(words), len(words)
+        word = m[0].lower()
+        first = first if n else m.start()
+        held.write(f" {word}" if n else word)
+        n += 1
+        if zlib.crc32(word.encode("utf-8", "surrogatepass")) % CUT == 0 or m.end() == end:
+            yield first, m.end(), held.getvalue(), n
+            held, n = io.StringIO(), 0
+    if n:
+        yield first, end, held.getvalue(), n
 
 
 def pieces(text: str) -> Iterator[tuple[int, int, str, int]]:
     """(start, end, normalised text, number of words) of each piece with a word, in order."""
     for m in _PIECE.finditer(text):
         part = m[0]
-        words = part.lower().split()
-        if not words:
+        long = len(part) > _STRETCH and any(len(part[i : i + _STRETCH].split()) > LONG + 1 for i in range(0, len(part), _STRETCH))
+        words = [] if long else part.lower().split()
+        if not words and not long:
             continue
         start = m.start() + len(part) - len(part.lstrip())
         end = m.start() + len(part.rstrip())
-        if len(words) > LONG:
+        if long or len(words) > LONG:
             yield from _cut_long(text, start, end)
         else:
             yield start, end, " ".join(words), len(words)
@@ -79,21 +84,17 @@ def _piece_batches(id_type: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in names]
+        whole = lambda: pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names)
         for batch in batches:
             for doc, row, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "row")], batch.column("text"), strict=True):
-                found = list(pieces(text.as_py()))
-                out[0] += [doc] * len(found)
-                out[1] += [row] * len(found)
-                out[2] += range(len(found))
-                for column, values in zip(out[3:5], zip(*[(s, e) for s, e, _, _ in found], strict=True), strict=False):
-                    column += values
-                out[5] += [n for _, _, _, n in found]
-                out[6] += [digest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for _, _, t, _ in found]
-                if len(out[0]) >= BATCH_PIECES:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names)
-                    out = [[] for _ in names]
+                for k, (start, end, norm, n) in enumerate(pieces(text.as_py())):
+                    for column, value in zip(out, (doc, row, k, start, end, n, digest(norm.encode("utf-8", "surrogatepass")) - (1 << 63)), strict=True):
+                        column.append(value)
+                    if len(out[0]) >= BATCH_PIECES:
+                        yield whole()
+                        out = [[] for _ in names]
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names)
+            yield whole()
 
     return run
 
@@ -109,7 +110,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts have no pieces; texts of any length are read whole.
     Other columns are not looked at; an empty table gives an empty result.
     """
-    read = id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    return _spans(id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), least_words)
+
+
+def _spans(read: DataFrame, least_words: int) -> DataFrame:
+    """:func:`repeated_spans` of rows (doc_id, text, row)."""
     kind = read.schema["doc_id"].dataType
     found = materialize(read.mapInArrow(_piece_batches(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, row long, k int, start int, end int, words int, h long"), "pieces")
     # pass one moves bare digests; only pieces whose digest may be repeated move with their places
@@ -117,7 +122,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words = filter_words(repeated.count())
     suspects = test_filter(found, "h", materialize(build_filter(repeated, "h", words), "filter"), words, "maybe").where("maybe").drop("maybe")
     suspects = materialize(suspects, "suspects")
-    release(docs.sparkSession, found, repeated)
+    release(read.sparkSession, found, repeated)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row").alias("row"), F.col("k").alias("k"), F.col("start").alias("start"))
     firsts = suspects.groupBy("h").agg(F.min(rank).alias("origin"), F.count("*").alias("copies")).where("copies > 1").select("h", "origin")
     firsts = materialize(firsts, "repeated")  # so that the join can split a piece that is everywhere
@@ -128,7 +133,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.min_by("origin", "k").alias("origin"),
     )
     spans = materialize(spans.where(F.col("n_words") >= least_words), "spans")
-    release(docs.sparkSession, suspects, firsts)
+    release(read.sparkSession, suspects, firsts)
     return spans.select("doc_id", "row", "start", "end", "n_words", "n_pieces", F.col("origin.id").alias("first_doc_id"), F.col("origin.start").alias("first_start"))
 
 
@@ -148,10 +153,12 @@ def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, the text without its removed spans, and ``removed``: the spans (start, end) in the original text.
 
-    Ids must tell rows apart here; cases are treated as in :func:`repeated_spans`.
+    A row's spans are its own, whatever its id: rows that share an id, or have none,
+    are rows of their own, and cases are treated as in :func:`repeated_spans`. The
+    rows are written once, with their places in the table.
     """
-    spans = repeated_spans(docs, id_col, text_col, least_words).where("doc_id IS NOT NULL")
-    by_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    none = F.array().cast(by_doc.schema["removed"].dataType)
-    read = id_and_text(docs, id_col, text_col).join(by_doc, "doc_id", "left").withColumn("removed", F.coalesce("removed", none))
+    rows = materialize(id_and_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "rows-of-repeats")
+    by_row = _spans(rows, least_words).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    none = F.array().cast(by_row.schema["removed"].dataType)
+    read = rows.join(by_row, "row", "left").withColumn("removed", F.coalesce("removed", none))
     return read.select("doc_id", "text", "removed").mapInPandas(_cut, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, text string, removed array<struct<start:int,end:int>>")

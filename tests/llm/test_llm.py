@@ -646,6 +646,26 @@ def test_repeats_edges(spark):
     assert {(r.doc_id, r.first_doc_id) for r in got} >= {(7, 6)} and max(r.n_words for r in got) >= 4000
 
 
+def test_rows_that_share_an_id_lose_their_own_spans_only(spark):
+    line = "a licence line that three documents have in common word for word"
+    rows = [(1, line, "a"), (3, line, "a"), (3, "some other words with id three here", "a"), (None, line, "a"), (None, "no id here", "a"), (None, None, "a")]
+    got = substring_dedup.remove_repeats(docs_of(spark, rows), least_words=1).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter([(1, line), (3, ""), (3, "some other words with id three here"), (None, ""), (None, "no id here"), (None, "")])
+
+
+def test_a_very_long_line_stays_small():
+    """A line of 20 MB without a mark; what is held beside it is measured in a process of its own."""
+    import subprocess
+    import sys
+
+    code = (
+        "import resource; from docquill.llm.substring_dedup import pieces; t = 'a word or two ' * 1_500_000; before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss;"
+        "n = sum(1 for _ in pieces(t)); print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)"
+    )
+    n, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert n > 0 and mb < 300
+
+
 @pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "अआइईउऊएऐकखगघचछजझटठडढतथ", "ابتثجحخدذرزسشصضطظعغفقكلم"])
 def test_repeats_without_sentences(spark, letters):
     rng = random.Random(1)
