@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docquill.operators import access as A
+from docquill.operators.cascade import ForeignKey, cascade
+from docquill.operators.pages import By, page_after, page_at, token_of
 from docquill.plans.model import CHUNKS, OWNED, PROJECTS, QUERY_RUNS, RUNS, chunks, owned_documents, projects, query_runs, runs, table
 from docquill.functions import records as RC
 from docquill.registry import query
+from docquill.sources.tables import fresh_name, read_keyed, upsert_named
 
 UID = 3
 SEEN = "(access_level = 'public' OR access_level = 'auth' OR user_id = 3)"
@@ -220,11 +225,14 @@ def semi_project_runs(spark, sf_dir):
     new AS (SELECT run_id, project_id, name FROM runs JOIN projects USING (project_id) WHERE status = 'completed' AND run_id % 2 = 0)
     SELECT coalesce(n.run_id, o.run_id) AS run_id, coalesce(n.project_id, o.project_id) AS project_id, coalesce(n.name, o.name) AS name FROM old o FULL JOIN new n ON o.run_id = n.run_id AND o.project_id = n.project_id""")
 def trigger_sync_upsert(spark, sf_dir):
-    """New rows replace old ones of the same key."""
+    """New rows replace old ones of the same key in a stored table."""
     r = runs(spark, sf_dir)
-    old = r.where("run_id % 3 = 0").select("run_id", "project_id", F.lit("old").alias("old_name"))
+    old = r.where("run_id % 3 = 0").select("run_id", "project_id", F.lit("old").alias("name"))
     new = r.where("status = 'completed' AND run_id % 2 = 0").join(projects(spark, sf_dir).select("project_id", "name"), "project_id").select("run_id", "project_id", "name")
-    return old.join(new, ["run_id", "project_id"], "full").select("run_id", "project_id", F.coalesce("name", "old_name").alias("name"))
+    name = fresh_name("project_runs")
+    upsert_named(old, name, ["run_id", "project_id"])
+    upsert_named(new, name, ["run_id", "project_id"])
+    return read_keyed(spark, name)
 
 
 @query("backfill_sync", f"""WITH {RUNS}, {PROJECTS} SELECT run_id, project_id, name FROM runs JOIN projects USING (project_id) WHERE status = 'completed' AND NOT EXISTS (SELECT 1 FROM runs o WHERE o.run_id = runs.run_id AND o.run_id % 3 = 0)""")
@@ -251,6 +259,40 @@ def paginate(spark, sf_dir):
     return first.select(F.lit("queries").alias("list"), "*").unionByName(second.select(F.lit("runs").alias("list"), "*"))
 
 
+DEEP = "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT {limit} OFFSET 40000"
+
+
+@query("paginate_deep", f"SELECT CASE WHEN n <= 50 THEN 'at' ELSE 'after' END AS page, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS n FROM ({DEEP.format(limit=100)}))")
+def paginate_deep(spark, sf_dir):
+    """A page from 40,000 on, found by counting ranges, and the page after it by its token."""
+    rows, by = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), [By("l_shipdate", True), By("l_orderkey"), By("l_linenumber")]
+    first = page_at(rows, by, 50, 40_000)
+    token = token_of(first, by)
+    second = page_after(rows, by, token, 50) if token else rows.limit(0)
+    return first.select(F.lit("at").alias("page"), "l_orderkey", "l_linenumber").unionByName(second.select(F.lit("after").alias("page"), "l_orderkey", "l_linenumber"))
+
+
+GONE = """u AS (SELECT c_custkey FROM customer WHERE c_nationkey % 5 = 2), s AS (SELECT s_suppkey FROM supplier WHERE s_nationkey % 5 = 2), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT * FROM u)),
+    l AS (SELECT * FROM lineitem WHERE l_orderkey NOT IN (SELECT * FROM o) AND l_suppkey NOT IN (SELECT * FROM s))"""
+
+
+@query("cascade_delete", f"""WITH {GONE} SELECT 'nation' AS "table", count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS keys, CAST(0 AS BIGINT) AS unowned FROM nation WHERE n_nationkey % 5 <> 2 UNION ALL
+    SELECT 'customer', count(*), CAST(sum(c_custkey) AS BIGINT), 0 FROM customer WHERE c_custkey NOT IN (SELECT * FROM u) UNION ALL SELECT 'supplier', count(*), CAST(sum(s_suppkey) AS BIGINT), 0 FROM supplier WHERE s_suppkey NOT IN (SELECT * FROM s) UNION ALL
+    SELECT 'orders', count(*), CAST(sum(o_orderkey) AS BIGINT), 0 FROM orders WHERE o_orderkey NOT IN (SELECT * FROM o) UNION ALL SELECT 'lineitem', count(*), CAST(sum(l_orderkey) AS BIGINT), 0 FROM l UNION ALL
+    SELECT 'events', count(*), CAST(sum(event_id) AS BIGINT), count(*) FILTER (user_id IN (SELECT * FROM u)) FROM events""")
+def cascade_delete(spark, sf_dir):
+    """Nations go, and with them their customers (users) and suppliers, the orders (runs) of these, and the lines (chunks) of either; events of such users lose their reference."""
+    primary = {"nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"]}
+    columns = {"customer": ["c_nationkey"], "supplier": ["s_nationkey"], "orders": ["o_custkey"], "lineitem": ["l_suppkey"], "events": ["user_id"]}
+    tables = {t: table(spark, sf_dir, t).select(*key, *columns.get(t, [])) for t, key in primary.items()}
+    keys = [ForeignKey("customer", "c_nationkey", "nation", "n_nationkey"), ForeignKey("supplier", "s_nationkey", "nation", "n_nationkey"), ForeignKey("orders", "o_custkey", "customer", "c_custkey"),
+            ForeignKey("lineitem", "l_orderkey", "orders", "o_orderkey"), ForeignKey("lineitem", "l_suppkey", "supplier", "s_suppkey"), ForeignKey("events", "user_id", "customer", "c_custkey", "set null")]
+    left = cascade(tables, primary, keys, {"nation": tables["nation"].where("n_nationkey % 5 = 2")})
+    unowned = lambda t: F.count_if(F.col("user_id").isNull()) if t == "events" else F.lit(0).cast("long")
+    counts = [df.agg(F.lit(t).alias("table"), F.count("*").alias("n"), F.sum(F.col(primary[t][0]).cast("long")).alias("keys"), unowned(t).alias("unowned")) for t, df in left.items()]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
 @query("exact_count", f"WITH {RUNS} SELECT run_id, (SELECT count(*) FROM runs WHERE status = 'completed') AS total, 0 + 20 < (SELECT count(*) FROM runs WHERE status = 'completed') AS has_more FROM runs WHERE status = 'completed' ORDER BY created DESC, run_id LIMIT 20")
 def exact_count(spark, sf_dir):
     done = runs(spark, sf_dir).where("status = 'completed'")
@@ -286,8 +328,10 @@ def wiki_initial(spark, sf_dir):
 
 @query("preview_first_n", f"WITH {RUNS} SELECT user_id, run_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created, run_id) AS rn FROM runs) WHERE rn <= 3")
 def preview_first_n(spark, sf_dir):
-    first = F.row_number().over(Window.partitionBy("user_id").orderBy("created", "run_id"))
-    return runs(spark, sf_dir).withColumn("rn", first).where("rn <= 3").select("user_id", "run_id")
+    """First within 64 parts of a user's runs, then among the parts' first."""
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("created", "run_id"))
+    r = runs(spark, sf_dir).select("user_id", "run_id", "created", F.pmod(F.xxhash64("run_id"), F.lit(64)).alias("part"))
+    return r.withColumn("rn", first("user_id", "part")).where("rn <= 3").withColumn("rn", first("user_id")).where("rn <= 3").select("user_id", "run_id")
 
 
 @query("expiry", f"WITH {RUNS} SELECT upload_type, count(*) AS n FROM runs WHERE created + INTERVAL 30 DAY < TIMESTAMP '1998-01-01' AND status <> 'running' GROUP BY 1")

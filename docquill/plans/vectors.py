@@ -291,14 +291,15 @@ def cluster_summary(spark, sf_dir):
 
 @query("sink_embeddings", f"WITH {CHUNKS} SELECT chunk_id, CASE WHEN chunk_id % 3 = 0 THEN 'completed' WHEN chunk_id % 3 = 1 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN chunk_id % 3 = 0 THEN 64 ELSE 0 END AS dims FROM chunks")
 def sink_embeddings(spark, sf_dir):
-    """New vectors for a third of the chunks, failures for another; a re-run would take the rest."""
-    from docquill.sources.tables import append_named, fresh_name, read_named, with_embeddings, with_failures
-
-    c, name = chunks(spark, sf_dir), fresh_name("chunk_embeddings")
-    empty = c.select("chunk_id", F.lit(None).cast("array<float>").alias("embedding"), F.lit("pending").alias("status"))
-    done = with_embeddings(empty, c.where("chunk_id % 3 = 0").select("chunk_id", F.col("embedding").alias("vector")), "test-double")
-    append_named(with_failures(done, c.where("chunk_id % 3 = 1").select("chunk_id"), "time-out"), name)
-    return read_named(spark, name).select("chunk_id", "status", F.when(F.col("embedding").isNull(), 0).otherwise(F.size("embedding")).alias("dims"))
+    """Chunks without vectors are stored; the vectors of a third, and then the failures of another, are put in by key. A re-run would take the rest."""
+    from docquill.sources.tables import fresh_name, read_keyed, upsert_named
+
+    c, name = chunks(spark, sf_dir).select("chunk_id", "embedding"), fresh_name("chunk_embeddings")
+    none = F.lit(None).cast("string")
+    upsert_named(c.select("chunk_id", F.lit(None).cast("array<float>").alias("embedding"), F.lit("pending").alias("status"), none.alias("model"), none.alias("error")), name, ["chunk_id"])
+    upsert_named(c.where("chunk_id % 3 = 0").select("chunk_id", "embedding", F.lit("completed").alias("status"), F.lit("test-double").alias("model")), name, ["chunk_id"])
+    upsert_named(c.where("chunk_id % 3 = 1").select("chunk_id", F.lit("failed").alias("status"), F.lit("time-out").alias("error")), name, ["chunk_id"])
+    return read_keyed(spark, name).select("chunk_id", "status", F.when(F.col("embedding").isNull(), 0).otherwise(F.size("embedding")).alias("dims"))
 
 
 @query("scan_pending_chunks", f"WITH {CHUNKS} SELECT chunk_id FROM chunks WHERE run_id = 2 AND chunk_id % 3 > 0")

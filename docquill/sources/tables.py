@@ -53,6 +53,56 @@ def read_named(spark, name: str, root: str | None = None, schema=None) -> DataFr
     return (spark.read.schema(schema) if schema else spark.read).parquet(named_path(spark, name, root))
 
 
+#: Folders that a keyed table is divided into by a hash of its key.
+BUCKETS = 64
+
+
+def has_named(spark, name: str, root: str | None = None) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{named_path(spark, name, root)}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def upsert_named(rows: DataFrame, name: str, keys: list[str], newest: str | None = None, root: str | None = None, buckets: int = BUCKETS) -> None:
+    """Put ``rows`` into the keyed table of that name: a row with a known key replaces it, in the columns that ``rows`` has; others are added.
+
+    The table is divided into folders by a hash of the key. Only folders with a key
+    of ``rows`` are read and written again; Spark writes them aside and puts them
+    in place when all is written, so that a run that fails leaves the old table.
+    Of rows with one key the one with the greatest ``newest`` stays (else any). Null
+    keys are equal. The first call makes the table, with the columns of ``rows``
+    and this number of folders.
+    """
+    spark = rows.sparkSession
+    path, exists = named_path(spark, name, root), has_named(spark, name, root)
+    values = [c for c in rows.columns if c not in keys]
+    one = F.max_by(F.struct(*values), newest) if newest else F.first(F.struct(*values))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+    fresh = rows.groupBy(*keys).agg(one.alias("__new")) if values else rows.select(*keys).distinct().withColumn("__new", F.struct(F.lit(1)))
+    if not exists:
+        whole = fresh.select(*keys, *[F.col(f"__new.{c}").alias(c) for c in values], bucket)
+    else:
+        from docquill.scratch import materialize
+
+        old = spark.read.parquet(path)
+        fresh = materialize(fresh.select("*", bucket), "new-rows")
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # ``buckets`` at most
+        held = old.where(F.col("bucket").isin(touched)).select("bucket", *keys, F.struct(*[c for c in old.columns if c not in ("bucket", *keys)]).alias("__old"))
+        renamed = fresh.select(F.col("bucket").alias("__bucket"), *[F.col(k).alias(f"__{k}") for k in keys], "__new")
+        same = F.col("bucket") == F.col("__bucket")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        found = F.col("__new").isNotNull()
+        both = held.join(renamed, same, "full")
+        kept = [F.when(found, F.col(f"__new.{c}")).otherwise(F.col(f"__old.{c}")).alias(c) if c in values else F.col(f"__old.{c}").alias(c) for c in old.columns if c not in ("bucket", *keys)]
+        whole = both.select(*[F.when(found, F.col(f"__{k}")).otherwise(F.col(k)).alias(k) for k in keys], *kept, F.coalesce("__bucket", "bucket").alias("bucket"))
+    writer = whole.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite")
+    (writer.option("partitionOverwriteMode", "dynamic") if exists else writer).parquet(path)
+
+
+def read_keyed(spark, name: str, root: str | None = None) -> DataFrame:
+    return read_named(spark, name, root).drop("bucket")
+
+
 def with_embeddings(chunks: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
     """``chunks`` (chunk_id, embedding, status) with the vectors (chunk_id, vector) that were made; the others stay as they are."""
     new = vectors.select("chunk_id", "vector")
