@@ -262,6 +262,18 @@ def context(hits: DataFrame, most: int, chars: int | None, group: str = "query_i
     return few.select(group, F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("context"))
 
 
+#: The head of a hit in an answer's context (fixed value).
+SOURCE_HEAD = ("Dokumenter fra ", ", side ", ":\n")
+
+
+def answer_context(hits: DataFrame, group: str = "query_id") -> DataFrame:
+    """(group, context): the hits (rank, filename, page, content) whole, in rank order, each below its document and page."""
+    before, between, after = map(F.lit, SOURCE_HEAD)
+    block = F.concat(before, F.coalesce("filename", F.lit("unknown")), between, F.coalesce(F.col("page").cast("string"), F.lit("N/A")), after, F.coalesce("content", F.lit("")), F.lit("\n"))
+    blocks = hits.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("rank", block.alias("text")))).alias("blocks"))
+    return blocks.select(group, F.array_join(F.transform("blocks", lambda x: x["text"]), "\n").alias("context"))
+
+
 def page_excerpts(hits: DataFrame, top: int = 20, shown: int = 12, chars: int = 600) -> DataFrame:
     """(page_id, excerpts, footnotes) of hits (page_id, rank, doc_id, filename, page, similarity, content): the first ``shown`` as excerpts, the documents of the first ``top`` as numbered footnotes."""
     few = numbered_citations(hits, top)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,29 +14,75 @@ from pyspark.sql import functions as F
 TABLE_CHARS, TABLE_COLUMNS, REPETITION, CONFIDENCE = 5000, 20, 0.7, 0.3
 
 
-def repetition_score(text: str | None, sequence: int = 5) -> float:
-    """0.7 of the share of repeated words and 0.3 of the places whose five words occur more than twice, ten counting fully.
+def _begins_another(known: list[str], word: str) -> bool:
+    """Whether a longer one of the sorted words begins with ``word``."""
+    at = bisect_left(known, word)
+    return any(w != word and w.startswith(word) for w in known[at : at + 2])
+
 
-    Texts under 100 characters score 0. The last five words are not a place of
-    their own but count as an occurrence.
+def repeated_places(text: str, words: list[str], starts: list[int], sequence: int = 5, least: int = 3) -> int:
+    """The places whose ``sequence`` words, with single spaces between them, occur ``least`` times in the text, without overlap; the last place is none.
+
+    An occurrence may begin and end inside longer words, but the words between are
+    whole; so places that share these are looked at together, and among them only
+    those with words that end as the first word does and begin as the last one does.
     """
-    words = text.split() if text and len(text) >= 100 else []
-    if not words:
-        return 0.0
+    n = len(words) - sequence + 1
     number: dict[str, int] = {}
     codes = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    keys = np.zeros(n, np.int64)
+    for k in range(1, sequence - 1):  # pairs of numbers in turn, each renumbered, so that the keys stay exact
+        keys = np.unique(keys * len(number) + codes[k : k + n], return_inverse=True)[1]
+    often = np.flatnonzero(np.bincount(keys)[keys] >= least)  # the words between occur often enough
+    single = lambda i: starts[i + 1] - starts[i] - len(words[i]) == 1 and text[starts[i + 1] - 1] == " "
+    places: dict[int, list[int]] = {}
+    for i in often.tolist():
+        if all(map(single, range(i, i + sequence - 1))):
+            places.setdefault(int(keys[i]), []).append(i)
+    places = {k: v for k, v in places.items() if len(v) >= least}
+    asked: dict[int, dict[tuple[str, str], int]] = {}
+    for i in often.tolist():
+        if i < n - 1 and (k := int(keys[i])) in places:
+            of = asked.setdefault(k, {})
+            ends = words[i], words[i + sequence - 1]
+            of[ends] = of.get(ends, 0) + 1
     many = 0
-    if len(words) > sequence:
-        windows = np.lib.stride_tricks.sliding_window_view(codes, sequence)
-        keys = np.zeros(len(windows), np.int64)
-        for k in range(sequence):  # pairs of numbers in turn, each renumbered, so that the keys stay exact
-            keys = np.unique(keys * len(number) + windows[:, k], return_inverse=True)[1]
-        many = int((np.bincount(keys)[keys[:-1]] > 2).sum())
-    return (1 - len(number) / len(words)) * 0.7 + min(1.0, many / 10) * 0.3
+    for k, of in asked.items():
+        here = places[k]
+        exact: dict[tuple[str, str], list[int]] = {}
+        for i in here:
+            exact.setdefault((words[i], words[i + sequence - 1]), []).append(i)
+        firsts, lasts = sorted({f[::-1] for f, _ in exact}), sorted({z for _, z in exact})
+        for (first, last), count in of.items():
+            some = exact.get((first, last), [])
+            if _begins_another(firsts, first[::-1]) or _begins_another(lasts, last):
+                some = [i for i in here if words[i].endswith(first) and words[i + sequence - 1].startswith(last)]
+            found, end = 0, -1
+            for i in some:
+                begin = starts[i] + len(words[i]) - len(first)
+                if begin >= end:
+                    found, end = found + 1, starts[i + sequence - 1] + len(last)
+                    if found == least:
+                        many += count
+                        break
+    return many
+
+
+def repetition_score(text: str | None, sequence: int = 5) -> float:
+    """0.7 of the share of repeated words and 0.3 of the places whose five words occur more than twice in the text, ten counting fully.
+
+    Texts under 100 characters score 0. See :func:`repeated_places`.
+    """
+    found = [*re.finditer(r"\S+", text)] if text and len(text) >= 100 else []
+    if not found:
+        return 0.0
+    words, starts = [m[0] for m in found], [m.start() for m in found]
+    many = repeated_places(text, words, starts, sequence) if len(words) > sequence else 0
+    return (1 - len(set(words)) / len(words)) * 0.7 + min(1.0, many / 10) * 0.3
 
 
 def repetition_scores(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, score) of :func:`repetition_score` for every row; a numpy batch where the rows are, without a shuffle. Null and short texts score 0."""
+    """(id, score) of :func:`repetition_score` for every row; a batch where the rows are, without a shuffle. Null and short texts score 0."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

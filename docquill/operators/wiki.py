@@ -5,6 +5,8 @@ Pages: wiki_id, page_id, page_name, content. Every family is an aggregate of the
 
 from __future__ import annotations
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from docquill.scratch import materialize
 WEIGHTS = {"coherence": 0.25, "coverage": 0.30, "structure": 0.20, "citations": 0.15, "language": 0.10}
 RATINGS = (("Excellent", 0.8, 1.0), ("Good", 0.6, 0.75), ("Fair", 0.4, 0.5))
 
+#: Characters of pages and patterns that one task looks through.
+PAGE_CHARS, PATTERNS = 1 << 24, 100_000
+
 
 def rating(score: Column) -> Column:
     out = F.lit("Poor")
@@ -47,8 +52,7 @@ def page_measures(pages: DataFrame) -> DataFrame:
     found = lambda p: F.regexp_count("content", F.lit(p))
     return pages.select(
         "wiki_id", "page_name", F.size(sections).alias("sections"), F.when(F.size(sections) > 1, relevant / (F.size(sections) - 1)).alias("share"),
-        F.regexp_extract_all("content", F.lit(r"\[[^\]]+\]\(#([^\)]+)\)"), F.lit(1)).alias("links"), F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"([\w-]+\.pdf)"), F.lit(1))).alias("files"),
-        F.array_distinct(long_words(c)).alias("terms"),
+        F.regexp_extract_all("content", F.lit(r"\[[^\]]+\]\(#([^\)]+)\)"), F.lit(1)).alias("links"),
         (F.when(c.contains("\n## "), 1.0).otherwise(0.0) + F.when(c.contains("\n### "), 0.5).otherwise(0.0)).alias("depth"), n.alias("length"),
         found(r"\[[\d,\s]+\]").alias("bracket"), found(r"\[\^[\d]+\]").alias("footnote"), found(r"\([^)]*\d{4}[^)]*\)").alias("inline"), language_vote(c).alias("vote"),
         (c.contains("## ") | c.contains("### ")).alias("headers"), (c.contains("\n- ") | c.contains("\n* ") | c.contains("\n1. ")).alias("lists"), c.contains("```").alias("code"), c.contains("\n|").alias("tables"),
@@ -65,16 +69,50 @@ def coherence(measures: DataFrame) -> DataFrame:
     return both.withColumn("rating", rating(F.col("average")))
 
 
-def coverage(measures: DataFrame, documents: DataFrame, chunks: DataFrame, per_chunk: int = 5) -> DataFrame:
-    """Shares of documents (wiki_id, filename) that pages name, and of long words of chunks (wiki_id, content) that pages use. Names and words are matched as tokens."""
-    named = measures.select("wiki_id", F.explode("files").alias("filename")).distinct().withColumn("seen", F.lit(True))
-    docs = documents.select("wiki_id", F.lower("filename").alias("filename")).distinct()
-    d = docs.join(named, ["wiki_id", "filename"], "left").groupBy("wiki_id").agg(F.count("*").alias("documents"), F.count("seen").alias("referenced"))
-    terms = chunks.select("wiki_id", F.explode(F.slice(long_words(F.col("content")), 1, per_chunk)).alias("term")).distinct()
-    used = measures.select("wiki_id", F.explode("terms").alias("term")).distinct().withColumn("used", F.lit(True))
-    t = terms.join(used, ["wiki_id", "term"], "left").groupBy("wiki_id").agg(F.count("*").alias("terms"), F.count("used").alias("covered"))
-    both = d.join(t, "wiki_id", "left").withColumns({"terms": F.coalesce("terms", F.lit(0)), "covered": F.coalesce("covered", F.lit(0))})
-    both = both.withColumns({"document_share": F.col("referenced") / F.col("documents"), "term_share": F.coalesce(F.try_divide("covered", "terms"), F.lit(1.0))})
+def mentioned(pages: DataFrame, patterns: DataFrame, page_chars: int = PAGE_CHARS, block: int = PATTERNS) -> DataFrame:
+    """The (wiki_id, pattern) of ``patterns`` that occur in the lower-cased content of a page of the wiki, in any place of it.
+
+    The patterns of a wiki become automata of up to about ``block`` of them, each
+    reading every page once; the pages go in blocks of about ``page_chars``
+    characters, so that a task has a bounded part of a wiki of any size.
+    """
+    text = F.lower("content").alias("content")
+    sizes = pages.groupBy("wiki_id").agg(F.ceil(F.sum(F.length("content").cast("long")) / page_chars).alias("parts"))
+    sizes = sizes.join(patterns.groupBy("wiki_id").agg(F.ceil(F.count("*") / block).alias("blocks")), "wiki_id")
+    in_part = F.pmod(F.xxhash64("content"), F.greatest("parts", F.lit(1)))
+    p = pages.select("wiki_id", text).where("content <> ''").join(sizes, "wiki_id").select("wiki_id", in_part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "content")
+    w = patterns.where("pattern <> ''").join(sizes, "wiki_id").select("wiki_id", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("parts", F.lit(1)) - 1)).alias("part"), F.pmod(F.xxhash64("pattern"), F.col("blocks")).alias("block"), "pattern")
+
+    def find(contents: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        found: set[str] = set()
+        if len(contents) and len(words):
+            automaton = ahocorasick.Automaton()
+            for word in words["pattern"]:
+                automaton.add_word(word, word)
+            automaton.make_automaton()
+            for content in contents["content"]:
+                found.update(word for _, word in automaton.iter(content))
+        return pd.DataFrame({"wiki_id": [words["wiki_id"].iloc[0]] * len(found) if found else [], "pattern": sorted(found)})
+
+    keys = ["wiki_id", "part", "block"]
+    kind = pages.schema["wiki_id"].dataType.simpleString()
+    return p.groupBy(*keys).cogroup(w.groupBy(*keys)).applyInPandas(find, f"wiki_id {kind}, pattern string").distinct()
+
+
+def coverage(pages: DataFrame, documents: DataFrame, chunks: DataFrame, per_chunk: int = 5) -> DataFrame:
+    """Shares of documents (wiki_id, filename) that pages name, and of long words of chunks (wiki_id, content) that pages have, in any place of a page; and the pages' characters to ten times the chunks'."""
+    docs = documents.select("wiki_id", F.lower("filename").alias("pattern"), F.lit(True).alias("named")).distinct()
+    terms = chunks.select("wiki_id", F.explode(F.slice(long_words(F.col("content")), 1, per_chunk)).alias("pattern"), F.lit(False).alias("named")).distinct()
+    asked = materialize(docs.unionByName(terms), "coverage-patterns")
+    seen = mentioned(pages, asked.select("wiki_id", "pattern").distinct()).withColumn("seen", F.lit(True))
+    count = lambda named, what: F.count(F.when(F.col("named") == named, F.col(what)))
+    both = asked.join(seen, ["wiki_id", "pattern"], "left").groupBy("wiki_id").agg(
+        count(True, "pattern").alias("documents"), count(True, "seen").alias("referenced"), count(False, "pattern").alias("terms"), count(False, "seen").alias("covered"),
+    ).where("documents > 0")
+    chars = lambda df, name: df.groupBy("wiki_id").agg(F.sum(F.coalesce(F.length("content"), F.lit(0)).cast("long")).alias(name))
+    both = both.join(chars(pages, "wiki_chars"), "wiki_id", "left").join(chars(chunks, "source_chars"), "wiki_id", "left")
+    ratio = F.coalesce(F.try_divide(F.coalesce("wiki_chars", F.lit(0)), F.when(F.col("source_chars") > 0, F.col("source_chars") * 10).otherwise(F.col("wiki_chars") * 5)), F.lit(0.0))
+    both = both.withColumns({"document_share": F.col("referenced") / F.col("documents"), "term_share": F.coalesce(F.try_divide("covered", "terms"), F.lit(1.0)), "size_ratio": ratio})
     return both.withColumn("rating", rating((F.col("document_share") + F.col("term_share")) / 2))
 
 
@@ -110,7 +148,7 @@ def language(measures: DataFrame) -> DataFrame:
 def overall(pages: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """The weighted sum of the families' ratings, each as its number. Pages are read once; their measures are written and shared by the families."""
     measures = materialize(page_measures(pages), "page-measures")
-    covered = materialize(coverage(measures, documents, chunks), "coverage")
+    covered = materialize(coverage(pages, documents, chunks), "coverage")
     families = {"coherence": coherence(measures), "coverage": covered, "structure": structure(measures), "citations": citations(measures, covered), "language": language(measures)}
     joined = None
     for name, df in families.items():

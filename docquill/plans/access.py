@@ -282,8 +282,8 @@ GONE = """u AS (SELECT c_custkey FROM customer WHERE c_nationkey % 5 = 2), s AS
     SELECT 'events', count(*), CAST(sum(event_id) AS BIGINT), count(*) FILTER (user_id IN (SELECT * FROM u)) FROM events""")
 def cascade_delete(spark, sf_dir):
     """Nations go, and with them their customers (users) and suppliers, the orders (runs) of these, and the lines (chunks) of either; events of such users lose their reference."""
-    primary = {"nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"]}
-    columns = {"customer": ["c_nationkey"], "supplier": ["s_nationkey"], "orders": ["o_custkey"], "lineitem": ["l_suppkey"], "events": ["user_id"]}
+    primary = {"nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "events": ["event_id"]}
+    columns = {"customer": ["c_nationkey"], "supplier": ["s_nationkey"], "orders": ["o_custkey"], "events": ["user_id"]}
     tables = {t: table(spark, sf_dir, t).select(*key, *columns.get(t, [])) for t, key in primary.items()}
     keys = [ForeignKey("customer", "c_nationkey", "nation", "n_nationkey"), ForeignKey("supplier", "s_nationkey", "nation", "n_nationkey"), ForeignKey("orders", "o_custkey", "customer", "c_custkey"),
             ForeignKey("lineitem", "l_orderkey", "orders", "o_orderkey"), ForeignKey("lineitem", "l_suppkey", "supplier", "s_suppkey"), ForeignKey("events", "user_id", "customer", "c_custkey", "set null")]

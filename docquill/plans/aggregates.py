@@ -6,12 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docquill.functions import records as RC
-from docquill.functions.text import caption_word_count, has_numbers, text_complexity
-from docquill.functions.vectors import norm
+from docquill.functions.text import caption_word_count, has_numbers, preview, text_complexity
+from docquill.functions.vectors import cosine, norm
 from docquill.operators import validation as V
 from docquill.operators.chunking import composed
+from docquill.operators.elements import inherit_sections
 from docquill.plans.model import CHUNKS, ELEMENTS, OWNED, QUERY_RUNS, RUNS, chunks, elements, owned_documents, query_runs, runs, table
-from docquill.plans.text import COMPLEXITY, HAS_NUMBERS, WORDS
+from docquill.plans.order import large_documents
+from docquill.plans.text import COMPLEXITY, HAS_NUMBERS, MAJOR, TITLE_SQL, WORDS
 from docquill.registry import query
 
 NUM = "TRY_CAST(json_extract_string(meta, '$.k') AS DOUBLE)"
@@ -119,7 +121,7 @@ def run_summary(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.sum("l_quantity").alias("pages"), F.round(F.sum("l_extendedprice"), 4).alias("chunks"), names.alias("names"))
 
 
-CHUNK_STATS = """count(*) AS n, round(avg(length(text)), 6) AS avg_chars, CAST(count(CASE WHEN length(text) < 500 THEN 1 END) AS BIGINT) AS small, CAST(count(CASE WHEN length(text) BETWEEN 500 AND 999 THEN 1 END) AS BIGINT) AS medium,
+CHUNK_STATS = f"""count(*) AS n, round(avg(len({WORDS})), 6) AS avg_words, round(avg(length(text)), 6) AS avg_chars, CAST(count(CASE WHEN length(text) < 500 THEN 1 END) AS BIGINT) AS small, CAST(count(CASE WHEN length(text) BETWEEN 500 AND 999 THEN 1 END) AS BIGINT) AS medium,
     CAST(count(CASE WHEN length(text) >= 1000 THEN 1 END) AS BIGINT) AS large, CAST(count(CASE WHEN length(text) < 150 THEN 1 END) AS BIGINT) AS very_small, CAST(count(CASE WHEN length(text) > 750 THEN 1 END) AS BIGINT) AS very_large,
     CAST(min(length(text)) AS BIGINT) AS shortest, CAST(max(length(text)) AS BIGINT) AS longest"""
 
@@ -128,11 +130,29 @@ CHUNK_STATS = """count(*) AS n, round(avg(length(text)), 6) AS avg_chars, CAST(c
 def chunk_analysis(spark, sf_dir):
     n = F.length("text").cast("long")
     return elements(spark, sf_dir).groupBy("category").agg(
-        F.count("*").alias("n"), F.round(F.avg(n), 6).alias("avg_chars"), F.count_if(n < 500).alias("small"), F.count_if(n.between(500, 999)).alias("medium"), F.count_if(n >= 1000).alias("large"),
+        F.count("*").alias("n"), F.round(F.avg(caption_word_count(F.col("text"))), 6).alias("avg_words"), F.round(F.avg(n), 6).alias("avg_chars"), F.count_if(n < 500).alias("small"), F.count_if(n.between(500, 999)).alias("medium"), F.count_if(n >= 1000).alias("large"),
         F.count_if(n < 150).alias("very_small"), F.count_if(n > 750).alias("very_large"), F.min(n).alias("shortest"), F.max(n).alias("longest"),
     )
 
 
+@query("chunk_sections", f"""WITH {ELEMENTS}, p AS (SELECT *, CASE WHEN category = 'UncategorizedText' THEN 1 ELSE 0 END AS phase FROM elements), m AS (SELECT *, CASE WHEN {MAJOR} THEN {TITLE_SQL} END AS major, CASE WHEN phase = 1 THEN 0 ELSE page END AS place FROM p),
+    s AS (SELECT coalesce(last_value(major IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY phase, seq ROWS UNBOUNDED PRECEDING), last_value(major IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY phase, place, seq ROWS UNBOUNDED PRECEDING), 'Unknown Section') AS section FROM m)
+    SELECT section, count(*) AS n FROM s GROUP BY 1""")
+def chunk_sections(spark, sf_dir):
+    """How many elements inherit each section."""
+    e = elements(spark, sf_dir).withColumn("phase", F.when(F.col("category") == "UncategorizedText", 1).otherwise(0))
+    s = inherit_sections(e, large_documents(spark, sf_dir)).select(F.coalesce("section", F.lit("Unknown Section")).alias("section"))
+    return s.groupBy("section").agg(F.count("*").alias("n"))
+
+
+@query("chunk_examples", f"WITH {ELEMENTS} SELECT category, doc_id, seq, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY doc_id, seq) AS n FROM elements) WHERE n <= 2")
+def chunk_examples(spark, sf_dir):
+    """Two examples of each category: the first of each hash bucket, then of those."""
+    e, first = elements(spark, sf_dir), lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("doc_id", "seq"))
+    few = e.withColumn("part", F.pmod(F.xxhash64("doc_id", "seq"), F.lit(64))).withColumn("n", first("category", "part")).where("n <= 2")
+    return few.withColumn("n", first("category")).where("n <= 2").select("category", "doc_id", "seq", preview(F.col("text"), 200).alias("preview"))
+
+
 @query("shortest_longest_3", f"""WITH {ELEMENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY length(text), doc_id, seq) AS up, row_number() OVER (PARTITION BY category ORDER BY length(text) DESC, doc_id DESC, seq DESC) AS down FROM elements)
     SELECT category, doc_id, seq, up <= 3 AS is_short FROM r WHERE up <= 3 OR down <= 3""")
 def shortest_longest_3(spark, sf_dir):
@@ -173,19 +193,25 @@ def metadata_summary(spark, sf_dir):
 @query("embedding_quality", """WITH x AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings), n AS (SELECT vec_id, label, sqrt(sum(v * v)) AS norm FROM x GROUP BY ALL),
     g AS (SELECT label, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS low, round(max(v), 6) AS high FROM x GROUP BY 1),
     z AS (SELECT label, CAST(count(CASE WHEN norm = 0 THEN 1 END) AS BIGINT) AS zeros, round(avg(norm), 6) AS norm_mean, round(stddev_pop(norm), 6) AS norm_std FROM n GROUP BY 1),
-    d AS (SELECT label, count(*) - count(DISTINCT embedding) AS duplicates FROM embeddings GROUP BY 1)
-    SELECT *, round(CASE WHEN zeros = 0 THEN 0.3 ELSE 0 END + CASE WHEN duplicates = 0 THEN 0.3 ELSE 0 END + CASE WHEN norm_mean > 0.9 THEN 0.2 ELSE 0 END + CASE WHEN std > 0.01 THEN 0.2 ELSE 0 END, 6) AS score FROM g JOIN z USING (label) JOIN d USING (label)""")
+    d AS (SELECT label, count(*) - count(DISTINCT embedding) AS duplicates FROM embeddings GROUP BY 1),
+    f AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+    two AS (SELECT a.label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS first_two FROM f a JOIN f b ON a.label = b.label AND a.k = 1 AND b.k = 2)
+    SELECT *, round(CASE WHEN zeros = 0 THEN 0.3 ELSE 0 END + CASE WHEN duplicates = 0 THEN 0.3 ELSE 0 END + CASE WHEN norm_mean > 0.9 THEN 0.2 ELSE 0 END + CASE WHEN std > 0.01 THEN 0.2 ELSE 0 END, 6) AS score FROM g JOIN z USING (label) JOIN d USING (label) LEFT JOIN two USING (label)""")
 def embedding_quality(spark, sf_dir):
-    """Per run. The moments come from sums per vector, so no value is exploded."""
+    """Per run, with the similarity of its first two vectors. The moments come from sums per vector, so no value is exploded; copies are told by 128 bits."""
     e = table(spark, sf_dir, "embeddings")
     doubles = F.transform("embedding", lambda x: x.cast("double"))
-    s = e.select("label", F.xxhash64("embedding").alias("h"), norm(F.col("embedding")).alias("norm"), F.size("embedding").alias("n"), F.aggregate(doubles, F.lit(0.0), lambda a, x: a + x).alias("s"), F.array_min(doubles).alias("lo"), F.array_max(doubles).alias("hi"))
+    s = e.select("label", F.struct(F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding")).alias("h"), norm(F.col("embedding")).alias("norm"), F.size("embedding").alias("n"), F.aggregate(doubles, F.lit(0.0), lambda a, x: a + x).alias("s"), F.array_min(doubles).alias("lo"), F.array_max(doubles).alias("hi"))
     g = s.groupBy("label").agg(
         (F.sum("s") / F.sum("n")).alias("m"), (F.sum(F.col("norm") * F.col("norm")) / F.sum("n")).alias("m2"), F.round(F.min("lo"), 6).alias("low"), F.round(F.max("hi"), 6).alias("high"),
         F.count_if(F.col("norm") == 0).alias("zeros"), F.round(F.avg("norm"), 6).alias("norm_mean"), F.round(F.stddev_pop("norm"), 6).alias("norm_std"), (F.count("*") - F.count_distinct("h")).alias("duplicates"),
     )
     g = g.withColumn("std", F.round(F.sqrt(F.col("m2") - F.col("m") * F.col("m")), 6)).withColumn("mean", F.round("m", 6)).drop("m", "m2")
     point = lambda ok, p: F.when(ok, p).otherwise(0.0)
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))
+    few = e.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("k", first("label", "part")).where("k <= 2").withColumn("k", first("label")).where("k <= 2")
+    two = few.groupBy("label").agg(F.max_by("embedding", F.when(F.col("k") == 1, 1)).alias("a"), F.max_by("embedding", F.when(F.col("k") == 2, 1)).alias("b"))
+    g = g.join(two.select("label", F.when(F.col("b").isNotNull(), F.round(cosine(F.col("a"), F.col("b")), 6)).alias("first_two")), "label", "left")
     return g.withColumn("score", F.round(point(F.col("zeros") == 0, 0.3) + point(F.col("duplicates") == 0, 0.3) + point(F.col("norm_mean") > 0.9, 0.2) + point(F.col("std") > 0.01, 0.2), 6))
 
 
@@ -201,10 +227,17 @@ def index_verification(spark, sf_dir):
     return e.withColumn("status", F.when(F.col("n") > 0, "verified").otherwise("failed"))
 
 
-@query("enrichment_summary", f"WITH {ELEMENTS} SELECT doc_id, CAST(count(CASE WHEN category = 'UncategorizedText' THEN 1 END) AS BIGINT) AS tables, CAST(sum(CASE WHEN category = 'UncategorizedText' THEN len({WORDS}) ELSE 0 END) AS BIGINT) AS words FROM elements GROUP BY 1")
+@query("enrichment_summary", f"""WITH {ELEMENTS}, p AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY seq) AS text FROM elements WHERE category = 'Title' GROUP BY ALL)
+    SELECT doc_id, CAST(coalesce(t.tables, 0) AS BIGINT) AS tables, CAST(coalesce(i.images, 0) AS BIGINT) AS images, CAST(coalesce(t.words, 0) + coalesce(i.words, 0) AS BIGINT) AS words
+    FROM (SELECT doc_id, count(*) AS tables, sum(len({WORDS})) AS words FROM elements WHERE category = 'UncategorizedText' GROUP BY 1) t FULL JOIN (SELECT doc_id, count(*) AS images, sum(len({WORDS})) AS words FROM p GROUP BY 1) i USING (doc_id)""")
 def enrichment_summary(spark, sf_dir):
-    t = F.col("category") == "UncategorizedText"
-    return elements(spark, sf_dir).groupBy("doc_id").agg(F.count_if(t).alias("tables"), F.sum(F.when(t, caption_word_count(F.col("text"))).otherwise(0)).alias("words"))
+    """Captioned tables and page images of each document, and the words of their captions; the headings of a page stand for the caption of its image."""
+    e = elements(spark, sf_dir)
+    words = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name), F.sum(caption_word_count(F.col("text"))).alias(f"{name}_words"))
+    heads = e.where("category = 'Title'").groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    both = words(e.where("category = 'UncategorizedText'"), "tables").join(words(heads, "images"), "doc_id", "full")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return both.select("doc_id", none("tables").alias("tables"), none("images").alias("images"), (none("tables_words") + none("images_words")).alias("words"))
 
 
 @query("wiki_metadata_summary", f"WITH {CHUNKS}, {OWNED} SELECT o.project_id, count(DISTINCT c.doc_id) AS documents, count(*) AS chunks, CAST(sum(coalesce(o.n_chars, 0)) AS BIGINT) AS chars FROM chunks c JOIN owned o USING (doc_id) GROUP BY 1")

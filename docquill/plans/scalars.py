@@ -205,15 +205,17 @@ def wiki_coherence(spark, sf_dir):
 
 
 LONG = "list_transform(list_filter(string_split_regex({c}, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[a-zA-ZæøåÆØÅ]{{8,}}$')), lambda w: lower(w))"
-COVERAGE = f"""named AS (SELECT DISTINCT wiki_id, unnest(regexp_extract_all(lower(content), '[\\w-]+\\.pdf')) AS f FROM pages_), docs_ AS (SELECT source AS wiki_id, 'doc_' || doc_id || '.pdf' AS f FROM documents),
-    dc AS (SELECT wiki_id, count(*) AS documents, count(n.f) AS referenced FROM docs_ LEFT JOIN named n USING (wiki_id, f) GROUP BY 1),
-    terms AS (SELECT DISTINCT source AS wiki_id, unnest({LONG.format(c='text')}[1:5]) AS term FROM documents), used AS (SELECT DISTINCT wiki_id, unnest({LONG.format(c='content')}) AS term FROM pages_),
-    tc AS (SELECT wiki_id, count(*) AS terms, count(u.term) AS covered FROM terms LEFT JOIN used u USING (wiki_id, term) GROUP BY 1), cov AS (SELECT *, referenced / documents AS ds, coalesce(covered / terms, 1) AS ts FROM dc LEFT JOIN tc USING (wiki_id))"""
+COVERAGE = f"""lowered AS (SELECT wiki_id, lower(content) AS content FROM pages_), docs_ AS (SELECT source AS wiki_id, 'doc_' || doc_id || '.pdf' AS f FROM documents),
+    dc AS (SELECT wiki_id, count(*) AS documents, count(CASE WHEN EXISTS (SELECT 1 FROM lowered l WHERE l.wiki_id = docs_.wiki_id AND contains(l.content, f)) THEN 1 END) AS referenced FROM docs_ GROUP BY 1),
+    terms AS (SELECT DISTINCT source AS wiki_id, unnest({LONG.format(c='text')}[1:5]) AS term FROM documents),
+    tc AS (SELECT wiki_id, count(*) AS terms, count(CASE WHEN EXISTS (SELECT 1 FROM lowered l WHERE l.wiki_id = terms.wiki_id AND contains(l.content, term)) THEN 1 END) AS covered FROM terms GROUP BY 1),
+    sz AS (SELECT wiki_id, w / (s * 10) AS size_ratio FROM (SELECT wiki_id, sum(length(content)) AS w FROM pages_ GROUP BY 1) JOIN (SELECT source AS wiki_id, sum(length(text)) AS s FROM documents GROUP BY 1) USING (wiki_id)),
+    cov AS (SELECT *, referenced / documents AS ds, coalesce(covered / terms, 1) AS ts FROM dc LEFT JOIN tc USING (wiki_id) JOIN sz USING (wiki_id))"""
 
 
-@query("wiki_coverage", f"WITH {WIKI}, {COVERAGE} SELECT wiki_id, documents, referenced, coalesce(terms, 0) AS terms, coalesce(covered, 0) AS covered, {RATE.format(s='(ds + ts) / 2')} AS rating FROM cov")
+@query("wiki_coverage", f"WITH {WIKI}, {COVERAGE} SELECT wiki_id, documents, referenced, coalesce(terms, 0) AS terms, coalesce(covered, 0) AS covered, round(size_ratio, 6) AS size_ratio, {RATE.format(s='(ds + ts) / 2')} AS rating FROM cov")
 def wiki_coverage(spark, sf_dir):
-    return W.coverage(W.page_measures(wiki_pages(spark, sf_dir)), *wiki_sources(spark, sf_dir)).select("wiki_id", "documents", "referenced", "terms", "covered", "rating")
+    return W.coverage(wiki_pages(spark, sf_dir), *wiki_sources(spark, sf_dir)).select("wiki_id", "documents", "referenced", "terms", "covered", F.round("size_ratio", 6).alias("size_ratio"), "rating")
 
 
 STRUCTURE = """st AS (SELECT wiki_id, avg(CASE WHEN contains(content, chr(10) || '## ') THEN 1.0 ELSE 0 END + CASE WHEN contains(content, chr(10) || '### ') THEN 0.5 ELSE 0 END) AS depth, bool_or(regexp_matches(page_name, 'overview|index|indhold')) AS contents, count(*) AS pages,
@@ -232,8 +234,8 @@ CITATION_RATE = RATE.format(s="(least(1, (bracket + footnote + inline_) / pages
 
 @query("wiki_citation", f"WITH {WIKI}, {COVERAGE}, {CITATION} SELECT wiki_id, bracket, footnote, inline_ AS inline_citations, {CITATION_RATE} AS rating FROM ci JOIN cov USING (wiki_id)")
 def wiki_citation(spark, sf_dir):
-    pages = W.page_measures(wiki_pages(spark, sf_dir))
-    c = W.citations(pages, W.coverage(pages, *wiki_sources(spark, sf_dir)))
+    pages = wiki_pages(spark, sf_dir)
+    c = W.citations(W.page_measures(pages), W.coverage(pages, *wiki_sources(spark, sf_dir)))
     return c.select("wiki_id", *[F.col(x).cast("long").alias(x) for x in ("bracket", "footnote")], F.col("inline").cast("long").alias("inline_citations"), "rating")
 
 

@@ -155,7 +155,9 @@ def scan_html(spark, sf_dir):
 
 REPETITION = rf"""w AS (SELECT doc_id, length(text) AS chars, {WORDS} AS w FROM documents),
     g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, len(w) - 4 AS last, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS gram FROM w),
-    r AS (SELECT doc_id, sum(n) AS many FROM (SELECT doc_id, gram, count(CASE WHEN i < last THEN 1 END) AS n FROM g GROUP BY ALL HAVING count(*) > 2) GROUP BY doc_id),
+    c AS (SELECT doc_id, gram, any_value(mid) AS mid, count(CASE WHEN i < last THEN 1 END) AS n FROM (SELECT *, array_to_string(string_split(gram, ' ')[2:4], ' ') AS mid FROM g) GROUP BY doc_id, gram),
+    often AS (SELECT doc_id, mid FROM (SELECT doc_id, array_to_string(string_split(gram, ' ')[2:4], ' ') AS mid FROM g) GROUP BY ALL HAVING count(*) > 2),
+    r AS (SELECT doc_id, sum(n) AS many FROM (SELECT c.doc_id, c.n FROM c JOIN often USING (doc_id, mid) JOIN (SELECT doc_id, text FROM documents) d ON d.doc_id = c.doc_id WHERE (length(d.text) - length(replace(d.text, gram, ''))) / length(gram) > 2) GROUP BY doc_id),
     scores AS (SELECT w.doc_id, CASE WHEN chars < 100 OR len(w) = 0 THEN 0.0 ELSE round((1 - len(list_distinct(w)) / len(w)) * 0.7 + least(1.0, coalesce(many, 0) / 10) * 0.3, 6) END AS value
     FROM w LEFT JOIN r ON r.doc_id = w.doc_id)"""
 

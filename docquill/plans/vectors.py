@@ -220,16 +220,16 @@ def citation_numbering(spark, sf_dir):
     return R.numbered_citations(hits_of_each(spark, sf_dir).withColumnRenamed("query_id", "page_id")).select("page_id", "chunk_id", "citation")
 
 
-def _context(name, found, most, chars):
-    cut = f"substr(coalesce(content, ''), 1, {chars})" if chars else "coalesce(content, '')"
+@query("answer_context", f"""WITH {CHUNKS}, {MANY}, {SCORED}, {TOP.format(k=10)} SELECT query_id, string_agg('Dokumenter fra doc_' || doc_id || '.pdf, side ' || run_id || ':' || chr(10) || coalesce(content, '') || chr(10), chr(10) ORDER BY rank) AS context FROM each GROUP BY 1""")
+def answer_context(spark, sf_dir):
+    """Each hit whole below the name of its document and its page, which the answer is to name."""
+    hits = hits_of_each(spark, sf_dir).withColumn("filename", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))).withColumn("page", F.col("run_id"))
+    return R.answer_context(hits)
 
-    @query(name, f"WITH {CHUNKS}, {MANY}, {SCORED}, {TOP.format(k=found)} SELECT query_id, string_agg('[' || doc_id || ', ' || chunk_id || '] ' || {cut}, chr(10) ORDER BY rank) AS context FROM each WHERE rank <= {most} GROUP BY 1")
-    def run(spark, sf_dir):
-        return R.context(hits_of_each(spark, sf_dir, found), most, chars)
 
-
-_context("answer_context", 10, 10, None)
-_context("checklist_prompt", 60, 50, 800)
+@query("checklist_prompt", f"WITH {CHUNKS}, {MANY}, {SCORED}, {TOP.format(k=60)} SELECT query_id, string_agg('[' || doc_id || ', ' || chunk_id || '] ' || substr(coalesce(content, ''), 1, 800), chr(10) ORDER BY rank) AS context FROM each WHERE rank <= 50 GROUP BY 1")
+def checklist_prompt(spark, sf_dir):
+    return R.context(hits_of_each(spark, sf_dir, 60), 50, 800)
 
 
 @query("markdown_prompt", f"""WITH {CHUNKS}, {MANY}, {SCORED}, {TOP.format(k=30)}, t AS (SELECT *, 'doc_' || doc_id || '.pdf' AS filename, min(rank) OVER (PARTITION BY query_id, doc_id) AS first FROM each WHERE rank <= 20),
