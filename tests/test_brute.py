@@ -166,6 +166,17 @@ def test_few_chunks_are_on_their_own(spark):
     assert sorted(r.cluster for r in clustering.clusters(df).collect()) == [0, 1, 2]
 
 
+def test_clusters_of_odd_rows(spark):
+    rows = [(i, [float(i % 4) * 10, float(i % 2) * 10 + i / 1000]) for i in range(100)] + [(200, None), (201, [1.0]), (202, [1.0, None]), (203, [float("nan"), 0.0])]
+    got = {r.chunk_id: r.cluster for r in clustering.clusters(spark.createDataFrame(rows, "chunk_id long, embedding array<double>"), most=4).collect()}
+    assert [got[i] for i in (200, 201, 202, 203)] == [None] * 4 and len({got[i] for i in range(100)}) == 4
+    assert all(got[i] == got[i % 4] for i in range(100))
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(90)], "chunk_id long, embedding array<double>")
+    assert {r.cluster for r in clustering.clusters(same).collect()} == {0}
+    none = spark.createDataFrame([(i, None) for i in range(90)], "chunk_id long, embedding array<double>")
+    assert {r.cluster for r in clustering.clusters(none).collect()} == {None}
+
+
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])
 def test_ann_recall_on_the_embeddings(spark, folder):
     rows = dict(read("select vec_id, embedding from '@embeddings.parquet'", folder))
