@@ -15,6 +15,8 @@ rows that pass straight through does not fall as the table grows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,19 +34,21 @@ def text_sha256(text: Column) -> Column:
 
 
 def _tested(digests: DataFrame, bits_per_row: int, max_bits: int) -> DataFrame:
-    """``digests`` (with ``h``) with ``maybe``: whether another row may have the same hash."""
+    """``digests`` (with ``h``) with ``maybe``: whether another row may have the same hash. Written; one filter is alive at a time."""
     rows = digests.count()
     parts = -(-rows * LEAST_BITS // max_bits) or 1
     words = filter_words(-(-rows // parts), bits_per_row, max_bits)
     if parts == 1:
-        return test_filter(digests, "h", build_filter(digests, "h", words, least=2), words, "maybe")
+        return materialize(test_filter(digests, "h", build_filter(digests, "h", words, least=2), words, "maybe"), "tested-digests")
     dealt = materialize(digests.withColumn("part", F.pmod(F.shiftrightunsigned("h", 54), F.lit(parts)).cast("int")), "digest-parts", by="part")
-    tested = None
-    for p in range(parts):  # each part is read from its own folder and has its own filter
+    tested = []
+    for p in range(parts):  # each part is read from its own folder and has its own filter, which goes when the part is written
         part = dealt.where(F.col("part") == p).drop("part")
-        one = test_filter(part, "h", materialize(build_filter(part, "h", words, least=2), "filter"), words, "maybe")
-        tested = one if tested is None else tested.unionByName(one)
-    return tested
+        sieve = materialize(build_filter(part, "h", words, least=2), "filter")
+        tested.append(materialize(test_filter(part, "h", sieve, words, "maybe"), "tested-digests"))
+        release(digests.sparkSession, sieve)
+    release(digests.sparkSession, dealt)
+    return reduce(DataFrame.unionByName, tested)
 
 
 def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -66,7 +70,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the id exactly one stays. Texts of any length are hashed whole. Other columns
     are not looked at; an empty table gives an empty result.
     """
-    tested = _tested(_digests(docs, id_col, text_col), bits_per_row, max_bits)
+    digests = _digests(docs, id_col, text_col)
+    tested = _tested(digests, bits_per_row, max_bits)
+    release(docs.sparkSession, digests)
     alone = tested.where("NOT maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     suspects = tested.where("maybe").drop("maybe", "h")
     # written, so that both sides of the join are plain exchanges, and a hot hash can be split
