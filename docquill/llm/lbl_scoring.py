@@ -44,9 +44,11 @@ from docquill.scratch import materialize
 #: Most classes of single words, and from which count on a word is one; classes of rarer words by hash; members of a group.
 CLASSES, OWN_COUNT, RARE, GROUP = 8000, 150, 500, 96
 #: Length of the vectors; words of the context; words whose counts tasks hold.
-DIMENSIONS, CONTEXT, HEAD_WORDS = 12, 3, 50_000
+DIMENSIONS, CONTEXT, HEAD_WORDS = 16, 3, 50_000
 #: Training: positions in a step, noise tokens in a step, step size; tokens of a part.
 STEP, NOISE, RATE, PART_TOKENS = 8192, 32, 0.05, 2_000_000
+#: Rounds of averaging, each on rows of its own; parts of a round at most.
+ROUNDS, MOST_PARTS = 2, 2048
 
 #: The end of a text as a token; no word is empty.
 END = b""
@@ -245,15 +247,26 @@ def _trainer(lexicon: Lexicon, start: Model):
     return run
 
 
-def train_model(docs: DataFrame, lexicon: Lexicon, dimensions: int = DIMENSIONS, context: int = CONTEXT, part_tokens: int = PART_TOKENS) -> Model:
-    """A model trained on all rows of ``docs`` (doc_id, text): one in each part, averaged by tokens."""
-    start = Model.start(lexicon.shares, dimensions, context)
+def train_model(docs: DataFrame, lexicon: Lexicon, dimensions: int = DIMENSIONS, context: int = CONTEXT, part_tokens: int = PART_TOKENS, rounds: int = ROUNDS, most_parts: int = MOST_PARTS) -> Model:
+    """A model trained on all rows of ``docs`` (doc_id, text), each once.
+
+    The rows are dealt to ``rounds`` by hash (one where they make one part), and
+    those of a round to parts; a part trains from the mean of the models of the
+    round before it, averaged by tokens. A part has ``part_tokens`` tokens, and
+    more where ``most_parts`` would be exceeded; it is read as a stream.
+    """
+    model = Model.start(lexicon.shares, dimensions, context)
     place = F.xxhash64("doc_id", "text")
-    dealt = docs.select("text", place.alias("place")).repartition(-(-lexicon.total // part_tokens) or 1, "place").sortWithinPartitions("place")
-    trained = dealt.select("text").mapInArrow(_trainer(lexicon, start), "i long, weight double, row array<float>")
+    rounds = min(rounds, -(-lexicon.total // part_tokens) or 1)
+    parts = min(most_parts, -(-lexicon.total // (part_tokens * rounds)) or 1)
     mean = [(F.sum(F.col("row")[j] * F.col("weight")) / F.sum("weight")).alias(f"p{j}") for j in range(dimensions + 1)]
-    rows = trained.groupBy("i").agg(*mean).orderBy("i").collect()  # one row a class, a number that is fixed
-    return start.of_rows(np.array([r[1:] for r in rows])) if rows else start
+    for r in range(rounds):
+        some = docs.select("text", place.alias("place")).where(F.pmod(F.shiftright("place", 40), F.lit(rounds)) == r)
+        dealt = some.repartition(parts, "place").sortWithinPartitions("place")
+        trained = dealt.select("text").mapInArrow(_trainer(lexicon, model), "i long, weight double, row array<float>")
+        rows = trained.groupBy("i").agg(*mean).orderBy("i").collect()  # one row a class, a number that is fixed
+        model = model.of_rows(np.array([x[1:] for x in rows])) if rows else model
+    return model
 
 
 def learn_lexicon(counts: DataFrame, ends: int, head_words: int = HEAD_WORDS, classes: int = CLASSES, own_count: int = OWN_COUNT) -> Lexicon:
