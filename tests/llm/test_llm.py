@@ -722,3 +722,30 @@ def test_pipeline_edges(spark):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in stages["tokens"](spark, d, SF).collect()) == sorted((i or 0, len(library().encode(t or "", add_special_tokens=False).ids)) for i, t, _ in rows)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, d.limit(0), SF).count() == 0, name
+
+
+def test_recordings_that_share_silence_do_not_meet(spark):
+    """300 different recordings with two silent seconds in front: what meets grows with their number, and near copies are found."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(0, 0.2, (300, 40))
+    silent = lambda v: np.concatenate([np.zeros(2 * chroma.RATE), chroma.melody(v)])
+    copies = [(1000 + i, vectors[i * 50].tolist()) for i in range(6)]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(i, v[:-4]) for i, v in copies]
+    got = {r.id: r for r in chroma.align_recordings(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", silent).collect()}
+    assert all(got[i].match_id == (i - 1000) * 50 for i, _ in copies)
+    prints = chroma.media_fingerprints(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", silent)
+    entries = chroma.key_entries(prints.withColumnRenamed("id", "class_id"))
+    assert entries.groupBy("key").count().agg(F.max("count")).first()[0] < 60
+    assert chroma.keys_of(chroma.packed(chroma.chroma(np.zeros(60 * chroma.RATE))))[0].size == 0
+
+
+def test_an_hour_of_audio_stays_small():
+    import subprocess
+    import sys
+
+    code = (
+        "import resource, numpy as np; from docquill.llm import chroma as c; x = np.random.default_rng(0).normal(size=3600 * c.RATE).astype(np.float32); c.chroma(x[:9000]);"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; n = len(c.chroma(x)); print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)"
+    )
+    n, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert n == (3600 * 4000 - 1024) // 256 + 1 and mb < 200
