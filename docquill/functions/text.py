@@ -1,9 +1,13 @@
-"""Text scalars as Column functions; all run in the JVM."""
+"""Text scalars as Column functions; they run in the JVM, but for names that are not ASCII."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What Unicode counts as white space, for Java and for RE2.
 BLANK = r"[\x09-\x0D\x1C-\x20\x85\p{Z}]"
@@ -103,13 +107,18 @@ def wiki_filename(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(kept, r"[-\s]+", "_"), "^_+|_+$", "")
 
 
+@F.pandas_udf(StringType())
+def _decomposed(names: pd.Series) -> pd.Series:
+    """The ASCII part of the compatible decomposition, for the few names that have other characters."""
+    return names.map(lambda n: unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode("ascii"), na_action="ignore")
+
+
 def sanitized_filename(name: Column, longest: int = 200) -> Column:
-    """A storage-safe file name. Letters lose accents that Unicode decomposes for Latin; other letters outside ASCII go."""
-    accents = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+    """A storage-safe file name. Characters outside ASCII are decomposed, and what is left of them outside ASCII goes."""
     ext = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
     s = F.substring(name, F.lit(1), F.length(name) - F.length(ext))
-    s = F.regexp_replace(F.translate(s, accents, plain), r"[^\x00-\x7F]", "")
+    s = F.coalesce(_decomposed(F.when(s.rlike(r"[^\x00-\x7F]"), s)), s)
+    # what is replaced, in this order (fixed values)
     for pattern, by in (("_{2,}", "_"), ("-{2,}", "-"), (r"\s+", "_"), (r'[<>:"/\\|?*]', "_"), (r"[\x00-\x1f\x7f]", ""), (r"[^A-Za-z0-9_.-]", "_"), ("[_-]*_[_-]*", "_"), ("-{2,}", "-"), (r"^[_.-]+|[_.-]+$", "")):
         s = F.regexp_replace(s, pattern, by)
     s = F.when(s == "", "file").otherwise(s)

@@ -87,6 +87,11 @@ def test_meaningful_small(spark, text, want):
     assert scalar(spark, text, T.is_meaningful_small(F.col("text"))) is want
 
 
+@pytest.mark.parametrize("name,want", [("Ærø – Übersicht ½ ﬁn.pdf", "r_Ubersicht_12_fin.pdf"), ("ｆｕｌｌ ｗｉｄｔｈ.txt", "full_width.txt"), ("日本.pdf", "file.pdf"), ("a__b--c d.pdf", "a_b-c_d.pdf"), ("", "unnamed_file")])
+def test_file_names(spark, name, want):
+    assert scalar(spark, name, T.sanitized_filename(F.col("text"))) == want
+
+
 def test_document_kind(spark):
     rows = [(5, 0, 10), (90, 5, 10), (60, 30, 10), (60, 15, 10), (30, 5, 10)]
     got = [r[0] for r in spark.createDataFrame(rows, "t int, i int, p int").select(validation.document_kind(F.col("t"), F.col("i"), F.col("p"))).collect()]
