@@ -49,10 +49,13 @@ def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete written tables that nothing will read again, and let Spark drop the shuffle files of plans that are done."""
+    """Delete tables of :func:`materialize` that nothing will read again, and let Spark drop the shuffle files of plans that are done. Another table is an error."""
     jvm = spark._jvm
     for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        if others := [f for f in folders if f"/docquill-tables/{spark.sparkContext.applicationId}-{_RUN}/" not in f]:
+            raise ValueError(f"not a table of this application: {others[0]}")
+        for folder in folders:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     jvm.System.gc()  # Spark's cleaner follows the collector

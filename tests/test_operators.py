@@ -315,3 +315,13 @@ def test_named_tables_and_scratch(spark, tmp_path):
     scratch.release(spark, kept, parts)
     with pytest.raises(Exception):
         kept.count()
+
+
+def test_only_own_tables_are_released(spark, tmp_path):
+    from docquill.scratch import materialize, release
+
+    spark.range(3).write.parquet(str(tmp_path / "theirs"))
+    with pytest.raises(ValueError, match="not a table"):
+        release(spark, spark.read.parquet(str(tmp_path / "theirs")))
+    assert spark.read.parquet(str(tmp_path / "theirs")).count() == 3
+    release(spark, materialize(spark.range(3), "mine"), materialize(spark.range(4).withColumn("b", F.col("id") % 2), "mine", by="b"))
