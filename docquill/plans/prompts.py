@@ -12,7 +12,7 @@ from docquill.operators import elements as E
 from docquill.operators import retrieval as R
 from docquill.plans.model import CHUNKS, ELEMENTS, chunks, elements, table
 from docquill.plans.order import BOX, line_boxes
-from docquill.plans.vectors import ONE, SCORED, first_query
+from docquill.plans.vectors import ONE, SCORED, first_query, vectors_of
 from docquill.plans.text import REPETITION
 from docquill.registry import query
 from docquill.sources import providers as P
@@ -58,7 +58,7 @@ def structured_output(spark, sf_dir):
 
 @query("topk_fixed15", f"WITH {CHUNKS}, {ONE}, {SCORED} SELECT chunk_id FROM scored ORDER BY similarity DESC, chunk_id LIMIT 15")
 def topk_fixed15(spark, sf_dir):
-    return R.nearest(chunks(spark, sf_dir), first_query(spark, sf_dir)).select("chunk_id")
+    return R.nearest(vectors_of(spark, sf_dir), first_query(spark, sf_dir)).select("chunk_id")
 
 
 @query("cosine_strict", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)::DOUBLE AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

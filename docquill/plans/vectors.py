@@ -20,6 +20,12 @@ TOP = "each AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_i
 TOP_EACH = TOP.format(k=10)
 
 
+def vectors_of(spark, sf_dir):
+    """The chunks without their contents, which a search does not look at."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 40).alias("doc_id"), F.col("label").alias("run_id"), "embedding")
+
+
 def first_query(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
@@ -32,27 +38,27 @@ def many_queries(spark, sf_dir):
 def hits_of_each(spark, sf_dir, k=R.PER_QUERY):
     """The best ``k`` of each query; contents are fetched for the hits only."""
     c = chunks(spark, sf_dir)
-    return R.best_of_each(c.select("chunk_id", "embedding"), many_queries(spark, sf_dir), k).join(c.drop("embedding"), "chunk_id")
+    return R.best_of_each(vectors_of(spark, sf_dir).select("chunk_id", "embedding"), many_queries(spark, sf_dir), k).join(c.drop("embedding"), "chunk_id")
 
 
 @query("match_chunks", f"WITH {CHUNKS}, {ONE}, {SCORED} SELECT chunk_id, doc_id, similarity FROM scored ORDER BY similarity DESC, chunk_id LIMIT 15")
 def match_chunks(spark, sf_dir):
-    return R.nearest(chunks(spark, sf_dir), first_query(spark, sf_dir)).select("chunk_id", "doc_id", "similarity")
+    return R.nearest(vectors_of(spark, sf_dir), first_query(spark, sf_dir)).select("chunk_id", "doc_id", "similarity")
 
 
 @query("match_chunks_of_run", f"WITH {CHUNKS}, {ONE}, {SCORED} SELECT chunk_id, similarity FROM scored WHERE run_id = 3 ORDER BY similarity DESC, chunk_id LIMIT 15")
 def match_chunks_of_run(spark, sf_dir):
-    return R.nearest(chunks(spark, sf_dir).where("run_id = 3 AND embedding IS NOT NULL"), first_query(spark, sf_dir)).select("chunk_id", "similarity")
+    return R.nearest(vectors_of(spark, sf_dir).where("run_id = 3 AND embedding IS NOT NULL"), first_query(spark, sf_dir)).select("chunk_id", "similarity")
 
 
 @query("topk_limit_200", f"WITH {CHUNKS}, {ONE}, {SCORED} SELECT chunk_id, similarity FROM scored ORDER BY similarity DESC, chunk_id LIMIT 200")
 def topk_limit_200(spark, sf_dir):
-    return R.nearest(chunks(spark, sf_dir), first_query(spark, sf_dir), 500).select("chunk_id", "similarity")
+    return R.nearest(vectors_of(spark, sf_dir), first_query(spark, sf_dir), 500).select("chunk_id", "similarity")
 
 
 @query("cosine_distance", f"WITH {CHUNKS}, {ONE}, {SCORED} SELECT chunk_id, round(1 - similarity, 6) AS distance FROM scored")
 def cosine_distance(spark, sf_dir):
-    scored = R.score(chunks(spark, sf_dir), first_query(spark, sf_dir))
+    scored = R.score(vectors_of(spark, sf_dir), first_query(spark, sf_dir))
     return scored.select("chunk_id", F.round(1 - F.col("similarity"), 6).alias("distance"))
 
 
@@ -74,12 +80,12 @@ def cosine_clipped(spark, sf_dir):
 @query("knn_post_filter", f"WITH {CHUNKS}, {ONE}, {SCORED}, top AS (SELECT * FROM scored ORDER BY similarity DESC, chunk_id LIMIT 15) SELECT chunk_id, similarity FROM top WHERE doc_id IN (0, 3, 7, 11, 19)")
 def knn_post_filter(spark, sf_dir):
     """The document filter after the limit: fewer may come back."""
-    return R.nearest(chunks(spark, sf_dir), first_query(spark, sf_dir)).where(F.col("doc_id").isin(0, 3, 7, 11, 19)).select("chunk_id", "similarity")
+    return R.nearest(vectors_of(spark, sf_dir), first_query(spark, sf_dir)).where(F.col("doc_id").isin(0, 3, 7, 11, 19)).select("chunk_id", "similarity")
 
 
 @query("knn_pre_filter", f"WITH {CHUNKS}, {ONE}, {SCORED} SELECT chunk_id, similarity FROM scored WHERE doc_id IN (0, 3, 7, 11, 19) ORDER BY similarity DESC, chunk_id LIMIT 15")
 def knn_pre_filter(spark, sf_dir):
-    return R.nearest(chunks(spark, sf_dir).where(F.col("doc_id").isin(0, 3, 7, 11, 19)), first_query(spark, sf_dir)).select("chunk_id", "similarity")
+    return R.nearest(vectors_of(spark, sf_dir).where(F.col("doc_id").isin(0, 3, 7, 11, 19)), first_query(spark, sf_dir)).select("chunk_id", "similarity")
 
 
 @query("search_with_fallback", f"""WITH {CHUNKS}, {ONE}, {SCORED}, top AS (SELECT *, greatest(similarity, 0) AS s FROM scored ORDER BY similarity DESC, chunk_id LIMIT 15),
@@ -95,35 +101,37 @@ def search_with_fallback(spark, sf_dir):
     SELECT chunk_id, round(greatest(coalesce(CASE WHEN chunk_id % 3 > 0 THEN similarity END, greatest(0.1, 1 - 0.05 * rank)), 0), 6)::DOUBLE AS similarity FROM top""")
 def hnsw_format(spark, sf_dir):
     """Every third hit's vector cannot be read, and its similarity comes from its rank."""
-    top = R.nearest(chunks(spark, sf_dir), first_query(spark, sf_dir))
+    top = R.nearest(vectors_of(spark, sf_dir), first_query(spark, sf_dir))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")) - 1  # 15 rows
     known = F.when(F.col("chunk_id") % 3 > 0, F.col("similarity"))
     return top.withColumn("rank", rank).select("chunk_id", F.round(R.ranked_similarity(known, F.col("rank")), 6).alias("similarity"))
 
 
-@query("sort_similarity", f"WITH {CHUNKS}, {ONE}, {SCORED} SELECT chunk_id, coalesce(CASE WHEN chunk_id % 4 > 0 THEN similarity END, 0.0) AS similarity FROM scored ORDER BY 2 DESC, 1 LIMIT 100")
+@query("sort_similarity", f"WITH {CHUNKS}, {MANY}, {SCORED} SELECT query_id, chunk_id, coalesce(CASE WHEN chunk_id % 4 > 0 THEN similarity END, 0.0) AS similarity FROM scored ORDER BY 3 DESC, 1, 2")
 def sort_similarity(spark, sf_dir):
-    scored = R.score(chunks(spark, sf_dir), first_query(spark, sf_dir))
-    return scored.select("chunk_id", F.coalesce(F.when(F.col("chunk_id") % 4 > 0, F.col("similarity")), F.lit(0.0)).alias("similarity")).orderBy(F.desc("similarity"), "chunk_id").limit(100)
+    """All pairs in order; an unknown similarity counts as zero."""
+    scored = R.score(vectors_of(spark, sf_dir), many_queries(spark, sf_dir))
+    known = F.coalesce(F.when(F.col("chunk_id") % 4 > 0, F.col("similarity")), F.lit(0.0)).alias("similarity")
+    return scored.select("query_id", "chunk_id", known).orderBy(F.desc("similarity"), "query_id", "chunk_id")
 
 
-@query("threshold_filter", f"WITH {CHUNKS}, {ONE}, {SCORED} SELECT chunk_id, similarity FROM scored WHERE similarity >= 0.25")
+@query("threshold_filter", f"WITH {CHUNKS}, {MANY}, {SCORED} SELECT query_id, chunk_id, similarity FROM scored WHERE similarity >= 0.25")
 def threshold_filter(spark, sf_dir):
-    return R.above_minimum(R.score(chunks(spark, sf_dir), first_query(spark, sf_dir)), "english").select("chunk_id", "similarity")
+    return R.above_minimum(R.score(vectors_of(spark, sf_dir), many_queries(spark, sf_dir)), "english").select("query_id", "chunk_id", "similarity")
 
 
-@query("quality_category", f"WITH {CHUNKS}, {ONE}, {SCORED} SELECT chunk_id, CASE WHEN similarity >= 0.7 THEN 'excellent' WHEN similarity >= 0.55 THEN 'good' WHEN similarity >= 0.35 THEN 'acceptable' ELSE 'poor' END AS danish, CASE WHEN similarity >= 0.75 THEN 'excellent' WHEN similarity >= 0.6 THEN 'good' WHEN similarity >= 0.4 THEN 'acceptable' ELSE 'poor' END AS english FROM scored")
+@query("quality_category", f"WITH {CHUNKS}, {MANY}, {SCORED} SELECT query_id, chunk_id, CASE WHEN similarity >= 0.7 THEN 'excellent' WHEN similarity >= 0.55 THEN 'good' WHEN similarity >= 0.35 THEN 'acceptable' ELSE 'poor' END AS danish, CASE WHEN similarity >= 0.75 THEN 'excellent' WHEN similarity >= 0.6 THEN 'good' WHEN similarity >= 0.4 THEN 'acceptable' ELSE 'poor' END AS english FROM scored")
 def quality_category(spark, sf_dir):
-    s = R.score(chunks(spark, sf_dir), first_query(spark, sf_dir))
-    return s.select("chunk_id", R.quality_category(F.col("similarity"), "danish").alias("danish"), R.quality_category(F.col("similarity")).alias("english"))
+    s = R.score(vectors_of(spark, sf_dir), many_queries(spark, sf_dir))
+    return s.select("query_id", "chunk_id", R.quality_category(F.col("similarity"), "danish").alias("danish"), R.quality_category(F.col("similarity")).alias("english"))
 
 
-@query("legacy_threshold_filter", f"WITH {CHUNKS}, {ONE}, {SCORED}, x AS (SELECT chunk_id, CASE WHEN similarity BETWEEN 0.1 AND 1 THEN similarity ELSE round(1 - similarity, 6) END AS similarity FROM scored) SELECT * FROM x WHERE similarity >= 0.2")
+@query("legacy_threshold_filter", f"WITH {CHUNKS}, {MANY}, {SCORED}, x AS (SELECT query_id, chunk_id, CASE WHEN similarity BETWEEN 0.1 AND 1 THEN similarity ELSE round(1 - similarity, 6) END AS similarity FROM scored) SELECT * FROM x WHERE similarity >= 0.2")
 def legacy_threshold_filter(spark, sf_dir):
     """Values outside of 0.1 to 1 are taken for distances."""
-    s = R.score(chunks(spark, sf_dir), first_query(spark, sf_dir))
+    s = R.score(vectors_of(spark, sf_dir), many_queries(spark, sf_dir))
     as_similarity = F.when(F.col("similarity").between(0.1, 1.0), F.col("similarity")).otherwise(F.round(1 - F.col("similarity"), 6))
-    return s.select("chunk_id", as_similarity.alias("similarity")).where("similarity >= 0.2")
+    return s.select("query_id", "chunk_id", as_similarity.alias("similarity")).where("similarity >= 0.2")
 
 
 @query("parse_embedding", "SELECT vec_id, CASE WHEN vec_id % 7 > 0 THEN 64 END AS dims, CASE WHEN vec_id % 7 > 0 THEN round(embedding[1]::DOUBLE, 6) END AS first FROM embeddings")
@@ -141,7 +149,7 @@ def dim_check(spark, sf_dir):
 
 @query("join_cross_similarity", f"WITH {CHUNKS}, {MANY}, {SCORED} SELECT query_id, chunk_id, similarity FROM scored")
 def join_cross_similarity(spark, sf_dir):
-    return R.score(chunks(spark, sf_dir), many_queries(spark, sf_dir)).select("query_id", "chunk_id", "similarity")
+    return R.score(vectors_of(spark, sf_dir), many_queries(spark, sf_dir)).select("query_id", "chunk_id", "similarity")
 
 
 @query("topk_per_query", f"WITH {CHUNKS}, {MANY}, {SCORED}, {TOP_EACH} SELECT query_id, chunk_id, rank::INT AS rank, similarity FROM each")
@@ -151,12 +159,12 @@ def topk_per_query(spark, sf_dir):
 
 @query("similarity_threshold_015", f"WITH {CHUNKS}, {MANY}, {SCORED} SELECT query_id, count(*) AS n FROM scored WHERE similarity >= 0.15 GROUP BY 1")
 def similarity_threshold_015(spark, sf_dir):
-    return R.score(chunks(spark, sf_dir), many_queries(spark, sf_dir)).where(F.col("similarity") >= R.LEAST).groupBy("query_id").agg(F.count("*").alias("n"))
+    return R.score(vectors_of(spark, sf_dir), many_queries(spark, sf_dir)).where(F.col("similarity") >= R.LEAST).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 @query("dedup_max_similarity", f"WITH {CHUNKS}, {MANY}, {SCORED} SELECT chunk_id, max(similarity) AS similarity, min_by(query_id, struct_pack(a := -similarity, b := query_id)) AS query_id FROM scored GROUP BY 1")
 def dedup_max_similarity(spark, sf_dir):
-    return R.best_of_chunk(R.score(chunks(spark, sf_dir), many_queries(spark, sf_dir))).select("chunk_id", "similarity", "query_id")
+    return R.best_of_chunk(R.score(vectors_of(spark, sf_dir), many_queries(spark, sf_dir))).select("chunk_id", "similarity", "query_id")
 
 
 @query("multi_query_knn", f"WITH {CHUNKS}, {MANY}, {SCORED}, {TOP_EACH} SELECT chunk_id, max(similarity) AS similarity FROM each GROUP BY 1 ORDER BY 2 DESC, 1")
@@ -258,7 +266,7 @@ def answer_confidence(spark, sf_dir):
 
 @query("empty_answer", f"WITH {CHUNKS}, {MANY}, {SCORED} SELECT q.query_id, CASE WHEN count(chunk_id) = 0 THEN 'no relevant information' ELSE 'answer' END AS answer, CASE WHEN count(chunk_id) = 0 THEN 'low' ELSE 'open' END AS level FROM q LEFT JOIN (SELECT * FROM scored WHERE similarity >= 0.8 AND chunk_id > 7) s USING (query_id) GROUP BY 1")
 def empty_answer(spark, sf_dir):
-    hits = R.score(chunks(spark, sf_dir), many_queries(spark, sf_dir)).where("similarity >= 0.8 AND chunk_id > 7")
+    hits = R.score(vectors_of(spark, sf_dir), many_queries(spark, sf_dir)).where("similarity >= 0.8 AND chunk_id > 7")
     n = many_queries(spark, sf_dir).select("query_id").join(hits, "query_id", "left").groupBy("query_id").agg(F.count("chunk_id").alias("n"))
     none = F.col("n") == 0
     return n.select("query_id", F.when(none, "no relevant information").otherwise("answer").alias("answer"), F.when(none, "low").otherwise("open").alias("level"))
