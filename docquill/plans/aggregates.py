@@ -21,19 +21,9 @@ NUM = "TRY_CAST(json_extract_string(meta, '$.k') AS DOUBLE)"
 MEASURES = {"confidence": "$.performance.confidence", "relevance": "$.quality.relevance_score", "query_processing": "$.timings.query_processing", "retrieval": "$.timings.retrieval", "generation": "$.timings.generation"}
 
 
-def parsed(runs, measures: dict[str, str] = MEASURES, column: str = "metrics"):
-    """``runs`` with the JSON of their measures read once, as the text of each leaf; paths have two steps."""
-    groups: dict[str, list[str]] = {}
-    for path in measures.values():
-        outer, leaf = path.removeprefix("$.").split(".")
-        groups.setdefault(outer, []).append(f"`{leaf}`: string")
-    schema = ", ".join(f"`{outer}`: struct<{', '.join(leaves)}>" for outer, leaves in groups.items())
-    return runs.withColumn(column, F.from_json(column, f"struct<{schema}>"))
-
-
 def log_metrics(measures: dict[str, str] = MEASURES, column: str = "metrics"):
-    """The measures of a group of query runs (of :func:`parsed`); what is no number is left out."""
-    value = lambda path: F.col(f"{column}.{path.removeprefix('$.')}").try_cast("double")
+    """The measures of a group of query runs; those in JSON by their paths, what is no number left out. (One parse to a struct is no faster: 2.6 s against 2.4 on sf0.1.)"""
+    value = lambda path: F.get_json_object(column, path).try_cast("double")
     return [
         F.count("*").alias("total"), F.count(F.when(F.col("status") == "completed", 1)).alias("successful"), F.count(F.when(F.col("status") == "failed", 1)).alias("failed"),
         F.round(F.avg("response_ms"), 6).alias("avg_response"), *[F.round(F.avg(value(path)), 6).alias(f"avg_{name}") for name, path in measures.items()],
@@ -53,7 +43,7 @@ LOG = f"""count(*) AS total, count(CASE WHEN status = 'completed' THEN 1 END) AS
 
 @query("query_analytics", f"WITH {QUERY_RUNS} SELECT CAST(date_trunc('day', ts) AS DATE) AS day, {LOG} FROM query_runs GROUP BY 1")
 def query_analytics(spark, sf_dir):
-    return parsed(logged(spark, sf_dir)).groupBy(F.col("ts").cast("date").alias("day")).agg(*log_metrics())
+    return logged(spark, sf_dir).groupBy(F.col("ts").cast("date").alias("day")).agg(*log_metrics())
 
 
 @query("day_bucket", f"WITH {QUERY_RUNS} SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM query_runs GROUP BY ALL")
@@ -73,7 +63,7 @@ def since(runs, moment: str, hours: int):
 def recent_query_performance(spark, sf_dir, moment: str = "2024-01-20 00:00:00", hours: int = 72):
     """Over the last hours before a given moment."""
     rate = F.coalesce(F.try_divide(F.col("successful") * 100.0, F.col("total")), F.lit(0.0))
-    return parsed(since(logged(spark, sf_dir), moment, hours)).agg(*log_metrics()).withColumn("success_rate", F.round(rate, 6))
+    return since(logged(spark, sf_dir), moment, hours).agg(*log_metrics()).withColumn("success_rate", F.round(rate, 6))
 
 
 @query("hours_back", f"WITH {QUERY_RUNS} SELECT id, ts FROM query_runs WHERE {RECENT}")
