@@ -341,7 +341,7 @@ def pages_of(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     return table(spark, sf_dir, "orders").select(
         k.alias("page_id"), (k % 20).cast("int").alias("images"), (c % 4).cast("int").alias("meaningful"), (c % 3).cast("int").alias("tables"), (k % 7 * 1000).cast("int").alias("items"),
-        (k % 15).cast("int").alias("blocks"), F.round(F.col("o_totalprice") / 40, 0).cast("long").alias("chars"), "o_custkey",
+        (k % 15).cast("int").alias("blocks"), F.rint(F.col("o_totalprice") / 40).cast("long").alias("chars"), "o_custkey",
     )
 
 
