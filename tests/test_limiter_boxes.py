@@ -148,3 +148,10 @@ def test_many_boxes_of_one_page():
 def test_infinite_corners_go(spark):
     rows = [(1, 1, 0, [0.0, 0.0, math.inf, 5.0]), (1, 1, 1, [0.0, 0.0, 3.0, 5.0]), (1, 1, 2, [math.nan, 0.0, 3.0, 5.0])]
     assert [r.seq for r in boxes.drop_repeated_boxes(spark.createDataFrame(rows, BOX)).collect()] == [1]
+
+
+def test_all_pairs_of_a_page(spark):
+    """Boxes that are far apart are a pair too, with nothing shared."""
+    rows = [(1, 1, 0, [0.0, 0.0, 2.0, 2.0]), (1, 1, 1, [1.0, 0.0, 3.0, 2.0]), (1, 1, 2, [90.0, 90.0, 91.0, 91.0]), (1, 2, 3, [0.0, 0.0, 2.0, 2.0]), (2, 1, 4, [0.0, 0.0, 2.0, 2.0])]
+    got = sorted((r.doc_id, r.page, r.a, r.b, r.overlap, r.same) for r in boxes.page_pairs(spark.createDataFrame(rows, BOX)).collect())
+    assert got == [(1, 1, 0, 1, 0.5, True), (1, 1, 0, 2, 0.0, False), (1, 1, 1, 2, 0.0, False)]
