@@ -220,6 +220,31 @@ def best_of_chunk(hits: DataFrame) -> DataFrame:
     return hits.groupBy("chunk_id").agg(F.max("similarity").alias("similarity"), F.min_by("query_id", F.struct(-F.col("similarity"), F.col("query_id"))).alias("query_id"))
 
 
+def best_query_of_each(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """:func:`best_of_chunk` of :func:`score`: (chunk_id, similarity, query_id), the best query of each chunk (then the smallest). The best of a block of queries is taken where the chunk is, so that no pairs are made."""
+    kinds = chunks.schema["chunk_id"].dataType, queries.schema["query_id"].dataType
+    id_type = to_arrow_type(kinds[1])
+
+    def best(some: list) -> DataFrame:
+        some = sorted(some, key=lambda r: (r.query_id is not None, r.query_id))  # of equal ones argmax takes the first; nulls first, as Spark compares them
+        shared = chunks.sparkSession.sparkContext.broadcast(_Queries(some))
+
+        def run(batches):
+            q = shared.value
+            ids = pa.array(q.ids, id_type)
+            step = max(1, PAIRS // max(1, len(q.ids)))
+            for batch in batches if q.ids else ():
+                for start in range(0, batch.num_rows, step):
+                    part = batch.slice(start, step)
+                    similarity = q.similarities(part.column("embedding"))
+                    first = similarity.argmax(axis=1)
+                    yield pa.RecordBatch.from_arrays([part.column("chunk_id"), pa.array(similarity[np.arange(len(first)), first]), ids.take(pa.array(first))], ["chunk_id", "similarity", "query_id"])
+
+        return chunks.select("chunk_id", "embedding").mapInArrow(run, f"chunk_id {kinds[0].simpleString()}, similarity double, query_id {kinds[1].simpleString()}")
+
+    return best_of_chunk(reduce(DataFrame.unionByName, [best(some) for some in _query_blocks(queries)]))
+
+
 def search(chunks: DataFrame, queries: DataFrame, allowed: DataFrame | None = None, k: int = TOP) -> DataFrame:
     """The pipeline of one query: nearest ``k``, then the document filter, similarity not below zero; if nothing is left, filter first. Then dedup by 100 characters.
 

@@ -164,7 +164,7 @@ def similarity_threshold_015(spark, sf_dir):
 
 @query("dedup_max_similarity", f"WITH {CHUNKS}, {MANY}, {SCORED} SELECT chunk_id, max(similarity) AS similarity, min_by(query_id, struct_pack(a := -similarity, b := query_id)) AS query_id FROM scored GROUP BY 1")
 def dedup_max_similarity(spark, sf_dir):
-    return R.best_of_chunk(R.score(vectors_of(spark, sf_dir), many_queries(spark, sf_dir))).select("chunk_id", "similarity", "query_id")
+    return R.best_query_of_each(vectors_of(spark, sf_dir), many_queries(spark, sf_dir)).select("chunk_id", "similarity", "query_id")
 
 
 @query("multi_query_knn", f"WITH {CHUNKS}, {MANY}, {SCORED}, {TOP_EACH} SELECT chunk_id, max(similarity) AS similarity FROM each GROUP BY 1 ORDER BY 2 DESC, 1")
