@@ -19,3 +19,23 @@ def test_best_query_without_pairs(spark, monkeypatch):
         monkeypatch.setattr(R, "BROADCAST_QUERIES", most)
         assert sorted(map(tuple, R.best_query_of_each(chunks, queries).collect()), key=str) == want
     assert R.best_query_of_each(chunks, queries.limit(0)).count() == 0
+
+
+def test_answers_are_read_a_few_at_a_time():
+    """A batch of 1,000 long answers is never whole in Python strings: beside its result less than two answers' worth of what it holds is added at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from docquill.functions import repair
+
+    texts = ['{"a": "' + str(i) + "x" * 20_000 + '"}' for i in range(1000)] + [None, "", "no {"]
+    column = pa.array(texts, pa.string())
+    want = [repair.find_object(t) for t in texts]
+    tracemalloc.start()  # Python's own memory, without Arrow's
+    got = repair._found(repair.find_object, column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == want and peak < 5e6
+    assert repair._found(repair.find_object, pa.array([], pa.string())).to_pylist() == []
+    assert repair._found(repair.find_checklist, column, column).to_pylist() == [repair.find_checklist(t, t) for t in texts]
