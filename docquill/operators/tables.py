@@ -36,7 +36,9 @@ def table_elements(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
         return pd.Series([repetition_score(t) for t in texts], dtype=float)
 
     found = pages.select(id_col, F.posexplode(F.regexp_extract_all(html_col, F.lit(r"(?is)<table(?:\s[^>]*)?>(.*?)</table>"), F.lit(1))).alias("place", "markup"))
-    rows = found.select(id_col, F.concat(F.lit("table_"), (F.col("place") + 1).cast("string")).alias("table_id"), cells(F.col("markup")).alias("rows")).where(F.size("rows") > 0)
+    once = lambda c: F.explode(F.array(c))  # a generator's row is worked out once; a projection would be repeated in each filter above it
+    rows = found.select(id_col, F.concat(F.lit("table_"), (F.col("place") + 1).cast("string")).alias("table_id"), once(cells(F.col("markup"))).alias("rows")).where(F.size("rows") > 0)
     widest = F.array_max(F.transform("rows", F.size))
-    t = rows.select(id_col, "table_id", markdown(F.col("rows")).alias("text"), F.size("rows").alias("n_rows"), widest.alias("n_columns")).withColumn("repetition", repetition("text"))
+    t = rows.select(id_col, "table_id", once(F.struct(markdown(F.col("rows")).alias("text"), F.size("rows").alias("n_rows"), widest.alias("n_columns"))).alias("t")).select(id_col, "table_id", "t.*")
+    t = t.where(table_is_valid(F.length("text"), F.col("n_columns"), F.lit(0.0), F.lit(False))).withColumn("repetition", repetition("text"))  # the costly check for those that pass the others
     return t.where(table_is_valid(F.length("text"), F.col("n_columns"), F.col("repetition"), F.lit(False))).drop("repetition")

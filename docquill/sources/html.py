@@ -10,4 +10,5 @@ def visible_text(html: Column) -> Column:
     """Without scripts, styles, comments and tags; white space collapsed. Entities stay as they are."""
     t = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(?:script|style)>", " ")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "<[^>]*>", " "), r"[ \t\r\n]+", " "))
+    t = F.when(html.contains("<"), F.regexp_replace(t, "<[^>]*>", " ")).otherwise(html)  # most cells of tables have no mark-up
+    return F.trim(F.regexp_replace(t, r"[ \t\r\n]+", " "))

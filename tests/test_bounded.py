@@ -39,3 +39,14 @@ def test_answers_are_read_a_few_at_a_time():
     assert got.to_pylist() == want and peak < 5e6
     assert repair._found(repair.find_object, pa.array([], pa.string())).to_pylist() == []
     assert repair._found(repair.find_checklist, column, column).to_pylist() == [repair.find_checklist(t, t) for t in texts]
+
+
+def test_cells_of_a_table_are_read_once(spark):
+    """The plan has the reading of cells in one place, and the repetition is asked for after the other checks."""
+    from docquill.operators.tables import table_elements
+
+    pages = spark.createDataFrame([(1, "<table><tr><td>a  b</td><td>x<b>y</b></td></tr></table>"), (2, "<table><tr>" + "<td>a</td>" * 21 + "</tr></table>"), (3, None)], "id long, html string")
+    out = table_elements(pages, "id", "html")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<t[dh]") == 1
+    assert [tuple(r) for r in out.collect()] == [(1, "table_1", "| a b | x y |\n| --- | --- |", 1, 2)]
