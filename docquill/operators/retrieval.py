@@ -100,16 +100,33 @@ def _fields(df: DataFrame, *more: str) -> str:
     return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], *more])
 
 
-#: Pairs that a task holds at a time.
-PAIRS = 1 << 20
+#: Pairs that a task scores at a time; pairs among which equal similarities are put together.
+PAIRS, TOGETHER = 1 << 20, 1 << 23
 
 
-def score(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def _equal_together(similarities: Iterator[np.ndarray], size: int) -> tuple[np.ndarray, int]:
+    """A whole number for each of ``size`` similarities of six digits: its millionths, and below them its place in so many bits.
+
+    Equal similarities are beside each other, by place; all are in the order of
+    places where more than a third differ, as a file is no smaller then.
+    """
+    bits, key, n = size.bit_length(), np.arange(size), 0
+    for some in similarities:
+        key[n : n + some.size] += np.rint(some.ravel() * 1e6).astype(np.int64) << bits
+        n += some.size
+    equal = np.sort(key)
+    differ = sum(np.count_nonzero(np.diff(equal[i : i + PAIRS + 1] >> bits)) for i in range(0, size, PAIRS))
+    return equal if 3 * differ < size else key, bits
+
+
+def score(chunks: DataFrame, queries: DataFrame, together: int = 0) -> DataFrame:
     """Each chunk, without its ``embedding``, with each query (query_id, query): similarity, the cosine rounded to six digits.
 
     Zero where a vector is null, zero, not finite, has a null or another length. Up
     to ``BROADCAST_QUERIES`` queries go to all tasks at once; more go in blocks of
-    about that size, a pass each.
+    about that size, a pass each. Where all pairs are to be stored, ``together`` is
+    a number of pairs of a task among which equal similarities go beside each
+    other: the same rows, which files hold in fewer bytes.
     """
     rest = chunks.drop("embedding")
     kind, kept = queries.schema["query_id"].dataType, rest.columns
@@ -120,15 +137,23 @@ def score(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
         def run(batches):
             q = shared.value
-            ids = pa.array(q.ids, id_type)
-            step = max(1, PAIRS // max(1, len(q.ids)))
-            for batch in batches:
-                for start in range(0, batch.num_rows, step):
-                    part = batch.slice(start, step)
-                    similarity = q.similarities(part.column("embedding"))
-                    of_chunk, of_query = np.divmod(np.arange(similarity.size), max(1, len(q.ids)))
-                    columns = [part.column(c).take(pa.array(of_chunk)) for c in kept]
-                    yield pa.RecordBatch.from_arrays([*columns, ids.take(pa.array(of_query)), pa.array(similarity.ravel())], [*kept, "query_id", "similarity"])
+            ids, n = pa.array(q.ids, id_type), max(1, len(q.ids))
+            few, step = max(1, PAIRS // n), max(1, max(PAIRS, together) // n)
+
+            def rows(part: pa.RecordBatch, at: np.ndarray, similarity: np.ndarray) -> pa.RecordBatch:
+                of_chunk, of_query = np.divmod(at, n)
+                columns = [part.column(c).take(pa.array(of_chunk)) for c in kept]
+                return pa.RecordBatch.from_arrays([*columns, ids.take(pa.array(of_query)), pa.array(similarity)], [*kept, "query_id", "similarity"])
+
+            for part in (batch.slice(i, step) for batch in batches for i in range(0, batch.num_rows, step)):
+                if not together:
+                    similarity = q.similarities(part.column("embedding")).ravel()
+                    yield rows(part, np.arange(similarity.size), similarity)
+                    continue
+                blocks = (q.similarities(part.column("embedding").slice(i, few)) for i in range(0, part.num_rows, few))
+                keys, bits = _equal_together(blocks, part.num_rows * len(q.ids))
+                for key in (keys[i : i + PAIRS] for i in range(0, len(keys), PAIRS)):
+                    yield rows(part, key & (1 << bits) - 1, (key >> bits) / 1e6)
 
         return chunks.select(*kept, "embedding").mapInArrow(run, _fields(rest, f"query_id {kind.simpleString()}", "similarity double"))
 

@@ -126,8 +126,8 @@ def quality_category(spark, sf_dir):
 
 @query("legacy_threshold_filter", f"WITH {CHUNKS}, {MANY}, {SCORED}, x AS (SELECT query_id, chunk_id, CASE WHEN similarity BETWEEN 0.1 AND 1 THEN similarity ELSE round(1 - similarity, 6) END AS similarity FROM scored) SELECT * FROM x WHERE similarity >= 0.2")
 def legacy_threshold_filter(spark, sf_dir):
-    """Values outside of 0.1 to 1 are taken for distances."""
-    s = R.score(vectors_of(spark, sf_dir), many_queries(spark, sf_dir))
+    """Values outside of 0.1 to 1 are taken for distances, so that most pairs stay."""
+    s = R.score(vectors_of(spark, sf_dir).select("chunk_id", "embedding"), many_queries(spark, sf_dir), R.TOGETHER)
     as_similarity = F.when(F.col("similarity").between(0.1, 1.0), F.col("similarity")).otherwise(F.round(1 - F.col("similarity"), 6))
     return s.select("query_id", "chunk_id", as_similarity.alias("similarity")).where("similarity >= 0.2")
 
@@ -147,7 +147,9 @@ def dim_check(spark, sf_dir):
 
 @query("join_cross_similarity", f"WITH {CHUNKS}, {MANY}, {SCORED} SELECT query_id, chunk_id, similarity FROM scored")
 def join_cross_similarity(spark, sf_dir):
-    return R.score(vectors_of(spark, sf_dir), many_queries(spark, sf_dir)).select("query_id", "chunk_id", "similarity")
+    """All pairs. They are the result itself, so where it is stored equal similarities go together."""
+    pairs = R.score(vectors_of(spark, sf_dir).select("chunk_id", "embedding"), many_queries(spark, sf_dir), R.TOGETHER)
+    return pairs.select("query_id", "chunk_id", "similarity")
 
 
 @query("topk_per_query", f"WITH {CHUNKS}, {MANY}, {SCORED}, {TOP_EACH} SELECT query_id, chunk_id, rank::INT AS rank, similarity FROM each")
